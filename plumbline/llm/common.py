@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: White space that parts words and is stripped from lines.
 SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def save(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage, and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # the shuffle files of the write go when it ends, not at the driver's next GC
+    try:
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_saved(df: DataFrame) -> None:
