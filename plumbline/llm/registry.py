@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, exact_dedup, idfile, line_dedup, packing, quality, sharding, substring, topk
+from plumbline.llm import bpe, exact_dedup, idfile, line_dedup, near_join, packing, quality, sharding, substring, topk
 from plumbline.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -19,6 +19,10 @@ def op2_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_near_join(spark, sf_dir):
+    return near_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op4_sharding, op5_substring_dedup, op6_id_files, op7_packing, op8_line_dedup, op9_exact_dedup, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_near_join, op4_sharding, op5_substring_dedup, op6_id_files, op7_packing, op8_line_dedup, op9_exact_dedup, op10_topk)}
 ORACLES = {"op5_substring_dedup": substring.DIGEST_SQL, "op8_line_dedup": line_dedup.DIGEST_SQL, "op9_exact_dedup": exact_dedup.MARK_SQL, "op10_topk": topk.TOP_SQL}
