@@ -64,7 +64,7 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 class Cached:
     """Encodes texts pre-token by pre-token; each distinct pre-token once, as long as the cache holds it."""
 
-    def __init__(self, pattern: str, encode_many: Callable[[list[str]], list[bytes]], most: int = 700_000):
+    def __init__(self, pattern: str, encode_many: Callable[[list[str]], list[bytes]], most: int = 250_000):
         self.split = regex.compile(pattern).findall
         self.encode_many, self.most, self.known = encode_many, most, {}
 

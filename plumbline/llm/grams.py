@@ -7,7 +7,7 @@ import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_MOST = 500_000
+_MOST = 150_000
 _known: dict[bytes, int] = {}
 
 

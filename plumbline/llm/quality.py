@@ -30,7 +30,7 @@ class Grams:
     """The n-gram indicators of texts: words (1 and 2), word shapes (1 to 3), and whether a word repeats one of the two
     before it (runs of 1 to 3 such marks)."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.known: dict[str, tuple[int, int]] = {}
         self.most = most
 
