@@ -75,7 +75,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
         runs.add(keys.where(F.col("batch") == i).drop("batch"))
     repeated = keys.join(runs.table(), "key").where(F.col("first") < F.col("doc"))
     drops = repeated.groupBy("doc").agg(F.collect_list("key").alias("__drops"))
-    out = base.withColumn("__doc", doc).join(drops.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
+    out = base.withColumn("__doc", doc).join(drops.withColumnRenamed("doc", "__doc").hint("merge"), "__doc", "left").drop("__doc")
     parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     stays = lambda x: ~F.array_contains(F.col("__drops"), F.unhex(F.md5(line_key(x).cast("binary")))) | (F.length(line_key(x)) < min_chars)
     kept = F.when(F.col("__drops").isNull(), parts).otherwise(F.filter(parts, stays))
