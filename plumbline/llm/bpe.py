@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -61,18 +63,26 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return piece("<unk>", 0.0, 2) + b"".join(pieces) + trainer + normaliser
 
 
+def ascii_form(pattern: str) -> str | None:
+    """The pattern for ASCII texts in terms of the standard library's faster engine; None if it has other classes."""
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+    plain = plain.replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]")
+    return None if r"\p" in plain else plain
+
+
 class Cached:
     """Encodes texts pre-token by pre-token; each distinct pre-token once, as long as the cache holds it."""
 
     def __init__(self, pattern: str, encode_many: Callable[[list[str]], list[bytes]], most: int = 250_000):
         self.split = regex.compile(pattern).findall
+        self.split_ascii = re.compile(ascii_form(pattern)).findall if ascii_form(pattern) else self.split
         self.encode_many, self.most, self.known = encode_many, most, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes that encode_many gives."""
-        parts = [self.split(text) for text in texts]
-        if len(self.known) > self.most:
-            self.known = {}
+        parts = [self.split_ascii(text) if text.isascii() else self.split(text) for text in texts]
+        if len(self.known) > self.most:  # the oldest half holds the common words
+            self.known = dict(itertools.islice(self.known.items(), self.most // 2))
         new = list(set().union(*parts).difference(self.known))
         known = self.known
         known.update(zip(new, self.encode_many(new)))
@@ -117,7 +127,19 @@ def library_coder(path: str, pattern: str) -> Cached:
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
     kind = id_type(model.get_vocab_size())
-    return Cached(pattern, lambda words: [np.array(x.ids, kind).tobytes() for x in model.encode_batch_fast(words, add_special_tokens=False)])
+
+    def encode_many(words: list[str]) -> list[bytes]:
+        """Words go as pre-tokens of one input, in parts."""
+        out: list[bytes] = []
+        size = int(kind[2])
+        inputs = [words[a : a + 2000] for a in range(0, len(words), 2000)]
+        for own, x in zip(inputs, model.encode_batch(inputs, is_pretokenized=True, add_special_tokens=False)):
+            raw = np.array(x.ids, kind).tobytes()
+            cuts = (np.searchsorted(np.array(x.word_ids, np.int64), np.arange(len(own) + 1)) * size).tolist()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    return Cached(pattern, encode_many, 500_000)
 
 
 def id_type(vocabulary: int) -> str:

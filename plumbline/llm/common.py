@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: White space that parts words and is stripped from lines.
 SPACE = r"[\x20\x09-\x0D]"
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go when it ends, not at the driver's next GC, and batches of rows on
+#: their way to Python are small, as texts are long.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,16 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir")
 
 
-def save(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
+def save(df: DataFrame, tag: str, *partition_by: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage, and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")  # the shuffle files of the write go when it ends, not at the driver's next GC
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
-        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+        writer = df.write.options(**options)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

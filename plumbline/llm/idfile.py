@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe
 from plumbline.llm.common import save, slices
 
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 _NULL = -(1 << 63)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -157,7 +157,7 @@ def write(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, shard
 
     encoded = rows.mapInArrow(encode, "shard int, doc_id long, raw binary")
     ordered = encoded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "raw")
-    return save(ordered.mapInArrow(parts, "shard int, part int, docs long, ids long, payload binary, header binary"), "idfile")
+    return save(ordered.mapInArrow(parts, "shard int, part int, docs long, ids long, payload binary, header binary"), "idfile", **{"parquet.block.size": str(8 * PART_BYTES)})
 
 
 def read(parts: DataFrame) -> DataFrame:
