@@ -139,7 +139,7 @@ def library_coder(path: str, pattern: str) -> Cached:
             out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    return Cached(pattern, encode_many, 500_000)
+    return Cached(pattern, encode_many, 800_000)
 
 
 def id_type(vocabulary: int) -> str:

@@ -28,6 +28,8 @@ from plumbline.llm.common import save, slices
 
 PART_BYTES = 1 << 20
 _NULL = -(1 << 63)
+#: A row is a megabyte: the writer looks at its size after each, and a reader's task gets a few.
+_SMALL_GROUPS = {"parquet.block.size": str(8 * PART_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "2"}
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -49,12 +51,12 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     moved, taken = np.zeros(buckets, np.uint16), np.zeros(n, bool)
-    trial = np.arange(1, 65)
+    trial = np.arange(1, 17)
     for b in np.argsort(-np.diff(cuts), kind="stable"):
         own = keys[order[cuts[b] : cuts[b + 1]]]
         if not len(own):
             break
-        for base in range(0, 1 << 16, 64):
+        for base in range(0, 1 << 16, 16):
             slots = (mix(own[None, :], trial[:, None] + base) % np.uint64(n)).astype(np.int64)
             free = ~taken[slots].any(1)
             if len(own) > 1:
@@ -112,15 +114,14 @@ class Part:
         return None if i < 0 else self.ids[self.starts[i] : self.starts[i + 1]]
 
 
-def write(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, shard_bytes: int = 32 << 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, shard_rows: int = 10_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The written shards (shard, part, docs, ids, payload, header) of all documents in ascending key order.
 
     A null text has the end id alone; a null key comes first; rows of one key stay together, by text. Other columns are
-    not read. Shards are ranges of keys with about shard_bytes of text each; the bounds, one number for each
-    shard_bytes, pass through the driver. Ids never do."""
+    not read. Shards are ranges of keys with about shard_rows documents each; the bounds, one number for each shard_rows, pass
+    through the driver. Ids never do. Parts, not shards, bound what is in memory at once."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, -(-size // shard_bytes))
+    shards = max(8, -(-rows.count() // shard_rows))
     # bounds from ids alone, as sampling the encoded rows would encode them twice
     bounds = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], max(10_000, 20 * shards))).first()[0] or []
     kind = np.dtype(bpe.library_type(vocabulary))
@@ -157,7 +158,7 @@ def write(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, shard
 
     encoded = rows.mapInArrow(encode, "shard int, doc_id long, raw binary")
     ordered = encoded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "raw")
-    return save(ordered.mapInArrow(parts, "shard int, part int, docs long, ids long, payload binary, header binary"), "idfile", **{"parquet.block.size": str(8 * PART_BYTES)})
+    return save(ordered.mapInArrow(parts, "shard int, part int, docs long, ids long, payload binary, header binary"), "idfile", **_SMALL_GROUPS)
 
 
 def read(parts: DataFrame) -> DataFrame:
@@ -169,6 +170,7 @@ def read(parts: DataFrame) -> DataFrame:
     starts = parts.select("shard", "part", "ids").withColumn("inner", inner).join(before, "shard").select("shard", "part", (F.col("before") + F.col("inner")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.library_coder.cache_clear()  # a worker that has encoded needs its words no more
         for batch in batches:
             for shard, no, payload, header in zip(*(batch.column(x) for x in ("shard", "part", "payload", "header"))):
                 part = Part(payload.as_py(), header.as_py())
