@@ -1,4 +1,9 @@
-"""All queries of the library outside llm."""
+"""All queries of the library outside llm, from the modules of this folder."""
+
+from plumbline.plans import lensing, tables, time_series
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (time_series, tables, lensing):
+    QUERIES.update({f.__name__: f for f in _module.PLANS})
+    ORACLES.update(_module.SQL)
