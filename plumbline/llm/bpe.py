@@ -63,24 +63,32 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return piece("<unk>", 0.0, 2) + b"".join(pieces) + trainer + normaliser
 
 
-def ascii_form(pattern: str) -> str | None:
-    """The pattern for ASCII texts in terms of the standard library's faster engine; None if it has other classes."""
-    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
-    plain = plain.replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]")
-    return None if r"\p" in plain else plain
+def latin_form(pattern: str) -> str | None:
+    """The pattern for texts of U+0000 to U+00FF in terms of the standard library's engine, which is quicker on small
+    classes: letters, numbers and white space of the regex engine spelt out. None if it has other classes."""
+    every = list(map(chr, range(256)))
+    members = {name: "".join(f"\\x{ord(c):02x}" for c in every if regex.fullmatch(name, c)) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    for name, chars in members.items():
+        pattern = regex.sub(r"(\[\^?[^\]]*?)" + regex.escape(name), lambda m: m[1] + chars, pattern).replace(name, f"[{chars}]")
+    pattern = pattern.replace(r"\S", f"[^{members[r'\s']}]")
+    return None if r"\p" in pattern else pattern
 
 
 class Cached:
     """Encodes texts pre-token by pre-token; each distinct pre-token once, as long as the cache holds it."""
 
     def __init__(self, pattern: str, encode_many: Callable[[list[str]], list[bytes]], most: int = 250_000):
-        self.split = regex.compile(pattern).findall
-        self.split_ascii = re.compile(ascii_form(pattern)).findall if ascii_form(pattern) else self.split
+        self.split_any = regex.compile(pattern).findall
+        self.split_latin = re.compile(latin_form(pattern)).findall if latin_form(pattern) else self.split_any
         self.encode_many, self.most, self.known = encode_many, most, {}
 
+    def split(self, text: str) -> list[str]:
+        latin = text.isascii() or len(text.encode("latin-1", "ignore")) == len(text)
+        return self.split_latin(text) if latin else self.split_any(text)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes that encode_many gives."""
-        parts = [self.split_ascii(text) if text.isascii() else self.split(text) for text in texts]
+        parts = list(map(self.split, texts))
         if len(self.known) > self.most:  # the oldest half holds the common words
             self.known = dict(itertools.islice(self.known.items(), self.most // 2))
         new = list(set().union(*parts).difference(self.known))

@@ -177,7 +177,8 @@ def read(parts: DataFrame) -> DataFrame:
                 found = part.find(part.keys)
                 found += np.arange(len(found)) - np.searchsorted(part.keys, part.keys)  # later rows of one key follow the first
                 a, b = part.starts[found], part.starts[found + 1]
-                crcs = [zlib.crc32(part.ids[i:j].astype("<u4").tobytes()) for i, j in zip(a, b)]
+                wide = memoryview(part.ids.astype("<u4")).cast("B")
+                crcs = [zlib.crc32(wide[i:j]) for i, j in zip((4 * a).tolist(), (4 * b).tolist())]
                 keys = pa.array(part.keys, pa.int64(), mask=part.keys == _NULL)
                 yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * len(a), pa.int32()), pa.array([no.as_py()] * len(a), pa.int32()), keys, pa.array(a), pa.array(b - a), pa.array(crcs, pa.int64())], names=["shard", "part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
