@@ -83,6 +83,8 @@ def communication_matrix(counts: DataFrame, levels: int, sizes: list[int], seed:
     for level in range(levels):
         first = counts.select((F.shiftright("block", levels - level) + (1 << level)).alias("node"), F.shiftright("block", levels - level - 1).alias("half"), "n").groupBy("node").agg(in_first)
         nodes = nodes.join(first, "node").select("node", "to_shard", drawn.alias("x")).select(halves)
+        if level % 2 and level + 1 < levels:
+            nodes = save(nodes, "nodes")  # keeps plans short
     return nodes.select((F.col("node") - (1 << levels)).alias("block"), "to_shard")
 
 
