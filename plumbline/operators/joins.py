@@ -41,12 +41,15 @@ def many_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def interpolate(marks: DataFrame, series: DataFrame, t: str, v: str, by: str) -> DataFrame:
-    """Linear value of each by-series at marks (by, t): null outside its coverage. One ordered pass for each key."""
+    """Linear value of each by-series at marks (by, t): null outside its coverage. Two ordered
+    passes over each key's rows."""
     both = marks.select(by, t, F.lit(None).cast("double").alias(v), F.lit(1).alias("__m")).unionByName(series.select(by, t, v, F.lit(0).alias("__m")))
     w = Window.partitionBy(by).orderBy(t, "__m")
     point = F.when(F.col("__m") == 0, F.struct(F.col(t).alias("t"), F.col(v).alias("v")))
+    back = Window.partitionBy(by).orderBy(F.desc(t), "__m")
+    # running last values both ways: a frame that only grows costs a step a row
     lo = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    hi = F.last(point, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("lo", lo).withColumn("hi", hi).where("__m = 1")
     line = F.when(F.col("lo.t") == F.col(t), F.col("lo.v")).when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * (F.col(t) - F.col("lo.t")) / (F.col("hi.t") - F.col("lo.t")))
     return out.select(by, t, line.alias("value"))
