@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def residual_summary(df: DataFrame, by: str, v: str) -> DataFrame:
-    """n, mean, sd, median, mad, corrected skew and excess kurtosis, D'Agostino's K2 needs none of them here; and the
-    share beyond 3 * 1.4826 * mad (0 when mad is 0). Two aggregations; the medians come back by a join on the group."""
+    """n, mean, sd, median, mad, bias-corrected skew and excess kurtosis, and the share beyond 3 * 1.4826 * mad (0 when mad
+    is 0). The medians come back by a join on the group."""
     fine = df.where(F.col(v).isNotNull() & ~F.isnan(v))
     centre = fine.groupBy(by).agg(F.median(v).alias("median"))
     off = F.abs(F.col(v) - F.col("median"))

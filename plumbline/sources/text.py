@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The name of a clock product, and the widths of the token tables.
+CLOCK_NAME = r"^\.Satellite\.(GPS\d+)\.Clk\.Bias$"
+SAMPLE_TOKENS, MODEL_TOKENS, CLOCK_TOKENS = 19, 10, 5
+
+
 def number(c: Column) -> Column:
     """A double, or null where it does not parse or is not finite."""
     x = c.try_cast("double")
@@ -20,7 +25,7 @@ def tokens(lines: DataFrame, count: int) -> DataFrame:
 
 def rotation_sample(lines: DataFrame) -> DataFrame:
     """Galaxies of a 19-token table: name, distance and inclination with errors, quality; rows that parse whole."""
-    t = tokens(lines, 19)
+    t = tokens(lines, SAMPLE_TOKENS)
     pick = {"distance": 2, "distance_error": 3, "inclination": 5, "inclination_error": 6, "quality": 17}
     return t.select(F.col("t")[0].alias("galaxy"), *[number(F.col("t")[i]).alias(n) for n, i in pick.items()]).na.drop()
 
@@ -28,13 +33,13 @@ def rotation_sample(lines: DataFrame) -> DataFrame:
 def mass_models(lines: DataFrame) -> DataFrame:
     """Radii of a 10-token table: galaxy, then nine numbers."""
     names = ["distance", "radius", "v_obs", "v_err", "v_gas", "v_disk", "v_bulge", "sb_disk", "sb_bulge"]
-    return tokens(lines, 10).select(F.col("t")[0].alias("galaxy"), *[number(F.col("t")[i + 1]).alias(n) for i, n in enumerate(names)]).na.drop()
+    return tokens(lines, MODEL_TOKENS).select(F.col("t")[0].alias("galaxy"), *[number(F.col("t")[i + 1]).alias(n) for i, n in enumerate(names)]).na.drop()
 
 
 def clock_lines(lines: DataFrame) -> DataFrame:
     """Satellite clock biases: jpl_second, node, bias_m, sigma_m; other satellites, negative sigmas and bad numbers go."""
-    t = tokens(lines, 5)
-    node = F.regexp_extract(F.col("t")[4], r"^\.Satellite\.(GPS\d+)\.Clk\.Bias$", 1)
+    t = tokens(lines, CLOCK_TOKENS)
+    node = F.regexp_extract(F.col("t")[4], CLOCK_NAME, 1)
     out = t.select(number(F.col("t")[0]).alias("jpl_second"), node.alias("node"), number(F.col("t")[2]).alias("bias_m"), number(F.col("t")[3]).alias("sigma_m"))
     return out.where("node <> '' AND sigma_m >= 0").na.drop()
 
