@@ -131,14 +131,14 @@ def _cut(window: int, joined: bool):
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left))
             final = pa.array([x.decode() for x in kept]) if joined else pa.array([hashlib.sha256(x).hexdigest() for x in kept])
-            names = [x for x in batch.schema.names if x != "spans"]
+            names = [x for x in batch.schema.names if x != "spans" and (joined or x != "text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), final], names=[*names, "n_words", "n_removed", "kept_text" if joined else "kept_sha256"])
 
     return run
 
 
 def remove_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
-    """docs with n_words, n_removed and kept_text (with digest: kept_sha256 in its place): each word covered by a
+    """docs with n_words, n_removed and kept_text (with digest: kept_sha256 in its place, and no text): each word covered by a
     window of 13 words that also starts in a document of a smaller id is gone; kept words are joined by one space.
 
     Words are runs of anything but space and tab to carriage return, unchanged. Windows are judged on the input.
@@ -149,13 +149,14 @@ def remove_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, di
     spans = duplicate_spans(base.select("doc_id", "text"), window, anchor)
     keyed = base.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))).withColumn("__h", F.xxhash64("text"))
     joined = keyed.join(spans.withColumnsRenamed({"doc": "__doc", "h": "__h"}), ["__doc", "__h"], "left").drop("__doc", "__h")
-    schema = base.withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).withColumn("kept_sha256" if digest else "kept_text", F.lit("")).schema
+    schema = (base.drop("text") if digest else base).withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).withColumn("kept_sha256" if digest else "kept_text", F.lit("")).schema
     return joined.mapInArrow(_cut(window, not digest), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    return remove_spans(docs.select("doc_id", "text"), digest=True).drop("text")
+    """doc_id, n_words, n_removed, kept_sha256 of every document. Texts end in the workers: the table is small, and it is
+    written here, with save()'s small batches, not with the caller's."""
+    return save(remove_spans(docs.select("doc_id", "text"), digest=True), "substring-digests")
 
 
 DIGEST_SQL = r"""
