@@ -1,7 +1,10 @@
-"""Column expressions: status rules, intervals, angles, seeds."""
+"""Column expressions: status rules, intervals, angles, seeds, time scales."""
 
 from __future__ import annotations
 
+import math
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ def seconds(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp")) / 1e6
 
 
-def wilson_lower(successes: Column, trials: Column, z: float = 1.96) -> Column:
+def wilson_lower(successes: Column, trials: Column, z: float = 1.959963984540054) -> Column:
     """The lower end of Wilson's interval; null without trials."""
     p = successes / trials
     centre = p + z * z / (2 * trials)
@@ -42,6 +45,79 @@ def log10_excess_status(value: Column, sigma: Column, cut: float = 2.0) -> Colum
 
 
 def seed_phase(seed: str, domain: Column) -> Column:
-    """A phase in [0, 1) from sha256(seed, NUL, domain): its first four bytes over 2^32."""
+    """A phase in [0, 1) from sha256(seed, NUL, domain): its first eight bytes, the greatest first, over 2^64."""
     digest = F.sha2(F.concat(F.lit(seed), F.lit("\x00"), domain).cast("binary"), 256)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.conv(F.substring(digest, 1, 16), 16, 10).cast("double") / float(1 << 64)
+
+
+def seed_commitment(seed: Column) -> Column:
+    """sha256 of a seed given as 64 hex digits; null for any other text."""
+    return F.when(seed.rlike("^[0-9a-fA-F]{64}$"), F.sha2(F.unhex(seed), 256))
+
+
+#: The origin of GPS seconds past J2000 in UTC, and the UTC instants from which one more leap second counts.
+GPS_ORIGIN = datetime(2000, 1, 1, 11, 59, 47, tzinfo=timezone.utc)
+LEAPS = [datetime(y, m, 1, tzinfo=timezone.utc) for y, m in ((2006, 1), (2009, 1), (2012, 7), (2015, 7), (2017, 1))]
+
+
+def _leaps(unix: Column) -> Column:
+    return sum((F.when(unix >= at.timestamp(), 1).otherwise(0) for at in LEAPS), F.lit(0))
+
+
+def gps_second(unix: Column) -> Column:
+    """Continuous GPS seconds past J2000 of Unix seconds (UTC)."""
+    return unix - GPS_ORIGIN.timestamp() + _leaps(unix)
+
+
+def unix_second(gps: Column) -> Column:
+    """Unix seconds of continuous GPS seconds, away from leap instants: leaps are counted at the last guess, three times."""
+    base = gps + GPS_ORIGIN.timestamp()
+    guess = base
+    for _ in range(3):
+        guess = base - _leaps(guess)
+    return guess
+
+
+def unit_interval(t: Column, low: Column, high: Column) -> Column:
+    """t from -1 at low to 1 at high."""
+    return 2 * (t - low) / (high - low) - 1
+
+
+def turns_to_radians(turns: Column) -> Column:
+    return 2 * math.pi * turns
+
+
+def safe_divide(a: Column, b: Column) -> Column:
+    """a / b; null where b is not above 0."""
+    return F.when(b > 0, a / b)
+
+
+def fixed_acceleration_radius(mass: Column, acceleration: Column) -> Column:
+    """kpc at which a mass in solar masses makes an acceleration in m/s^2; null unless both are positive. SI gravity,
+    a solar mass in kg, a kpc in m."""
+    return F.when((mass > 0) & (acceleration > 0), F.sqrt(6.67430e-11 * 1.98847e30 * mass / acceleration) / 3.085677581491367e19)
+
+
+def sign_evidence_bits(p: Column, n: Column) -> Column:
+    """Bits against a sign by chance from the share p of n draws: two-sided, no less likely than 1 / (n + 1)."""
+    return -F.log2(F.greatest(2 * F.least(p, 1 - p), 1 / (n + 1)))
+
+
+def bias_corrected(value: Column, k: Column) -> Column:
+    return value / (1 + k)
+
+
+def snap(x: Column, grid: list[float], tolerance: float) -> Column:
+    """The value of a grid (a parameter) nearest to x, the smaller on a tie; null beyond the tolerance."""
+    best = F.array_min(F.transform(F.array(*map(F.lit, sorted(grid))), lambda g: F.struct(F.abs(x - g).alias("d"), g.alias("g"))))
+    return F.when(best["d"] <= tolerance, best["g"])
+
+
+def scaled_noise(value: Column, shots: Column, base: float = 141.0) -> Column:
+    """Noise of `base` shots carried to another number of shots."""
+    return value / F.sqrt(shots / base)
+
+
+def resolution_error(found: Column, true: Column, span: Column) -> Column:
+    """A frequency's error in units of its resolution, 1 / span."""
+    return F.abs(found - true) * span

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,18 +64,35 @@ def _hann(size: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
 
 
+def _detrend(x: np.ndarray) -> np.ndarray:
+    i = np.arange(len(x))
+    return x - np.polyval(np.polyfit(i, x, 1), i)
+
+
+def _welch(x: np.ndarray, most: int) -> np.ndarray:
+    size = 1 << int(math.log2(min(most, len(x))))
+    w = _hann(size)
+    p = (np.abs(np.fft.rfft(_segments(x, size) * w)) ** 2).mean(0) / (w @ w)
+    p[1:-1] *= 2
+    return p
+
+
+def _periodogram(x: np.ndarray) -> np.ndarray:
+    p = np.abs(np.fft.rfft(x)) ** 2 / len(x)
+    p[1 : None if len(x) % 2 else -1] *= 2
+    return p
+
+
 def welch(df: DataFrame, by: str, order: str, v: str, most: int = 256) -> DataFrame:
-    """by, k, density: Welch's one-sided power density at frequency k / size: periodic Hann windows of the greatest power
-    of two up to min(most, n), half overlapping, not detrended. One series a task; series under 16 values give no rows."""
+    """by, k, density: Welch's one-sided power density at frequency k / size: the series less its line, periodic Hann windows of
+    the greatest power of two up to min(most, n), half overlapping, not detrended again. One series a task; series under 16
+    values give no rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order)[v].dropna().to_numpy(float)
         if len(x) < 16:
-            return pd.DataFrame({by: [], "k": [], "density": []})
-        size = 1 << int(math.log2(min(most, len(x))))
-        w = _hann(size)
-        p = (np.abs(np.fft.rfft(_segments(x, size) * w)) ** 2).mean(0) / (w @ w)
-        p[1:-1] *= 2
+            return pd.DataFrame()
+        p = _welch(_detrend(x), most)
         return pd.DataFrame({by: pdf[by].iloc[0], "k": np.arange(len(p)), "density": p})
 
     kind = df.schema[by].dataType.simpleString()
@@ -88,9 +105,8 @@ def coherence(df: DataFrame, by: str, order: str, x: str, y: str, most: int = 12
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = pdf.sort_values(order)[[x, y]].dropna().to_numpy(float)
         if len(part) < 16:
-            return pd.DataFrame({by: [], "k": [], "coherence": []})
-        i = np.arange(len(part))
-        part = part - np.stack([np.polyval(np.polyfit(i, c, 1), i) for c in part.T], 1)
+            return pd.DataFrame()
+        part = np.stack([_detrend(c) for c in part.T], 1)
         size = 1 << int(math.log2(min(most, len(part))))
         f = [np.fft.rfft((s - s.mean(1, keepdims=True)) * _hann(size)) for s in (_segments(part[:, 0], size), _segments(part[:, 1], size))]
         cross = (np.conj(f[0]) * f[1]).mean(0)
@@ -100,3 +116,77 @@ def coherence(df: DataFrame, by: str, order: str, x: str, y: str, most: int = 12
 
     kind = df.schema[by].dataType.simpleString()
     return df.groupBy(by).applyInPandas(run, f"`{by}` {kind}, k int, coherence double")
+
+
+def periodogram(df: DataFrame, by: str, order: str, v: str, dt: float = 1.0) -> DataFrame:
+    """by, frequency, density: the one-sided periodogram of each series less its line. One series a task; series under 16 values
+    give no rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[v].dropna().to_numpy(float)
+        if len(x) < 16:
+            return pd.DataFrame()
+        return pd.DataFrame({by: pdf[by].iloc[0], "frequency": np.fft.rfftfreq(len(x), dt), "density": _periodogram(_detrend(x)) * dt})
+
+    return df.groupBy(by).applyInPandas(run, f"`{by}` {df.schema[by].dataType.simpleString()}, frequency double, density double")
+
+
+def whittle(df: DataFrame, by: str, observed: str = "observed", model: str = "model") -> DataFrame:
+    """by, loglik, bins: - sum(log S + I / S) over bins with a positive model; groups without any give no row."""
+    ok = df.where((F.col(model) > 0) & F.col(observed).isNotNull() & ~F.isnan(observed) & (F.col(model) < float("inf")) & (F.col(observed) < float("inf")))
+    return ok.groupBy(by).agg((-F.sum(F.log(model) + F.col(observed) / F.col(model))).alias("loglik"), F.count("*").alias("bins"))
+
+
+def whittle_baseline(df: DataFrame, by: str, order: str, v: str, dt: float = 1.0, most: int = 256) -> DataFrame:
+    """by, loglik, bins of each series' periodogram under its own Welch density, drawn out to the periodogram's positive
+    frequencies and kept above 1e-12 of its median. The likelihood is whittle()'s."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(order)[v].dropna().to_numpy(float)
+        if len(x) < 16:
+            return pd.DataFrame()
+        x = _detrend(x)
+        f, s = np.fft.rfftfreq(len(x), dt), _welch(x, most) * dt
+        model = np.interp(f, np.linspace(0, 0.5 / dt, len(s)), s)[1:]
+        low = np.median(model) * 1e-12
+        return pd.DataFrame({by: pdf[by].iloc[0], "observed": _periodogram(x)[1:] * dt, "model": np.maximum(model, low if low > 0 else np.finfo(float).tiny)})
+
+    bins = df.groupBy(by).applyInPandas(run, f"`{by}` {df.schema[by].dataType.simpleString()}, observed double, model double")
+    return whittle(bins, by)
+
+
+def equal_blocks(df: DataFrame, t: str, blocks: int) -> DataFrame:
+    """df with block (0 to blocks - 1): equal lengths of time from the first to just after the last row, each without its end."""
+    ends = df.agg(F.min(t).alias("__lo"), (F.max(t) + 1e-6).alias("__hi"))
+    place = F.least(F.floor((F.col(t) - F.col("__lo")) * blocks / (F.col("__hi") - F.col("__lo"))), F.lit(blocks - 1).cast("long")).cast("int")
+    return df.crossJoin(F.broadcast(ends)).withColumn("block", place).drop("__lo", "__hi")  # one row
+
+
+def block_coefficients(df: DataFrame, by: list[str], t: str, v: str, frequency: float, origin: float = 0.0, weight: str | None = None, least: int = 8) -> DataFrame:
+    """by, n, re, im: sum(w * residual * exp(-2 pi i f (t - origin))) / sqrt(sum w) for each block, the residual being v less its
+    weighted line in t; null under `least` rows. Two sums: the line, then the wave."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    rows = df.select(*by, F.col(t).cast("double").alias("t"), F.col(v).cast("double").alias("v"), w.cast("double").alias("w")).where("w > 0 AND NOT isnan(v)").na.drop(subset=["t", "v", "w"])
+    middle = rows.groupBy(*by).agg((F.sum(F.col("w") * F.col("t")) / F.sum("w")).alias("mt"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mv"))
+    near = rows.join(middle, by).withColumn("x", F.col("t") - F.col("mt")).withColumn("y", F.col("v") - F.col("mv"))
+    angle = 2 * math.pi * frequency * (F.col("t") - origin)
+    # the residual is linear in the slope: the sums that it needs come in the same pass
+    terms = {"sxx": F.col("x") * F.col("x"), "sxy": F.col("x") * F.col("y"), "yc": F.col("y") * F.cos(angle), "ys": F.col("y") * F.sin(angle), "xc": F.col("x") * F.cos(angle), "xs": F.col("x") * F.sin(angle)}
+    sums = near.groupBy(*by).agg(F.count("*").alias("n"), F.sum("w").alias("sw"), *[F.sum(F.col("w") * c).alias(k) for k, c in terms.items()])
+    slope = F.coalesce(F.try_divide("sxy", "sxx"), F.lit(0.0))
+    value = lambda y, x: F.when(F.col("n") >= least, (F.col(y) - slope * F.col(x)) / F.sqrt("sw"))
+    return sums.select(*by, "n", value("yc", "xc").alias("re"), (-value("ys", "xs")).alias("im"))
+
+
+def allan_deviation(df: DataFrame, by: str, i: str, v: str, factors: list[int]) -> DataFrame:
+    """by, m, n, deviation: the overlapping Allan deviation of readings on a gapless grid i (unit spacing) at averages of m
+    readings. Running sums once, then two lags for each m."""
+    w = Window.partitionBy(by).orderBy(i)
+    total = df.select(by, i, F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.col(v).alias("__v")).withColumn("p", F.col("s") - F.col("__v"))
+    # p: the sum of all readings before i; a window of m readings from i is p[i + m] - p[i]
+    ends = total.groupBy(by).agg(F.max(F.struct(i, "s")).alias("e")).select(by, (F.col(f"e.{i}") + 1).alias(i), F.col("e.s").alias("p"))
+    phase = total.select(by, i, "p").unionByName(ends)
+    step = lambda m: F.lead("p", 2 * m).over(w) - 2 * F.lead("p", m).over(w) + F.col("p")
+    moved = phase.select(by, *[step(m).alias(f"d{m}") for m in factors])
+    each = moved.select(by, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"d{m}").alias("d")) for m in factors])).alias("r")).select(by, "r.*").where("d IS NOT NULL")
+    return each.groupBy(by, "m").agg(F.count("*").alias("n"), F.sqrt(F.sum(F.col("d") * F.col("d")) / (2 * F.col("m") * F.col("m") * F.count("*"))).alias("deviation"))

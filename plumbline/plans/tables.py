@@ -42,7 +42,7 @@ def dedupe_first_last(spark, sf_dir):
 def wilson_lower(spark, sf_dir):
     """The lower bound of the share of finished orders by priority."""
     out = _t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n"))
-    return out.select("o_orderpriority", "n", F.round(scalars.wilson_lower(F.col("k"), F.col("n")), 9).alias("lower"))
+    return out.select("o_orderpriority", "n", F.round(scalars.wilson_lower(F.col("k"), F.col("n"), 1.96), 9).alias("lower"))
 
 
 def band_join_two_level_median(spark, sf_dir):
@@ -151,7 +151,7 @@ SQL = {
     "manifest_digest": "SELECT doc_id::VARCHAR AS path, strlen(coalesce(text, ''))::BIGINT AS byte_count, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "manifest_verify": """WITH a AS (SELECT DISTINCT d.doc_id, CASE WHEN d.doc_id % 7 = 0 THEN 'x' || substring(text, 2) ELSE text END AS t FROM documents d JOIN labels USING (doc_id))
  SELECT d.doc_id::VARCHAR AS path, CASE WHEN a.doc_id IS NULL OR a.t IS NULL THEN 'MISSING' WHEN strlen(a.t) <> strlen(d.text) THEN 'BYTE_COUNT_MISMATCH' WHEN sha256(a.t) <> sha256(d.text) THEN 'SHA256_MISMATCH' ELSE 'OK' END AS status FROM documents d LEFT JOIN a USING (doc_id)""",
-    "seed_plan_order": "SELECT n_name, sha256('plan-7' || chr(0) || n_name) AS digest, round(('0x' || sha256('plan-7' || chr(0) || n_name)[1:8])::BIGINT / 4294967296, 9) AS phase FROM nation",
+    "seed_plan_order": "SELECT n_name, sha256('plan-7' || chr(0) || n_name) AS digest, round(('0x' || sha256('plan-7' || chr(0) || n_name)[1:16])::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE, 9) AS phase FROM nation",
     "claim_promotion_rules": """WITH c AS (SELECT coalesce(text, '') AS s, CASE role WHEN 'user' THEN 'OBSERVATION' WHEN 'assistant' THEN 'ASSOCIATION' ELSE 'INTERPRETATION' END AS kind,
  CASE turn % 4 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'OBSERVED' WHEN 2 THEN 'NOT_ESTIMABLE' ELSE 'PROPOSED' END AS status, conv_id % 3 AS ne, turn % 3 AS nb FROM conversations)
  SELECT kind, status, CASE WHEN length(trim(s)) = 0 THEN 'REFUSED_EMPTY_FIELD' WHEN status IN ('OBSERVED', 'SUPPORTED', 'CONTRADICTED') AND ne = 0 THEN 'REFUSED_NO_EVIDENCE'

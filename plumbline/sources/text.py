@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import joins
 
 #: The name of a clock product, and the widths of the token tables.
 CLOCK_NAME = r"^\.Satellite\.(GPS\d+)\.Clk\.Bias$"
@@ -90,3 +91,48 @@ def fill_to_null(df: DataFrame, fills: dict[str, float], huge: float | None = No
         bad = F.abs(F.col(c) - fill) <= 1e-12
         df = df.withColumn(c, F.when(~(bad | (F.abs(F.col(c)) >= huge) if huge else bad), F.col(c)))
     return df
+
+
+def hapi_rows(documents: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of JSON feeds {"parameters": [{"name": ...}], "data": [[...]]} (rows: json): time from the first parameter, then
+    `names` as numbers, a part of a vector parameter being name_0, name_1, ...; rows of another width than the parameters
+    and bad times go."""
+    doc = documents.select(F.from_json("json", "parameters array<struct<name string>>, data array<array<string>>").alias("d"))
+    rows = doc.select(F.transform("d.parameters", lambda p: p["name"]).alias("h"), F.explode("d.data").alias("r")).where(F.size("h") == F.size("r"))
+
+    def cell(name: str):
+        at = lambda n: F.try_element_at("r", F.nullif(F.array_position("h", n), F.lit(0).cast("long")).cast("int"))
+        head, _, place = name.rpartition("_")
+        whole = number(at(name))
+        if not (head and place.isdigit()):
+            return whole
+        part = F.get(F.from_json(at(head), "array<string>"), F.lit(int(place)))
+        return F.coalesce(whole, number(part))
+
+    return rows.select(F.try_to_timestamp(F.col("r")[0]).alias("time"), *[cell(n).alias(n) for n in names]).where("time IS NOT NULL")
+
+
+def merge_nearest(left: DataFrame, right: DataFrame, values: list[str], tolerance: float = 45.0, least: int = 60) -> DataFrame:
+    """time (seconds) and values of two feeds: each left row with the right row nearest in time, complete rows only, the first of
+    equal times (in order of their values), and enough: whether at least `least` rows are left, on each row."""
+    both = joins.asof_nearest(left, right, tolerance, "time", "time")
+    there = set(left.columns)
+    rows = both.select("time", *[F.col(c if c in there else f"r_{c}").alias(c) for c in values]).na.drop()
+    one = rows.groupBy("time").agg(F.min(F.struct(*values)).alias("v")).select("time", "v.*")
+    return one.crossJoin(F.broadcast(one.agg((F.count("*") >= least).alias("enough"))))  # one row
+
+
+def named_table(lines: DataFrame, names: list[str]) -> DataFrame:
+    """Lines of as many white-space tokens as names, all numbers; lines of another width or with text go, comments (#) too."""
+    t = tokens(lines.where("NOT startswith(ltrim(value), '#')"), len(names))
+    return t.select(*[number(F.col("t")[i]).alias(n) for i, n in enumerate(names)]).na.drop()
+
+
+def strict_profile(df: DataFrame, x: str, sigma: str, rows: int) -> DataFrame:
+    """One row on a profile: n, bad (null, not finite, or a negative sigma), rises (places where x does not fall, in order of
+    row), and whether it passes: as many rows as told, none bad, none rising. Profiles have tens of rows by contract."""
+    w = Window.partitionBy(F.lit(1)).orderBy("row")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    each = df.select("row", x, sigma, (F.col(x) >= F.lag(x).over(w)).alias("__up"))
+    out = each.agg(F.count("*").alias("n"), F.count_if(~(finite(x) & finite(sigma) & F.coalesce(F.col(sigma) >= 0, F.lit(False)))).alias("bad"), F.count_if("__up").alias("rises"))
+    return out.withColumn("passes", (F.col("n") == rows) & (F.col("bad") == 0) & (F.col("rises") == 0))
