@@ -64,6 +64,27 @@ def inject(values: DataFrame, delay: DataFrame, template: int, centre: float, am
     return values.join(hits, ["node", "k"], "left").withColumn("z", F.col("z") + F.coalesce("__a", F.lit(0.0))).select(*values.columns)
 
 
+def injected_hits(values: DataFrame, delay: DataFrame, weights: DataFrame, trials: DataFrame, cadence: float = 1.0) -> DataFrame:
+    """trial, statistic, centre, template of the best hit when each trial's impulses are added to the values. trials: trial, node,
+    arrival (grid index), amplitude; see inject().
+
+    A score is linear in the values: the surface is made once, and a trial changes only the centres that its impulses count
+    for. What it leaves alone cannot win but by the greatest cells of the surface, as many as a trial can change
+    and one more; those are held against every trial."""
+    base = surface(values, delay, weights, cadence)
+    hits = trials.select("trial", "node", F.ceil(F.col("arrival") - 0.5).cast("long").alias("k"), F.col("amplitude").cast("double").alias("a"))
+    struck = values.select("node", "k").join(hits, ["node", "k"]).select("trial", "node", "k", "a")
+    at = F.col("delay") / cadence
+    low = F.floor(at).cast("long")
+    moves = delay.join(weights, "node").select("node", "template", F.explode(F.array(F.struct((-low).alias("s"), (F.col("w") * (1 - (at - low))).alias("c")), F.struct((-low - 1).alias("s"), (F.col("w") * (at - low)).alias("c")))).alias("m"))
+    added = struck.join(moves, "node").groupBy("trial", "template", (F.col("k") + F.col("m.s")).alias("centre")).agg(F.sum(F.col("a") * F.col("m.c")).alias("add"))
+    changed = base.join(added, ["template", "centre"]).select("trial", "template", "centre", (F.col("score") + F.col("add")).alias("score"))
+    most = 2 * moves.select("node", "template").distinct().count() + 1  # nodes by templates, parameters of the search
+    top = base.orderBy(F.desc(F.abs("score")), "centre", "template").limit(most)
+    left = top.crossJoin(trials.select("trial").distinct()).join(added.select("trial", "template", "centre"), ["trial", "template", "centre"], "left_anti")
+    return best_hit(changed.unionByName(left.select("trial", "template", "centre", "score")), ("trial",))
+
+
 def covariance_weights(covariance: np.ndarray) -> np.ndarray:
     """C^-1 1 / sqrt(1' C^-1 1), for the few nodes of a network (see ledoit_wolf)."""
     solved = np.linalg.solve(covariance, np.ones(len(covariance)))

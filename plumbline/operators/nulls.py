@@ -6,19 +6,21 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def rank_pvalue(targets: DataFrame, nulls: DataFrame, stat: str = "statistic", by: str = "family") -> DataFrame:
     """targets with p = (1 + how many nulls of the family reach the statistic) / (n + 1); null where a family has none. Nulls are
-    counted by value, then added up from the top; targets find their place by a join on the family."""
+    counted by value before the shuffle; one falling pass over a family's values adds them up, whatever the number of targets."""
     n = nulls.groupBy(by).agg(F.count("*").alias("__n"))
-    values = nulls.groupBy(by, F.col(stat).alias("__v")).agg(F.count("*").alias("__k"))
-    distinct = targets.select(by, stat).distinct()
-    reached = distinct.join(values, by).where(F.col("__v") >= F.col(stat)).groupBy(by, stat).agg(F.sum("__k").alias("__hit"))
+    counts = nulls.groupBy(by, stat).agg(F.count("*").alias("__k"), F.lit(False).alias("__t"))
+    places = targets.select(by, stat).distinct().select(by, stat, F.lit(0).cast("long").alias("__k"), F.lit(True).alias("__t"))
+    # nulls of the same value come first
+    falling = Window.partitionBy(by).orderBy(F.desc(stat), "__t").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.unionByName(places).withColumn("__hit", F.sum("__k").over(falling)).where("__t").select(by, stat, "__hit")
     out = targets.join(n, by, "left").join(reached, [by, stat], "left")
-    return out.withColumn("p", (1 + F.coalesce("__hit", F.lit(0))) / (F.col("__n") + 1)).drop("__n", "__hit")
+    return out.withColumn("p", (1 + F.col("__hit")) / (F.col("__n") + 1)).drop("__n", "__hit")
 
 
 def critical_value(nulls: DataFrame, alpha: float, stat: str = "statistic", by: str = "family") -> DataFrame:

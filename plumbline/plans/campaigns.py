@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
-from plumbline.operators import fringe, lens, network, nulls, series, verdicts
+from plumbline.operators import fringe, lens, network, nulls, sealed, series, verdicts
 from plumbline.plans.time_series import _E, _events
 
 VELOCITIES = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 2.0, 1.0), (0.5, 0.5, 0.0), (-1.0, 0.5, 0.0), (2.0, -1.0, 0.5), (-0.5, -0.5, 0.0), (3.0, 1.0, 0.0)]
@@ -211,13 +213,43 @@ def scalar_kernels(spark, sf_dir):
     )
 
 
-PLANS = [plane_wave_search, profiled_frequency_scan, nuisance_fit, daily_segments, gps_time_scale, rotation_family_null, family_rank_pvalues, weighted_block_coefficients, allan_deviation, whittle_baseline, periodogram, injection_power, deprojection_matrix, object_level_stack, operator_status, covariance_checks, input_recoverability, claim_ledger, vector_status, interval_verdicts, winner_tiebreak, scalar_kernels]
+SEED = "9f" * 32
+
+
+def sealed_plan(spark, sf_dir):
+    """Regions as the labels of a challenge, the first without a signal: ids, order and phases from a seed."""
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("label"), F.when(F.col("r_regionkey") > 0, F.col("r_regionkey") * 0.01 + 0.02).alias("frequency"))
+    return sealed.plan(r, SEED).select("case_id", "label", F.round("frequency", 6).alias("frequency"), F.round("phase", 9).alias("phase"))
+
+
+def sealed_challenge(spark, sf_dir):
+    """The challenge over hourly means: sealed, scanned without the plan, revealed."""
+    hourly = _hourly(spark, sf_dir).groupBy("k").agg(F.avg("v").alias("v")).select(F.col("k").cast("double").alias("t"), "v", F.lit(1.0).alias("one"))
+    bands = {f"band{i}": f for i, f in enumerate(BANDS[:4])}
+    labels = spark.range(5).select(F.when(F.col("id") == 4, "null").otherwise(F.concat(F.lit("band"), F.col("id"))).alias("label"), F.get(F.array(*map(F.lit, bands.values())), F.col("id").cast("int")).alias("frequency"))
+    hidden = sealed.plan(labels, SEED)
+    cases = sealed.seal(hourly, hidden, "t", "v", 60.0)
+    scans = None
+    for case in [r.case_id for r in hidden.select("case_id").orderBy("case_id").collect()]:  # five cases
+        one = fringe.profiled_scores(cases.where(F.col("case_id") == case), "case_id", "t", "v", ["one"], list(bands.values())).withColumn("case_id", F.lit(case))
+        scans = one if scans is None else scans.unionByName(one)
+    best = verdicts.winner(scans, "case_id", "statistic", "frequency")
+    names = F.element_at(F.create_map(*[F.lit(x) for f, n in ((f, n) for n, f in bands.items()) for x in (f, n)]), F.col("frequency"))
+    strong = hourly.agg((F.var_samp("v") * 20).alias("cut"))
+    said = best.crossJoin(F.broadcast(strong)).select("case_id", F.when(F.col("statistic") >= F.col("cut"), names).alias("predicted"))
+    return sealed.reveal(said, hidden, SEED, hashlib.sha256(bytes.fromhex(SEED)).hexdigest())
+
+
+PLANS = [sealed_plan, sealed_challenge, plane_wave_search, profiled_frequency_scan, nuisance_fit, daily_segments, gps_time_scale, rotation_family_null, family_rank_pvalues, weighted_block_coefficients, allan_deviation, whittle_baseline, periodogram, injection_power, deprojection_matrix, object_level_stack, operator_status, covariance_checks, input_recoverability, claim_ledger, vector_status, interval_verdicts, winner_tiebreak, scalar_kernels]
 
 _H = f"{_E}, h AS (SELECT event_type, hour - {H0} AS k, avg(value) AS v FROM e GROUP BY ALL)"
 _WAVES = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for i, (x, y, z) in enumerate(VELOCITIES))
 _LEAP_DATES = "[1136073600, 1230768000, 1341100800, 1435708800, 1483228800]"
 
 SQL = {
+    "sealed_plan": f"""WITH l AS (SELECT r_name AS label, CASE WHEN r_regionkey > 0 THEN r_regionkey * 0.01::DOUBLE + 0.02::DOUBLE END AS frequency FROM region), s AS (SELECT unhex('{SEED}') || unhex('00') AS s),
+ o AS (SELECT label, frequency, s, row_number() OVER (ORDER BY sha256(s || encode('order:' || label))) - 1 AS i FROM l, s)
+ SELECT sha256(s || encode('case:' || i))[1:16] AS case_id, label, round(frequency, 6) AS frequency, round(CASE WHEN frequency IS NOT NULL THEN 2 * pi() * (('0x' || sha256(s || encode('phase:' || label))[1:16])::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE) END, 9) AS phase FROM o""",
     "plane_wave_search": f"""WITH {_H}, n AS (SELECT event_type AS node, row_number() OVER (ORDER BY event_type)::DOUBLE AS i FROM (SELECT DISTINCT event_type FROM h)),
  p AS (SELECT node, 1 / (1 + i) AS w, 3 * i - avg(3 * i) OVER () AS x, i * i - avg(i * i) OVER () AS y FROM n), f(template, vx, vy, vz) AS (VALUES {_WAVES}),
  d AS (SELECT node, template, w, (x * vx + y * vy) / (vx * vx + vy * vy + vz * vz) AS d FROM p, f),

@@ -1,6 +1,7 @@
 """Network, profiled, null, lensing, spectral and verdict operators against closed forms and brute force."""
 
 import datetime
+import hashlib
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
-from plumbline.operators import fringe, lens, network, nulls, series, verdicts
+from plumbline.operators import fringe, lens, network, nulls, sealed, series, verdicts
 from plumbline.sources import text
 
 
@@ -288,3 +289,33 @@ def test_feeds(spark):
     bad = good.withColumn("x", F.when(F.col("row") == 2, 2.0).otherwise(F.col("x"))).withColumn("s", F.when(F.col("row") == 0, -1.0).otherwise(F.col("s")))
     r = text.strict_profile(bad, "x", "s", 3).first()
     assert (r.bad, r.rises, r.passes) == (1, 1, False)
+
+
+def test_injected_hits_equal_a_search_of_each_trial(spark):
+    _, _, values, delays, weights = _network(spark)
+    trials = [(t, f"n{i}", 20.0 + 7 * t + 1.3 * i * (-1) ** t, a) for t, a in enumerate((0.0, 0.4, 3.0, 50.0)) for i in range(4)]
+    found = {r.trial: (round(r.statistic, 9), r.centre, r.template) for r in network.injected_hits(values, delays, weights, frame(spark, trials, "trial int, node string, arrival double, amplitude double")).collect()}
+    for t in range(4):
+        hits = frame(spark, [(n, math.ceil(at - 0.5), a) for k, n, at, a in trials if k == t], "node string, k long, a double")
+        loud = values.join(hits, ["node", "k"], "left").select("node", "k", (F.col("z") + F.coalesce("a", F.lit(0.0))).alias("z"))
+        r = network.best_hit(network.surface(loud, delays, weights)).first()
+        assert found[t] == (round(r.statistic, 9), r.centre, r.template)
+
+
+def test_sealed_challenge_hides_and_reveals(spark):
+    seed = "0a" * 32
+    labels = frame(spark, [("x", 0.1), ("y", 0.2), ("null", None)], "label string, frequency double")
+    hidden = sealed.plan(labels, seed)
+    rows = frame(spark, [(float(t), 1.0) for t in range(20)], "t double, y double")
+    cases = sealed.seal(rows, hidden, "t", "y", 0.5)
+    assert cases.columns == ["case_id", "t", "y"] and cases.count() == 60
+    by = {r.label: r for r in hidden.collect()}
+    want = 1 + 0.5 * math.cos(2 * math.pi * 0.1 * 3 - by["x"].phase)
+    assert abs(cases.where((F.col("case_id") == by["x"].case_id) & (F.col("t") == 3)).first().y - want) < 1e-12
+    assert cases.where((F.col("case_id") == by["null"].case_id) & (F.col("y") != 1.0)).count() == 0
+    digests = sorted(map(tuple, sealed.seal_digest(cases, "t", "y").collect()))
+    assert digests == sorted(map(tuple, sealed.seal_digest(cases.repartition(5), "t", "y").collect())) and len({d[2] for d in digests}) == 3
+    said = frame(spark, [(by["x"].case_id, "x"), (by["null"].case_id, "y")], "case_id string, predicted string")
+    good = hashlib.sha256(bytes.fromhex(seed)).hexdigest()
+    assert {r.label: r.outcome for r in sealed.reveal(said, hidden, seed, good).collect()} == {"x": "CORRECT", "y": "MISSING", "null": "FALSE_ALARM"}
+    assert {r.outcome for r in sealed.reveal(said, hidden, seed, "00").collect()} == {"SEED_MISMATCH"}
