@@ -35,21 +35,31 @@ def hypergeometric(draws: Column, good: Column, bad: Column, u: Column) -> Colum
     """How many of `draws` rows drawn without replacement are among the `good`, for a uniform u in [0, 1): the
     inverse of the distribution function. Weights are summed over the support within 12 standard deviations plus
     30 of the mean; what lies beyond is below the precision of a double."""
+    names = ("draws", "good", "bad")
+    return _let(F.struct(*[c.cast("long").alias(k) for c, k in zip((draws, good, bad), names)]), lambda r: _inverse(*[r[k] for k in names], u))
+
+
+def _inverse(draws: Column, good: Column, bad: Column, u: Column) -> Column:
+    """hypergeometric() of variables: each step is bound to a variable of its own, so that the expression stays small."""
     total = good + bad
     mean = draws * good / F.greatest(total, _long(1))
-    spread = F.sqrt(F.greatest(mean * (bad / F.greatest(total, _long(1))) * ((total - draws) / F.greatest(total - 1, _long(1))), F.lit(0.0)))
-    low = F.greatest(draws - bad, _long(0), F.floor(mean - 12 * spread - 30).cast("long"))
-    high = F.least(draws, good, F.ceil(mean + 12 * spread + 30).cast("long"))
+    variance = lambda m: m * (bad / F.greatest(total, _long(1))) * ((total - draws) / F.greatest(total - 1, _long(1)))
+    moments = _let(mean, lambda m: F.struct(m.alias("mean"), F.sqrt(F.greatest(variance(m), F.lit(0.0))).alias("spread")))
+    low = lambda m: F.greatest(draws - bad, _long(0), F.floor(m["mean"] - 12 * m["spread"] - 30).cast("long"))
+    high = lambda m: F.least(draws, good, F.ceil(m["mean"] + 12 * m["spread"] + 30).cast("long"))
     log_weight = lambda k: -(_log_factorial(k) + _log_factorial(good - k) + _log_factorial(draws - k) + _log_factorial(bad - draws + k))
-    middle = F.least(F.greatest(F.round(mean).cast("long"), low), high)
 
     def pick(weights: Column) -> Column:
         start = F.struct(F.lit(0.0).alias("sum"), _long(0).alias("k"))
         below = lambda most: lambda a, w: F.struct((a["sum"] + w).alias("sum"), (a["k"] + F.when(a["sum"] + w <= most, 1).otherwise(0)).cast("long").alias("k"))
         return _let(u * F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), lambda most: F.aggregate(weights, start, below(most))["k"])
 
-    weights = _let(log_weight(middle), lambda top: F.transform(F.sequence(low, high), lambda k: F.exp(log_weight(k) - top)))
-    return F.when(low >= high, low).otherwise(F.least(low + _let(weights, pick), high))
+    def within(b: Column) -> Column:
+        middle = F.least(F.greatest(F.round(b["mean"]).cast("long"), b["low"]), b["high"])
+        weights = _let(_let(middle, log_weight), lambda top: F.transform(F.sequence(b["low"], b["high"]), lambda k: F.exp(log_weight(k) - top)))
+        return F.when(b["low"] >= b["high"], b["low"]).otherwise(F.least(b["low"] + _let(weights, pick), b["high"]))
+
+    return _let(moments, lambda m: _let(F.struct(m["mean"].alias("mean"), low(m).alias("low"), high(m).alias("high")), within))
 
 
 def _draw_row(node: Column, left: Column, capacity: Column, shards: int, seed: int) -> Column:
