@@ -98,6 +98,13 @@ def test_near_join_is_exact_on_fixture(docs, empty):
     assert sum(links.values()) > 0 and near_join.near_duplicates(empty).count() == 0
 
 
+def test_near_join_counts_repeated_rows_once_each(spark):
+    near = BASE + " " + " ".join(f"y{i}" for i in range(60))
+    rows = [(1, near), (1, near), (1, "other text of the same id, alone"), (2, near + " end"), (None, near + " end"), (None, "no id, alone"), (3, None)]
+    found = near_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, found)) == Counter({(1, None, 3): 2, (1, 1, 0): 1, (2, None, 3): 1, (None, None, 3): 1, (None, None, 0): 1, (3, 3, 0): 1})
+
+
 def test_near_join_splits_large_nodes(spark):
     rng = np.random.default_rng(1)
     base = [f"v{i}" for i in range(200)]
