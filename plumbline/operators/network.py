@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,25 @@ def guarded(df: DataFrame, t: str, start: float, stop: float, guard: float = 0.0
     return df.where((F.col(t) >= start + guard) & (F.col(t) < stop - guard))
 
 
+def _radical_inverse(n: Column, base: int) -> Column:
+    """The digits of n in a base, mirrored behind the point."""
+    places = F.sequence(F.lit(0), F.lit(int(63 / np.log2(base)) - 1))
+    digit = lambda d: F.pmod(F.floor(n / F.pow(F.lit(float(base)), d)), F.lit(base)) / F.pow(F.lit(float(base)), d + 1)
+    return F.aggregate(places, F.lit(0.0), lambda a, d: a + digit(d))
+
+
+def velocity_bank(spark: SparkSession, templates: int, slowest: float, fastest: float) -> DataFrame:
+    """template, x, y, z: velocities of all directions alike, even in the logarithm of the speed, from Halton's points in bases
+    2, 3 and 5 (the first left out): the same bank each time, and a prefix of any longer one."""
+    if not 0 < slowest <= fastest:
+        raise ValueError("speeds must be positive and in order")
+    u = spark.range(templates).select(F.col("id").alias("template"), *[_radical_inverse(F.col("id") + 1, b).alias(n) for b, n in ((2, "a"), (3, "b"), (5, "c"))])
+    span = float(np.log(fastest) - np.log(slowest))
+    v = u.select("template", F.exp(F.lit(float(np.log(slowest))) + F.col("a") * span).alias("speed"), (2 * F.col("b") - 1).alias("up"), (2 * np.pi * F.col("c")).alias("turn"))
+    flat = F.col("speed") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("up") * F.col("up")))
+    return v.select("template", (flat * F.cos("turn")).alias("x"), (flat * F.sin("turn")).alias("y"), (F.col("speed") * F.col("up")).alias("z"))
+
+
 def delays(positions: DataFrame, velocities: list[tuple[float, float, float]]) -> DataFrame:
     """node, template, delay: when a plane wave of each velocity (a parameter, templates count from 0) passes each node,
     against the mean place of all nodes. positions: node, x, y, z."""
