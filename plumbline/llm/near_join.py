@@ -1,10 +1,11 @@
 """N-gram Jaccard join by chosen paths.
 
 Each text is its set of five-word shingles; equal sets are one class from the start. A class has a signature of T
-minimum hashes. In each run a tree is grown from a root that holds all classes: a node samples positions of the
+minimum hashes. Trees are grown from the nodes (position, hash there): a node samples positions of the
 signature, each with probability 1 / (threshold * T), and sends a class to the child (node, position, hash there).
-Small nodes are compared by brute force; larger ones split again. Two classes over the threshold meet in a run's leaf
-with a probability that a Galton-Watson argument bounds from below; runs repeat until what they miss together is below
+Small nodes are compared by brute force; larger ones split again, and what is still large at the last level is compared
+in pairs of blocks. The first level's nodes stand at fixed positions; they are drawn until two classes at the threshold,
+by the law of their signatures and a Galton-Watson recurrence at the last level, meet nowhere with probability below
 1 - recall. What meets and is alike by signature forms provisional components, in which all pairs, in blocks, are
 then judged by exact Jaccard."""
 
@@ -37,13 +38,40 @@ _A = _RNG.integers(0, 1 << 63, T, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, T, np.uint64)
 
 
-def runs_needed(recall: float = RECALL, depth: int = 3) -> int:
-    """Runs until pairs at the threshold are missed with probability 1 - recall at most, for leaves of this depth: a
-    pair has one common child in expectation, so it is lost with q_0 = 0, q_(d+1) = exp(q_d - 1) in one run."""
-    lost = 0.0
-    for _ in range(depth):
-        lost = math.exp(lost - 1)
-    return math.ceil(math.log(1 - recall) / math.log(lost))
+def least_alike(threshold: float) -> int:
+    """Equal positions that alike signatures have at least: below the threshold by more than five standard deviations of
+    a signature's estimate."""
+    return int(T * threshold - 5.5 * math.sqrt(T * threshold * (1 - threshold)))
+
+
+def missed(roots: int, threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
+    """The probability that a pair at the threshold meets in no leaf of trees from so many roots, all leaves at this
+    depth. Roots take the positions in turn, so a position has `each` of them or one more.
+
+    Of a pair's k equal positions, each is drawn at a node with probability 1 / (threshold * T); a root where the pair
+    is equal loses it with q_0 = 0, q_(d+1) = (1 - (1 - q_d) / (threshold * T))^k. k, one for all roots, is binomial, and
+    the roots beyond `each` for every position are hypergeometric among the equal positions."""
+    each, more = divmod(roots, T)
+    total = 0.0
+    for k in range(T + 1):
+        weight = math.comb(T, k) * threshold**k * (1 - threshold) ** (T - k)
+        lost = 0.0
+        for _ in range(depth - 1):
+            lost = (1 - (1 - lost) / (threshold * T)) ** k
+        if k >= least_alike(threshold):
+            drawn = range(max(0, more - (T - k)), min(k, more) + 1)
+            weight *= lost ** (each * k) * sum(math.comb(k, j) * math.comb(T - k, more - j) / math.comb(T, more) * lost**j for j in drawn)
+        total += weight
+    return total
+
+
+def draw_roots(recall: float = RECALL, threshold: float = THRESHOLD, depth: int = DEPTH) -> list[tuple[int, int]]:
+    """The roots (run, position), as many as miss a pair at the threshold with probability 1 - recall at most."""
+    order = np.random.default_rng(11).permutation(T).tolist()
+    for n in range(1, 64 * T):
+        if missed(n, threshold, depth) <= 1 - recall:
+            return [(i // T, order[i % T]) for i in range(n)]
+    raise ValueError("signatures of this length cannot reach the recall")
 
 
 def _shingles(texts: list, length: int) -> list[np.ndarray]:
@@ -169,43 +197,65 @@ def _leaf(least_equal: int):
     return use
 
 
-def leaves(classes: DataFrame, threshold: float, runs: int, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """node, chunk and sid: the leaves of all runs' trees, those of one class left out. classes: sid, sig.
+def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
+    """node, chunk and sid: the leaves of all trees, those of one class left out; and node and sid of the nodes that are
+    still large at the last level, if there are any. classes: sid, sig.
 
-    A node that is still large at the last level holds texts that are nearly all alike, which no split would part:
-    it is dealt into chunks of leaf classes, and four of its classes join every chunk, so that the chunks hang together."""
-    rng = np.random.default_rng(11)
-    roots = [(run, p) for run in range(runs) for p in np.flatnonzero(rng.random(T) < 1 / (threshold * T)).tolist()]
+    Most large nodes of the last level hold texts that are nearly all alike, which no split would part. Here such a node
+    is dealt into chunks of leaf classes, and four of its classes join every chunk, so that what is alike hangs together
+    at little cost; across() then compares what does not."""
     # four bytes of the signature, as a number
     at = lambda p: F.substring("sig", p * 4 + 1, 4)
     first = F.array(*[F.xxhash64(F.lit(run), F.lit(p), F.substring("sig", p * 4 + 1, 4)) for run, p in roots])
     members = classes.select("sid", F.explode(first).alias("node"))
     out: list[DataFrame] = []
+    large = None
     for level in range(1, depth + 1):
         members = save(members, f"members{level}")
         sizes = save(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"sizes{level}")
-        fine = sizes if level == depth else sizes.where(F.col("n") <= leaf)
+        fine, more = sizes.where(F.col("n") <= leaf), sizes.where(F.col("n") > leaf)
+        out.append(members.join(fine.select("node"), "node").select("node", F.lit(0).alias("chunk"), "sid"))
+        if more.isEmpty():
+            break
         if level < depth:
-            out.append(members.join(fine.select("node"), "node").select("node", F.lit(0).alias("chunk"), "sid"))
-            more = sizes.where(F.col("n") > leaf).select("node")
-            if more.isEmpty():
-                break
             draw = lambda p: F.pmod(F.xxhash64(F.lit(7), F.col("node"), p), F.lit(1 << 20)) < int((1 << 20) / (threshold * T))
             chosen = F.filter(F.sequence(F.lit(0), F.lit(T - 1)), draw)
-            split = members.join(more, "node").join(classes, "sid").select("sid", "node", "sig", F.explode(chosen).alias("p"))
+            split = members.join(more.select("node"), "node").join(classes, "sid").select("sid", "node", "sig", F.explode(chosen).alias("p"))
             members = split.select("sid", F.xxhash64("node", "p", at(F.col("p"))).alias("node"))
         else:
             spread = F.ceil(F.col("n") / leaf).cast("int")
-            last = members.join(fine, "node")
-            dealt = last.select("node", F.when(F.col("n") <= leaf, 0).otherwise(F.pmod(F.xxhash64("node", "sid"), spread)).cast("int").alias("chunk"), "sid")
+            last = members.join(more, "node")
+            dealt = last.select("node", F.pmod(F.xxhash64("node", "sid"), spread).cast("int").alias("chunk"), "sid")
             heads = [F.min(F.struct(F.xxhash64(F.lit(k), "sid"), "sid")).getField("sid").alias(f"s{k}") for k in range(4)]
-            pivots = last.where(F.col("n") > leaf).groupBy("node").agg(F.max("n").alias("n"), *heads)
+            pivots = last.groupBy("node").agg(F.max("n").alias("n"), *heads)
             pivots = pivots.select("node", F.explode(F.sequence(F.lit(0), spread - 1)).alias("chunk"), F.array(*[f"s{k}" for k in range(4)]).alias("s")).select("node", "chunk", F.explode("s").alias("sid"))
             out.append(dealt.unionByName(pivots).distinct())
+            large = last.select("node", "sid")
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
-    return found
+    return found, large
+
+
+def across(large: DataFrame, provisional: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node, chunk and sid: pairs of blocks of each large node, in which every two of its classes that are not in one
+    provisional component stand together. large: node, sid; provisional: node (a class), root.
+
+    The node's largest component comes in blocks of its own, which meet the blocks of all other classes but not each
+    other, so a node of one component costs nothing."""
+    named = large.join(provisional.select(F.col("node").alias("sid"), "root"), "sid", "left").select("node", "sid", F.coalesce("root", "sid").alias("root"))
+    named = save(named, "large")
+    shares = named.groupBy("node", "root").agg(F.count("*").alias("n"))
+    shares = shares.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
+    count = lambda n: F.ceil(n / block).cast("int")
+    nodes = shares.select("node", F.col("most.root").alias("main"), count(F.col("n") - F.col("most.n")).alias("rest"), count(F.col("most.n")).alias("mains"))
+    code = F.xxhash64(F.lit(5), "sid")
+    is_main = F.col("root") == F.col("main")
+    own = F.when(is_main, F.col("rest") + F.pmod(code, F.col("mains"))).otherwise(F.pmod(code, F.col("rest"))).cast("long")
+    both = F.col("rest") + F.col("mains")
+    other = F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("rest")).otherwise(both) - 1))
+    placed = named.join(nodes, "node").select("node", "sid", own.alias("own"), both.alias("both"), other.alias("other"))
+    return placed.select("node", (F.least("own", "other") * F.col("both") + F.greatest("own", "other")).alias("chunk"), "sid")
 
 
 def _shingle_sets(shingle: int):
@@ -295,13 +345,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     # a class is read again from the row of its least id and text hash, as an id may have several texts
     classes = signed.where(F.length("sid") > 0).groupBy("sid").agg(F.min(F.struct("doc", "h")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = save(classes.select("sid", F.col("least.doc").alias("rep"), F.col("least.h").alias("h"), "copies", "sig"), "classes")
-    met = leaves(classes.select("sid", "sig"), threshold, runs_needed(recall), leaf)
+    signatures = classes.select("sid", "sig")
+    met, large = leaves(signatures, threshold, draw_roots(recall, threshold), leaf)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # below the threshold by more than five standard deviations of a signature's estimate
-    least_equal = int(T * threshold - 5.5 * math.sqrt(T * threshold * (1 - threshold)))
-    dealt = met.join(classes.select("sid", "sig"), "sid").repartition(parts, "node", "chunk").sortWithinPartitions("node", "chunk", "sid")
-    alike = dealt.mapInArrow(in_groups(["node", "chunk"], _leaf(least_equal)), "a binary, b binary")
-    provisional = components(alike)
+
+    def alike(met: DataFrame) -> DataFrame:
+        dealt = met.join(signatures, "sid").repartition(parts, "node", "chunk").sortWithinPartitions("node", "chunk", "sid")
+        return dealt.mapInArrow(in_groups(["node", "chunk"], _leaf(least_alike(threshold))), "a binary, b binary")
+
+    provisional = components(alike(met))
+    if large is not None:
+        found = alike(across(large, provisional, block))
+        provisional = components(found.unionByName(provisional.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     sizes = provisional.groupBy("root").agg(F.count("*").alias("size"))
     members = save(provisional.withColumnRenamed("node", "sid").join(sizes, "root").join(classes.select("sid", "rep", "h", "copies"), "sid"), "members")
     # by sort and merge at every size: the members grow with the documents

@@ -119,6 +119,34 @@ def test_near_join_splits_large_nodes(spark):
     assert all(found[1000 + i].class_id == 1000 + i and found[1000 + i].n_links == 0 for i in range(50))
 
 
+def test_near_join_reaches_its_recall_at_the_last_level(spark):
+    rows = []
+    for i in range(3000):  # pairs of 72 shingles each, 64 of them common: 64 / 80
+        common = [f"c{i}_{j}" for j in range(68)]
+        rows += [(2 * i + k, " ".join([*common, *(f"o{i}_{k}_{j}" for j in range(8))])) for k in (0, 1)]
+    # no leaf at all: every pair has to come through to the last level
+    found = near_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=1)
+    assert found.where("n_links = 1").count() >= 2 * 2998
+
+
+def test_near_join_compares_all_of_a_large_last_node(spark):
+    # node 1: one component of 60 classes and 31 others; node 2: one component alone; node 3: no component at all
+    large = [(1, f"m{i}") for i in range(60)] + [(1, f"r{i}") for i in range(31)] + [(2, f"m{i}") for i in range(40)] + [(3, f"r{i}") for i in range(25)]
+    own = {f"m{i}": "m0" for i in range(60)} | {"r1": "r0", "r0": "r0"}
+    roots = spark.createDataFrame([(k.encode(), v.encode()) for k, v in own.items()], "node binary, root binary")
+    rows = near_join.across(spark.createDataFrame([(n, k.encode()) for n, k in large], "node long, sid binary"), roots, block=8).collect()
+    groups, met = defaultdict(list), defaultdict(set)
+    for r in rows:
+        groups[r.node, r.chunk].append(bytes(r.sid).decode())
+    for (node, _), ks in groups.items():
+        assert len(ks) <= 40
+        met[node] |= {(a, b) for a in ks for b in ks}
+    assert 2 not in met
+    for node in (1, 3):
+        ks = [k for n, k in large if n == node]
+        assert all((a, b) in met[node] for a in ks for b in ks if a == b or own.get(a, a) != own.get(b, b))
+
+
 def test_sharding_is_exact_and_gapless(spark, docs, empty):
     rows = docs.unionByName(docs).withColumnRenamed("lang", "shard").drop("source")  # repeated rows, a clashing column
     found = sharding.shuffle_shards(rows, ["doc_id", "text"], 5).collect()
