@@ -3,9 +3,9 @@
 A shard is one record of a Parquet table, which Spark's own writer puts into any store:
 
     shard    int     shards ascend by key
-    part     int     parts of a shard; a part holds about PART_BYTES of payload, one document at least
+    part     int     parts of a shard; a part holds about PART_BYTES of payload and PART_KEYS documents at most, one at least
     payload  binary  the ids of all its documents, each with its end id, little-endian, `width` bytes an id
-    header   binary  int64 x 4: documents, distinct keys, buckets, width; then
+    header   binary  int64 x 5: documents, distinct keys, buckets, width, seed of the hash; then
                      int64[documents]      keys in ascending order, null as the least
                      int64[documents + 1]  where each document's ids start, in ids
                      uint16[buckets]       displacement of each bucket of the hash
@@ -27,6 +27,11 @@ from plumbline.llm import bpe
 from plumbline.llm.common import save, slices
 
 PART_BYTES = 1 << 20
+#: The more keys, the likelier that a seed fails: about one time in fifty here.
+PART_KEYS = 1 << 14
+#: Seeds of a perfect hash, each with hashes of its own.
+SEEDS = 256
+_SEED = 1 << 21
 _NULL = -(1 << 63)
 #: A row is a megabyte: the writer looks at its size after each, and a reader's task gets a few.
 _SMALL_GROUPS = {"parquet.block.size": str(8 * PART_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "2"}
@@ -42,12 +47,22 @@ def mix(keys: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def perfect_hash(keys: np.ndarray) -> np.ndarray:
-    """Displacements for distinct keys: a key's bucket is mix(key, 0) mod buckets, its slot mix(key, displacement of
-    the bucket + 1) mod n; no two keys share a slot. Large buckets are placed first."""
+def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Displacements for distinct keys, and a seed: a key's bucket is mix(key, base) mod buckets with base = seed * 2^21, its
+    slot mix(key, base + displacement of the bucket + 1) mod n; no two keys share a slot. Where a bucket finds no place
+    the next seed is tried."""
+    for seed in range(SEEDS):
+        moved = _displacements(keys, seed * _SEED)
+        if moved is not None:
+            return moved, seed
+    raise ValueError("no seed fits: are the keys distinct?")
+
+
+def _displacements(keys: np.ndarray, seed: int) -> np.ndarray | None:
+    """Large buckets are placed first; None where a bucket fits at no displacement."""
     n = len(keys)
     buckets = max(1, -(-n // 3))
-    bucket = (mix(keys, 0) % np.uint64(buckets)).astype(np.int64)
+    bucket = (mix(keys, seed) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     moved, taken = np.zeros(buckets, np.uint16), np.zeros(n, bool)
@@ -57,7 +72,7 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
         if not len(own):
             break
         for base in range(0, 1 << 16, 16):
-            slots = (mix(own[None, :], trial[:, None] + base) % np.uint64(n)).astype(np.int64)
+            slots = (mix(own[None, :], trial[:, None] + (seed + base)) % np.uint64(n)).astype(np.int64)
             free = ~taken[slots].any(1)
             if len(own) > 1:
                 ranked = np.sort(slots, 1)
@@ -68,10 +83,15 @@ def perfect_hash(keys: np.ndarray) -> np.ndarray:
                 taken[slots[hit]] = True
                 break
         else:
-            raise ValueError("no displacement fits: are the keys distinct?")
+            return None
     return moved
 
 
+def slots(keys: np.ndarray, moved: np.ndarray, seed: int, n: int) -> np.ndarray:
+    own = moved[(mix(keys, seed * _SEED) % np.uint64(len(moved))).astype(np.int64)].astype(np.int64)
+    return (mix(keys, own + (seed * _SEED + 1)) % np.uint64(n)).astype(np.int64)
+
+
 def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix(keys, 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
@@ -79,12 +99,12 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 def write_part(keys: np.ndarray, payloads: list[bytes], width: int) -> tuple[bytes, bytes]:
     """Payload and header of documents in ascending key order; rows of one key stand together."""
     distinct, first = np.unique(keys, return_index=True)
-    moved = perfect_hash(distinct)
-    slot = (mix(distinct, moved[(mix(distinct, 0) % np.uint64(len(moved))).astype(np.int64)].astype(np.int64) + 1) % np.uint64(len(distinct))).astype(np.int64)
+    moved, seed = perfect_hash(distinct)
+    slot = slots(distinct, moved, seed, len(distinct))
     prints, number = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.uint32)
     prints[slot], number[slot] = fingerprints(distinct), first
     starts = np.cumsum([0, *map(len, payloads)]) // width
-    head = np.array([len(keys), len(distinct), len(moved), width], np.int64)
+    head = np.array([len(keys), len(distinct), len(moved), width, seed], np.int64)
     return b"".join(payloads), b"".join(x.tobytes() for x in (head, keys.astype(np.int64), starts.astype(np.int64), moved, prints, number))
 
 
@@ -92,8 +112,8 @@ class Part:
     """Constant-time keyed access to one part."""
 
     def __init__(self, payload: bytes, header: bytes):
-        n, m, b, self.width = np.frombuffer(header, np.int64, 4).tolist()
-        at = 32
+        n, m, b, self.width, self.seed = np.frombuffer(header, np.int64, 5).tolist()
+        at = 40
         take = lambda kind, count: np.frombuffer(header, kind, count, at)
         self.keys, at = take(np.int64, n), at + 8 * n
         self.starts, at = take(np.int64, n + 1), at + 8 * (n + 1)
@@ -104,8 +124,7 @@ class Part:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of the first document of each key, or -1 where the fingerprint tells that there is none."""
-        moved = self.moved[(mix(keys, 0) % np.uint64(len(self.moved))).astype(np.int64)].astype(np.int64)
-        slot = (mix(keys, moved + 1) % np.uint64(len(self.prints))).astype(np.int64)
+        slot = slots(keys, self.moved, self.seed, len(self.prints))
         return np.where(self.prints[slot] == fingerprints(keys), self.first[slot].astype(np.int64), -1)
 
     def of(self, key: int) -> np.ndarray | None:
@@ -147,7 +166,7 @@ def write(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, shard
 
         for batch in batches:
             for s, k, raw in zip(*(x.to_pylist() for x in batch.columns)):
-                if s != shard or held + len(raw) > PART_BYTES:
+                if s != shard or held + len(raw) > PART_BYTES or len(keys) == PART_KEYS:
                     yield from flush()
                     if s != shard:
                         shard, part = s, 0

@@ -201,6 +201,20 @@ def test_perfect_hash_finds_keys_and_refuses_others():
     assert (part.find(others) >= 0).sum() <= 1 and part.of(int(keys[7])).tolist() == [7] and part.of(5) is None
 
 
+def test_perfect_hash_takes_another_seed():
+    keys = np.unique(np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 30000))  # a bucket fits nowhere under the first seed
+    part = idfile.Part(*idfile.write_part(keys, [bytes([i % 251, 0]) for i in range(len(keys))], 2))
+    assert part.seed > 0 and (part.find(keys) == np.arange(len(keys))).all()
+
+
+def test_id_file_parts_have_bounded_keys(spark, monkeypatch):
+    monkeypatch.setattr(idfile, "PART_KEYS", 7)
+    rows = spark.createDataFrame([(i, None) for i in range(100)], "doc_id long, text string")
+    parts = idfile.write(rows, P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert parts.agg({"docs": "max"}).first()[0] == 7
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in idfile.read(parts).collect()) == [(i, i, 1) for i in range(100)]
+
+
 def test_packing_places_every_id_once(docs, empty):
     rows = packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN, room=64, open_windows=2, merge=2).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
