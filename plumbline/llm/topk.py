@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
 CHUNK_QUERIES = 1024
+#: Components stay below this in magnitude, so that differences of two fit a long.
+LARGEST = 1 << 62
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -23,6 +25,15 @@ def bit_slices(values: np.ndarray, bits: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(planes, axis=-1, bitorder="little")).view("<u8")
 
 
+def wide_slices(values: np.ndarray) -> list[np.ndarray]:
+    """The bitmaps of a row of non-negative integers of any length."""
+    out: list[np.ndarray] = []
+    while (values != 0).any():
+        out += list(bit_slices((values % LARGEST).astype(np.int64), 62))
+        values = values // LARGEST
+    return out
+
+
 def add_slices(total: list[np.ndarray], more: list[np.ndarray], shift: int = 0) -> list[np.ndarray]:
     """total + more * 2^shift, all bit-sliced: a ripple of full adders over whole bitmaps."""
     out, carry = list(total[:shift]), None
@@ -46,7 +57,8 @@ class Index:
     """The bit-sliced attributes of a block of vectors, made non-negative by one base for each dimension.
 
     Sums of all subsets of each six dimensions are kept bit-sliced, so that a query adds one subset's slices for
-    each bit of its weights in place of each dimension's."""
+    each bit of its weights in place of each dimension's. Slices take sums of any length; what is added beside them is
+    in Python's integers where it could pass a long."""
 
     GROUP = 6
 
@@ -79,12 +91,18 @@ class Index:
                 subset = code @ (1 << np.arange(code.shape[1]))
                 part = add_slices(part, list(table[:, subset])) if part else list(table[:, subset])
             total = add_slices(total, part, bit) if total else part
-        rest = self.vectors @ low
+        large = lambda x: np.abs(x.astype(float)).max(0, initial=0)
+        v, w = large(self.vectors), large(weights)
+        if (3 * v * w + v * np.abs(low.astype(float))).sum() < LARGEST / 2:
+            vectors, base = self.vectors, self.base
+        else:
+            vectors, base, low, weights = (x.astype(object) for x in (self.vectors, self.base, low, weights))
+        rest = vectors @ low
         extra = rest - rest.min(initial=0)
         if extra.any():
-            planes = bit_slices(extra, int(extra.max()).bit_length())
+            planes = wide_slices(extra)
             total = add_slices(total, [np.broadcast_to(p, total[0].shape) for p in planes])
-        return total, weights @ self.base + rest.min(initial=0)
+        return total, weights @ base + rest.min(initial=0)
 
     def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query number, row number and score of each query's k best rows, ties to the earlier row. own: the row to
@@ -113,7 +131,11 @@ class Index:
         q, r = np.concatenate([q, bq[pick]]), np.concatenate([r, br[pick]])
         score = added[q].copy()
         for j, s in enumerate(slices):
-            score += ((s[q, r // 64] >> (r % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << j
+            score += ((s[q, r // 64] >> (r % 64).astype(np.uint64)) & np.uint64(1)).astype(score.dtype) << j
+        if score.dtype == object:
+            if any(not -(1 << 63) <= x < 1 << 63 for x in score):
+                raise OverflowError("a score does not fit a long")
+            score = score.astype(np.int64)
         return q, r, score
 
     @staticmethod
@@ -125,18 +147,19 @@ class Index:
 
 
 def quantised(vector: Column) -> Column:
-    """floor(64 x) of each component; null unless all are finite numbers."""
+    """floor(64 x) of each component; null unless all are finite numbers. One of 2^62 or more is an error."""
     real = F.transform(vector, lambda x: x.cast("double"))
-    fine = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(1 << 20)))
-    return F.when(fine & (F.size(vector) > 0), F.transform(real, lambda x: F.floor(x * 64).cast("long")))
+    finite = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = lambda x: F.when(F.abs(x) < float(LARGEST // 64), F.floor(x * 64).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("long"))
+    return F.when(finite, F.transform(real, whole))
 
 
 def top_k(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding", key: str = "vec_id", block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row whose key is divisible by `every`, the k other rows of
     greatest integer inner product of quantised vectors; ties go to the smaller key.
 
-    Rows of null key, null or empty vectors, and vectors with null, non-finite or huge (2^20 and over) components take
-    no part. Shorter vectors count as zero in what they lack. Repeated keys with one vector count once; with several
+    Rows of null key, null vectors, and vectors with null or non-finite components take no part. Components of 2^56 and
+    over and scores that do not fit a long are errors. Shorter vectors, empty ones too, count as zero in what they lack. Repeated keys with one vector count once; with several
     vectors each vector is a candidate, the first is the query, and none of the key's own vectors answers it. Other
     columns are not read.
 
@@ -146,13 +169,13 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding"
     n, least, most = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
     if not n:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    most = max(most, 1)
     if least < most:
         rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(most) - F.size("v"))))
     blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-(n // every + 1) // chunk_queries))
-    small = F.transform("v", lambda x: x.cast("int"))
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "id", small.alias("v"))
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("asks"), "id", small.alias("v"))
+    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "id", "v")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("asks"), "id", "v")
 
     def answer(group: pa.Table) -> pa.Table:
         ids, asks = group["id"].to_numpy(), group["asks"].to_numpy()

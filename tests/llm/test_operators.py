@@ -277,3 +277,30 @@ def test_topk_against_brute_force(spark):
         order = [i for i in sorted(range(400), key=lambda i: (-scores[i], i)) if i != q][:20]
         assert [(r.rank, r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [(j + 1, i, scores[i]) for j, i in enumerate(order)]
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1 << 21, 1 << 40])
+def test_topk_keeps_large_finite_vectors(spark, scale):
+    rng = np.random.default_rng(6)
+    vectors = [[int(x) for x in rng.integers(-3, 4, 8)] for _ in range(100)]
+    vectors[13] = [scale, -scale, 0, 3, -1, scale, 2, 0]
+    vectors[40] = [-(1 << 21), 2, 0, 1 << 21, -1, 0, 1, 1]
+    vectors[60] = []
+    if scale > 1 << 21:  # products beyond a long that cancel out
+        vectors[20] = [1 << 40, 1 << 40, 0, 1, 0, 0, 0, 0]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = topk.top_k(df, block_rows=40, chunk_queries=4).collect()
+    x = [[64 * y for y in v] for v in vectors]
+    for q in range(0, 100, 20):
+        scores = [sum(a * b for a, b in zip(x[q], v)) for v in x]
+        order = [i for i in sorted(range(100), key=lambda i: (-scores[i], i)) if i != q][:20]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [(i, scores[i]) for i in order]
+
+
+def test_topk_fails_openly_beyond_a_long(spark):
+    far = spark.createDataFrame([(0, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="a score does not fit a long"):
+        topk.top_k(far).collect()
+    with pytest.raises(Exception, match="a component does not fit a long"):
+        topk.top_k(spark.createDataFrame([(0, [1e200])], "vec_id long, embedding array<double>")).collect()
+    assert topk.top_k(spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<double>")).first().score == 0
