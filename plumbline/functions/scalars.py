@@ -33,8 +33,10 @@ def haversine(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
 
 
 def rotate_shear(e1: Column, e2: Column, ra_l: Column, dec_l: Column, ra_s: Column, dec_s: Column) -> tuple[Column, Column]:
-    """Tangential and cross parts of a spin-2 ellipticity about a lens, on a flat sky."""
-    angle = F.atan2(dec_s - dec_l, (ra_s - ra_l) * F.cos(F.radians(dec_l)))
+    """Tangential and cross parts of a spin-2 ellipticity about a lens, on a flat sky; degrees, ra the short way round."""
+    east = ra_s - ra_l
+    east = F.when(east > 180, east - 360).when(east < -180, east + 360).otherwise(east)
+    angle = F.atan2(dec_s - dec_l, east * F.cos(F.radians(dec_l)))
     c, s = F.cos(2 * angle), F.sin(2 * angle)
     return -(e1 * c + e2 * s), e1 * s - e2 * c
 

@@ -21,10 +21,10 @@ def _sky(spark, sf_dir, table, key):
 
 def haversine_rotation_pairs(spark, sf_dir):
     """Suppliers and customers within 1.5 degrees, with their separation and rotated shear. Sky cells as high and wide as the
-    radius make it an equi-join: a lens looks into the cells around its own."""
+    radius make it an equi-join: a lens looks into the cells around its own, the 225 around the circle in a ring."""
     lens, source = _sky(spark, sf_dir, "supplier", "s_suppkey"), _sky(spark, sf_dir, "customer", "c_custkey")
     cell = lambda c, i: (F.floor(F.col(c) / 1.6) + i).cast("int")
-    l = lens.select(F.col("id").alias("lens"), F.col("ra").alias("ra_l"), F.col("dec").alias("dec_l"), F.explode(F.array(*[F.struct(cell("ra", i).alias("x"), cell("dec", j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))  # noqa: E741
+    l = lens.select(F.col("id").alias("lens"), F.col("ra").alias("ra_l"), F.col("dec").alias("dec_l"), F.explode(F.array(*[F.struct(F.pmod(cell("ra", i), F.lit(225)).alias("x"), cell("dec", j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))  # noqa: E741
     s = source.select(F.col("id").alias("source"), F.col("ra").alias("ra_s"), F.col("dec").alias("dec_s"), cell("ra", 0).alias("x"), cell("dec", 0).alias("y"))
     pairs = l.select("lens", "ra_l", "dec_l", "c.*").join(s, ["x", "y"])
     d = F.degrees(scalars.haversine(F.col("ra_l"), F.col("dec_l"), F.col("ra_s"), F.col("dec_s")))

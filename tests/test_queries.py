@@ -95,6 +95,24 @@ def test_wilson_and_rotation(spark):
     assert abs(row.w) < 1e-12 and row.n is None and abs(row.t - 0.3) < 1e-12 and abs(row.x) < 1e-12
 
 
+def test_sky_pairs_meet_across_the_seam(spark, tmp_path):
+    ra, dec = lambda k: k * 37 % 3600 / 10, lambda k: k * 53 % 100 / 10
+    lens, source = list(range(1, 401)), list(range(1, 3601))
+    spark.createDataFrame([(k,) for k in lens], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k,) for k in source], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    found = {(r.lens, r.source): r for r in registry.QUERIES["haversine_rotation_pairs"](spark, str(tmp_path)).collect()}
+    a, b = np.array(lens)[:, None], np.array(source)[None, :]
+    la, lb = np.radians(dec(a)), np.radians(dec(b))
+    d = np.degrees(2 * np.arcsin(np.sqrt(np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin(np.radians(ra(b) - ra(a)) / 2) ** 2)))
+    expected = {(int(a[i, 0]), int(b[0, j])) for i, j in zip(*np.nonzero((d <= 1.5) & (d > 0)))}
+    seam = {(x, y) for x, y in expected if abs(ra(x) - ra(y)) > 180}
+    assert seam and set(found) == expected
+    for x, y in seam:
+        east = (ra(y) - ra(x) + 180) % 360 - 180
+        angle, e1, e2 = np.arctan2(dec(y) - dec(x), east * np.cos(np.radians(dec(x)))), y % 7 / 10, y % 5 / 10
+        assert abs(found[x, y].tangential + e1 * np.cos(2 * angle) + e2 * np.sin(2 * angle)) < 2e-6
+
+
 def test_manifest_precedence(spark):
     a = spark.createDataFrame([("x", 3, "s"), ("y", 3, "s"), ("z", 3, "s"), ("w", 3, "s")], "path string, byte_count long, sha256 string")
     b = spark.createDataFrame([("x", 3, "s"), ("y", 4, "q"), ("z", 3, "q")], "path string, byte_count long, sha256 string")
