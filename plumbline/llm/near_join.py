@@ -3,8 +3,9 @@
 Each text is its set of five-word shingles; equal sets are one class from the start. A class has a signature of T
 minimum hashes. Trees are grown from the nodes (position, hash there): a node samples positions of the
 signature, each with probability 1 / (threshold * T), and sends a class to the child (node, position, hash there).
-Small nodes are compared by brute force; larger ones split again, and what is still large at the last level is compared
-in pairs of blocks. The first level's nodes stand at fixed positions; they are drawn until two classes at the threshold,
+Small nodes are compared by brute force. In larger ones all members meet a few pivots; a node whose members are nearly all
+alike through one pivot is done, others split again, and what is still large at the last level is compared in pairs of
+blocks. The first level's nodes stand at fixed positions; they are drawn until two classes at the threshold,
 by the law of their signatures and a Galton-Watson recurrence at the last level, meet nowhere with probability below
 1 - recall. What meets and is alike by signature forms provisional components, in which all pairs, in blocks, are
 then judged by exact Jaccard."""
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -32,6 +34,8 @@ LEAF = 128
 DEPTH = 5
 RECALL = 0.9999
 BLOCK = 256
+#: Members of a large node that all its others meet.
+PIVOTS = 4
 _NULL = -(1 << 63)
 _RNG = np.random.default_rng(20_24)
 _A = _RNG.integers(0, 1 << 63, T, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,11 +175,24 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _equal(sig: np.ndarray) -> np.ndarray:
+    """How many positions each two signatures have equal."""
+    equal = np.zeros((len(sig), len(sig)), np.int16)
+    for t in range(T):
+        equal += sig[:, t, None] == sig[None, :, t]
+    return equal
+
+
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, T)
+
+
 def _leaf(least_equal: int):
+    """Links a, b of what is alike in each (node, chunk): each member of a component with its first one."""
+
     def use(table: pa.Table) -> pa.RecordBatch | None:
         node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
-        sid = table["sid"].to_pylist()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(-1, T)
+        sid, sig = table["sid"].to_pylist(), _signatures(table["sig"])
         a: list[bytes] = []
         b: list[bytes] = []
         for i, j in _bounds(node, chunk):
@@ -184,11 +201,7 @@ def _leaf(least_equal: int):
                     a.append(sid[i])
                     b.append(sid[i + 1])
             elif j - i > 2:
-                own = sig[i:j]
-                equal = np.zeros((j - i, j - i), np.int16)
-                for t in range(T):
-                    equal += own[:, t, None] == own[None, :, t]
-                root = _roots(equal >= least_equal)
+                root = _roots(_equal(sig[i:j]) >= least_equal)
                 for k in np.flatnonzero(root != np.arange(j - i)).tolist():
                     a.append(sid[i + int(root[k])])
                     b.append(sid[i + k])
@@ -197,65 +210,106 @@ def _leaf(least_equal: int):
     return use
 
 
-def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
-    """node, chunk and sid: the leaves of all trees, those of one class left out; and node and sid of the nodes that are
-    still large at the last level, if there are any. classes: sid, sig.
+def _around_pivots(least_equal: int):
+    """For each member dealt to a (node, chunk): the first member of its component there, and which pivots that has."""
+
+    def use(table: pa.Table) -> pa.RecordBatch | None:
+        node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
+        sid, sig, bits = table["sid"].to_pylist(), _signatures(table["sig"]), table["bits"].to_numpy()
+        to: list[bytes] = []
+        held = np.zeros(len(sid), np.int32)
+        for i, j in _bounds(node, chunk):
+            root = _roots(_equal(sig[i:j]) >= least_equal)
+            of = np.zeros(j - i, np.int32)
+            np.bitwise_or.at(of, root, bits[i:j])
+            held[i:j] = of[root]
+            to += [sid[i + k] for k in root.tolist()]
+        return pa.RecordBatch.from_arrays([table["node"].combine_chunks(), pa.array(sid, pa.binary()), pa.array(to, pa.binary()), pa.array(held), table["dealt"].combine_chunks()], names=["node", "sid", "to", "held", "dealt"])
+
+    return use
 
-    Most large nodes of the last level hold texts that are nearly all alike, which no split would part. Here such a node
-    is dealt into chunks of leaf classes, and four of its classes join every chunk, so that what is alike hangs together
-    at little cost; across() then compares what does not."""
+
+def _by_group(met: DataFrame, signatures: DataFrame, keys: list[str], use: Callable, schema: str) -> DataFrame:
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.join(signatures, "sid").repartition(parts, *keys).sortWithinPartitions(*keys, "sid")
+    return dealt.mapInArrow(in_groups(keys, use), schema)
+
+
+def around_pivots(large: DataFrame, signatures: DataFrame, least_equal: int, leaf: int = LEAF) -> DataFrame:
+    """node, sid, to, held and dealt for the members of large nodes (large: node, n, sid).
+
+    A node is dealt into chunks of about `leaf` members, and PIVOTS of its members join every chunk, so that no task has
+    a whole node. `to` is a member of the same component in the chunk; bit k of held tells that the component has pivot
+    k: all members that hold one pivot are alike through it, whatever their chunk. Pivots outside their own chunk
+    come with dealt false."""
+    spread = F.ceil(F.col("n") / leaf).cast("int")
+    chunk = F.pmod(F.xxhash64("node", "sid"), spread).cast("int").alias("chunk")
+    own = large.select("node", chunk, "sid", F.lit(0).alias("bits"), F.lit(True).alias("dealt"))
+    heads = [F.min(F.struct(F.xxhash64(F.lit(k), "sid"), "sid")).getField("sid").alias(f"s{k}") for k in range(PIVOTS)]
+    pivots = large.groupBy("node").agg(F.max("n").alias("n"), *heads)
+    each = F.array(*[F.struct(F.col(f"s{k}").alias("sid"), F.lit(1 << k).alias("bits")) for k in range(PIVOTS)])
+    pivots = pivots.select("node", F.explode(F.sequence(F.lit(0), spread - 1)).alias("chunk"), each.alias("s")).select("node", "chunk", F.inline("s"))
+    both = own.unionByName(pivots.withColumn("dealt", F.lit(False)))
+    both = both.groupBy("node", "chunk", "sid").agg(F.sum("bits").cast("int").alias("bits"), F.max("dealt").alias("dealt"))
+    return _by_group(both, signatures, ["node", "chunk"], _around_pivots(least_equal), "node long, sid binary, to binary, held int, dealt boolean")
+
+
+def across(named: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node, chunk and sid: pairs of blocks of each node, in which every two of its members stand together unless both
+    are of its main group. named: node, sid, is_main.
+
+    The main group (members that are alike through one pivot) comes in blocks of its own, which meet the blocks of all
+    other members but not each other, so a node of one group costs nothing."""
+    shares = named.groupBy("node").agg(F.count_if("is_main").alias("most"), F.count_if(~F.col("is_main")).alias("others")).where("others > 0")
+    count = lambda n: F.ceil(F.col(n) / block).cast("int")
+    nodes = shares.select("node", count("others").alias("rest"), count("most").alias("mains"))
+    code = F.xxhash64(F.lit(5), "sid")
+    own = F.when(F.col("is_main"), F.col("rest") + F.pmod(code, F.col("mains"))).otherwise(F.pmod(code, F.col("rest"))).cast("long")
+    both = F.col("rest") + F.col("mains")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("rest")).otherwise(both) - 1))
+    placed = named.join(nodes, "node").select("node", "sid", own.alias("own"), both.alias("both"), other.alias("other"))
+    return placed.select("node", (F.least("own", "other") * F.col("both") + F.greatest("own", "other")).alias("chunk"), "sid")
+
+
+def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
+    """node, chunk and sid: what is to be compared by brute force; and links (a, b) that were found on the way.
+    classes: sid, sig.
+
+    A node of at most `leaf` members is a leaf. In a larger one all members meet its pivots. Those alike through one
+    pivot are one group, of which no pair need be looked at again; if the others are a leaf or fewer (or the level is
+    the last), they meet each other and the group in pairs of blocks, and the node is done. So a group of near copies
+    ends in the first node that holds it, and only nodes of many different texts are split."""
     # four bytes of the signature, as a number
     at = lambda p: F.substring("sig", p * 4 + 1, 4)
     first = F.array(*[F.xxhash64(F.lit(run), F.lit(p), F.substring("sig", p * 4 + 1, 4)) for run, p in roots])
     members = classes.select("sid", F.explode(first).alias("node"))
     out: list[DataFrame] = []
-    large = None
+    links: list[DataFrame] = []
     for level in range(1, depth + 1):
         members = save(members, f"members{level}")
         sizes = save(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"sizes{level}")
         fine, more = sizes.where(F.col("n") <= leaf), sizes.where(F.col("n") > leaf)
-        out.append(members.join(fine.select("node"), "node").select("node", F.lit(0).alias("chunk"), "sid"))
+        out.append(members.join(fine.select("node"), "node").select("node", F.lit(0).cast("long").alias("chunk"), "sid"))
         if more.isEmpty():
             break
-        if level < depth:
-            draw = lambda p: F.pmod(F.xxhash64(F.lit(7), F.col("node"), p), F.lit(1 << 20)) < int((1 << 20) / (threshold * T))
-            chosen = F.filter(F.sequence(F.lit(0), F.lit(T - 1)), draw)
-            split = members.join(more.select("node"), "node").join(classes, "sid").select("sid", "node", "sig", F.explode(chosen).alias("p"))
-            members = split.select("sid", F.xxhash64("node", "p", at(F.col("p"))).alias("node"))
-        else:
-            spread = F.ceil(F.col("n") / leaf).cast("int")
-            last = members.join(more, "node")
-            dealt = last.select("node", F.pmod(F.xxhash64("node", "sid"), spread).cast("int").alias("chunk"), "sid")
-            heads = [F.min(F.struct(F.xxhash64(F.lit(k), "sid"), "sid")).getField("sid").alias(f"s{k}") for k in range(4)]
-            pivots = last.groupBy("node").agg(F.max("n").alias("n"), *heads)
-            pivots = pivots.select("node", F.explode(F.sequence(F.lit(0), spread - 1)).alias("chunk"), F.array(*[f"s{k}" for k in range(4)]).alias("s")).select("node", "chunk", F.explode("s").alias("sid"))
-            out.append(dealt.unionByName(pivots).distinct())
-            large = last.select("node", "sid")
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found, large
-
-
-def across(large: DataFrame, provisional: DataFrame, block: int = BLOCK) -> DataFrame:
-    """node, chunk and sid: pairs of blocks of each large node, in which every two of its classes that are not in one
-    provisional component stand together. large: node, sid; provisional: node (a class), root.
-
-    The node's largest component comes in blocks of its own, which meet the blocks of all other classes but not each
-    other, so a node of one component costs nothing."""
-    named = large.join(provisional.select(F.col("node").alias("sid"), "root"), "sid", "left").select("node", "sid", F.coalesce("root", "sid").alias("root"))
-    named = save(named, "large")
-    shares = named.groupBy("node", "root").agg(F.count("*").alias("n"))
-    shares = shares.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
-    count = lambda n: F.ceil(n / block).cast("int")
-    nodes = shares.select("node", F.col("most.root").alias("main"), count(F.col("n") - F.col("most.n")).alias("rest"), count(F.col("most.n")).alias("mains"))
-    code = F.xxhash64(F.lit(5), "sid")
-    is_main = F.col("root") == F.col("main")
-    own = F.when(is_main, F.col("rest") + F.pmod(code, F.col("mains"))).otherwise(F.pmod(code, F.col("rest"))).cast("long")
-    both = F.col("rest") + F.col("mains")
-    other = F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("rest")).otherwise(both) - 1))
-    placed = named.join(nodes, "node").select("node", "sid", own.alias("own"), both.alias("both"), other.alias("other"))
-    return placed.select("node", (F.least("own", "other") * F.col("both") + F.greatest("own", "other")).alias("chunk"), "sid")
+        met = save(around_pivots(members.join(more, "node"), classes, least_alike(threshold), leaf), f"pivots{level}")
+        links.append(met.where("sid <> to").select(F.col("sid").alias("a"), F.col("to").alias("b")))
+        met = met.where("dealt")
+        holds = lambda k: F.col("held").bitwiseAND(1 << k) > 0
+        counts = met.groupBy("node").agg(F.count("*").alias("n"), *[F.count_if(holds(k)).alias(f"n{k}") for k in range(PIVOTS)])
+        main = F.greatest(*[F.struct(F.col(f"n{k}").alias("n"), F.lit(1 << k).alias("bit")) for k in range(PIVOTS)])
+        counts = save(counts.select("node", main["bit"].alias("bit"), (F.col("n") - main["n"]).alias("others")).where("others > 0"), f"mains{level}")
+        done = counts if level == depth else counts.where(F.col("others") <= leaf)
+        named = met.join(done, "node").select("node", "sid", (F.col("held").bitwiseAND(F.col("bit")) > 0).alias("is_main"))
+        out.append(across(save(named, f"tiles{level}"), block))
+        left = counts.where(F.col("others") > leaf)
+        if level == depth or left.isEmpty():
+            break
+        draw = lambda p: F.pmod(F.xxhash64(F.lit(7), F.col("node"), p), F.lit(1 << 20)) < int((1 << 20) / (threshold * T))
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(T - 1)), draw)
+        split = members.join(left.select("node"), "node").join(classes, "sid").select("sid", "node", "sig", F.explode(chosen).alias("p"))
+        members = split.select("sid", F.xxhash64("node", "p", at(F.col("p"))).alias("node"))
+    return reduce(DataFrame.unionByName, out), links
 
 
 def _shingle_sets(shingle: int):
@@ -330,8 +384,9 @@ def _exact(threshold: Fraction):
     return use
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id and n_links of every row: documents are linked when the Jaccard similarity of their sets of
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, leaf: int = LEAF, block: int = BLOCK, text_hash: bool = False) -> DataFrame:
+    """doc_id, class_id and n_links of every row (with text_hash: xxhash64 of the text too, which tells rows of one id
+    apart): documents are linked when the Jaccard similarity of their sets of
     five-word shingles is at least 0.8; a class is a connected component, named by its smallest doc_id; n_links is how
     many other rows a row is linked with, copies included.
 
@@ -346,17 +401,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     classes = signed.where(F.length("sid") > 0).groupBy("sid").agg(F.min(F.struct("doc", "h")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     classes = save(classes.select("sid", F.col("least.doc").alias("rep"), F.col("least.h").alias("h"), "copies", "sig"), "classes")
     signatures = classes.select("sid", "sig")
-    met, large = leaves(signatures, threshold, draw_roots(recall, threshold), leaf)
+    met, links = leaves(signatures, threshold, draw_roots(recall, threshold), leaf, block=block)
+    found = _by_group(met, signatures, ["node", "chunk"], _leaf(least_alike(threshold)), "a binary, b binary")
+    provisional = components(reduce(DataFrame.unionByName, links, found))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def alike(met: DataFrame) -> DataFrame:
-        dealt = met.join(signatures, "sid").repartition(parts, "node", "chunk").sortWithinPartitions("node", "chunk", "sid")
-        return dealt.mapInArrow(in_groups(["node", "chunk"], _leaf(least_alike(threshold))), "a binary, b binary")
-
-    provisional = components(alike(met))
-    if large is not None:
-        found = alike(across(large, provisional, block))
-        provisional = components(found.unionByName(provisional.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     sizes = provisional.groupBy("root").agg(F.count("*").alias("size"))
     members = save(provisional.withColumnRenamed("node", "sid").join(sizes, "root").join(classes.select("sid", "rep", "h", "copies"), "sid"), "members")
     # by sort and merge at every size: the members grow with the documents
@@ -374,6 +422,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     heads = named.groupBy("root").agg(F.min("rep").alias("head"))
     result = named.join(heads, "root").select("sid", "head").join(links, "sid", "left")
     whole = classes.select("sid", "rep", "copies").join(result, "sid", "left").select("sid", F.coalesce("head", "rep").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    out = signed.select("doc", "sid").join(save(whole, "class-of"), "sid", "left")
+    out = signed.select("doc", "h", "sid").join(save(whole, "class-of"), "sid", "left")
     real = lambda c: F.when(c != _NULL, c)
-    return out.select(real(F.col("doc")).alias("doc_id"), real(F.coalesce("head", "doc")).alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    found = [real(F.col("doc")).alias("doc_id"), real(F.coalesce("head", "doc")).alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links")]
+    return out.select(*found, *([F.col("h").alias("text_hash")] if text_hash else []))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p, ws FROM w WHERE len(ws) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p+4], ' ') AS x FROM s),
+n AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM m JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 9 * same >= 4 * (x.c + y.c)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a WHERE r.root < e.b)
+SELECT d.doc_id, min(r.root) AS class_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id)::BIGINT AS n_links
+FROM documents d JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
+"""

@@ -52,4 +52,4 @@ def op10_topk(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_near_join, op4_sharding, op5_substring_dedup, op6_id_files, op7_packing, op8_line_dedup, op9_exact_dedup, op10_topk)}
-ORACLES = {"op5_substring_dedup": substring.DIGEST_SQL, "op8_line_dedup": line_dedup.DIGEST_SQL, "op9_exact_dedup": exact_dedup.MARK_SQL, "op10_topk": topk.TOP_SQL}
+ORACLES = {"op3_near_join": near_join.NEAR_SQL, "op5_substring_dedup": substring.DIGEST_SQL, "op8_line_dedup": line_dedup.DIGEST_SQL, "op9_exact_dedup": exact_dedup.MARK_SQL, "op10_topk": topk.TOP_SQL}

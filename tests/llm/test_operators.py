@@ -130,11 +130,9 @@ def test_near_join_reaches_its_recall_at_the_last_level(spark):
 
 
 def test_near_join_compares_all_of_a_large_last_node(spark):
-    # node 1: one component of 60 classes and 31 others; node 2: one component alone; node 3: no component at all
+    # node 1: one group of 60 classes and 31 others; node 2: one group alone; node 3: no group at all
     large = [(1, f"m{i}") for i in range(60)] + [(1, f"r{i}") for i in range(31)] + [(2, f"m{i}") for i in range(40)] + [(3, f"r{i}") for i in range(25)]
-    own = {f"m{i}": "m0" for i in range(60)} | {"r1": "r0", "r0": "r0"}
-    roots = spark.createDataFrame([(k.encode(), v.encode()) for k, v in own.items()], "node binary, root binary")
-    rows = near_join.across(spark.createDataFrame([(n, k.encode()) for n, k in large], "node long, sid binary"), roots, block=8).collect()
+    rows = near_join.across(spark.createDataFrame([(n, k.encode(), k[0] == "m") for n, k in large], "node long, sid binary, is_main boolean"), block=8).collect()
     groups, met = defaultdict(list), defaultdict(set)
     for r in rows:
         groups[r.node, r.chunk].append(bytes(r.sid).decode())
@@ -144,7 +142,58 @@ def test_near_join_compares_all_of_a_large_last_node(spark):
     assert 2 not in met
     for node in (1, 3):
         ks = [k for n, k in large if n == node]
-        assert all((a, b) in met[node] for a in ks for b in ks if a == b or own.get(a, a) != own.get(b, b))
+        assert all((a, b) in met[node] for a in ks for b in ks if a == b or not a[0] == b[0] == "m")
+
+
+def brute_links(texts):
+    """Links and classes of texts by an index of all shingles."""
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for k, t in texts.items()}
+    holders, same = defaultdict(list), Counter()
+    for k in sorted(sets):
+        for x in sets[k]:
+            same.update((j, k) for j in holders[x])
+            holders[x].append(k)
+    linked, root = Counter(), {k: k for k in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in same.items():
+        if n * 9 >= 4 * (len(sets[a]) + len(sets[b])):
+            linked.update((a, b))
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    return {k: (top(k), linked[k]) for k in sets}
+
+
+def test_near_join_ends_a_group_of_near_copies_at_its_first_node(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = [f"v{i}" for i in range(120)]
+    texts = {}
+    for i in range(700):  # one group around a base, members mostly just above or below the threshold to each other
+        w = list(base)
+        for j in rng.choice(120, 2, replace=False):
+            w[j] = f"e{i}_{j}"
+        texts[i] = " ".join(w)
+    for i in range(300):  # texts that share a passage with the group and with one another, but are not alike
+        texts[1000 + i] = " ".join(base[:30] + [f"o{i}_{j}" for j in range(60)])
+    levels = []
+    real = near_join.around_pivots
+    monkeypatch.setattr(near_join, "around_pivots", lambda large, *x: levels.append(large.count()) or real(large, *x))
+    found = by_id(near_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), leaf=64, block=128))
+    want = brute_links(texts)
+    missed = sum(abs(found[k].n_links - n) for k, (_, n) in want.items()) / sum(n for _, n in want.values())
+    assert missed == 0 and all(found[k].class_id == c for k, (c, _) in want.items())
+    assert sum(levels) <= 2.5 * levels[0]  # what goes on to further levels does not take the group along at each
+
+
+def test_near_join_finds_all_links_of_a_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute_links({r.doc_id: r.text for r in docs.collect()})
+    found = {r.doc_id: (r.class_id, r.n_links) for r in near_join.near_duplicates(docs, leaf=8).collect()}
+    assert found == want and sum(n for _, n in want.values()) > 100
 
 
 def test_sharding_is_exact_and_gapless(spark, docs, empty):
