@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space that parts words and is stripped from lines.
 SPACE = r"[\x20\x09-\x0D]"
 #: While a table is written: its shuffle files go when it ends, not at the driver's next GC, and batches of rows on
-#: their way to Python are small, as texts are long.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: their way to Python are small, as texts are long; and sorted buckets are read as sorted.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,32 +24,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local
-    session takes a temporary folder and any other the warehouse."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session
+    (one machine) takes a temporary folder; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found
-    if spark.sparkContext.master.startswith("local["):
+        return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
         return f"file://{tempfile.gettempdir()}/plumbline-shared"
-    return spark.conf.get("spark.sql.warehouse.dir")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
-def save(df: DataFrame, tag: str, *partition_by: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage, and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+@contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in _WRITING}
     for k, v in _WRITING.items():
         spark.conf.set(k, v)
     try:
-        writer = df.write.options(**options)
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def save(df: DataFrame, tag: str, *partition_by: str, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts the lineage, and outlives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    with _writing(spark):
+        writer = df.write.options(**options)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> str:
+    """df as a table in the shared folder, dealt into buckets by key and sorted by it in each; the table's name."""
+    name = f"{tag}_{uuid.uuid4().hex}"
+    with _writing(df.sparkSession):
+        df.write.format("parquet").option("path", f"{shared_dir(df.sparkSession)}/{name}").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return name
+
+
+def drop_bucketed(spark: SparkSession, name: str) -> None:
+    """Takes a table of save_bucketed() out of the catalog and deletes its files."""
+    drop_saved(spark.table(name))
+    spark.sql(f"DROP TABLE {name}")
+
+
 def drop_saved(df: DataFrame) -> None:
     """Deletes a table that save() made, once nothing reads it any more."""
     spark = df.sparkSession
@@ -78,3 +99,38 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *(len(x) for x in arrays)])
     flat = np.concatenate(arrays) if arrays else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
+
+
+def in_groups(keys: list[str], use: Callable[[pa.Table], pa.RecordBatch | None]):
+    """For mapInArrow over rows sorted by keys: use() gets whole groups, several at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple = ()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                found = use(pa.Table.from_batches(held).combine_chunks())
+                if found is not None:
+                    yield found
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            change = np.zeros(batch.num_rows, bool)
+            for x in ids:
+                change[1:] |= x[1:] != x[:-1]
+            if held and tuple(x[0] for x in ids) != last:
+                yield from flush()
+                held = []
+            cut = int(np.flatnonzero(change)[-1]) if change.any() else 0
+            if cut:
+                held.append(batch.slice(0, cut))
+                yield from flush()
+                held = []
+            held.append(batch.slice(cut))
+            last = tuple(x[-1] for x in ids)
+        yield from flush()
+
+    return run

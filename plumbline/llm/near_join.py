@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import save, slices
+from plumbline.llm.common import in_groups, save, slices
 from plumbline.llm.components import components
 from plumbline.llm.grams import RunHash, mixed, word_hashes
 
@@ -120,41 +120,6 @@ def _sets(shingle: int):
     return run
 
 
-def in_groups(keys: list[str], use: Callable[[pa.Table], pa.RecordBatch | None]):
-    """For mapInArrow over rows sorted by keys: use() gets whole groups, several at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last: tuple = ()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                found = use(pa.Table.from_batches(held).combine_chunks())
-                if found is not None:
-                    yield found
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            change = np.zeros(batch.num_rows, bool)
-            for x in ids:
-                change[1:] |= x[1:] != x[:-1]
-            if held and tuple(x[0] for x in ids) != last:
-                yield from flush()
-                held = []
-            cut = int(np.flatnonzero(change)[-1]) if change.any() else 0
-            if cut:
-                held.append(batch.slice(0, cut))
-                yield from flush()
-                held = []
-            held.append(batch.slice(cut))
-            last = tuple(x[-1] for x in ids)
-        yield from flush()
-
-    return run
-
-
 def _bounds(*columns: np.ndarray) -> list[tuple[int, int]]:
     change = np.zeros(len(columns[0]), bool)
     for x in columns:
