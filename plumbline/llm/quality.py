@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import lists, slices
+from plumbline.llm.common import lists, save, slices
 
 #: N-grams are hashed to so many indicators.
 BUCKETS = 1 << 20
@@ -23,7 +23,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def _shape(word: str) -> str:
     """The word's letters as one case mark, digits as one, other characters as they are."""
     case = lambda m: "9" if m[0][0].isdigit() else "A" if m[0].isupper() and len(m[0]) > 1 else "A" if m[0].isupper() else "Aa" if m[0][0].isupper() else "a"
-    return _SHAPE.sub(case, word)[:24]
+    return _SHAPE.sub(case, word)
 
 
 class Grams:
@@ -139,28 +139,42 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def _features(df: DataFrame, text: str) -> DataFrame:
-    """label and the sorted indicators of each row."""
+    """label, h, t, the sorted indicators of each row, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             row, bucket = _grams([x or "" for x in batch.column("text").to_pylist()])
             cuts = np.searchsorted(row, np.arange(1, batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), lists(np.split(bucket, cuts), pa.int32())], names=["label", "grams"])
+            found = np.split(bucket, cuts)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("label", "h", "t")), lists(found, pa.int32()), pa.array([len(x) for x in found], pa.int64())], names=["label", "h", "t", "grams", "n"])
 
-    return df.select(F.col(text).alias("text"), "label").mapInArrow(run, "label int, grams array<int>")
+    return df.select(F.col(text).alias("text"), "label", "h", "t").mapInArrow(run, "label int, h long, t long, grams array<int>, n long")
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", max_rows: int = 12_000, c: float = 1.0) -> Model:
-    """A model from labelled rows (label 0 or 1; other labels and null keys are left out).
+def _least(rows: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows, those of smallest (h, t); of rows alike in both any may be the last. Two numbers a row are
+    compared, without texts."""
+    edge = rows.select("h", "t").orderBy("h", "t").limit(most).agg(F.max(F.struct("h", "t")).alias("e"), F.count("*").alias("n")).first()
+    if not edge["n"]:
+        return rows.limit(0)
+    place, last = F.struct("h", "t"), F.struct(F.lit(edge["e"]["h"]).alias("h"), F.lit(edge["e"]["t"]).alias("t"))
+    return rows.where(place < last).unionByName(rows.where(place == last).limit(most)).limit(most)
 
-    max_rows bounds the training sample: the rows of smallest key hash, so that the driver gets at most that many
-    lists of indicators. Counts, support vectors and calibration (on every fifth row, out of fold) come from it.
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", max_rows: int = 12_000, c: float = 1.0, max_grams: int = 24_000_000) -> Model:
+    """A model from labelled rows (label 0 or 1; other labels and null keys are left out; repeated rows each count).
+
+    max_rows and max_grams bound the training sample, and with it what the driver gets: the rows of smallest hashes of
+    key and text, max_rows of them at most and no more than have max_grams indicators together (a row has 2^20 at
+    most). Counts, support vectors and calibration (on every fifth row, out of fold) come from the sample.
     With one class or no rows, the score is that class's smoothed share everywhere."""
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(17), key).alias("h"), F.col(key).alias("k"))
-    # the hashes are cut first, without texts
-    edge = rows.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    sample = rows.where(F.col("h") <= F.lit(edge)) if edge is not None else rows.limit(0)
-    got = _features(sample, "text").toArrow()
+    rows = labelled.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+    rows = rows.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(17), key).alias("h"), F.xxhash64(text).alias("t"))
+    made = save(_features(_least(rows, max_rows), "text"), "training-sample")
+    # in the order of the hashes, as many rows as max_grams allows; up to max_rows rows of three numbers
+    places = sorted((r.h, r.t, r.n) for r in made.select("h", "t", "n").collect())
+    kept = int(np.searchsorted(np.cumsum([n for _, _, n in places]), max_grams, "right"))
+    got = (made if kept == len(places) else _least(made, kept)).select("label", "grams").toArrow()
     labels = got["label"].to_numpy().astype(int)
     features = [np.asarray(x, np.int64) for x in got["grams"].to_pandas()] if len(labels) else []
     if len(set(labels.tolist())) < 2:
@@ -202,12 +216,13 @@ def train_on(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Mode
     document the smallest counts; of several rows of one document each is learned."""
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"))
     marks = marks.where(~held_out()).select("doc_id", "label", F.xxhash64(F.lit(17), "doc_id").alias("h"))
-    edge = marks.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    few = marks.where(F.col("h") <= F.lit(edge)) if edge is not None else marks.limit(0)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(few.drop("h")), "doc_id"), max_rows=max_rows)  # at most max_rows pairs of numbers
+    few = _least(marks.withColumn("t", F.col("h")), max_rows)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(few.drop("h", "t")), "doc_id"), max_rows=max_rows)  # at most max_rows pairs of numbers
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 12_000) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document. A null doc_id counts as not held out."""
+    """doc_id, held_out, score and predicted of every row of docs, repeated ones too. A null doc_id counts as not held
+    out and is never learned from; null and empty texts are scored; an empty table gives no rows. Other columns, one named
+    score among them, are not read."""
     out = score(docs.select("doc_id", "text"), train_on(docs, labels, max_rows))
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
