@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
-CHUNK_QUERIES = 1024
+CHUNK_QUERIES = 16_384
 #: Components stay below this in magnitude, so that differences of two fit a long.
 LARGEST = 1 << 62
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -159,13 +159,15 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding"
     greatest integer inner product of quantised vectors; ties go to the smaller key.
 
     Rows of null key, null vectors, and vectors with null or non-finite components take no part. Components of 2^56 and
-    over and scores that do not fit a long are errors. Shorter vectors, empty ones too, count as zero in what they lack. Repeated keys with one vector count once; with several
-    vectors each vector is a candidate, the first is the query, and none of the key's own vectors answers it. Other
+    over and scores that do not fit a long are errors. Shorter vectors, empty ones too, count as zero in what they lack. Rows of one key ask
+    once, with the least of their vectors; every row is a candidate, repeated ones as often as they stand, but no row of the
+    query's own key. Other
     columns are not read.
 
     Rows are dealt into blocks and queries into chunks by hash; one task indexes one block and answers one chunk, so
-    memory is bounded, and each query gets at most k rows from a block."""
-    rows = df.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").distinct()
+    memory is bounded, and each query gets at most k rows from a block. A block's index is built once for each chunk of
+    16,384 queries, so that its cost is small beside theirs."""
+    rows = df.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").groupBy("id", "v").agg(F.count("*").alias("copies"))
     n, least, most = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
     if not n:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -174,14 +176,14 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding"
         rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(most) - F.size("v"))))
     blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-(n // every + 1) // chunk_queries))
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "id", "v")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("asks"), "id", "v")
+    left = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "id", "v", F.least("copies", F.lit(k)).cast("int").alias("copies"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(True).alias("asks"), "id", "v", F.lit(1).alias("copies"))
 
     def answer(group: pa.Table) -> pa.Table:
         ids, asks = group["id"].to_numpy(), group["asks"].to_numpy()
         flat = group["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.int64)
         order = np.argsort(ids[~asks], kind="stable")
-        rid, vectors = ids[~asks][order], flat[~asks][order]
+        rid, vectors, copies = ids[~asks][order], flat[~asks][order], group["copies"].to_numpy()[~asks][order]
         qid, asked = ids[asks], flat[asks]
         out: list[tuple] = []
         if len(rid) and len(qid):
@@ -193,21 +195,23 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding"
                 q, r, s = index.top(asked[a : a + 128], own, k + max(spare - 1, 0))
                 q = q + a
                 keep = rid[r] != qid[q]
-                out.append((qid[q][keep], rid[r][keep], s[keep]))
-        parts = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]})
+                out.append((qid[q][keep], rid[r][keep], s[keep], copies[r][keep]))
+        parts = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(4)]
+        return pa.table({"query_id": parts[0], "vec_id": parts[1], "score": parts[2], "copies": parts[3].astype(np.int32)})
 
-    found = left.unionByName(right).groupBy("block", "chunk").applyInArrow(answer, "query_id long, vec_id long, score long")
+    found = left.unionByName(right).groupBy("block", "chunk").applyInArrow(answer, "query_id long, vec_id long, score long, copies int")
+    found = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("copies"))))  # k at most: no more can be ranked
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 TOP_SQL = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+      FROM q JOIN v c ON q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
