@@ -1,12 +1,15 @@
 """Token ids in keyed binary shards: raw payloads, and a minimal perfect hash of document keys to offsets.
 
-A shard is one record of a Parquet table, which Spark's own writer puts into any store:
+A part of a shard is one record of a Parquet table, which Spark's own writer puts into any store. Binary columns end at
+2 GB, so a text has fewer than 2^29 tokens:
 
     shard    int     shards ascend by key
     part     int     parts of a shard; a part holds about PART_BYTES of payload and PART_KEYS documents at most, one at least
     payload  binary  the ids of all its documents, each with its end id, little-endian, `width` bytes an id
+    low, high long   keys of the first and last document, null as the least long
+    keys     binary  int64[documents]: the keys in ascending order, for reading all documents in turn; lookups
+                     do without them
     header   binary  int64 x 5: documents, distinct keys, buckets, width, seed of the hash; then
-                     int64[documents]      keys in ascending order, null as the least
                      int64[documents + 1]  where each document's ids start, in ids
                      uint16[buckets]       displacement of each bucket of the hash
                      uint32[keys]          by slot: fingerprint of the key
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,7 +109,7 @@ def write_part(keys: np.ndarray, payloads: list[bytes], width: int) -> tuple[byt
     prints[slot], number[slot] = fingerprints(distinct), first
     starts = np.cumsum([0, *map(len, payloads)]) // width
     head = np.array([len(keys), len(distinct), len(moved), width, seed], np.int64)
-    return b"".join(payloads), b"".join(x.tobytes() for x in (head, keys.astype(np.int64), starts.astype(np.int64), moved, prints, number))
+    return b"".join(payloads), b"".join(x.tobytes() for x in (head, starts.astype(np.int64), moved, prints, number))
 
 
 class Part:
@@ -115,7 +119,6 @@ class Part:
         n, m, b, self.width, self.seed = np.frombuffer(header, np.int64, 5).tolist()
         at = 40
         take = lambda kind, count: np.frombuffer(header, kind, count, at)
-        self.keys, at = take(np.int64, n), at + 8 * n
         self.starts, at = take(np.int64, n + 1), at + 8 * (n + 1)
         self.moved, at = take(np.uint16, b), at + 2 * b
         self.prints, at = take(np.uint32, m), at + 4 * m
@@ -134,72 +137,105 @@ class Part:
 
 
 def write(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, shard_rows: int = 10_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The written shards (shard, part, docs, ids, payload, header) of all documents in ascending key order.
-
-    A null text has the end id alone; a null key comes first; rows of one key stay together, by text. Other columns are
-    not read. Shards are ranges of keys with about shard_rows documents each; the bounds, one number for each shard_rows, pass
-    through the driver. Ids never do. Parts, not shards, bound what is in memory at once."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shards = max(8, -(-rows.count() // shard_rows))
-    # bounds from ids alone, as sampling the encoded rows would encode them twice
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], max(10_000, 20 * shards))).first()[0] or []
-    kind = np.dtype(bpe.library_type(vocabulary))
+    """The written shards (shard, part, docs, ids, low, high, payload, keys, header) of all documents in ascending key order.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = bpe.library_coder(vocabulary, pattern), np.array([end_id], kind).tobytes()
-        for batch in slices(batches, "text"):
-            keys = batch.column("doc_id")
-            shard = np.searchsorted(np.array(bounds, np.int64), keys.to_numpy(), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), keys, pa.array([x + end for x in coder(batch.column("text").to_pylist())], pa.binary())], names=["shard", "doc_id", "raw"])
+    A null text has the end id alone; a null key comes first; rows of one key stand together, in the order of the table.
+    Other columns are not read. Shards are Spark's range partitions by key and row, with about shard_rows documents each,
+    so many rows of one key, or of none, are several shards. Parts, not shards, bound what is in memory at once."""
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    shards = max(8, -(-docs.count() // shard_rows))
+    kind = np.dtype(bpe.library_type(vocabulary))
+    fields = "shard int, part int, docs long, ids long, low long, high long, payload binary, keys binary, header binary"
+    names = [x.split()[0] for x in fields.split(", ")]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, end = bpe.library_coder(vocabulary, pattern), np.array([end_id], kind).tobytes()
+        shard = TaskContext.get().partitionId()
         keys: list[int] = []
         raws: list[bytes] = []
-        shard, part, held = -1, 0, 0
+        part, held = 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal keys, raws, part, held
             if keys:
                 payload, header = write_part(np.array(keys, np.int64), raws, kind.itemsize)
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([len(payload) // kind.itemsize], pa.int64()), pa.array([payload], pa.binary()), pa.array([header], pa.binary())], names=["shard", "part", "docs", "ids", "payload", "header"])
+                row = (shard, part, len(keys), len(payload) // kind.itemsize, keys[0], keys[-1], payload, np.array(keys, "<i8").tobytes(), header)
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 3)))], names=names)
                 keys, raws, part, held = [], [], part + 1, 0
 
-        for batch in batches:
-            for s, k, raw in zip(*(x.to_pylist() for x in batch.columns)):
-                if s != shard or held + len(raw) > PART_BYTES or len(keys) == PART_KEYS:
+        for batch in slices(batches, "text"):
+            for k, raw in zip(batch.column("doc_id").to_pylist(), coder(batch.column("text").to_pylist())):
+                if held + len(raw) + len(end) > PART_BYTES or len(keys) == PART_KEYS:
                     yield from flush()
-                    if s != shard:
-                        shard, part = s, 0
                 keys.append(k)
-                raws.append(raw)
-                held += len(raw)
+                raws.append(raw + end)
+                held += len(raws[-1])
         yield from flush()
 
-    encoded = rows.mapInArrow(encode, "shard int, doc_id long, raw binary")
-    ordered = encoded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "raw")
-    return save(ordered.mapInArrow(parts, "shard int, part int, docs long, ids long, payload binary, header binary"), "idfile", **_SMALL_GROUPS)
+    # dealt by key and row alone, so that the sample for the ranges reads no texts
+    ordered = rows.repartitionByRange(shards, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
+    return save(ordered.mapInArrow(parts, fields), "idfile", **_SMALL_GROUPS)
+
+
+def part_starts(parts: DataFrame, span: int = 1024) -> DataFrame:
+    """shard, part and start: the ids of all parts before. Sums go by spans of shards, so no task has all parts."""
+    slim = parts.select("shard", "part", "ids", F.floor(F.col("shard") / span).cast("int").alias("span"))
+    spans = slim.groupBy("span").agg(F.sum("ids").alias("n"))
+    before = spans.select("span", (F.sum("n").over(Window.orderBy("span")) - F.col("n")).alias("before"))  # a row for each 1024 shards
+    inner = F.sum("ids").over(Window.partitionBy("span").orderBy("shard", "part")) - F.col("ids")
+    return slim.withColumn("inner", inner).join(before, "span").select("shard", "part", (F.col("before") + F.col("inner")).alias("start"))
 
 
 def read(parts: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 (as uint32) of each document, looked up by
     its key in the part that holds it."""
-    by_shard = parts.groupBy("shard").agg(F.sum("ids").alias("n"))
-    before = by_shard.withColumn("before", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).drop("n")  # a row for each shard
-    inner = F.sum("ids").over(Window.partitionBy("shard").orderBy("part")) - F.col("ids")
-    starts = parts.select("shard", "part", "ids").withColumn("inner", inner).join(before, "shard").select("shard", "part", (F.col("before") + F.col("inner")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe.library_coder.cache_clear()  # a worker that has encoded needs its words no more
         for batch in batches:
-            for shard, no, payload, header in zip(*(batch.column(x) for x in ("shard", "part", "payload", "header"))):
-                part = Part(payload.as_py(), header.as_py())
-                found = part.find(part.keys)
-                found += np.arange(len(found)) - np.searchsorted(part.keys, part.keys)  # later rows of one key follow the first
+            for shard, no, payload, names, header in zip(*(batch.column(x) for x in ("shard", "part", "payload", "keys", "header"))):
+                part, keys = Part(payload.as_py(), header.as_py()), np.frombuffer(names.as_py(), "<i8")
+                found = part.find(keys)
+                found += np.arange(len(found)) - np.searchsorted(keys, keys)  # later rows of one key follow the first
                 a, b = part.starts[found], part.starts[found + 1]
                 wide = memoryview(part.ids.astype("<u4")).cast("B")
                 crcs = [zlib.crc32(wide[i:j]) for i, j in zip((4 * a).tolist(), (4 * b).tolist())]
-                keys = pa.array(part.keys, pa.int64(), mask=part.keys == _NULL)
-                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * len(a), pa.int32()), pa.array([no.as_py()] * len(a), pa.int32()), keys, pa.array(a), pa.array(b - a), pa.array(crcs, pa.int64())], names=["shard", "part", "doc_id", "at", "n_tokens", "ids_crc32"])
+                ids = pa.array(keys, pa.int64(), mask=keys == _NULL)
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * len(a), pa.int32()), pa.array([no.as_py()] * len(a), pa.int32()), ids, pa.array(a), pa.array(b - a), pa.array(crcs, pa.int64())], names=["shard", "part", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+    found = parts.select("shard", "part", "payload", "keys", "header").mapInArrow(run, "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return found.join(part_starts(parts), ["shard", "part"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
 
-    found = parts.select("shard", "part", "payload", "header").mapInArrow(run, "shard int, part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return found.join(starts, ["shard", "part"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+def lookup(parts: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and ids (array of ids with the end id) of each distinct key of `keys`: its first document's; null where no
+    document has the key. A null key finds the first document without one. Other columns of keys are not read.
+
+    A key's shard comes from the shards' first keys (one number a shard, in a broadcast); its parts there from their
+    bounds; the rest is the part's hash. Only parts that can hold a key are read, without their own lists of keys."""
+    wanted = keys.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL)).alias("k")).distinct()
+    bounds = parts.groupBy("shard").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("shard").toPandas()
+    shard, low, high = (keys.sparkSession.sparkContext.broadcast(bounds[x].to_numpy()) for x in ("shard", "low", "high"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column("k").to_numpy()
+            at = np.searchsorted(high.value, k)  # the first shard that ends at the key or after it
+            fits = at < len(high.value)
+            fits[fits] = low.value[at[fits]] <= k[fits]
+            yield pa.RecordBatch.from_arrays([pa.array(k[fits]), pa.array(shard.value[at[fits]].astype(np.int32))], names=["k", "shard"])
+
+    def find(_: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        k, ids = asked["k"].to_numpy(), []
+        for payload, header in zip(held["payload"], held["header"]):
+            part = Part(payload.as_py(), header.as_py())
+            found = part.find(k)
+            ids = [part.ids[part.starts[i] : part.starts[i + 1]].tolist() if i >= 0 else None for i in found.tolist()]
+        return pa.table({"k": pa.array(k), "ids": pa.array(ids or [None] * len(k), pa.list_(pa.int64()))})
+
+    slim = parts.select("shard", "part", "low", "high")
+    placed = wanted.mapInArrow(place, "k long, shard int").join(slim, "shard").where("k BETWEEN low AND high").groupBy("k", "shard").agg(F.min("part").alias("part"))
+    placed = save(placed, "placed-keys")
+    held = parts.select("shard", "part", "payload", "header").join(placed.select("shard", "part").distinct(), ["shard", "part"], "left_semi")
+    found = placed.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(find, "k long, ids array<long>")
+    return wanted.join(found, "k", "left").select(F.when(F.col("k") != _NULL, F.col("k")).alias(key), "ids")
