@@ -1,10 +1,12 @@
 """Substring deduplication: relative Lempel-Ziv parsing against indexed reference blocks.
 
-A reference block is the part of the corpus whose 13-word windows have an anchor (their least hash of ANCHOR words)
-in one hash partition. Equal windows have equal anchors, so a document's factors against every block are its factors
-against the blocks of its own anchors: each run of windows with one anchor is sent to its block and to no other. In
-the block a whole run that stands in an earlier document is one factor; where runs differ, at the ends of factors,
-their windows are checked one by one. Factors that touch are joined into spans when they come back to the document."""
+A reference block is the part of the corpus whose 13-word windows have one anchor (their least hash of ANCHOR words).
+Equal windows have equal anchors, so a document's factors of 13 words and more against every block are its factors against
+the blocks of its own anchors: each run of windows with one anchor is sent to its block and to no other. A run that
+stands whole in an earlier document is one factor at once. The other runs are parsed: the block's windows are indexed by
+their earliest document, and from the first window that the index knows in an earlier one, the match is extended
+for as long as both texts agree; the factor ends there, and the parse goes on at its boundary, where the windows that
+cross it are looked up in turn. Factors that touch are joined into spans when they come back to the document."""
 
 from __future__ import annotations
 
@@ -13,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import drop_saved, lists, save, slices
+from plumbline.llm.common import drop_saved, in_groups, lists, save, slices
 from plumbline.llm.grams import RunHash, run_starts, word_hashes
 
 WINDOW = 13
 ANCHOR = 5
+BLOCK_RUNS = 8192
 _NULL = -(1 << 63)
 
 
@@ -83,10 +87,55 @@ def _runs(window: int, anchor: int):
     return run
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def factors(block: np.ndarray, doc: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy parse of runs against the runs of their block: for each factor its run, its first window there, and its
+    number of windows. Run r is windows[starts[r] : starts[r + 1]], of doc[r], in block[r]; references are runs of
+    smaller documents."""
+    total = len(windows)
+    run = np.repeat(np.arange(len(doc)), np.diff(starts))
+    owner, end = doc[run], starts[1:][run]
+    order = np.lexsort((np.arange(total), owner, windows, block[run]))
+    new = np.ones(total, bool)
+    new[1:] = (windows[order][1:] != windows[order][:-1]) | (block[run][order][1:] != block[run][order][:-1])
+    place = np.cumsum(new) - 1
+    code, first = np.empty(total, np.int64), np.empty(total, np.int64)
+    code[order], first[order] = place, order[np.flatnonzero(new)][place]  # the index: where a window stands first
+    known = np.append(np.where(owner[first] < owner, np.arange(total), total), total)
+    ahead = np.minimum.accumulate(known[::-1])[::-1]  # the next window that the index knows
+    at = ahead[starts[:-1]]
+    at = at[at < starts[1:]]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while len(at):
+        source, n = first[at], np.ones(len(at), np.int64)
+        going = np.arange(len(at))
+        while len(going):
+            p, q = at[going] + n[going], source[going] + n[going]
+            inside = (p < end[at[going]]) & (q < end[source[going]])
+            going, p, q = going[inside], p[inside], q[inside]
+            going = going[code[p] == code[q]]
+            n[going] += 1
+        found.append((at, n))
+        after = ahead[at + n]
+        at = after[after < end[at]]  # on at the boundary, in the same run
+    where, n = (np.concatenate(x) for x in zip(*found))
+    return run[where], where - starts[run[where]], n
+
+
+def _parsed(table: pa.Table) -> pa.RecordBatch:
+    lists_ = table["windows"].combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists_), np.int64))]).astype(np.int64)
+    docs, pos = table["doc"].to_numpy(), table["pos"].to_numpy()
+    run, at, n = factors(table["anchor"].to_numpy(), docs, starts, lists_.flatten().to_numpy())
+    return pa.RecordBatch.from_arrays([pa.array(docs[run]), pa.array(table["h"].to_numpy()[run]), pa.array((pos[run] + at).astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "h", "pos", "n"])
+
+
+def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_runs: int = BLOCK_RUNS) -> DataFrame:
     """doc, h and spans: for each document (doc: doc_id, null as the least long; h: a hash of its text) with
     duplicates, the places (start, n) whose windows start .. start + n - 1 have word sequences that also start in a
-    smaller document. Rows of one id are one document: none makes a duplicate of another."""
+    smaller document. Rows of one id are one document: none makes a duplicate of another.
+
+    A block of more than block_runs different runs is no task's: it is split into blocks of one window each, in which
+    parsing is to take the least document of each window."""
     rows = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.xxhash64("text").alias("h"), "text")
     anchors = save(rows.select("doc", "text").mapInArrow(_anchors(window, anchor), "doc long, anchors array<long>"), "anchors")
     single = anchors.select("doc", F.explode("anchors").alias("anchor"))
@@ -103,13 +152,18 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     # a run that stands whole in an earlier document is a factor
     firsts = save(each.groupBy("anchor", "content", "n").agg(F.min("doc").alias("first")), "contents")
     known = save(each.join(firsts, ["anchor", "content", "n"]).select("doc", "h", "pos", "n", "anchor", (F.col("first") < F.col("doc")).alias("whole"), F.when(F.col("first") == F.col("doc"), F.col("windows")).alias("windows")), "known-runs")
-    # the others lie at ends of factors where their anchor has other contents too: their windows are checked one by one
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor")
-    edges = known.where("NOT whole").join(several, "anchor", "left_semi")
-    windows = save(edges.select("doc", "h", "anchor", "pos", F.posexplode("windows").alias("i", "window")).select("doc", "h", "anchor", "window", (F.col("pos") + F.col("i")).alias("pos")), "edge-windows")
+    drop_saved(runs)
+    # the others are parsed where their anchor has other contents too
+    blocks = save(firsts.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1"), "blocks")
+    rest = known.where("NOT whole").select("doc", "h", "anchor", "pos", "windows")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rest.join(blocks.where(F.col("runs") <= block_runs).select("anchor"), "anchor").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    parsed = dealt.select("anchor", "doc", "h", "pos", "windows").mapInArrow(in_groups(["anchor"], _parsed), "doc long, h long, pos int, n int")
+    large = rest.join(blocks.where(F.col("runs") > block_runs).select("anchor"), "anchor", "left_semi")
+    windows = save(large.select("doc", "h", "anchor", "pos", F.posexplode("windows").alias("i", "window")).select("doc", "h", "anchor", "window", (F.col("pos") + F.col("i")).alias("pos")), "single-windows")
     least = windows.groupBy("anchor", "window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    single_windows = windows.join(save(least, "edge-firsts"), ["anchor", "window"]).where("first < doc").select("doc", "h", "pos", F.lit(1).alias("n"))
-    found = known.where("whole").select("doc", "h", "pos", "n").unionByName(single_windows)
+    singles = windows.join(save(least, "window-firsts"), ["anchor", "window"]).where("first < doc").select("doc", "h", "pos", F.lit(1).alias("n"))
+    found = known.where("whole").select("doc", "h", "pos", "n").unionByName(parsed).unionByName(singles)
     return found.groupBy("doc", "h").agg(F.collect_set(F.struct(F.col("pos").alias("start"), "n")).alias("spans"))
 
 

@@ -225,6 +225,51 @@ def test_substring_dedup_against_brute_force(docs, empty):
     assert substring.digest(empty).count() == 0
 
 
+def test_factors_are_longest_and_go_on_at_their_ends():
+    # block 0: documents 1 (two runs), 2 and 3; block 1: the same windows again, of document 0
+    runs = [(0, 1, [1, 2, 3, 4]), (0, 1, [7, 8]), (0, 2, [2, 3, 7, 9, 1, 2, 3]), (0, 3, [9, 1, 5, 3, 4, 8]), (1, 0, [9, 9, 9])]
+    block, doc = (np.array(x) for x in zip(*[r[:2] for r in runs]))
+    starts = np.cumsum([0, *[len(r[2]) for r in runs]])
+    found = substring.factors(block, doc, starts, np.array([w for r in runs for w in r[2]]))
+    assert sorted(zip(*(x.tolist() for x in found))) == [(2, 0, 2), (2, 2, 1), (2, 4, 3), (3, 0, 2), (3, 3, 2), (3, 5, 1)]
+    assert [len(x) for x in substring.factors(block[:0], doc[:0], np.zeros(1, np.int64), np.zeros(0, np.int64))] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("block_runs", [8192, 3])
+def test_substring_dedup_of_shared_passages(spark, block_runs):
+    rng = np.random.default_rng(7)
+    passages = [[f"p{i}_{j}" for j in range(40)] for i in range(4)] + [["la"] * 30]
+    rows = [(5, None), (None, " ".join(passages[0])), (None, " ".join(passages[1][5:30])), (6, ""), (7, "x" * 100_000)]
+    for k in range(40):
+        text: list[str] = []
+        for _ in range(3):  # parts of passages, between words of its own
+            cut = passages[int(rng.integers(5))]
+            a = int(rng.integers(10))
+            text += [f"d{k}_{x}" for x in range(int(rng.integers(6)))] + cut[a : a + int(rng.integers(10, 30))]
+        rows.append((k + 10, " ".join(text)))
+    rows += rows[10:14]  # repeated rows
+    first = {}
+    for k, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        w = words(t)
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), -1 if k is None else k)
+    want = Counter()
+    for k, t in rows:
+        w = words(t)
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < (-1 if k is None else k) for j in range(i, i + 13)}
+        want[k, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spans = substring.duplicate_spans(docs, block_runs=block_runs)
+    assert spans.count() > 20
+    plain = substring.duplicate_spans
+    try:
+        substring.duplicate_spans = lambda *x: plain(*x, block_runs=block_runs)
+        found = Counter(map(tuple, substring.remove_spans(docs).select("doc_id", "n_words", "n_removed", "kept_text").collect()))
+    finally:
+        substring.duplicate_spans = plain
+    assert found == want and sum(x[2] for x in want) > 100
+
+
 def test_id_files_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
@@ -239,7 +284,24 @@ def test_id_files_round_trip(spark, docs, empty):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (k, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert len(found) == len(TEXTS) + 2
-    assert idfile.read(idfile.write(empty, P.path("byte_bpe_50k.json"), P.PATTERN)).count() == 0
+    asked = spark.createDataFrame([(3,), (8,), (None,), (99,), (8,), (-7,)], "doc_id long")
+    got = {r.doc_id: r.ids for r in idfile.lookup(parts, asked).collect()}
+    want = {k: [*library.encode(t, add_special_tokens=False).ids, 0] for k, t in ((3, TEXTS[3]), (8, TEXTS[8]), (None, "null key"))}
+    assert got == want | {99: None, -7: None}
+    none = idfile.write(empty, P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert idfile.read(none).count() == 0 and [r.ids for r in idfile.lookup(none, asked.limit(1)).collect()] == [None]
+
+
+def test_id_files_split_rows_of_one_key(spark):
+    rows = spark.createDataFrame([(None if i % 3 else i, "same text " * (i % 3)) for i in range(900)], "doc_id long, text string").repartition(6)
+    parts = idfile.write(rows, P.path("byte_bpe_50k.json"), P.PATTERN, shard_rows=100)
+    assert parts.where(f"low = {-(1 << 63)}").select("shard").distinct().count() >= 4  # null keys are no single shard
+    found = sorted(idfile.read(parts).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None] * 600 + list(range(0, 900, 3))
+    assert [r.start for r in found] == np.cumsum([0, *[r.n_tokens for r in found]])[:-1].tolist()
+    assert idfile.part_starts(parts, span=2).orderBy("shard", "part").collect() == idfile.part_starts(parts).orderBy("shard", "part").collect()
+    long = spark.createDataFrame([(1, "word " * 900_000), (2, None)], "doc_id long, text string")  # more than a part
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in idfile.read(idfile.write(long, P.path("byte_bpe_50k.json"), P.PATTERN)).collect())[1][2] == 1
 
 
 def test_perfect_hash_finds_keys_and_refuses_others():
