@@ -41,6 +41,49 @@ def rotate_shear(e1: Column, e2: Column, ra_l: Column, dec_l: Column, ra_s: Colu
     return -(e1 * c + e2 * s), e1 * s - e2 * c
 
 
+def unix_timestamp(s: Column) -> Column:
+    """Unix seconds as a timestamp, with microseconds."""
+    return F.timestamp_micros(F.round(s * 1e6).cast("long"))
+
+
+def utc(text: Column) -> Column:
+    """A time in a text as a timestamp: with a zone (Z, +hh:mm, -hh:mm at its end) converted, without one taken as UTC; null where
+    it does not parse."""
+    bare = F.trim(text)
+    return F.try_to_timestamp(F.when(bare.rlike(r"(Z|[+-]\d\d:?\d\d)$"), bare).otherwise(F.concat(bare, F.lit("Z"))))
+
+
+def iso(t: Column) -> Column:
+    """A timestamp as ISO text in UTC, to the second, with Z. The session's zone must be UTC, as session.build sets it."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def basename(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def range_total(text: Column) -> Column:
+    """The number behind the last slash of a text such as a Content-Range; null where there is none."""
+    return F.nullif(F.regexp_extract(text, r"/(\d+)$", 1), F.lit("")).cast("long")
+
+
+def quadrature(*sigmas: Column) -> Column:
+    """The root of the sum of squares."""
+    return F.sqrt(sum((s * s for s in sigmas[1:]), sigmas[0] * sigmas[0]))
+
+
+def lensing_shadow(log_bar: Column, log_obs: Column, sigma: Column, z: float = 1.96, tail: float = -15.0) -> list[Column]:
+    """From the logarithms of two accelerations and the error of the second: eta, their signed difference, its envelope (low, high),
+    the state of its sign, and whether the first lies in the tail."""
+    bar, at = F.pow(F.lit(10.0), log_bar), lambda x: F.pow(F.lit(10.0), x)
+    low, high = at(log_obs - z * sigma) - bar, at(log_obs + z * sigma) - bar
+    ending = "CONDITIONAL_SENSITIVITY_ENVELOPE_95"
+    state = F.when(low > 0, f"POSITIVE_{ending}").when(high < 0, f"NEGATIVE_{ending}").otherwise(f"SIGN_AMBIGUOUS_{ending}")
+    reach = F.when(log_bar < tail, "LOW_ACCELERATION_TAIL_SYSTEMATICS_DOMINANT").otherwise("DECLARED_PRIMARY_RANGE")
+    made = {"eta": log_obs - log_bar, "difference": at(log_obs) - bar, "low": low, "high": high, "status": state, "reach": reach}
+    return [c.alias(k) for k, c in made.items()]
+
+
 def log10_excess_status(value: Column, sigma: Column, cut: float = 2.0) -> Column:
     """A typed state for a signed excess in units of its error."""
     return F.when(sigma.isNull() | (sigma <= 0), "NOT_ESTIMABLE").when(value / sigma >= cut, "POSITIVE_EXCESS").when(value / sigma <= -cut, "NEGATIVE_EXCESS").otherwise("CONSISTENT_WITH_ZERO")

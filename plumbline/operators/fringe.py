@@ -36,22 +36,32 @@ def fit_groups(df: DataFrame, by: str, y: str, terms: list[str]) -> DataFrame:
     return sums.mapInPandas(run, f"`{by}` {df.schema[by].dataType.simpleString()}, n long, beta array<double>")
 
 
-def profiled_scores(df: DataFrame, by: str, t: str, y: str, terms: list[str], frequencies: list[float], modulator: Column | None = None, scale: Column | None = None) -> DataFrame:
+def quadrature_signals(df: DataFrame, by: list[str], t: str, frequency: str, sign: Column | None = None) -> DataFrame:
+    """df with zc and zs: half the arm's sign (a column of +1 and -1; none: +2) times cos and sin of 2 pi f (t - t0), t0 being the
+    first t of each group."""
+    first = df.groupBy(*by).agg(F.min(t).alias("__t0"))
+    size = sign * 0.5 if sign is not None else F.lit(1.0)
+    angle = 2 * math.pi * F.col(frequency) * (F.col(t) - F.col("__t0"))
+    return df.join(first, by).withColumn("zc", size * F.cos(angle)).withColumn("zs", size * F.sin(angle)).drop("__t0")
+
+
+def profiled_scores(df: DataFrame, by: str, t: str, y: str, terms: list[str], frequencies: list[float], modulator: Column | None = None, scale: Column | None = None, apart: tuple[str, ...] = ()) -> DataFrame:
     """frequency, q_cos, q_sin, amplitude, phase, statistic for each frequency of a family (a parameter): the score test of
     modulator * (cos, sin)(2 pi f t) after each group's nuisance terms are projected out of the data and the signal.
 
     Sums of products for each group, and for each group and frequency, combine before the shuffle; a system of as many
-    unknowns as terms is solved on each of these rows; groups then add up. Degenerate frequencies give no row."""
+    unknowns as terms is solved on each of these rows; groups then add up, but not over columns of `apart`, which stand
+    beside the frequency in the result (a group has one value of them). Degenerate frequencies give no row."""
     p = len(terms)
     w = 1 / ((scale if scale is not None else F.lit(1.0)) * (scale if scale is not None else F.lit(1.0)))
     m = modulator if modulator is not None else F.lit(1.0)
-    rows = df.select(by, F.col(t).alias("__t"), F.col(y).alias("__y"), m.alias("__m"), w.alias("__w"), *terms).na.drop()
+    rows = df.select(by, *apart, F.col(t).alias("__t"), F.col(y).alias("__y"), m.alias("__m"), w.alias("__w"), *terms).na.drop()
     dot = lambda a, b: F.sum(F.col("__w") * F.col(a) * F.col(b))
-    base = rows.groupBy(by).agg(F.array(*[dot(a, b) for a in terms for b in terms]).alias("xx"), F.array(*[dot(a, "__y") for a in terms]).alias("xy"))
+    base = rows.groupBy(by, *apart).agg(F.array(*[dot(a, b) for a in terms for b in terms]).alias("xx"), F.array(*[dot(a, "__y") for a in terms]).alias("xy"))
     waves = rows.withColumn("frequency", F.explode(F.array(*map(F.lit, frequencies))))
     angle = 2 * math.pi * F.col("frequency") * F.col("__t")
     waves = waves.withColumn("__c", F.col("__m") * F.cos(angle)).withColumn("__s", F.col("__m") * F.sin(angle))
-    each = waves.groupBy(by, "frequency").agg(
+    each = waves.groupBy(by, *apart, "frequency").agg(
         F.array(*[dot(a, z) for a in terms for z in ("__c", "__s")]).alias("xz"),
         F.array(dot("__c", "__c"), dot("__c", "__s"), dot("__s", "__s")).alias("zz"),
         F.array(dot("__c", "__y"), dot("__s", "__y")).alias("zy"),
@@ -65,14 +75,15 @@ def profiled_scores(df: DataFrame, by: str, t: str, y: str, terms: list[str], fr
             back = np.swapaxes(xz, 1, 2) @ np.linalg.pinv(xx, hermitian=True)
             g = np.stack(f.zz)[:, [0, 1, 1, 2]].reshape(-1, 2, 2) - back @ xz
             s = np.stack(f.zy) - (back @ np.stack(f.xy)[:, :, None])[:, :, 0]
-            yield pd.DataFrame({"frequency": f.frequency, "cc": g[:, 0, 0], "cs": g[:, 0, 1], "ss": g[:, 1, 1], "c": s[:, 0], "s": s[:, 1]})
+            yield pd.DataFrame({c: f[c] for c in apart} | {"frequency": f.frequency, "cc": g[:, 0, 0], "cs": g[:, 0, 1], "ss": g[:, 1, 1], "c": s[:, 0], "s": s[:, 1]})
 
-    parts = each.join(base, by).mapInPandas(run, "frequency double, cc double, cs double, ss double, c double, s double")
-    total = parts.groupBy("frequency").agg(*[F.sum(x).alias(x) for x in ("cc", "cs", "ss", "c", "s")])
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in apart)
+    parts = each.join(base, [by, *apart]).mapInPandas(run, kinds + "frequency double, cc double, cs double, ss double, c double, s double")
+    total = parts.groupBy(*apart, "frequency").agg(*[F.sum(x).alias(x) for x in ("cc", "cs", "ss", "c", "s")])
     det = F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs")
     ok = total.where(det > 1e-12 * F.col("cc") * F.col("ss"))
-    out = ok.select("frequency", "c", "s", ((F.col("ss") * F.col("c") - F.col("cs") * F.col("s")) / det).alias("q_cos"), ((F.col("cc") * F.col("s") - F.col("cs") * F.col("c")) / det).alias("q_sin"))
-    return out.select("frequency", "q_cos", "q_sin", F.hypot("q_cos", "q_sin").alias("amplitude"), F.atan2("q_sin", "q_cos").alias("phase"), (F.col("c") * F.col("q_cos") + F.col("s") * F.col("q_sin")).alias("statistic"))
+    out = ok.select(*apart, "frequency", "c", "s", ((F.col("ss") * F.col("c") - F.col("cs") * F.col("s")) / det).alias("q_cos"), ((F.col("cc") * F.col("s") - F.col("cs") * F.col("c")) / det).alias("q_sin"))
+    return out.select(*apart, "frequency", "q_cos", "q_sin", F.hypot("q_cos", "q_sin").alias("amplitude"), F.atan2("q_sin", "q_cos").alias("phase"), (F.col("c") * F.col("q_cos") + F.col("s") * F.col("q_sin")).alias("statistic"))
 
 
 def gram(df: DataFrame, columns: list[str], by: str) -> DataFrame:

@@ -1,27 +1,52 @@
-"""Nearest-time, band, bracket and validated joins."""
+"""Nearest-time, band, bracket, validated and suffix joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import pieces
 
-def asof_nearest(left: DataFrame, right: DataFrame, tolerance: float, left_id: str = "id", t: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
+
+def asof_nearest(left: DataFrame, right: DataFrame, tolerance: float, t: str = "t", by: tuple[str, ...] = (), order: str | None = None, ranges: float = 8.0) -> DataFrame:
     """Every left row with the right row nearest in t within the tolerance (inclusive), ties to the earlier; right
-    columns get the prefix r_ and are null where nothing is near.
-
-    Right rows fall in buckets as wide as the tolerance; a left row looks into three, so that the join is an equi-join
-    that shuffles once a side, at any size. A null t matches nothing."""
-    bucket = lambda c: F.floor(c / tolerance).cast("long")
-    near = left.select(left_id, F.col(t).alias("__t"), *by, F.explode(F.array(*[bucket(F.col(t)) + i for i in (-1, 0, 1)])).alias("__b"))
-    there = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], *[F.col(c).alias(f"__by_{c}") for c in by], bucket(F.col(t)).alias("__rb"))
-    on: Column = F.col("__b") == F.col("__rb")
+    columns get the prefix r_ and are null where nothing is near. A null t or key matches nothing.
+
+    Of right rows of one time the last in `order` (a right column; none: all its columns) is the nearest before, the first
+    the nearest after. Both sides are cut into ranges of `ranges` tolerances and ordered there once; the range beside gives
+    its outermost right row, as nothing further can be near. No pairs are made."""
+    if ranges < 1:
+        raise ValueError("a range must be as wide as the tolerance")
+    keys = [*by, pieces.CUT]
+    names = right.columns
+    ord_ = F.col(order) if order else F.struct(*names)
+    fits = F.col(t).isNotNull()
     for c in by:
-        on = on & (F.col(c) == F.col(f"__by_{c}"))
-    gap = F.abs(F.col(f"r_{t}") - F.col("__t"))
-    names = [f"r_{c}" for c in right.columns]
-    hits = near.join(there, on).where(gap <= tolerance).groupBy(left_id).agg(F.min(F.struct(gap.alias("gap"), f"r_{t}", *[n for n in names if n != f"r_{t}"])).alias("m"))
-    return left.join(hits, left_id, "left").select(*left.columns, *[F.col(f"m.{n}").alias(n) for n in names])
+        fits = fits & F.col(c).isNotNull()
+    cut = pieces.cut(t, ranges * tolerance).alias(pieces.CUT)
+    there = right.where(fits).select(*by, cut, F.col(t).alias("__t"), ord_.alias("__o"), F.struct(*names).alias("__r"))
+    here = left.where(fits).select(*by, cut, F.col(t).alias("__t"), F.struct(*left.columns).alias("__l"))
+    both = there.unionByName(here, allowMissingColumns=True)
+    is_left = F.col("__l").isNotNull()
+    running = lambda *o: Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
+    back = F.last("__r", ignorenulls=True).over(running(F.asc("__t"), is_left.asc(), F.asc("__o")))
+    ahead = F.last("__r", ignorenulls=True).over(running(F.desc("__t"), is_left.asc(), F.desc("__o")))
+    rows = both.withColumn("__back", back).withColumn("__ahead", ahead).where(is_left)
+    place = F.struct("__t", "__o")
+    edge = there.groupBy(*keys).agg(F.min_by("__r", place).alias("__first"), F.max_by("__r", place).alias("__last"))
+    shifted = lambda c, by_: edge.select(*by, (F.col(pieces.CUT) + by_).alias(pieces.CUT), c)
+    rows = rows.join(shifted("__last", 1), keys, "left").join(shifted("__first", -1), keys, "left")
+    rows = rows.withColumn("__back", F.coalesce("__back", "__last")).withColumn("__ahead", F.coalesce("__ahead", "__first"))
+    gap_back, gap_ahead = F.col("__t") - F.col(f"__back.{t}"), F.col(f"__ahead.{t}") - F.col("__t")
+    near = F.when(gap_back.isNotNull() & (gap_ahead.isNull() | (gap_back <= gap_ahead)), F.col("__back")).otherwise(F.col("__ahead"))
+    hit = F.when(F.least(gap_back, gap_ahead) <= tolerance, near)
+    out = rows.withColumn("__hit", hit).select("__l.*", *[F.col(f"__hit.{n}").alias(f"r_{n}") for n in names])
+    return out.unionByName(left.where(~fits), allowMissingColumns=True)
+
+
+def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("time",)) -> DataFrame:
+    """df with a prefix to all column names but those kept."""
+    return df.withColumnsRenamed({c: f"{prefix}{c}" for c in df.columns if c not in keep})
 
 
 def band_join(left: DataFrame, right: DataFrame, x: str, y: str, half_width: float) -> DataFrame:
@@ -33,23 +58,42 @@ def band_join(left: DataFrame, right: DataFrame, x: str, y: str, half_width: flo
 
 
 def many_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """A left join whose result says, row by row, whether the right side was unique: MATCHED, UNMATCHED or AMBIGUOUS."""
-    counted = right.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
-    one = counted.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).where("__i = 1").drop("__i")
+    """A left join whose result says, row by row, whether the right side was unique: MATCHED, UNMATCHED or AMBIGUOUS. An
+    ambiguous key has several right rows; none of them is picked, so the right columns are null."""
+    others = [c for c in right.columns if c != key]
+    one = right.groupBy(key).agg(F.count("*").alias("__n"), F.min(F.struct(*others)).alias("__r") if others else F.lit(None).alias("__r"))
     status = F.when(F.col("__n").isNull(), "UNMATCHED").when(F.col("__n") > 1, "AMBIGUOUS").otherwise("MATCHED")
-    return left.join(one, key, "left").withColumn("join_status", status).drop("__n")
-
-
-def interpolate(marks: DataFrame, series: DataFrame, t: str, v: str, by: str) -> DataFrame:
-    """Linear value of each by-series at marks (by, t): null outside its coverage. Two ordered
-    passes over each key's rows."""
-    both = marks.select(by, t, F.lit(None).cast("double").alias(v), F.lit(1).alias("__m")).unionByName(series.select(by, t, v, F.lit(0).alias("__m")))
-    w = Window.partitionBy(by).orderBy(t, "__m")
-    point = F.when(F.col("__m") == 0, F.struct(F.col(t).alias("t"), F.col(v).alias("v")))
-    back = Window.partitionBy(by).orderBy(F.desc(t), "__m")
-    # running last values both ways: a frame that only grows costs a step a row
-    lo = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.last(point, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("lo", lo).withColumn("hi", hi).where("__m = 1")
-    line = F.when(F.col("lo.t") == F.col(t), F.col("lo.v")).when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.col("lo.v") + (F.col("hi.v") - F.col("lo.v")) * (F.col(t) - F.col("lo.t")) / (F.col("hi.t") - F.col("lo.t")))
-    return out.select(by, t, line.alias("value"))
+    picked = [F.when(F.col("__n") == 1, F.col(f"__r.{c}")).alias(c) for c in others]
+    return left.join(one, key, "left").select(*left.columns, *picked, status.alias("join_status"))
+
+
+def unmatched_keys(left: DataFrame, right: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """The first `most` left keys in order that the right side lacks: what an error message names."""
+    return left.join(right, key, "left_anti").select(key).distinct().orderBy(key).limit(most)
+
+
+def suffix_lookup(names: DataFrame, entries: DataFrame, suffix: str = "suffix", path: str = "path") -> DataFrame:
+    """names with path, n and lookup_status: the one entry whose path ends with the suffix (FOUND), or none (NOT_FOUND), or more
+    (AMBIGUOUS, no path). A suffix has a file name; entries are joined on that, then compared whole."""
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    there = entries.select(F.col(path).alias("__path")).withColumn("__base", base(F.col("__path")))
+    wanted = names.withColumn("__base", base(F.col(suffix)))
+    # a suffix may begin inside a file name: then its base is only the end of the entry's, so lengths are tried, not bases
+    ends = F.transform(F.sequence(F.lit(1), F.length("__base")), lambda i: F.substring(F.col("__base"), -i, i))
+    there = there.withColumn("__base", F.explode(ends))
+    found = wanted.join(there, "__base").where(F.endswith(F.col("__path"), F.col(suffix))).groupBy(suffix).agg(F.count("*").alias("__n"), F.min("__path").alias("__p"))
+    status = F.when(F.col("__n").isNull(), "NOT_FOUND").when(F.col("__n") > 1, "AMBIGUOUS").otherwise("FOUND")
+    return names.join(found, suffix, "left").select(*names.columns, F.when(F.col("__n") == 1, F.col("__p")).alias("path"), F.coalesce("__n", F.lit(0)).alias("n"), status.alias("lookup_status"))
+
+
+def interpolate(marks: DataFrame, series: DataFrame, t: str, v: str, by: str, width: float) -> DataFrame:
+    """Linear value of each by-series at marks (by, t): null outside its coverage. Points of one series stand at different t. Ranges of
+    `width` in t are ordered apart (see pieces.around)."""
+    none = F.lit(None).cast(f"struct<t:double,v:{series.schema[v].dataType.simpleString()}>")
+    point = F.struct(F.col(t).cast("double").alias("t"), F.col(v).alias("v"))
+    both = marks.select(by, t, none.alias("__p"), F.lit(True).alias("__m")).unionByName(series.select(by, t, point.alias("__p"), F.lit(False).alias("__m")))
+    out = pieces.around(both, [by], t, "__p", width).where("__m")
+    at = lambda side, x: F.col(f"{side}.{x}")
+    line = at("lo", "v") + (at("hi", "v") - at("lo", "v")) * (F.col(t) - at("lo", "t")) / (at("hi", "t") - at("lo", "t"))
+    value: Column = F.when(at("lo", "t") == F.col(t), at("lo", "v")).when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), line)
+    return out.select(by, t, value.alias("value"))

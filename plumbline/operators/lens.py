@@ -119,13 +119,15 @@ def operator_status(df: DataFrame, multiplier: float = 1.96) -> DataFrame:
 
 def covariance_checks(c: DataFrame, tolerance: float = 1e-10) -> DataFrame:
     """One row on a covariance (i, j, v): size, cells, missing, asymmetric (pairs that differ by more), diagonal_bad (not above
-    0), max_correlation off the diagonal. The transpose comes by an equi-join."""
+    0), max_correlation off the diagonal, and positive_definite, least_eigenvalue and condition of the whole matrix (null where
+    cells are missing, doubled or no numbers, or it is not symmetric). The transpose comes by an equi-join; eigenvalues by numpy
+    in one task, so a size over 2048 is an error."""
     other = c.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").alias("__t"))
     diagonal = c.where("i = j").select("i", F.col("v").alias("d"))
     both = c.join(other, ["i", "j"], "left").join(diagonal, "i", "left").join(diagonal.select(F.col("i").alias("j"), F.col("d").alias("e")), "j", "left")
     size = F.count_distinct("i")
     correlation = F.when((F.col("i") != F.col("j")) & (F.col("d") > 0) & (F.col("e") > 0), F.abs(F.col("v")) / F.sqrt(F.col("d") * F.col("e")))
-    return both.agg(
+    shape = both.agg(
         size.alias("size"),
         F.count("*").alias("cells"),
         (size * size - F.count("*")).alias("missing"),
@@ -133,3 +135,29 @@ def covariance_checks(c: DataFrame, tolerance: float = 1e-10) -> DataFrame:
         F.count_if((F.col("i") == F.col("j")) & ~(F.col("v") > 0)).alias("diagonal_bad"),
         F.max(correlation).alias("max_correlation"),
     )
+
+    def eigen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.concat([pd.DataFrame({"i": [], "j": [], "v": []}), *batches])
+        names = np.unique(held.i)
+        n = len(names)
+        if n > 2048:
+            raise ValueError("at most 2048 rows and columns")
+        m = np.full((n, n), np.nan)
+        m[np.searchsorted(names, held.i), np.searchsorted(names, held.j)] = held.v
+        fine = n > 0 and len(held) == n * n and np.isfinite(m).all() and np.abs(m - m.T).max() <= tolerance
+        low, high = np.linalg.eigvalsh(m)[[0, -1]] if fine else (None, None)
+        yield pd.DataFrame({"positive_definite": [bool(low > 0) if fine else None], "least_eigenvalue": [low], "condition": [high / low if fine and low > 0 else None]})
+
+    values = c.select("i", "j", F.col("v").cast("double").alias("v")).repartition(1).mapInPandas(eigen, "positive_definite boolean, least_eigenvalue double, condition double")
+    return shape.crossJoin(F.broadcast(values))  # one row
+
+
+def block_diagonal(a: DataFrame, blocks: int, size: int) -> DataFrame:
+    """The matrix (i, j, v) `blocks` times along the diagonal of a larger one; size: rows of one block."""
+    moved = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * size)).alias("__o")
+    return a.select("i", "j", "v", moved).select((F.col("i") + F.col("__o")).alias("i"), (F.col("j") + F.col("__o")).alias("j"), "v")
+
+
+def corrected_covariance(c: DataFrame) -> DataFrame:
+    """i, j, v: covariance (i, j, v) over the bias product (bias) of its cell; null where that is not above 0."""
+    return c.select("i", "j", F.when(F.col("bias") > 0, F.col("v") / F.col("bias")).alias("v"))

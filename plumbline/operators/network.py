@@ -69,10 +69,10 @@ def surface(values: DataFrame, delay: DataFrame, weights: DataFrame, cadence: fl
 
 
 def best_hit(scores: DataFrame, by: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
-    """The greatest absolute score (ties: the first centre, then the first template) over all rows or for each key."""
+    """The greatest absolute score (ties: the first centre, then the first template) over all rows or for each key; no scores, no row."""
     size = F.abs(F.col("score") if digits is None else F.round("score", digits))
     best = scores.groupBy(*by).agg(F.min(F.struct((-size).alias("s"), "centre", "template", "score")).alias("b"))
-    return best.select(*by, (-F.col("b.s")).alias("statistic"), "b.centre", *([] if "template" in by else ["b.template"]), "b.score")
+    return best.where("b IS NOT NULL").select(*by, (-F.col("b.s")).alias("statistic"), "b.centre", *([] if "template" in by else ["b.template"]), "b.score")
 
 
 def inject(values: DataFrame, delay: DataFrame, template: int, centre: float, amplitude: float, cadence: float = 1.0) -> DataFrame:

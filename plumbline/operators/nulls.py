@@ -25,8 +25,13 @@ def rank_pvalue(targets: DataFrame, nulls: DataFrame, stat: str = "statistic", b
 
 def critical_value(nulls: DataFrame, alpha: float, stat: str = "statistic", by: str = "family") -> DataFrame:
     """by, n, critical: of n nulls in falling order the one at floor(alpha * (n + 1) - 1), from 0; null when that is below 0."""
-    one = nulls.groupBy(by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(stat), asc=False).alias("v"))
-    return one.select(by, "n", F.get("v", F.floor(alpha * (F.col("n") + 1) - 1).cast("int")).alias("critical"))
+    counts = nulls.groupBy(by, stat).agg(F.count("*").alias("__k"))
+    falling = Window.partitionBy(by).orderBy(F.desc(stat)).rowsBetween(Window.unboundedPreceding, 0)
+    n = nulls.groupBy(by).agg(F.count("*").alias("n"))
+    place = F.floor(alpha * (F.col("n") + 1) - 1)
+    # the first value at which more rows are counted than stand before the place
+    at = counts.withColumn("__to", F.sum("__k").over(falling)).join(n, by).where((place >= 0) & (F.col("__to") > place))
+    return n.join(at.groupBy(by).agg(F.max(stat).alias("critical")), by, "left")
 
 
 def shift_table(sizes: DataFrame, draws: int, seed: int, by: str = "group") -> DataFrame:

@@ -2,32 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def skew_score(skew: Column, n: Column) -> Column:
+    """D'Agostino's normal score of a population skewness of n values (8 at least, else null)."""
+    y = skew * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
+    beta = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
+    w2 = F.sqrt(2 * (beta - 1)) - 1
+    y = F.when(y == 0, 1.0).otherwise(y) / F.sqrt(2 / (w2 - 1))
+    return F.when(n >= 8, F.ln(y + F.sqrt(y * y + 1)) / F.sqrt(0.5 * F.ln(w2)))
+
+
+def kurtosis_score(excess: Column, n: Column) -> Column:
+    """Anscombe and Glynn's normal score of a population excess kurtosis of n values (5 at least, else null)."""
+    mean = 3.0 * (n - 1) / (n + 1)
+    spread = F.sqrt(24.0 * n * (n - 2) * (n - 3) / ((n + 1.0) * (n + 1) * (n + 3) * (n + 5)))
+    skew = 6.0 * (n * n - 5 * n + 2) / ((n + 7.0) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3)))
+    a = 6 + 8 / skew * (2 / skew + F.sqrt(1 + 4 / (skew * skew)))
+    low = 1 + (excess + 3 - mean) / spread * F.sqrt(2 / (a - 4))
+    root = F.signum(low) * F.cbrt((1 - 2 / a) / F.abs(F.nullif(low, F.lit(0.0))))
+    return F.when(n >= 5, (1 - 2 / (9 * a) - root) / F.sqrt(2 / (9 * a)))
+
+
 def residual_summary(df: DataFrame, by: str, v: str) -> DataFrame:
-    """n, mean, sd, median, mad, bias-corrected skew and excess kurtosis, and the share beyond 3 * 1.4826 * mad (0 when mad
-    is 0). The medians come back by a join on the group."""
+    """n, mean, sd, median, mad, bias-corrected skew and excess kurtosis, the share beyond 3 * 1.4826 * mad (0 when mad
+    is 0), and D'Agostino's k2 with its p (null under 8 values or without spread). The medians come back by a join on the
+    group."""
     fine = df.where(F.col(v).isNotNull() & ~F.isnan(v))
     centre = fine.groupBy(by).agg(F.median(v).alias("median"))
     off = F.abs(F.col(v) - F.col("median"))
     mads = fine.join(centre, by).groupBy(by).agg(F.first("median").alias("median"), F.median(off).alias("mad"))
-    n = F.count(v)
-    g1, g2 = F.skewness(v), F.kurtosis(v)
-    return (
-        fine.join(mads, by)
-        .groupBy(by)
-        .agg(
-            n.alias("n"),
-            F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("sd"),
-            F.first("median").alias("median"),
-            F.first("mad").alias("mad"),
-            (g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
-            (((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurtosis"),
-            F.avg(F.when((F.col("mad") > 0) & (off > 3 * 1.4826 * F.col("mad")), 1.0).otherwise(0.0)).alias("beyond"),
-        )
+    n, g1, g2 = F.col("n"), F.col("g1"), F.col("g2")
+    sums = fine.join(mads, by).groupBy(by).agg(
+        F.count(v).alias("n"),
+        F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("sd"),
+        F.first("median").alias("median"),
+        F.first("mad").alias("mad"),
+        F.skewness(v).alias("g1"),
+        F.kurtosis(v).alias("g2"),
+        F.avg(F.when((F.col("mad") > 0) & (off > 3 * 1.4826 * F.col("mad")), 1.0).otherwise(0.0)).alias("beyond"),
+    )
+    k2 = F.pow(skew_score(g1, n), F.lit(2)) + F.pow(kurtosis_score(g2, n), F.lit(2))
+    out = sums.withColumn("skew", F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2)))
+    out = out.withColumn("kurtosis", F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))).withColumn("k2", F.when(~F.isnan(k2), k2))
+    return out.withColumn("p", F.exp(-F.col("k2") / 2)).drop("g1", "g2")
+
+
+def two_level_quantiles(df: DataFrame, group: str, member: str, v: str, least: int = 5) -> DataFrame:
+    """group, n, q16, median, q84, status: each member's median, then quantiles over a group's members; null and INSUFFICIENT
+    under `least` members, else DESCRIPTIVE."""
+    each = df.groupBy(group, member).agg(F.median(v).alias("m"))
+    out = each.groupBy(group).agg(F.count("*").alias("n"), F.percentile("m", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("q"))
+    enough = F.col("n") >= least
+    value = lambda i: F.when(enough, F.col("q")[i])
+    return out.select(group, "n", value(0).alias("q16"), value(1).alias("median"), value(2).alias("q84"), F.when(enough, "DESCRIPTIVE").otherwise("INSUFFICIENT").alias("status"))
+
+
+def ratio_summary(df: DataFrame, by: str, ratio: str, z: str) -> DataFrame:
+    """by, n, median_ratio, max_abs_log10, z_median, z_max, z_over_2: of the finite positive ratios and of the absolute z."""
+    good = F.col(ratio).isNotNull() & ~F.isnan(ratio) & (F.col(ratio) > 0) & (F.col(ratio) < float("inf"))
+    value, size = F.when(good, F.col(ratio)), F.abs(z)
+    return df.groupBy(by).agg(
+        F.count("*").alias("n"), F.median(value).alias("median_ratio"), F.max(F.abs(F.log10(value))).alias("max_abs_log10"),
+        F.median(size).alias("z_median"), F.max(size).alias("z_max"), F.count_if(size > 2).alias("z_over_2"),
     )
 
 

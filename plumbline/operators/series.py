@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import fringe, pieces
+
 
 def project_nuisance(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """df with residual: y less its group's least-squares line in x."""
@@ -16,6 +19,27 @@ def project_nuisance(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     return df.join(fits, by).withColumn("residual", F.col(y) - F.col("__a") * F.col(x) - F.col("__b")).drop("__a", "__b")
 
 
+def project_standardised(df: DataFrame, by: str, xs: list[str], y: str) -> tuple[DataFrame, DataFrame]:
+    """df with residual, and by, n, beta: y less its group's least squares in 1 and the columns xs, each less its mean over its sample
+    deviation (1 where that is 0); beta is the intercept and then a coefficient of each standardised column. Rows with a
+    null or NaN have no residual and no part in the fit; groups of no more rows than coefficients have neither."""
+    rows = df
+    good = F.lit(True)
+    for c in [*xs, y]:
+        good = good & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    scales = rows.where(good).groupBy(by).agg(*[f(c).alias(f"__{n}{i}") for i, c in enumerate(xs) for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+    names = [f"__z{i}" for i in range(len(xs))]
+    both = rows.join(scales, by, "left")
+    for i, c in enumerate(xs):
+        both = both.withColumn(names[i], F.when(good, (F.col(c) - F.col(f"__m{i}")) / F.coalesce(F.nullif(F.col(f"__s{i}"), F.lit(0.0)), F.lit(1.0))))
+    both = both.withColumn("__one", F.lit(1.0)).withColumn("__y", F.when(good, F.col(y).cast("double")))
+    fits = fringe.fit_groups(both, by, "__y", ["__one", *names])
+    out = both.join(fits.select(by, "beta"), by, "left")
+    line = sum((F.col("beta")[i + 1] * F.col(n) for i, n in enumerate(names)), F.col("beta")[0])
+    drop = [*names, "__one", "__y", "beta", *[f"__{n}{i}" for i in range(len(xs)) for n in "ms"]]
+    return out.withColumn("residual", F.col("__y") - line).drop(*drop), fits
+
+
 def lag_scan(x: DataFrame, y: DataFrame, most: int, least_pairs: int = 8) -> DataFrame:
     """lag, n, r for lags -most to most of two series (i, v) on one integer grid: x[i] against y[i + lag]. An equi-join
     on the shifted index, as many rows as pairs."""
@@ -49,17 +73,6 @@ def block_coherence(df: DataFrame, blocks: int, frequency: float) -> DataFrame:
     return parts.agg(((re * re + im * im) / (px * py)).alias("coherence"), F.count("*").alias("blocks"))
 
 
-def circular_correlations(df: DataFrame, n: int) -> DataFrame:
-    """shift and total: sum of x[i] * y[(i + shift) mod n] for all shifts, for short series."""
-    left = df.select("x", "i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shift")).withColumn("j", (F.col("i") + F.col("shift")) % n)
-    return left.join(df.select(F.col("i").alias("j"), "y"), "j").groupBy("shift").agg(F.sum(F.col("x") * F.col("y")).alias("total"))
-
-
-def _segments(x: np.ndarray, size: int) -> np.ndarray:
-    starts = range(0, len(x) - size + 1, size // 2)
-    return np.stack([x[a : a + size] for a in starts])
-
-
 def _hann(size: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
 
@@ -69,53 +82,77 @@ def _detrend(x: np.ndarray) -> np.ndarray:
     return x - np.polyval(np.polyfit(i, x, 1), i)
 
 
-def _welch(x: np.ndarray, most: int) -> np.ndarray:
-    size = 1 << int(math.log2(min(most, len(x))))
-    w = _hann(size)
-    p = (np.abs(np.fft.rfft(_segments(x, size) * w)) ** 2).mean(0) / (w @ w)
-    p[1:-1] *= 2
-    return p
-
-
 def _periodogram(x: np.ndarray) -> np.ndarray:
     p = np.abs(np.fft.rfft(x)) ** 2 / len(x)
     p[1 : None if len(x) % 2 else -1] *= 2
     return p
 
 
-def welch(df: DataFrame, by: str, order: str, v: str, most: int = 256) -> DataFrame:
+def segments(df: DataFrame, by: str, order: str, columns: list[str], most: int, width: float) -> DataFrame:
+    """by, segment, size and one array of each column: the values of half-overlapping segments of each series less its
+    least-squares line over the row number. Their size is the greatest power of two up to min(most, n). Rows with a null or NaN
+    are left out before they are numbered; series under 16 rows give none. Ranges of `width` of the order column
+    are numbered apart, and a segment is one group: no task has a whole series."""
+    good = F.lit(True)
+    for c in columns:
+        good = good & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = df.where(good).select(by, order, *[F.col(c).cast("double").alias(c) for c in columns])
+    rows = pieces.numbered(rows, [by], [order], width).where("n >= 16").withColumn("i", (F.col("i") - 1).cast("double"))
+    lines = rows.groupBy(by).agg(*[f(c, "i").alias(f"__{n}_{c}") for c in columns for n, f in (("a", F.regr_slope), ("b", F.regr_intercept))])
+    flat = rows.join(lines, by).select(by, "i", "n", *[(F.col(c) - F.col(f"__a_{c}") * F.col("i") - F.col(f"__b_{c}")).alias(c) for c in columns])
+    size = F.pow(F.lit(2.0), F.floor(F.log2(F.least(F.col("n"), F.lit(most))))).cast("long")
+    half = size / 2
+    # a row is in the segment that begins at its half and in the one before
+    place = F.floor(F.col("i") / half)
+    both = flat.withColumn("size", size).withColumn("segment", F.explode(F.array(place - 1, place)))
+    whole = both.where((F.col("segment") >= 0) & (F.col("segment") * half + size <= F.col("n")))
+    return whole.groupBy(by, "segment", "size").agg(F.array_sort(F.collect_list(F.struct("i", *columns))).alias("v")).select(by, "segment", "size", *[F.col(f"v.{c}").alias(c) for c in columns])
+
+
+def welch(df: DataFrame, by: str, order: str, v: str, width: float, most: int = 256) -> DataFrame:
     """by, k, density: Welch's one-sided power density at frequency k / size: the series less its line, periodic Hann windows of
-    the greatest power of two up to min(most, n), half overlapping, not detrended again. One series a task; series under 16
-    values give no rows."""
+    the greatest power of two up to min(most, n), half overlapping, not detrended again. Each segment is transformed by
+    itself, and their spectra add up; series under 16 values give no rows."""
+    kind = df.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for size, part in f.groupby("size"):
+                w = _hann(size)
+                p = np.abs(np.fft.rfft(np.stack(part[v]) * w)) ** 2 / (w @ w)
+                p[:, 1:-1] *= 2
+                yield pd.DataFrame({by: np.repeat(part[by].to_numpy(), p.shape[1]), "k": np.tile(np.arange(p.shape[1]), len(part)), "p": p.ravel()})
+
+    each = segments(df, by, order, [v], most, width).select(by, "size", v).mapInPandas(run, f"`{by}` {kind}, k int, p double")
+    return each.groupBy(by, "k").agg(F.avg("p").alias("density"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[v].dropna().to_numpy(float)
-        if len(x) < 16:
-            return pd.DataFrame()
-        p = _welch(_detrend(x), most)
-        return pd.DataFrame({by: pdf[by].iloc[0], "k": np.arange(len(p)), "density": p})
 
+def coherence(df: DataFrame, by: str, order: str, x: str, y: str, width: float, most: int = 128) -> DataFrame:
+    """by, k, coherence: magnitude-squared coherence of linearly detrended series, segments without their means. Rows with a null in
+    either are left out first. Segments are transformed by themselves, and four sums of each frequency add up; null where a
+    power is 0."""
     kind = df.schema[by].dataType.simpleString()
-    return df.groupBy(by).applyInPandas(run, f"`{by}` {kind}, k int, density double")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for size, part in f.groupby("size"):
+                a, b = (np.fft.rfft((s - s.mean(1, keepdims=True)) * _hann(size)) for s in (np.stack(part[x]), np.stack(part[y])))
+                cross, n = np.conj(a) * b, size // 2 + 1
+                sums = {"re": cross.real, "im": cross.imag, "pa": np.abs(a) ** 2, "pb": np.abs(b) ** 2}
+                yield pd.DataFrame({by: np.repeat(part[by].to_numpy(), n), "k": np.tile(np.arange(n), len(part))} | {c: s.ravel() for c, s in sums.items()})
 
-def coherence(df: DataFrame, by: str, order: str, x: str, y: str, most: int = 128) -> DataFrame:
-    """by, k, coherence: magnitude-squared coherence of linearly detrended series, segments without their means."""
+    each = segments(df, by, order, [x, y], most, width).select(by, "size", x, y).mapInPandas(run, f"`{by}` {kind}, k int, re double, im double, pa double, pb double")
+    sums = each.groupBy(by, "k").agg(*[F.sum(c).alias(c) for c in ("re", "im", "pa", "pb")])
+    power = F.col("pa") * F.col("pb")
+    return sums.select(by, "k", F.when(power > 0, (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / power).alias("coherence"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = pdf.sort_values(order)[[x, y]].dropna().to_numpy(float)
-        if len(part) < 16:
-            return pd.DataFrame()
-        part = np.stack([_detrend(c) for c in part.T], 1)
-        size = 1 << int(math.log2(min(most, len(part))))
-        f = [np.fft.rfft((s - s.mean(1, keepdims=True)) * _hann(size)) for s in (_segments(part[:, 0], size), _segments(part[:, 1], size))]
-        cross = (np.conj(f[0]) * f[1]).mean(0)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            c = np.abs(cross) ** 2 / ((np.abs(f[0]) ** 2).mean(0) * (np.abs(f[1]) ** 2).mean(0))
-        return pd.DataFrame({by: pdf[by].iloc[0], "k": np.arange(len(c)), "coherence": c})
 
-    kind = df.schema[by].dataType.simpleString()
-    return df.groupBy(by).applyInPandas(run, f"`{by}` {kind}, k int, coherence double")
+def greatest_coherence(spectra: DataFrame, by: str) -> DataFrame:
+    """by, k, coherence, bins: the greatest coherence over positive frequencies (of those equal to nine digits the lowest), and how
+    many frequencies there are."""
+    rows = spectra.where("k > 0")
+    best = rows.groupBy(by).agg(F.min(F.struct((-F.round("coherence", 9)).alias("c"), "k")).alias("b"), F.count("*").alias("bins"))
+    return best.select(by, F.col("b.k").alias("k"), (-F.col("b.c")).alias("coherence"), "bins")
 
 
 def periodogram(df: DataFrame, by: str, order: str, v: str, dt: float = 1.0) -> DataFrame:
@@ -137,22 +174,21 @@ def whittle(df: DataFrame, by: str, observed: str = "observed", model: str = "mo
     return ok.groupBy(by).agg((-F.sum(F.log(model) + F.col(observed) / F.col(model))).alias("loglik"), F.count("*").alias("bins"))
 
 
-def whittle_baseline(df: DataFrame, by: str, order: str, v: str, dt: float = 1.0, most: int = 256) -> DataFrame:
-    """by, loglik, bins of each series' periodogram under its own Welch density, drawn out to the periodogram's positive
-    frequencies and kept above 1e-12 of its median. The likelihood is whittle()'s."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[v].dropna().to_numpy(float)
-        if len(x) < 16:
-            return pd.DataFrame()
-        x = _detrend(x)
-        f, s = np.fft.rfftfreq(len(x), dt), _welch(x, most) * dt
-        model = np.interp(f, np.linspace(0, 0.5 / dt, len(s)), s)[1:]
-        low = np.median(model) * 1e-12
-        return pd.DataFrame({by: pdf[by].iloc[0], "observed": _periodogram(x)[1:] * dt, "model": np.maximum(model, low if low > 0 else np.finfo(float).tiny)})
-
-    bins = df.groupBy(by).applyInPandas(run, f"`{by}` {df.schema[by].dataType.simpleString()}, observed double, model double")
-    return whittle(bins, by)
+def whittle_baseline(df: DataFrame, by: str, order: str, v: str, width: float, dt: float = 1.0, most: int = 256) -> DataFrame:
+    """by, loglik, bins of each series' periodogram under its own Welch density, drawn out on straight lines to the periodogram's
+    positive frequencies and kept above 1e-12 of its median. Spectra meet by their frequencies; the likelihood is whittle()'s."""
+    observed = periodogram(df, by, order, v, dt).where("frequency > 0").withColumnRenamed("density", "observed")
+    model = welch(df, by, order, v, width, most)
+    top = model.groupBy(by).agg((F.max("k") * 2).alias("__size"))
+    here = observed.join(top, by).withColumn("__at", F.col("frequency") * dt * F.col("__size"))
+    # two bins of the coarser spectrum stand beside each of the finer one
+    low = F.least(F.floor(F.col("__at") + 1e-9), (F.col("__size") / 2 - 1).cast("long"))
+    both = here.withColumn("__low", low).select(by, "frequency", "observed", F.explode(F.array(F.struct(F.col("__low").cast("int").alias("k"), (1 - (F.col("__at") - F.col("__low"))).alias("w")), F.struct((F.col("__low") + 1).cast("int").alias("k"), (F.col("__at") - F.col("__low")).alias("w")))).alias("b"))
+    both = both.select(by, "frequency", "observed", "b.k", "b.w").join(model, [by, "k"])
+    drawn = both.groupBy(by, "frequency").agg(F.first("observed").alias("observed"), (F.sum(F.col("w") * F.col("density")) * dt).alias("model"))
+    floor = drawn.groupBy(by).agg((F.median("model") * 1e-12).alias("__floor"))
+    least = F.when(F.col("__floor") > 0, F.col("__floor")).otherwise(2.2250738585072014e-308)
+    return whittle(drawn.join(floor, by).withColumn("model", F.greatest("model", least)), by)
 
 
 def equal_blocks(df: DataFrame, t: str, blocks: int) -> DataFrame:
@@ -178,15 +214,21 @@ def block_coefficients(df: DataFrame, by: list[str], t: str, v: str, frequency:
     return sums.select(*by, "n", value("yc", "xc").alias("re"), (-value("ys", "xs")).alias("im"))
 
 
-def allan_deviation(df: DataFrame, by: str, i: str, v: str, factors: list[int]) -> DataFrame:
+def allan_deviation(df: DataFrame, by: str, i: str, v: str, factors: list[int], rows: int = 1 << 20) -> DataFrame:
     """by, m, n, deviation: the overlapping Allan deviation of readings on a gapless grid i (unit spacing) at averages of m
-    readings. Running sums once, then two lags for each m."""
-    w = Window.partitionBy(by).orderBy(i)
-    total = df.select(by, i, F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.col(v).alias("__v")).withColumn("p", F.col("s") - F.col("__v"))
-    # p: the sum of all readings before i; a window of m readings from i is p[i + m] - p[i]
-    ends = total.groupBy(by).agg(F.max(F.struct(i, "s")).alias("e")).select(by, (F.col(f"e.{i}") + 1).alias(i), F.col("e.s").alias("p"))
-    phase = total.select(by, i, "p").unionByName(ends)
+    readings. Running sums once, then two lags for each m. The grid is cut into ranges of `rows`, each with the next rows that
+    the longest average needs, so that a task has one range."""
+    reach = 2 * max(factors)
+    if rows <= reach:
+        raise ValueError("a range must hold the longest average twice")
+    piece = F.floor(F.col(i) / rows)
+    own = df.select(by, i, v, F.explode(F.array_distinct(F.array(piece, F.floor((F.col(i) - reach + 1) / rows)))).alias("__p"))
+    w = Window.partitionBy(by, "__p").orderBy(i)
+    total = own.withColumn("s", F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("p", F.col("s") - F.col(v))
+    # p: the sum of the range's readings before i; a window of m readings from i is p[i + m] - p[i]
+    ends = total.groupBy(by, "__p").agg(F.max(F.struct(i, "s")).alias("e")).select(by, "__p", (F.col(f"e.{i}") + 1).alias(i), F.col("e.s").alias("p"))
+    phase = total.select(by, "__p", i, "p").unionByName(ends)
     step = lambda m: F.lead("p", 2 * m).over(w) - 2 * F.lead("p", m).over(w) + F.col("p")
-    moved = phase.select(by, *[step(m).alias(f"d{m}") for m in factors])
+    moved = phase.select(by, "__p", i, *[step(m).alias(f"d{m}") for m in factors]).where(F.floor(F.col(i) / rows) == F.col("__p"))
     each = moved.select(by, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"d{m}").alias("d")) for m in factors])).alias("r")).select(by, "r.*").where("d IS NOT NULL")
     return each.groupBy(by, "m").agg(F.count("*").alias("n"), F.sqrt(F.sum(F.col("d") * F.col("d")) / (2 * F.col("m") * F.col("m") * F.count("*"))).alias("deviation"))

@@ -9,8 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
-from plumbline.operators import fringe, lens, network, nulls, sealed, series, verdicts
-from plumbline.plans.time_series import _E, _events
+from plumbline.operators import fringe, lens, network, nulls, pieces, sealed, series, shadow, verdicts
+from plumbline.plans.time_series import _E, _SEGMENTS, DAY, _events
 
 VELOCITIES = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 2.0, 1.0), (0.5, 0.5, 0.0), (-1.0, 0.5, 0.0), (2.0, -1.0, 0.5), (-0.5, -0.5, 0.0), (3.0, 1.0, 0.0)]
 BANDS = [0.011, 0.029, 0.0417, 0.083, 0.125, 0.21, 0.33, 0.41]
@@ -68,8 +68,7 @@ DRAWS = 60
 def rotation_family_null(spark, sf_dir):
     """Sixty rotations of the event types' daily means against two waves, types independent: the greatest score of each."""
     daily = _events(spark, sf_dir).groupBy(F.col("event_type").alias("group"), "day").agg(F.avg("value").alias("r"))
-    w = Window.partitionBy("group").orderBy("day")
-    rows = daily.withColumn("i", F.row_number().over(w) - 1).withColumn("frequency", F.explode(F.array(F.lit(0.1), F.lit(0.23))))
+    rows = pieces.numbered(daily, ["group"], ["day"], 365.0).drop("n").withColumn("i", F.col("i") - 1).withColumn("frequency", F.explode(F.array(F.lit(0.1), F.lit(0.23))))
     angle = 2 * np.pi * F.col("frequency") * F.col("i")
     signals = rows.select("group", "frequency", "i", F.cos(angle).alias("zc"), F.sin(angle).alias("zs"), "r")
     sizes = daily.groupBy("group").agg(F.count("*").alias("n"))
@@ -97,16 +96,18 @@ def weighted_block_coefficients(spark, sf_dir):
 def allan_deviation(spark, sf_dir):
     """Overlapping Allan deviations of the event values of each type in order of arrival."""
     e = _events(spark, sf_dir)
-    rows = e.select("event_type", (F.row_number().over(Window.partitionBy("event_type").orderBy("t", "event_id")) - 1).alias("i"), "value")
+    rows = pieces.numbered(e.select("event_type", "t", "event_id", "value"), ["event_type"], ["t", "event_id"], DAY)
     return series.allan_deviation(rows, "event_type", "i", "value", [1, 2, 4, 8]).select("event_type", "m", "n", F.round("deviation", 6).alias("deviation"))
 
 
 def whittle_baseline(spark, sf_dir):
-    return series.whittle_baseline(_hourly(spark, sf_dir), "event_type", "k", "v")
+    """The likelihood of each event type's periodogram of hourly means under its own Welch density."""
+    return series.whittle_baseline(_hourly(spark, sf_dir), "event_type", "k", "v", 240.0).select("event_type", F.round("loglik", 4).alias("loglik"), "bins")
 
 
 def periodogram(spark, sf_dir):
-    return series.periodogram(_hourly(spark, sf_dir), "event_type", "k", "v")
+    """The one-sided periodogram of each event type's hourly means."""
+    return series.periodogram(_hourly(spark, sf_dir), "event_type", "k", "v").select("event_type", F.round("frequency", 9).alias("frequency"), F.round("density", 4).alias("density"))
 
 
 def injection_power(spark, sf_dir):
@@ -121,20 +122,8 @@ def injection_power(spark, sf_dir):
     score = m[1:, 0].reshape(-1, 2)
     cross = m[1:, 1:].reshape(len(bands), 2, len(bands), 2).transpose(0, 2, 1, 3)
     rms = float(np.sqrt(m[0, 0] / len(columns)))
-    return nulls.power_grid(spark, score, cross, bands, [0.1 * rms, 0.3 * rms, rms], critical=float(m[0, 0]) * 0.1)
-
-
-def deprojection_matrix(spark, sf_dir):
-    return lens.deprojection_operator(spark, [0.05 * 1.4**k for k in range(12)], interpolation="quadratic", tail="sis")
-
-
-def object_level_stack(spark, sf_dir):
-    """Suppliers as lenses with falling profiles: each deprojected, then stacked at three accelerations."""
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    profiles = s.select(F.col("s_suppkey").alias("lens"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pow(F.lit(10.0), k / 4.0 - 1.5))).alias("radius"))
-    profiles = profiles.withColumn("esd", 1e12 * (1 + F.col("lens") % 7) / F.col("radius"))
-    masses = s.select(F.col("s_suppkey").alias("lens"), (1e10 * (1 + F.col("s_suppkey") % 5)).alias("mass"))
-    return lens.stack(lens.deproject_lenses(profiles, masses, [1e-12, 1e-11, 1e-10], -1.0, -1.0, 1024))
+    out = nulls.power_grid(spark, score, cross, bands, [0.1 * rms, 0.3 * rms, rms], critical=float(m[0, 0]) * 0.1)
+    return out.select("frequency", F.round("amplitude", 5).alias("amplitude"), "detected", "identified")
 
 
 def operator_status(spark, sf_dir):
@@ -144,13 +133,6 @@ def operator_status(spark, sf_dir):
     return lens.operator_status(o).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("difference"), 2).alias("total"))
 
 
-def covariance_checks(spark, sf_dir):
-    """The second moments of the embeddings' first six components."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(F.slice("embedding", 1, 6)).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    c = v.join(v.select("vec_id", F.col("i").alias("j"), F.col("x").alias("y")), "vec_id").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    return lens.covariance_checks(c, 1e-6).withColumn("max_correlation", F.round("max_correlation", 6))
-
-
 def input_recoverability(spark, sf_dir):
     """Parts as probed inputs, by state, with what the whole set comes to."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -169,6 +151,80 @@ def input_recoverability(spark, sf_dir):
     return out.groupBy("probe_status").agg(F.count("*").alias("n"), F.sum("expected_bytes").alias("expected_bytes"), F.sum(F.size("missing")).cast("long").alias("missing"))
 
 
+def recoverability_verdict(spark, sf_dir):
+    """Suppliers as probed inputs: what all of them come to."""
+    k = F.col("s_suppkey")
+    columns = F.array(F.lit("a"), F.lit("b"))
+    probes = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k, F.lit(200).alias("http_status"), (k * 10).alias("observed_bytes"), (k * 10).alias("expected_bytes"), columns.alias("columns"), columns.alias("required"), (k % 3).alias("rows"), F.lit(None).cast("long").alias("expected_rows"))
+    good = verdicts.recoverability(verdicts.probe_status(probes)).withColumn("inputs", F.lit("all"))
+    drift = verdicts.recoverability(verdicts.probe_status(probes.withColumn("http_status", F.when(k % 90 == 0, 503).otherwise(206)))).withColumn("inputs", F.lit("one gone"))
+    return good.unionByName(drift)
+
+
+def cardinality_gate(spark, sf_dir):
+    """Customers with enough orders to estimate from."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey")
+    return verdicts.cardinality_gate(o, "o_custkey", 12)
+
+
+def shrunk_covariance(spark, sf_dir):
+    """The shrunk covariance of three columns of lineitem, and the network weights that follow from it."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_quantity") / 10).cast("double").alias("a"), (F.col("l_discount") * 20).cast("double").alias("b"), (F.col("l_extendedprice") / 20000).cast("double").alias("c"))
+    c, shrinkage = shadow.ledoit_wolf(li, ["a", "b", "c"])
+    w = network.covariance_weights(c)
+    rows = [(i, j, float(c[i, j]), float(w[i]), float(shrinkage)) for i in range(3) for j in range(3)]
+    out = spark.createDataFrame(rows, "i int, j int, v double, w double, shrinkage double")
+    return out.select("i", "j", F.round("v", 6).alias("v"), F.round("w", 6).alias("w"), F.round(F.col("shrinkage") * 1e4, 5).alias("shrinkage_e4"))
+
+
+def _network(spark, sf_dir):
+    """values, places and weights of plane_wave_search()."""
+    hourly = _hourly(spark, sf_dir)
+    # a row a node
+    names = hourly.select(F.col("event_type").alias("node")).distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("node")).cast("double"))
+    places = names.select("node", (3 * F.col("i")).alias("x"), (F.col("i") * F.col("i")).alias("y"), F.lit(1.0).alias("z"))
+    values = hourly.select(F.col("event_type").alias("node"), "k", F.col("v").alias("z"))
+    return values, network.delays(places, VELOCITIES), names.select("node", (1 / (1 + F.col("i"))).alias("w"))
+
+
+def injected_impulse(spark, sf_dir):
+    """One wave's impulses added to the hourly means of the event types: which readings change, and the best hit of all templates."""
+    values, delay, weights = _network(spark, sf_dir)
+    struck = network.inject(values, delay, 3, 350.0, 500.0)
+    changed = struck.withColumnRenamed("z", "y").join(values, ["node", "k"]).where(F.col("y") != F.col("z")).agg(F.count("*").alias("changed"), F.sum("k").alias("places"))
+    best = network.best_hit(network.surface(struck, delay, weights), digits=5)
+    return best.crossJoin(F.broadcast(changed)).select("changed", "places", F.round("statistic", 5).alias("statistic"), "centre", "template")  # one row
+
+
+def injection_trials(spark, sf_dir):
+    """Trials of impulses at all nodes: the best hit of each, from one surface."""
+    values, delay, weights = _network(spark, sf_dir)
+    trials = delay.where("template IN (1, 5)").select((F.col("template") * 10 + 1).alias("trial"), "node", (400 + F.col("delay")).alias("arrival"), (F.col("template") * 40.0).alias("amplitude"))
+    out = network.injected_hits(values, delay, weights, trials)
+    return out.select("trial", F.round("statistic", 5).alias("statistic"), "centre", "template")
+
+
+def guarded_slices(spark, sf_dir):
+    """Rows of half-open slices of hours without their guards, by type."""
+    h = _hourly(spark, sf_dir)
+    return network.guarded(h, "k", 100, 400, 12).groupBy("event_type").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("k").alias("last"))
+
+
+def block_permutation_null(spark, sf_dir):
+    """The greatest coherence over two pairs of event types when the second one's blocks of days are moved on."""
+    daily = _events(spark, sf_dir).groupBy("day", F.floor(F.col("day") / 3).alias("b")).agg(*[F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in ("click", "view", "purchase")])
+    first = daily.agg(F.min("b").alias("b0"))
+    rows = daily.crossJoin(F.broadcast(first)).withColumn("block", (F.col("b") - F.col("b0")).cast("int"))  # one row
+    angle = 0.7 * F.col("day")
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col("click").alias("a"), F.col(n).alias("c")) for n in ("view", "purchase")]))
+    wave = lambda v, f: F.sum(F.col(v) * f(angle))
+    blocks = rows.select("block", "day", names.alias("r")).select("block", "day", "r.*").groupBy("name", "block").agg(wave("a", F.cos).alias("ar"), wave("a", F.sin).alias("ai"), wave("c", F.cos).alias("br"), wave("c", F.sin).alias("bi"))
+    n = blocks.agg((F.max("block") + 1).alias("n"))
+    moves = blocks.select("block").distinct().crossJoin(F.broadcast(n)).select("block", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("draw"))  # one row
+    permutations = moves.select("draw", "block", ((F.col("block") + F.col("draw")) % F.col("n")).cast("int").alias("source"))
+    return nulls.coherence_null(blocks, permutations, 4).select("draw", F.round("statistic", 6).alias("statistic"))
+
+
 def claim_ledger(spark, sf_dir):
     """Conversation turns as claims, appended to a ledger that holds every third conversation."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("-", "conv_id", "role").alias("claim_id"), "conv_id", F.struct("conv_id", "turn").alias("seq"), F.when(F.col("turn") % 5 == 4, "other").otherwise("ours").alias("jurisdiction"))
@@ -210,9 +266,22 @@ def scalar_kernels(spark, sf_dir):
         F.round(scalars.unit_interval(k % 50 * 1.0, F.lit(0.0), F.lit(49.0)), 9).alias("u"),
         F.round(scalars.resolution_error(k % 7 / 10.0, F.lit(0.35), F.lit(12.0)), 9).alias("error"),
         scalars.seed_commitment(F.sha2(k.cast("string"), 256)).alias("commitment"),
+        F.round(scalars.safe_divide(k * 1.0, k % 4 - 1.0), 9).alias("ratio"),
+        F.round(scalars.turns_to_radians(k % 9 / 8.0), 9).alias("radians"),
+        F.round(scalars.signed_square(k % 13 - 6.0), 9).alias("signed"),
     )
 
 
+def text_kernels(spark, sf_dir):
+    """Names of files, totals behind a slash, times with and without a zone."""
+    k = F.col("c_custkey")
+    path = F.concat(F.lit("raw/"), k.cast("string"), F.lit("/"), F.col("c_name"), F.when(k % 3 == 0, "/").otherwise(".csv"))
+    span = F.concat(F.lit("bytes 0-9"), F.when(k % 2 == 0, F.concat(F.lit("/"), k.cast("string"))).otherwise("/*"))
+    zone = F.element_at(F.array(F.lit(""), F.lit("Z"), F.lit("+02:00"), F.lit("-0530"), F.lit(" no time")), (k % 5 + 1).cast("int"))
+    t = scalars.utc(F.concat(F.lit("2024-03-10T0"), (k % 10).cast("string"), F.lit(":15:00"), zone))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", scalars.basename(path).alias("base"), scalars.range_total(span).alias("total"), scalars.iso(t).alias("at"), scalars.iso(scalars.unix_timestamp(k * 1000.25)).alias("unix"))
+
+
 SEED = "9f" * 32
 
 
@@ -229,10 +298,8 @@ def sealed_challenge(spark, sf_dir):
     labels = spark.range(5).select(F.when(F.col("id") == 4, "null").otherwise(F.concat(F.lit("band"), F.col("id"))).alias("label"), F.get(F.array(*map(F.lit, bands.values())), F.col("id").cast("int")).alias("frequency"))
     hidden = sealed.plan(labels, SEED)
     cases = sealed.seal(hourly, hidden, "t", "v", 60.0)
-    scans = None
-    for case in [r.case_id for r in hidden.select("case_id").orderBy("case_id").collect()]:  # five cases
-        one = fringe.profiled_scores(cases.where(F.col("case_id") == case), "case_id", "t", "v", ["one"], list(bands.values())).withColumn("case_id", F.lit(case))
-        scans = one if scans is None else scans.unionByName(one)
+    # one scan for all cases: each is a group of its own and stays apart
+    scans = fringe.profiled_scores(cases.withColumn("g", F.col("case_id")), "g", "t", "v", ["one"], list(bands.values()), apart=("case_id",))
     best = verdicts.winner(scans, "case_id", "statistic", "frequency")
     names = F.element_at(F.create_map(*[F.lit(x) for f, n in ((f, n) for n, f in bands.items()) for x in (f, n)]), F.col("frequency"))
     strong = hourly.agg((F.var_samp("v") * 20).alias("cut"))
@@ -240,13 +307,75 @@ def sealed_challenge(spark, sf_dir):
     return sealed.reveal(said, hidden, SEED, hashlib.sha256(bytes.fromhex(SEED)).hexdigest())
 
 
-PLANS = [sealed_plan, sealed_challenge, plane_wave_search, profiled_frequency_scan, nuisance_fit, daily_segments, gps_time_scale, rotation_family_null, family_rank_pvalues, weighted_block_coefficients, allan_deviation, whittle_baseline, periodogram, injection_power, deprojection_matrix, object_level_stack, operator_status, covariance_checks, input_recoverability, claim_ledger, vector_status, interval_verdicts, winner_tiebreak, scalar_kernels]
+PLANS = [recoverability_verdict, cardinality_gate, shrunk_covariance, injected_impulse, injection_trials, guarded_slices, block_permutation_null, text_kernels, sealed_plan, sealed_challenge, plane_wave_search, profiled_frequency_scan, nuisance_fit, daily_segments, gps_time_scale, rotation_family_null, family_rank_pvalues, weighted_block_coefficients, allan_deviation, whittle_baseline, periodogram, injection_power, operator_status, input_recoverability, claim_ledger, vector_status, interval_verdicts, winner_tiebreak, scalar_kernels]
 
 _H = f"{_E}, h AS (SELECT event_type, hour - {H0} AS k, avg(value) AS v FROM e GROUP BY ALL)"
 _WAVES = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for i, (x, y, z) in enumerate(VELOCITIES))
 _LEAP_DATES = "[1136073600, 1230768000, 1341100800, 1435708800, 1483228800]"
 
+_NET = f"""{_H}, n AS (SELECT event_type AS node, row_number() OVER (ORDER BY event_type)::DOUBLE AS i FROM (SELECT DISTINCT event_type FROM h)),
+ p AS (SELECT node, 1 / (1 + i) AS w, 3 * i - avg(3 * i) OVER () AS x, i * i - avg(i * i) OVER () AS y FROM n), f(template, vx, vy, vz) AS (VALUES {_WAVES}),
+ d AS (SELECT node, template, w, (x * vx + y * vy) / (vx * vx + vy * vy + vz * vz) AS d FROM p, f)"""
+#: The best hit of each trial: tables v (trial, node, k, v) and those of _NET.
+_HIT = """s AS (SELECT a.trial, template, a.k - floor(d)::BIGINT AS centre, w * (a.v * (1 - (d - floor(d))) + b.v * (d - floor(d))) AS s FROM d JOIN v a USING (node) JOIN v b ON b.node = a.node AND b.trial = a.trial AND b.k = a.k + 1),
+ g AS (SELECT trial, template, centre, sum(s) AS score FROM s GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM n)),
+ b AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY {score} DESC, centre, template) AS r FROM g)"""
+_SEALED = f"""bands AS (SELECT unnest({BANDS[:4]}::DOUBLE[]) AS f, unnest(range(0, 4)) AS i), l AS (SELECT 'band' || i AS label, f AS frequency FROM bands UNION ALL SELECT 'null', NULL), s AS (SELECT unhex('{SEED}') || unhex('00') AS s),
+ o AS (SELECT label, frequency, s, row_number() OVER (ORDER BY sha256(s || encode('order:' || label))) - 1 AS i FROM l, s),
+ plan AS (SELECT sha256(s || encode('case:' || i))[1:16] AS case_id, label, frequency, CASE WHEN frequency IS NOT NULL THEN 2 * pi() * (('0x' || sha256(s || encode('phase:' || label))[1:16])::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE) END AS phase FROM o)"""
+
 SQL = {
+    "recoverability_verdict": """SELECT 'all' AS inputs, true AS all_verified, count(*) AS n, sum(s_suppkey * 10)::BIGINT AS expected_bytes, 'READY_ALL_INPUTS_VERIFIED' AS verdict FROM supplier
+ UNION ALL SELECT 'one gone', count(*) FILTER (s_suppkey % 90 = 0) = 0, count(*), sum(s_suppkey * 10)::BIGINT, CASE WHEN count(*) FILTER (s_suppkey % 90 = 0) = 0 THEN 'READY_ALL_INPUTS_VERIFIED' ELSE 'NOT_READY_INPUT_FAILED_OR_DRIFTED' END FROM supplier""",
+    "cardinality_gate": "SELECT o_custkey, count(*) AS n, CASE WHEN count(*) >= 12 THEN 'ESTIMABLE' ELSE 'NOT_ESTIMABLE' END AS status FROM orders GROUP BY 1",
+    "shrunk_covariance": """WITH x AS (SELECT (l_quantity / 10)::DOUBLE AS a, (l_discount * 20)::DOUBLE AS b, (l_extendedprice / 20000)::DOUBLE AS c FROM lineitem), m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, count(*) AS n FROM x), d AS (SELECT a - ma AS a, b - mb AS b, c - mc AS c, n FROM x, m),
+ s AS (SELECT avg(a*a) AS aa, avg(a*b) AS ab, avg(a*c) AS ac, avg(b*b) AS bb, avg(b*c) AS bc, avg(c*c) AS cc, avg((a*a + b*b + c*c) ** 2) AS q, any_value(n) AS n FROM d),
+ t AS (SELECT *, (aa + bb + cc) / 3 AS mu, aa*aa + bb*bb + cc*cc + 2 * (ab*ab + ac*ac + bc*bc) AS f FROM s), u AS (SELECT *, ((aa-mu)**2 + (bb-mu)**2 + (cc-mu)**2 + 2 * (ab*ab + ac*ac + bc*bc)) / 3 AS d2, (q - f) / 3 / n AS b FROM t),
+ k AS (SELECT *, least(b, d2) / d2 AS k FROM u), z AS (SELECT k, (1-k)*aa + k*mu AS aa, (1-k)*ab AS ab, (1-k)*ac AS ac, (1-k)*bb + k*mu AS bb, (1-k)*bc AS bc, (1-k)*cc + k*mu AS cc FROM k),
+ e AS (SELECT *, aa*(bb*cc - bc*bc) - ab*(ab*cc - bc*ac) + ac*(ab*bc - bb*ac) AS det FROM z),
+ w AS (SELECT *, ((bb*cc - bc*bc) - (ab*cc - bc*ac) + (ab*bc - bb*ac)) / det AS wa, (-(ab*cc - bc*ac) + (aa*cc - ac*ac) - (aa*bc - ab*ac)) / det AS wb, ((ab*bc - bb*ac) - (aa*bc - ab*ac) + (aa*bb - ab*ab)) / det AS wc FROM e),
+ r AS (SELECT unnest([{'i': 0, 'j': 0, 'v': aa, 'w': wa}, {'i': 0, 'j': 1, 'v': ab, 'w': wa}, {'i': 0, 'j': 2, 'v': ac, 'w': wa}, {'i': 1, 'j': 0, 'v': ab, 'w': wb}, {'i': 1, 'j': 1, 'v': bb, 'w': wb}, {'i': 1, 'j': 2, 'v': bc, 'w': wb}, {'i': 2, 'j': 0, 'v': ac, 'w': wc}, {'i': 2, 'j': 1, 'v': bc, 'w': wc}, {'i': 2, 'j': 2, 'v': cc, 'w': wc}]) AS r, sqrt(wa + wb + wc) AS size, k FROM w)
+ SELECT r.i AS i, r.j AS j, round(r.v, 6) AS v, round(r.w / size, 6) AS w, round(k * 1e4, 5) AS shrinkage_e4 FROM r""",
+    "guarded_slices": f"WITH {_H} SELECT event_type, count(*) AS n, min(k) AS first, max(k) AS last FROM h WHERE k >= 112 AND k < 388 GROUP BY 1",
+    "injected_impulse": f"""WITH {_NET}, hits AS (SELECT node, ceil(350 + d - 0.5)::BIGINT AS k FROM d WHERE template = 3), v AS (SELECT 1 AS trial, event_type AS node, h.k, v + CASE WHEN hits.k IS NULL THEN 0 ELSE 500 END AS v FROM h LEFT JOIN hits ON node = event_type AND hits.k = h.k),
+ {_HIT.format(score="abs(round(score, 5))")} SELECT (SELECT count(*) FROM h JOIN hits ON node = event_type AND hits.k = h.k) AS changed, (SELECT sum(h.k)::BIGINT FROM h JOIN hits ON node = event_type AND hits.k = h.k) AS places, round(abs(score), 5) AS statistic, centre, template::INTEGER AS template FROM b WHERE r = 1""",
+    "injection_trials": f"""WITH {_NET}, hits AS (SELECT template * 10 + 1 AS trial, node, ceil(400 + d - 0.5)::BIGINT AS k, template * 40.0::DOUBLE AS a FROM d WHERE template IN (1, 5)), t AS (SELECT DISTINCT trial FROM hits),
+ v AS (SELECT t.trial, event_type AS node, h.k, v + coalesce(a, 0) AS v FROM h CROSS JOIN t LEFT JOIN hits ON node = event_type AND hits.k = h.k AND hits.trial = t.trial),
+ {_HIT.format(score="abs(score)")} SELECT trial::INTEGER AS trial, round(abs(score), 5) AS statistic, centre, template::INTEGER AS template FROM b WHERE r = 1""",
+    "block_permutation_null": f"""WITH {_E}, d AS (SELECT day, floor(day / 3)::BIGINT AS b, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS v, avg(value) FILTER (event_type = 'purchase') AS p FROM e GROUP BY day),
+ r AS (SELECT 'view' AS name, day, b - min(b) OVER () AS block, a, v AS c FROM d UNION ALL SELECT 'purchase', day, b - min(b) OVER (), a, p FROM d),
+ k AS (SELECT name, block, sum(a * cos(0.7 * day)) AS ar, sum(a * sin(0.7 * day)) AS ai, sum(c * cos(0.7 * day)) AS br, sum(c * sin(0.7 * day)) AS bi FROM r GROUP BY ALL), n AS (SELECT max(block) + 1 AS n FROM k), w AS (SELECT unnest(range(0, 8)) AS draw),
+ j AS (SELECT draw, x.name, (sum(x.ar*y.br + x.ai*y.bi) ** 2 + sum(x.ar*y.bi - x.ai*y.br) ** 2) / (sum(x.ar*x.ar + x.ai*x.ai) * sum(y.br*y.br + y.bi*y.bi)) AS c, count(*) AS m FROM w, n, k x JOIN k y ON y.name = x.name AND y.block = (x.block + draw) % n GROUP BY ALL HAVING count(*) >= 4)
+ SELECT draw::INTEGER AS draw, round(max(c), 6) AS statistic FROM j GROUP BY 1""",
+    "text_kernels": """WITH k AS (SELECT c_custkey AS k, c_name, TIMESTAMP '2024-03-10 00:15:00' + INTERVAL 1 HOUR * (c_custkey % 10) AS t FROM customer)
+ SELECT k AS c_custkey, CASE WHEN k % 3 = 0 THEN '' ELSE c_name || '.csv' END AS base, CASE WHEN k % 2 = 0 THEN k END::BIGINT AS total,
+ CASE k % 5 WHEN 2 THEN strftime(t - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') WHEN 3 THEN strftime(t + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ') WHEN 4 THEN NULL ELSE strftime(t, '%Y-%m-%dT%H:%M:%SZ') END AS at,
+ strftime(make_timestamp((k * 1000.25 * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%SZ') AS unix FROM k""",
+    "periodogram": f"""WITH {_H}, i AS (SELECT event_type AS g, v, row_number() OVER (PARTITION BY event_type ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM h), l AS (SELECT g, regr_slope(v, i) AS a, regr_intercept(v, i) AS b FROM i GROUP BY 1),
+ f AS (SELECT g, k, any_value(n) AS n, sum((v - a*i - b) * cos(2*pi()*k*i/n)) AS c, sum((v - a*i - b) * sin(2*pi()*k*i/n)) AS s FROM i JOIN l USING (g), LATERAL (SELECT unnest(range(0, n // 2 + 1)) AS k) GROUP BY ALL)
+ SELECT g AS event_type, round(k / n, 9) AS frequency, round((c*c + s*s) / n * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END, 4) AS density FROM f WHERE n >= 16""",
+    "whittle_baseline": f"""WITH {_H}, r AS (SELECT event_type AS g, k AS o, v AS x FROM h), {_SEGMENTS.format(most=256)},
+ sf AS (SELECT g, s, size, k, sum(w * x * cos(2*pi()*k*j/size)) AS c, sum(w * x * sin(2*pi()*k*j/size)) AS d, any_value(w2) AS w2 FROM wx, LATERAL (SELECT unnest(range(0, size // 2 + 1)) AS k) GROUP BY ALL),
+ psd AS (SELECT g, k, any_value(size) AS size, avg((c*c + d*d) / w2 * CASE WHEN k = 0 OR k = size // 2 THEN 1 ELSE 2 END) AS p FROM sf GROUP BY g, k),
+ pf AS (SELECT g, k, any_value(n) AS n, sum(x * cos(2*pi()*k*i/n)) AS c, sum(x * sin(2*pi()*k*i/n)) AS s FROM q, LATERAL (SELECT unnest(range(1, n // 2 + 1)) AS k) GROUP BY ALL),
+ ob AS (SELECT g, k / n AS f, (c*c + s*s) / n * CASE WHEN 2 * k = n THEN 1 ELSE 2 END AS o FROM pf),
+ md AS (SELECT ob.g, ob.f, any_value(o) AS o, sum(p * greatest(0, 1 - abs(ob.f * size - psd.k))) AS m FROM ob JOIN psd ON psd.g = ob.g AND abs(ob.f * size - psd.k) < 1 + 1e-9 GROUP BY ALL)
+ SELECT g AS event_type, round(-sum(ln(m) + o / m), 4) AS loglik, count(*) AS bins FROM md GROUP BY 1""",
+    "injection_power": f"""WITH {_H}, y AS (SELECT k, avg(v) AS y FROM h GROUP BY k), bands AS (SELECT unnest({BANDS[:4]}::DOUBLE[]) AS f),
+ z AS (SELECT f, k, y - avg(y) OVER (PARTITION BY f) AS y, cos(2*pi()*f*k) - avg(cos(2*pi()*f*k)) OVER (PARTITION BY f) AS c, sin(2*pi()*f*k) - avg(sin(2*pi()*f*k)) OVER (PARTITION BY f) AS s FROM y, bands),
+ g AS (SELECT f, sum(c*c) AS cc, sum(c*s) AS cs, sum(s*s) AS ss, sum(c*y) AS cy, sum(s*y) AS sy, (SELECT var_pop(y) * count(*) FROM y) AS yy FROM z GROUP BY f),
+ x AS (SELECT a.f AS k, b.f AS f, sum(a.c*b.c) AS cc, sum(a.c*b.s) AS cs, sum(a.s*b.c) AS sc, sum(a.s*b.s) AS ss FROM z a JOIN z b USING (k) GROUP BY a.f, b.f),
+ amp AS (SELECT unnest([0.1, 0.3, 1.0]::DOUBLE[]) AS m), ph AS (SELECT unnest(range(0, 16)) AS q),
+ t AS (SELECT x.k, x.f, m * sqrt(yy / 10) AS a, q, yy, cy + m * sqrt(yy / 10) * (x.cc * cos(2*pi()*q/16) + x.cs * sin(2*pi()*q/16)) AS u, sy + m * sqrt(yy / 10) * (x.sc * cos(2*pi()*q/16) + x.ss * sin(2*pi()*q/16)) AS w, g.cc AS gc, g.cs AS gx, g.ss AS gs FROM x JOIN g ON g.f = x.k, amp, ph),
+ st AS (SELECT k, f, a, q, yy, (gs*u*u - 2*gx*u*w + gc*w*w) / (gc*gs - gx*gx) AS v FROM t),
+ r AS (SELECT f, a, q, any_value(yy) AS yy, max(v) FILTER (k = f) AS own, arg_max(k, v) AS best FROM st GROUP BY f, a, q)
+ SELECT f AS frequency, round(a, 5) AS amplitude, count(*) FILTER (own >= 0.1 * yy) / 16 AS detected, count(*) FILTER (own >= 0.1 * yy AND best = f) / 16 AS identified FROM r GROUP BY f, a""",
+    "sealed_challenge": f"""WITH {_H}, y AS (SELECT k::DOUBLE AS t, avg(v) AS v FROM h GROUP BY k), {_SEALED},
+ c AS (SELECT case_id, t, v + coalesce(60 * cos(2*pi()*frequency*t - phase), 0) AS v FROM y, plan),
+ z AS (SELECT case_id, f, v - avg(v) OVER (PARTITION BY case_id, f) AS y, cos(2*pi()*f*t) - avg(cos(2*pi()*f*t)) OVER (PARTITION BY case_id, f) AS c, sin(2*pi()*f*t) - avg(sin(2*pi()*f*t)) OVER (PARTITION BY case_id, f) AS s FROM c, bands),
+ g AS (SELECT case_id, f, sum(c*c) AS cc, sum(c*s) AS cs, sum(s*s) AS ss, sum(c*y) AS cy, sum(s*y) AS sy FROM z GROUP BY ALL), st AS (SELECT case_id, f, (ss*cy*cy - 2*cs*cy*sy + cc*sy*sy) / (cc*ss - cs*cs) AS v FROM g),
+ w AS (SELECT case_id, arg_max(f, v) AS f, max(v) AS v FROM st GROUP BY 1), p AS (SELECT case_id, CASE WHEN v >= (SELECT 20 * var_samp(v) FROM y) THEN 'band' || i END AS predicted FROM w JOIN bands USING (f))
+ SELECT case_id, label, predicted, CASE WHEN frequency IS NULL THEN CASE WHEN predicted IS NULL THEN 'CORRECT' ELSE 'FALSE_ALARM' END WHEN predicted IS NULL THEN 'MISSED' WHEN predicted = label THEN 'CORRECT' ELSE 'WRONG' END AS outcome FROM plan JOIN p USING (case_id)""",
     "sealed_plan": f"""WITH l AS (SELECT r_name AS label, CASE WHEN r_regionkey > 0 THEN r_regionkey * 0.01::DOUBLE + 0.02::DOUBLE END AS frequency FROM region), s AS (SELECT unhex('{SEED}') || unhex('00') AS s),
  o AS (SELECT label, frequency, s, row_number() OVER (ORDER BY sha256(s || encode('order:' || label))) - 1 AS i FROM l, s)
  SELECT sha256(s || encode('case:' || i))[1:16] AS case_id, label, round(frequency, 6) AS frequency, round(CASE WHEN frequency IS NOT NULL THEN 2 * pi() * (('0x' || sha256(s || encode('phase:' || label))[1:16])::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE) END, 9) AS phase FROM o""",
@@ -290,10 +419,6 @@ SQL = {
     "operator_status": """WITH o AS (SELECT o_orderkey AS k, o_totalprice::DOUBLE / 1000 AS p FROM orders), v AS (SELECT p - k % 11 * 2 AS x, p + k % 3 - 4.0::DOUBLE AS s, p - k % 11 * 2 - k % 5 AS z, p - k % 11 * 2 + k % 4 AS f, p - k % 11 * 2 + k % 2 AS q, (k % 6)::DOUBLE AS g FROM o)
  SELECT CASE WHEN g <= 0 OR s <= 0 OR x <= 0 THEN 'NOT_ESTIMABLE_NONPOSITIVE_OR_DEGENERATE' WHEN greatest((greatest(x, z, f) - least(x, z, f)) / 2, abs(q - x)) >= abs(x - s) THEN 'OPERATOR_DIFFERENCE_UNRESOLVED_SYSTEMATICS'
  WHEN abs((x - s) / g) >= 1.96 THEN 'OPERATOR_DIFFERENCE_RESOLVED_CONDITIONAL_95' ELSE 'OPERATOR_DIFFERENCE_STATISTICALLY_UNRESOLVED_95' END AS status, count(*) AS n, round(sum(x - s), 2) AS total FROM v GROUP BY 1""",
-    "covariance_checks": """WITH x AS (SELECT vec_id, unnest(range(0, 6)) AS i, embedding FROM embeddings), v AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM x),
- c AS (SELECT a.i AS i, b.i AS j, sum(a.x * b.x) AS v FROM v a JOIN v b USING (vec_id) GROUP BY 1, 2), d AS (SELECT i, v AS d FROM c WHERE i = j)
- SELECT count(DISTINCT c.i) AS size, count(*) AS cells, count(DISTINCT c.i) * count(DISTINCT c.i) - count(*) AS missing, count(*) FILTER (abs(c.v - t.v) > 1e-6 OR t.v IS NULL) AS asymmetric, count(*) FILTER (c.i = c.j AND NOT c.v > 0) AS diagonal_bad,
- round(max(CASE WHEN c.i <> c.j THEN abs(c.v) / sqrt(a.d * b.d) END), 6) AS max_correlation FROM c LEFT JOIN c t ON t.i = c.j AND t.j = c.i JOIN d a ON a.i = c.i JOIN d b ON b.i = c.j""",
     "input_recoverability": """WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END AS missing FROM part)
  SELECT CASE WHEN k % 13 = 0 THEN 'UNAVAILABLE_HTTP_STATUS' WHEN k % 7 <> 0 AND missing = 0 AND (k % 4 <> 0 OR k % 3 = 0) THEN 'AVAILABLE_SCHEMA_VERIFIED' ELSE 'AVAILABLE_SCHEMA_OR_SIZE_DRIFT' END AS probe_status, count(*) AS n, sum(k * 10)::BIGINT AS expected_bytes, sum(missing)::BIGINT AS missing FROM p GROUP BY 1""",
     "claim_ledger": """WITH c AS (SELECT conv_id || '-' || role AS claim_id, conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'other' ELSE 'ours' END AS jurisdiction FROM conversations),
@@ -310,5 +435,6 @@ SQL = {
  g AS (SELECT c_custkey, (list_sort(list_transform([0.0, 0.5, 1.0, 2.0]::DOUBLE[], lambda g: {'d': abs(x - g), 'g': g})))[1] AS s FROM k)
  SELECT c_custkey, round(CASE WHEN k % 9 > 0 THEN sqrt(6.67430e-11::DOUBLE * 1.98847e30::DOUBLE * 1e10::DOUBLE * (k % 9) / 1e-11::DOUBLE) / 3.085677581491367e19::DOUBLE END, 6) AS radius_kpc, CASE WHEN s.d <= 0.2 THEN s.g END AS snapped,
  round(0.0::DOUBLE - log2(greatest(2 * least(p, 1 - p), 1.0::DOUBLE / 4097)), 9) AS bits, round(b / 1.03, 6) AS corrected, round(0.0435 / sqrt((k % 500 + 1) / 141.0::DOUBLE), 9) AS noise, round(2 * (k % 50) / 49.0::DOUBLE - 1, 9) AS u,
- round(abs((k % 7) / 10.0::DOUBLE - 0.35) * 12, 9) AS error, sha256(unhex(sha256(k::VARCHAR))) AS commitment FROM k JOIN g USING (c_custkey)""",
+ round(abs((k % 7) / 10.0::DOUBLE - 0.35) * 12, 9) AS error, sha256(unhex(sha256(k::VARCHAR))) AS commitment,
+ round(CASE WHEN k % 4 > 1 THEN k / (k % 4 - 1) END, 9) AS ratio, round(2 * pi() * (k % 9) / 8, 9) AS radians, (k % 13 - 6)::DOUBLE * abs(k % 13 - 6) AS signed FROM k JOIN g USING (c_custkey)""",
 }

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
-
-#: Physical constants, fixed values.
-C_KM_S = 299792.458
-H0, OMEGA_M = 70.0, 0.3
+from plumbline.operators import lens, network, sky
 
 
 def _sky(spark, sf_dir, table, key):
@@ -20,73 +16,114 @@ def _sky(spark, sf_dir, table, key):
 
 
 def haversine_rotation_pairs(spark, sf_dir):
-    """Suppliers and customers within 1.5 degrees, with their separation and rotated shear. Sky cells as high and wide as the
-    radius make it an equi-join: a lens looks into the cells around its own, the 225 around the circle in a ring."""
-    lens, source = _sky(spark, sf_dir, "supplier", "s_suppkey"), _sky(spark, sf_dir, "customer", "c_custkey")
-    cell = lambda c, i: (F.floor(F.col(c) / 1.6) + i).cast("int")
-    l = lens.select(F.col("id").alias("lens"), F.col("ra").alias("ra_l"), F.col("dec").alias("dec_l"), F.explode(F.array(*[F.struct(F.pmod(cell("ra", i), F.lit(225)).alias("x"), cell("dec", j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))  # noqa: E741
-    s = source.select(F.col("id").alias("source"), F.col("ra").alias("ra_s"), F.col("dec").alias("dec_s"), cell("ra", 0).alias("x"), cell("dec", 0).alias("y"))
-    pairs = l.select("lens", "ra_l", "dec_l", "c.*").join(s, ["x", "y"])
-    d = F.degrees(scalars.haversine(F.col("ra_l"), F.col("dec_l"), F.col("ra_s"), F.col("dec_s")))
+    """Suppliers and customers within 1.5 degrees, with their separation and rotated shear."""
+    lenses, sources = _sky(spark, sf_dir, "supplier", "s_suppkey"), _sky(spark, sf_dir, "customer", "c_custkey")
+    pairs = sky.pairs_within(lenses.withColumnRenamed("id", "lens"), sources.withColumnRenamed("id", "source"), 1.5)
     e1, e2 = F.col("source") % 7 / 10.0, F.col("source") % 5 / 10.0
     tangential, cross = scalars.rotate_shear(e1, e2, F.col("ra_l"), F.col("dec_l"), F.col("ra_s"), F.col("dec_s"))
-    return pairs.withColumn("d", d).where("d <= 1.5 AND d > 0").select("lens", "source", F.round("d", 6).alias("degrees"), (F.round(tangential, 6) + 0.0).alias("tangential"), (F.round(cross, 6) + 0.0).alias("cross_part"))
+    return pairs.select("lens", "source", F.round("degrees", 6).alias("degrees"), (F.round(tangential, 6) + 0.0).alias("tangential"), (F.round(cross, 6) + 0.0).alias("cross_part"))
 
 
-def _comoving(z):
-    """Mpc, by Simpson's rule on 64 steps: the integral of c / H."""
-    n = 64
-    f = lambda k: 1 / F.sqrt(OMEGA_M * F.pow(1 + z * k / n, 3) + 1 - OMEGA_M)
-    weight = lambda k: F.when((k == 0) | (k == n), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.lit(0.0), lambda a, k: a + weight(k) * f(k))
-    return total * z / n / 3 * C_KM_S / H0
+def critical_density(spark, sf_dir):
+    """Critical surface densities in 1e15 solar masses / Mpc^2 for redshifts from keys; null where infinite."""
+    k = F.col("c_custkey")
+    zs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), (k % 20 / 50.0).alias("zl"), F.when(k % 41 > 0, k % 31 / 20.0 + 0.11).alias("zs"))
+    out = sky.critical_density(zs, "zl", "zs")
+    finite = F.col("sigma_critical") < float("inf")
+    return out.select("id", finite.alias("behind"), F.when(finite, F.round(F.col("sigma_critical") / 1e15, 6)).alias("sigma"))
 
 
-def critical_density(spark, sf_dir):
-    """Sigma critical over c^2 / (4 pi G), in 1 / Mpc, for redshifts from keys; null where the source is not behind."""
-    zs = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 20 / 50.0 + 0.05).alias("zl"), (F.col("c_custkey") % 31 / 20.0 + 0.1).alias("zs"))
-    pairs = zs.select("zl", "zs").distinct().withColumn("dl", _comoving(F.col("zl"))).withColumn("ds", _comoving(F.col("zs")))
-    out = pairs.withColumn("sigma", F.when(F.col("zs") > F.col("zl"), F.col("ds") * (1 + F.col("zl")) / (F.col("dl") * (F.col("ds") - F.col("dl")))))
-    return zs.join(out, ["zl", "zs"]).select("id", F.round("sigma", 9).alias("sigma"))
+def distances(spark, sf_dir):
+    """Comoving and angular distances in Mpc of redshifts from keys, and between neighbours."""
+    k = F.col("s_suppkey")
+    z = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (k % 40 / 20.0).alias("z"), (k % 23 / 10.0).alias("far"))
+    z = z.withColumn("d", sky.comoving(F.col("z"))).withColumn("e", sky.comoving(F.col("far")))
+    between = sky.angular_diameter_between(F.col("z"), F.col("far"), F.col("d"), F.col("e"))
+    return z.select("s_suppkey", F.round("d", 5).alias("comoving"), F.round(sky.angular_diameter(F.col("z"), F.col("d")), 5).alias("angular"), F.round(between, 5).alias("between"))
 
 
 def spherical_deprojection(spark, sf_dir):
-    """4 G times the integral of R^-1 over the half circle, R = r / sin t, for twenty radii: 256 trapezoids."""
-    n = 256
-    t = lambda k: 1e-8 + (math.pi / 2 - 1e-8) * k / n
-    f = lambda r, k: F.sin(t(k)) / r
+    """The integral of 1 / R over the sphere for twenty radii, by 256 trapezoids."""
     rows = spark.range(20).select(F.col("id").cast("int").alias("i"), F.pow(F.lit(10.0), F.col("id") / 10.0 - 1).alias("r"))
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.lit(0.0), lambda a, k: a + F.when((k == 0) | (k == n), 0.5).otherwise(1.0) * f(F.col("r"), k))
-    return rows.select("i", F.round("r", 9).alias("r"), F.round(4 * total * (math.pi / 2 - 1e-8) / n, 6).alias("g"))
+    return rows.select("i", F.round("r", 9).alias("r"), F.round(sky.spherical_deprojection(F.col("r"), lambda q: 1 / q, 256), 6).alias("g"))
 
 
 def plane_wave_surface(spark, sf_dir):
-    """For each of eight velocities and each day, the sum over nations of its suppliers' balance delayed by the wave: nodes stand
-    at places from their keys; a centre counts only where all nodes have a value. The best centre by absolute score."""
+    """Nations modulo five as nodes, their suppliers' balances by key modulo ten as readings: the best centre of each of eight waves
+    of given delays."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") % 5).alias("node"), "s_acctbal")
-    grid = s.groupBy("node", (F.col("k") % 40).cast("int").alias("at")).agg(F.avg("s_acctbal").alias("v"))
-    waves = F.explode(F.sequence(F.lit(1), F.lit(8))).alias("wave")
-    moved = grid.select("node", "at", "v", waves).withColumn("centre", F.col("at") - (F.col("node") * F.col("wave") / 4.0).cast("int"))
-    scores = moved.groupBy("wave", "centre").agg(F.sum("v").alias("score"), F.count("*").alias("n")).where("n = 5")
-    best = scores.groupBy("wave").agg(F.min(F.struct(-F.abs(F.round("score", 4)), "centre", F.round("score", 4).alias("score"))).alias("b"))
-    return best.select("wave", "b.centre", "b.score")
+    grid = s.groupBy("node", (F.col("k") % 10).cast("long").alias("k")).agg(F.avg("s_acctbal").cast("double").alias("z"))
+    nodes = s.select("node").distinct()
+    delay = nodes.select("node", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("template")).withColumn("delay", F.col("node") * F.col("template") / 4.0)
+    scores = network.surface(grid, delay, nodes.withColumn("w", F.lit(1.0)))
+    return network.best_hit(scores, ("template",), digits=4).select("template", "centre", F.round("score", 4).alias("score"))
+
+
+def object_level_stack(spark, sf_dir):
+    """Suppliers as lenses with falling profiles: each deprojected, then stacked at three accelerations (in units of 1e-13)."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    radii = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.pow(F.lit(10.0), k / 4.0 - 1.5))
+    profiles = s.select(F.col("s_suppkey").alias("lens"), F.explode(radii).alias("radius"))
+    profiles = profiles.withColumn("esd", 1e12 * (1 + F.col("lens") % 7) / F.col("radius"))
+    masses = s.select(F.col("s_suppkey").alias("lens"), (1e10 * (1 + F.col("s_suppkey") % 5)).alias("mass"))
+    out = lens.stack(lens.deproject_lenses(profiles, masses, [1e-12, 1e-11, 1e-10], -1.0, -1.0, 1024))
+    return out.select(F.round(F.log10("gbar"), 6).alias("log_gbar"), F.round(F.col("gobs") * 1e13, 6).alias("gobs"), "lenses")
+
+
+NODES = 64
+RADII = [round(0.05 * 1.4**k, 9) for k in range(12)]
+
+
+def deprojection_matrix(spark, sf_dir):
+    """The integral's matrix for linear interpolation over twelve radii and each of three tails."""
+    out = None
+    for tail in ("flat", "sis", "zero"):
+        m = lens.deprojection_operator(spark, RADII, nodes=NODES, tail=tail).select(F.lit(tail).alias("tail"), "i", "j", (F.round("v", 9) + 0.0).alias("v"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def deprojection_matrix_quadratic(spark, sf_dir):
+    """The same for quadratic splines, as what it makes of the profiles 1, R and R^2 where no tail is needed: the first row's sums.
+    A spline of degree two keeps them, so they are closed integrals by the same nodes."""
+    m = lens.deprojection_operator(spark, RADII, nodes=NODES, interpolation="quadratic", tail="zero")
+    x = F.element_at(F.array(*map(F.lit, RADII)), F.col("j") + 1)
+    return m.groupBy("i").agg(*[F.round(F.sum(F.col("v") * F.pow(x, F.lit(float(p)))), 7).alias(f"p{p}") for p in range(3)])
 
 
-PLANS = [haversine_rotation_pairs, critical_density, spherical_deprojection, plane_wave_surface]
+PLANS = [haversine_rotation_pairs, critical_density, distances, spherical_deprojection, plane_wave_surface, object_level_stack, deprojection_matrix, deprojection_matrix_quadratic]
 
 _D = "sum(CASE WHEN k = 0 OR k = 64 THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END::DOUBLE / sqrt(0.3::DOUBLE * (1 + {0} * k / 64) ** 3 + 1 - 0.3::DOUBLE)) * {0} / 64 / 3 * 299792.458::DOUBLE / 70"
+#: Gauss and Legendre's places as angles of a quarter turn, and their weights.
+_AT, _WEIGHT = ((x * np.pi / 4).tolist() for x in (lambda at, w: (at + 1, w))(*np.polynomial.legendre.leggauss(NODES)))
+_NODES = f"x AS (SELECT unnest({RADII}::DOUBLE[]) AS x, unnest(range(0, {len(RADII)})) AS i), q AS (SELECT x.i, x.x / sin(a) AS q, w FROM x, (SELECT unnest({_AT}::DOUBLE[]) AS a, unnest({_WEIGHT}::DOUBLE[]) AS w))"
 SQL = {
     "haversine_rotation_pairs": """WITH l AS (SELECT s_suppkey AS lens, (s_suppkey * 37 % 3600) / 10.0::DOUBLE AS ra, (s_suppkey * 53 % 100) / 10.0::DOUBLE AS dec FROM supplier),
  s AS (SELECT c_custkey AS source, (c_custkey * 37 % 3600) / 10.0::DOUBLE AS ra, (c_custkey * 53 % 100) / 10.0::DOUBLE AS dec, (c_custkey % 7) / 10.0::DOUBLE AS e1, (c_custkey % 5) / 10.0::DOUBLE AS e2 FROM customer),
  p AS (SELECT lens, source, e1, e2, degrees(2 * asin(least(1.0, sqrt(sin(radians(s.dec - l.dec) / 2) ** 2 + cos(radians(l.dec)) * cos(radians(s.dec)) * sin(radians(s.ra - l.ra) / 2) ** 2)))) AS d,
-       atan2(s.dec - l.dec, (s.ra - l.ra) * cos(radians(l.dec))) AS a FROM l, s WHERE abs(l.ra - s.ra) < 3.2 AND abs(l.dec - s.dec) < 3.2)
+       atan2(s.dec - l.dec, (s.ra - l.ra - CASE WHEN s.ra - l.ra > 180 THEN 360 WHEN s.ra - l.ra < -180 THEN -360 ELSE 0 END) * cos(radians(l.dec))) AS a FROM l, s WHERE (abs(l.ra - s.ra) < 3.2 OR abs(l.ra - s.ra) > 356.8) AND abs(l.dec - s.dec) < 3.2)
  SELECT lens, source, round(d, 6) AS degrees, round(-(e1 * cos(2 * a) + e2 * sin(2 * a)), 6) + 0.0 AS tangential, round(e1 * sin(2 * a) - e2 * cos(2 * a), 6) + 0.0 AS cross_part FROM p WHERE d <= 1.5 AND d > 0""",
-    "critical_density": f"""WITH z AS (SELECT c_custkey AS id, (c_custkey % 20) / 50.0::DOUBLE + 0.05::DOUBLE AS zl, (c_custkey % 31) / 20.0::DOUBLE + 0.1::DOUBLE AS zs FROM customer), k AS (SELECT unnest(range(0, 65)) AS k),
- d AS (SELECT zl, zs, {_D.format("zl")} AS dl, {_D.format("zs")} AS ds FROM (SELECT DISTINCT zl, zs FROM z), k GROUP BY zl, zs)
- SELECT id, round(CASE WHEN zs > zl THEN ds * (1 + zl) / (dl * (ds - dl)) END, 9) AS sigma FROM z JOIN d USING (zl, zs)""",
+    "critical_density": f"""WITH z AS (SELECT c_custkey AS id, (c_custkey % 20) / 50.0::DOUBLE AS zl, CASE WHEN c_custkey % 41 > 0 THEN (c_custkey % 31) / 20.0::DOUBLE + 0.11::DOUBLE END AS zs FROM customer), k AS (SELECT unnest(range(0, 65)) AS k),
+ d AS (SELECT zl, zs, {_D.format("zl")} AS dl, {_D.format("zs")} AS ds FROM (SELECT DISTINCT zl, zs FROM z WHERE zs IS NOT NULL), k GROUP BY zl, zs)
+ SELECT id, coalesce(zs > zl AND zl > 0, false) AS behind, round(CASE WHEN zs > zl AND zl > 0 THEN 299792.458::DOUBLE ** 2 / (4 * pi() * 4.30091e-9::DOUBLE) * (ds / (1 + zs)) / (dl / (1 + zl) * (ds - dl) / (1 + zs)) / 1e15::DOUBLE END, 6) AS sigma FROM z LEFT JOIN d USING (zl, zs)""",
+    "distances": f"""WITH z AS (SELECT s_suppkey, (s_suppkey % 40) / 20.0::DOUBLE AS z, (s_suppkey % 23) / 10.0::DOUBLE AS y FROM supplier), k AS (SELECT unnest(range(0, 65)) AS k),
+ d AS (SELECT s_suppkey, z, y, {_D.format("z")} AS d, {_D.format("y")} AS e FROM z, k GROUP BY s_suppkey, z, y)
+ SELECT s_suppkey, round(d, 5) AS comoving, round(d / (1 + z), 5) AS angular, round(CASE WHEN y > z THEN (e - d) / (1 + y) ELSE 0 END, 5) AS between FROM d""",
+    "object_level_stack": """WITH k AS (SELECT unnest(range(0, 1024)) AS k), t AS (SELECT sum(CASE WHEN k = 0 OR k = 1023 THEN 0.5 ELSE 1.0 END::DOUBLE * sin(1e-8 + (pi() / 2 - 1e-8) * k / 1023)) * (pi() / 2 - 1e-8) / 1023 AS t FROM k),
+ g AS (SELECT unnest([1e-12, 1e-11, 1e-10]::DOUBLE[]) AS g),
+ l AS (SELECT g, 1e12::DOUBLE * (1 + s_suppkey % 7) * t / (sqrt(6.67430e-11::DOUBLE * 1e10::DOUBLE * (1 + s_suppkey % 5) * 1.98847e30::DOUBLE / g) / 3.085677581491367e22::DOUBLE) AS i FROM supplier, t, g)
+ SELECT round(log10(g), 6) AS log_gbar, round(avg(4 * 4.30091e-9::DOUBLE * i * 1e6::DOUBLE / 3.085677581491367e22::DOUBLE) * 1e13::DOUBLE, 6) AS gobs, count(*) AS lenses FROM l GROUP BY g""",
+    "deprojection_matrix": f"""WITH {_NODES}, m AS (SELECT max(x) AS m, max(i) AS last FROM x), b AS (SELECT a.i AS lo, a.x AS a, b.x AS b FROM x a JOIN x b ON b.i = a.i + 1), t AS (SELECT unnest(['flat', 'sis', 'zero']) AS tail),
+ p AS (SELECT tail, i, lo AS j, w * (b - q) / (b - a) AS v FROM q, b, m, t WHERE q <= m AND q >= a AND (q < b OR (q = b AND b = m)) UNION ALL
+       SELECT tail, i, lo + 1, w * (q - a) / (b - a) FROM q, b, m, t WHERE q <= m AND q >= a AND (q < b OR (q = b AND b = m)) UNION ALL
+       SELECT tail, i, last, w * CASE tail WHEN 'sis' THEN m / q WHEN 'flat' THEN 1 ELSE 0 END FROM q, m, t WHERE q > m UNION ALL SELECT tail, a.i, b.i, 0 FROM x a, x b, t)
+ SELECT tail, i::INTEGER AS i, j::INTEGER AS j, round(sum(v), 9) + 0.0 AS v FROM p GROUP BY ALL""",
+    "deprojection_matrix_quadratic": f"""WITH {_NODES} SELECT i::INTEGER AS i, round(coalesce(sum(w) FILTER (q <= (SELECT max(x) FROM x)), 0), 7) AS p0, round(coalesce(sum(w * q) FILTER (q <= (SELECT max(x) FROM x)), 0), 7) AS p1, round(coalesce(sum(w * q * q) FILTER (q <= (SELECT max(x) FROM x)), 0), 7) AS p2 FROM q GROUP BY i""",
     "spherical_deprojection": """WITH r AS (SELECT i::INTEGER AS i, 10.0::DOUBLE ** (i / 10.0::DOUBLE - 1) AS r FROM (SELECT unnest(range(0, 20)) AS i)), k AS (SELECT unnest(range(0, 257)) AS k)
  SELECT i, round(any_value(r), 9) AS r, round(4 * sum(CASE WHEN k = 0 OR k = 256 THEN 0.5 ELSE 1.0 END::DOUBLE * sin(1e-8 + (pi() / 2 - 1e-8) * k / 256) / r) * (pi() / 2 - 1e-8) / 256, 6) AS g FROM r, k GROUP BY i""",
-    "plane_wave_surface": """WITH g AS (SELECT s_nationkey % 5 AS node, (s_suppkey % 40)::INTEGER AS pos, avg(s_acctbal) AS v FROM supplier GROUP BY ALL), w AS (SELECT unnest(range(1, 9))::INTEGER AS wave),
- s AS (SELECT wave, pos - trunc(node * wave / 4.0)::INTEGER AS centre, sum(v) AS score FROM g, w GROUP BY ALL HAVING count(*) = 5),
- b AS (SELECT *, row_number() OVER (PARTITION BY wave ORDER BY -abs(round(score, 4)), centre) AS i FROM s) SELECT wave, centre, round(score, 4) AS score FROM b WHERE i = 1""",
+    "plane_wave_surface": """WITH g AS (SELECT s_nationkey % 5 AS node, (s_suppkey % 10)::BIGINT AS k, avg(s_acctbal) AS v FROM supplier GROUP BY ALL), w AS (SELECT unnest(range(1, 9))::INTEGER AS template),
+ d AS (SELECT DISTINCT node, template, node * template / 4.0::DOUBLE AS d FROM g, w),
+ s AS (SELECT template, a.k - floor(d)::BIGINT AS centre, a.v * (1 - (d - floor(d))) + b.v * (d - floor(d)) AS s FROM d JOIN g a USING (node) JOIN g b ON b.node = a.node AND b.k = a.k + 1),
+ t AS (SELECT template, centre, sum(s) AS score FROM s GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT node) FROM g)),
+ b AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY abs(round(score, 4)) DESC, centre) AS i FROM t) SELECT template, centre, round(score, 4) AS score FROM b WHERE i = 1""",
 }

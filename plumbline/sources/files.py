@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tarfile
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -97,3 +98,26 @@ def gather(wanted: DataFrame, values: DataFrame, place: str = "place", row: str
     """The rows of values at the row numbers asked for, each with its place in the request; a number may be asked for
     again. Numbers that are null or not there give no rows. Only columns that are selected later are read."""
     return wanted.select(place, row).join(values, row)
+
+
+def select_allowed(df: DataFrame, columns: list[str], allowed: dict[str, list[str]], stage: str) -> DataFrame:
+    """The columns of df that a stage asks for; one that it may not read is an error before anything is planned, so that the
+    values of a holdout are never read in discovery."""
+    refused = [c for c in columns if c not in allowed.get(stage, [])]
+    if refused:
+        raise PermissionError(f"stage {stage} may not read {refused}")
+    return df.select(*columns)
+
+
+def write_csv(df: DataFrame, folder: str) -> DataFrame:
+    """Writes df as CSV with a header into a folder of any store Spark writes to, and gives path, byte_count and sha256 of each file:
+    the record that a manifest keeps. As many files as df has partitions."""
+    df.write.option("header", "true").mode("errorifexists").csv(folder)
+    return tree_manifest(df.sparkSession, folder, ("_SUCCESS",))
+
+
+def document(df: DataFrame) -> str:
+    """A table of one row as a JSON text of two-space indents, keys sorted at every depth, and a final line feed: equal rows have
+    equal bytes."""
+    (row,) = canonical_json(df).limit(2).collect()
+    return json.dumps(json.loads(row[0]), indent=2, sort_keys=True, ensure_ascii=False) + "\n"

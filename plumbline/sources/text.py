@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import joins
+from plumbline.operators import joins, ordered
 
 #: The name of a clock product, and the widths of the token tables.
 CLOCK_NAME = r"^\.Satellite\.(GPS\d+)\.Clk\.Bias$"
@@ -16,7 +16,7 @@ SAMPLE_TOKENS, MODEL_TOKENS, CLOCK_TOKENS = 19, 10, 5
 def number(c: Column) -> Column:
     """A double, or null where it does not parse or is not finite."""
     x = c.try_cast("double")
-    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    return F.when(F.abs(x) < float("inf"), x)  # NaN is above all numbers
 
 
 def tokens(lines: DataFrame, count: int) -> DataFrame:
@@ -24,38 +24,50 @@ def tokens(lines: DataFrame, count: int) -> DataFrame:
     return lines.select(F.split(F.trim("value"), r"\s+").alias("t")).where(F.size("t") == count)
 
 
+def numbers(rows: DataFrame, keep: dict[str, int], pick: dict[str, int]) -> DataFrame:
+    """Tokens t as texts (keep) and numbers (pick) by place; rows in which one is no number go. All are parsed at once."""
+    at = lambda i: F.get("t", F.lit(i))
+    d = rows.select(*[at(i).alias(n) for n, i in keep.items()], F.transform(F.array(*[at(i) for i in pick.values()]), number).alias("__d"))
+    fine = d.where(~F.exists("__d", lambda x: x.isNull()))
+    return fine.select(*keep, *[F.get("__d", F.lit(i)).alias(n) for i, n in enumerate(pick)])
+
+
 def rotation_sample(lines: DataFrame) -> DataFrame:
     """Galaxies of a 19-token table: name, distance and inclination with errors, quality; rows that parse whole."""
     t = tokens(lines, SAMPLE_TOKENS)
     pick = {"distance": 2, "distance_error": 3, "inclination": 5, "inclination_error": 6, "quality": 17}
-    return t.select(F.col("t")[0].alias("galaxy"), *[number(F.col("t")[i]).alias(n) for n, i in pick.items()]).na.drop()
+    return numbers(t, {"galaxy": 0}, pick)
 
 
 def mass_models(lines: DataFrame) -> DataFrame:
     """Radii of a 10-token table: galaxy, then nine numbers."""
     names = ["distance", "radius", "v_obs", "v_err", "v_gas", "v_disk", "v_bulge", "sb_disk", "sb_bulge"]
-    return tokens(lines, MODEL_TOKENS).select(F.col("t")[0].alias("galaxy"), *[number(F.col("t")[i + 1]).alias(n) for i, n in enumerate(names)]).na.drop()
+    return numbers(tokens(lines, MODEL_TOKENS), {"galaxy": 0}, {n: i + 1 for i, n in enumerate(names)})
 
 
 def clock_lines(lines: DataFrame) -> DataFrame:
     """Satellite clock biases: jpl_second, node, bias_m, sigma_m; other satellites, negative sigmas and bad numbers go."""
-    t = tokens(lines, CLOCK_TOKENS)
-    node = F.regexp_extract(F.col("t")[4], CLOCK_NAME, 1)
-    out = t.select(number(F.col("t")[0]).alias("jpl_second"), node.alias("node"), number(F.col("t")[2]).alias("bias_m"), number(F.col("t")[3]).alias("sigma_m"))
-    return out.where("node <> '' AND sigma_m >= 0").na.drop()
+    t = numbers(tokens(lines, CLOCK_TOKENS), {"name": 4}, {"jpl_second": 0, "bias_m": 2, "sigma_m": 3})
+    out = t.select("jpl_second", F.regexp_extract("name", CLOCK_NAME, 1).alias("node"), "bias_m", "sigma_m")
+    return out.where("node <> '' AND sigma_m >= 0")
 
 
 def position_lines(lines: DataFrame) -> DataFrame:
     """Satellite positions of E lines: jpl_second, node, x_km, y_km, z_km."""
     t = lines.select(F.split(F.trim("value"), r"\s+").alias("t")).where((F.size("t") >= 7) & (F.col("t")[0] == "E") & F.col("t")[1].startswith("GPS"))
-    return t.select(number(F.col("t")[2]).alias("jpl_second"), F.col("t")[1].alias("node"), *[number(F.col("t")[i]).alias(n) for i, n in ((4, "x_km"), (5, "y_km"), (6, "z_km"))]).na.drop()
+    return numbers(t, {"node": 1}, {"jpl_second": 2, "x_km": 4, "y_km": 5, "z_km": 6}).select("jpl_second", "node", "x_km", "y_km", "z_km")
 
 
 def comment_csv(lines: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of a CSV whose text after any # is a comment; rows of other widths go. columns: names, all numbers."""
+    """Rows of a CSV whose text after any # is a comment, with the names of columns as numbers, and width_ok: whether the row has as
+    many fields as there are columns (missing ones are null, further ones are cut). Fields in double quotes may hold commas;
+    the header, a row that begins with the first name, goes."""
     bare = lines.select(F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("v")).where("v <> ''")
-    t = bare.select(F.split("v", ",").alias("t")).where(F.size("t") == len(columns))
-    return t.where(F.trim(F.col("t")[0]) != columns[0]).select(*[number(F.trim(F.col("t")[i])).alias(n) for i, n in enumerate(columns)])
+    schema = ", ".join(f"f{i} string" for i in range(len(columns) + 1))
+    t = bare.select(F.from_csv("v", F.lit(schema)).alias("t"))
+    width = (F.col(f"t.f{len(columns) - 1}").isNotNull()) & F.col(f"t.f{len(columns)}").isNull()
+    rows = t.where(F.trim("t.f0") != columns[0])
+    return rows.select(*[number(F.trim(f"t.f{i}")).alias(n) for i, n in enumerate(columns)], width.alias("width_ok"))
 
 
 def fits_cards(files: DataFrame) -> DataFrame:
@@ -85,6 +97,17 @@ def parallel_series(documents: DataFrame) -> DataFrame:
     return each.select("s.id", F.inline(F.arrays_zip("times", F.col("s.values").alias("value")))).select(F.try_to_timestamp("times").alias("time"), "id", "value").where("time IS NOT NULL")
 
 
+def wide_series(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """time and a column of each id (a parameter): the values of parallel_series() at each time, null where an id has none; of several
+    values of one id and time the greatest."""
+    return rows.groupBy("time").agg(*[F.max(F.when(F.col("id") == i, F.col("value"))).alias(i) for i in ids])
+
+
+def doubled_keys(df: DataFrame, key: str) -> DataFrame:
+    """key and n of keys that stand more than once: a table of one row a galaxy has none."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def fill_to_null(df: DataFrame, fills: dict[str, float], huge: float | None = None) -> DataFrame:
     """Values within 1e-12 of their column's fill become null; with `huge`, so does what is that large."""
     for c, fill in fills.items():
@@ -112,20 +135,24 @@ def hapi_rows(documents: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(F.try_to_timestamp(F.col("r")[0]).alias("time"), *[cell(n).alias(n) for n in names]).where("time IS NOT NULL")
 
 
-def merge_nearest(left: DataFrame, right: DataFrame, values: list[str], tolerance: float = 45.0, least: int = 60) -> DataFrame:
+def merge_nearest(left: DataFrame, right: DataFrame, values: list[str], tolerance: float = 45.0, least: int = 60, row: str = "row") -> DataFrame:
     """time (seconds) and values of two feeds: each left row with the right row nearest in time, complete rows only, the first of
-    equal times (in order of their values), and enough: whether at least `least` rows are left, on each row."""
-    both = joins.asof_nearest(left, right, tolerance, "time", "time")
+    equal times (in order of `row`, a number of the feed's rows), and enough: whether at least `least` rows are left, on each
+    row. A value that neither feed has, or a feed without time or row, is an error."""
     there = set(left.columns)
-    rows = both.select("time", *[F.col(c if c in there else f"r_{c}").alias(c) for c in values]).na.drop()
-    one = rows.groupBy("time").agg(F.min(F.struct(*values)).alias("v")).select("time", "v.*")
+    missing = [c for c in values if c not in there and c not in right.columns] + [c for c in ("time", row) if not (c in there and c in right.columns)]
+    if missing:
+        raise ValueError(f"columns that the feeds lack: {missing}")
+    both = joins.asof_nearest(left, right, tolerance, "time", order=row)
+    rows = both.select("time", F.col(row).alias("__row"), *[F.col(c if c in there else f"r_{c}").alias(c) for c in values]).na.drop()
+    one = ordered.keep_one(rows, ["time"], ["__row"]).drop("__row")
     return one.crossJoin(F.broadcast(one.agg((F.count("*") >= least).alias("enough"))))  # one row
 
 
 def named_table(lines: DataFrame, names: list[str]) -> DataFrame:
     """Lines of as many white-space tokens as names, all numbers; lines of another width or with text go, comments (#) too."""
     t = tokens(lines.where("NOT startswith(ltrim(value), '#')"), len(names))
-    return t.select(*[number(F.col("t")[i]).alias(n) for i, n in enumerate(names)]).na.drop()
+    return numbers(t, {}, {n: i for i, n in enumerate(names)})
 
 
 def strict_profile(df: DataFrame, x: str, sigma: str, rows: int) -> DataFrame:

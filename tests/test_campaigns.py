@@ -216,7 +216,7 @@ def test_periodogram_and_whittle(spark):
     assert abs(sum(r.density for r in p) / (2.0 * n) - ((y - line) ** 2).mean()) < 1e-9
     bins = frame(spark, [("k", 1.0, 2.0), ("k", 3.0, 0.0), ("k", 2.0, 4.0), ("k", None, 4.0), ("z", 1.0, -1.0)], "g string, observed double, model double")
     assert [(r.g, r.bins, round(r.loglik, 9)) for r in series.whittle(bins, "g").collect()] == [("k", 2, round(-(math.log(2) + 0.5 + math.log(4) + 0.5), 9))]
-    base = series.whittle_baseline(df, "g", "i", "v").collect()
+    base = series.whittle_baseline(df, "g", "i", "v", 20.0).collect()
     assert [(r.g, r.bins) for r in base] == [("k", 32)]
 
 
@@ -279,9 +279,11 @@ def test_feeds(spark):
     doc = '{"parameters":[{"name":"Time"},{"name":"B"},{"name":"V"}],"data":[["2024-01-01T00:00:00Z","1.5",[1,2,3]],["bad","2",[1,2,3]],["2024-01-01T00:01:00Z",null,[4,"x",6]],["2024-01-01T00:02:00Z"]]}'
     rows = text.hapi_rows(frame(spark, [(doc,)], "json string"), ["B", "V_0", "V_1", "V_9"]).orderBy("time").collect()
     assert [tuple(r)[1:] for r in rows] == [(1.5, 1.0, 2.0, None), (None, 4.0, None, None)]
-    mag = frame(spark, [(0.0, 1.0), (60.0, 2.0), (60.0, 3.0), (500.0, 4.0)], "time double, bt double")
-    wind = frame(spark, [(30.0, 400.0), (100.0, 500.0)], "time double, speed double")
-    assert [tuple(r) for r in text.merge_nearest(mag, wind, ["bt", "speed"], least=3).orderBy("time").collect()] == [(0.0, 1.0, 400.0, False), (60.0, 2.0, 400.0, False)]
+    mag = frame(spark, [(0.0, 0, 1.0), (60.0, 2, 2.0), (60.0, 1, 3.0), (500.0, 3, 4.0)], "time double, row int, bt double")
+    wind = frame(spark, [(30.0, 0, 400.0), (100.0, 1, 500.0)], "time double, row int, speed double")
+    assert [tuple(r) for r in text.merge_nearest(mag, wind, ["bt", "speed"], least=3).orderBy("time").collect()] == [(0.0, 1.0, 400.0, False), (60.0, 3.0, 400.0, False)]
+    with pytest.raises(ValueError, match="density"):
+        text.merge_nearest(mag, wind, ["bt", "density"])
     table = text.named_table(frame(spark, [("# h",), ("1 2",), ("3 x",), ("4",)], "value string"), ["a", "b"])
     assert [tuple(r) for r in table.collect()] == [(1.0, 2.0)]
     good = frame(spark, [(0, 3.0, 0.1), (1, 2.0, 0.0), (2, 1.0, 0.2)], "row int, x double, s double")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
-from plumbline.operators import custody, joins, ordered, robust, series
+from plumbline.operators import custody, joins, ordered, pieces, robust, series
 from plumbline.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -49,24 +49,97 @@ def test_asof_ties_go_back_and_the_tolerance_is_inclusive(spark):
     assert found == {1: 11, 2: 13, 3: None}
 
 
+@pytest.mark.parametrize("ranges", [1.0, 2.5, 50.0])
+def test_asof_is_the_nearest_of_all_pairs(spark, ranges):
+    rng = np.random.default_rng(8)
+    left = [(i, float(rng.integers(0, 400)) / 4, int(rng.integers(2))) for i in range(120)] + [(200, 7.0, None), (201, None, 1)]
+    right = [(i, float(rng.integers(0, 400)) / 4, int(rng.integers(2))) for i in range(60)] + [(300, 50.0, None)]
+    found = joins.asof_nearest(spark.createDataFrame(left, "id int, t double, k int"), spark.createDataFrame(right, "id int, t double, k int"), 3.0, by=("k",), order="id", ranges=ranges)
+    want = {}
+    for i, t, k in left:
+        near = [(abs(t - u), u > t, -j if u <= t else j, j) for j, u, m in right if k is not None and t is not None and m == k and abs(t - u) <= 3.0]
+        want[i] = min(near)[3] if near else None
+    assert {r.id: r.r_id for r in found.collect()} == want and any(v is None for v in want.values())
+
+
+def test_rows_beside_and_numbers_cross_the_borders_of_ranges(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, float(t), int(i)) for g in "ab" for i, t in enumerate(rng.integers(-30, 90, 50))]
+    df = spark.createDataFrame(rows, "g string, t double, i int").repartition(5)
+    numbered = {(r.g, r.t, r.id): (r.i, r.n) for r in pieces.numbered(df.withColumnRenamed("i", "id"), ["g"], ["t", "id"], 7.0).collect()}
+    beside = {(r.g, r.t, r.i): (r.before and r.before.v, r.after and r.after.v) for r in pieces.neighbours(df, ["g"], ["t", "i"], "i", 7.0).collect()}
+    for g in "ab":
+        own = sorted((t, i) for x, t, i in rows if x == g)
+        for j, (t, i) in enumerate(own):
+            assert numbered[g, t, i] == (j + 1, 50)
+            assert beside[g, t, i] == (own[j - 1][1] if j else None, own[j + 1][1] if j < 49 else None)
+    assert pieces.numbered(df.limit(0).withColumnRenamed("i", "id"), ["g"], ["t", "id"], 7.0).count() == 0
+
+
+def test_interpolation_reaches_over_empty_ranges(spark):
+    points = spark.createDataFrame([("a", 1.0, 10.0), ("a", 41.0, 50.0), ("b", 5.0, 1.0)], "g string, t double, v double")
+    marks = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("a", 21.0), ("a", 41.0), ("a", 41.5), ("b", 5.0), ("b", 6.0)], "g string, t double")
+    for width in (2.0, 100.0):
+        found = {(r.g, r.t): r.value for r in joins.interpolate(marks, points, "t", "v", "g", width).collect()}
+        assert found == {("a", 0.0): None, ("a", 1.0): 10.0, ("a", 21.0): 30.0, ("a", 41.0): 50.0, ("a", 41.5): None, ("b", 5.0): 1.0, ("b", 6.0): None}
+
+
+def test_an_ambiguous_key_picks_no_row(spark):
+    left = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k int")
+    right = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (None, "w")], "k int, v string")
+    found = {r.k: (r.v, r.join_status) for r in joins.many_to_one(left, right, "k").collect()}
+    assert found == {1: ("x", "MATCHED"), 2: (None, "AMBIGUOUS"), 3: (None, "UNMATCHED"), None: (None, "UNMATCHED")}
+    assert [r.k for r in joins.unmatched_keys(left.na.drop(), right, "k").collect()] == [3]
+
+
 def test_gap_fixture(spark):
-    df = spark.createDataFrame([("a", 0, 1.0), ("a", 30, 4.0), ("a", 90, 9.0)], "node string, t long, v double")
-    found = {r.t: r.difference for r in ordered.gap_aware_difference(df, "node", "t", "v", 30).collect()}
-    assert found == {0: None, 30: 3.0, 90: None}
+    df = spark.createDataFrame([("p", 100, 2.5), ("p", 160, 8.0), ("p", 220, 1.0), ("p", 400, 3.0), ("q", 160, 1.0), ("q", 400, 0.5)], "node string, t long, v double")
+    found = {(r.node, r.t): r.difference for r in ordered.gap_aware_difference(df, "node", "t", "v", 60).collect()}
+    # at 160 q has no value an epoch before; at 400 nobody has
+    assert found == {("p", 100): None, ("p", 160): 5.5, ("p", 220): -7.0, ("p", 400): None, ("q", 160): None, ("q", 400): None}
 
 
 def test_separated_top_fixture(spark):
-    stats = [0, 9, 1, 8, 0, 7, 0, 6, 0, 0]
+    stats = [3, 2, 6, 6, 1, 5, 4, 4.5, 0, 2, 7, 1]  # maxima: the second 6 (a step before it), 5, 4.5, 7
     df = spark.createDataFrame([("g", float(i), float(s)) for i, s in enumerate(stats)], "g string, x double, s double")
-    chosen = ordered.separated_top(ordered.local_maxima(df, ["g"], "x", "s"), "g", "x", "s", 1.5, 8)
-    assert [r.x for r in chosen.orderBy("place").collect()] == [1.0, 3.0, 5.0, 7.0]
-
-
-def test_rotations_equal_rolls(spark):
-    x, y = [0.2, -0.4, 1.1, 0.7, -0.1], [1.0, 2.0, -1.0, 0.5, 3.0]
-    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(x, y))], "i int, x double, y double")
-    found = [r.total for r in series.circular_correlations(df, 5).orderBy("shift").collect()]
-    assert np.allclose(found, [np.dot(x, np.roll(y, -s)) for s in range(5)])
+    peaks = ordered.local_maxima(df, ["g"], "x", "s", 4.0)
+    assert sorted(r.x for r in peaks.collect()) == [3.0, 5.0, 7.0, 10.0]
+    chosen = ordered.separated_top(peaks, "g", "x", "s", 2.5, 8)
+    assert [r.x for r in chosen.orderBy("place").collect()] == [10.0, 3.0, 7.0]
+    off = ordered.separated_top(peaks, "g", "x", "s", 2.5, 8, probes=[10.4], probe_width=0.5)
+    assert [r.x for r in off.orderBy("place").collect()] == [3.0, 7.0]
+    near = ordered.separated_top(peaks, "g", "x", "s", 2.5, 2, tolerance=0.5)
+    assert [r.x for r in near.orderBy("place").collect()] == [10.0, 3.0]
+
+
+def test_welch_and_coherence_add_up_over_segments(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=300).cumsum()
+    y = 0.5 * x + rng.normal(size=300)
+    df = spark.createDataFrame([("s", 2 * i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [("short", 0, 1.0, 1.0)], "g string, t int, x double, y double")
+    i = np.arange(300)
+    a, b = (v - np.polyval(np.polyfit(i, v, 1), i) for v in (x, y))
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(64) / 64)
+    cut = lambda v: np.stack([v[k : k + 64] for k in range(0, 300 - 63, 32)])
+    p = (np.abs(np.fft.rfft(cut(a) * w)) ** 2).mean(0) / (w @ w)
+    p[1:-1] *= 2
+    for width in (40.0, 1e9):
+        found = [r.density for r in series.welch(df, "g", "t", "x", width, most=100).orderBy("k").collect()]
+        assert np.allclose(found, p)
+    f, g = (np.fft.rfft((cut(v) - cut(v).mean(1, keepdims=True)) * w) for v in (a, b))
+    c = np.abs((np.conj(f) * g).mean(0)) ** 2 / ((np.abs(f) ** 2).mean(0) * (np.abs(g) ** 2).mean(0))
+    assert np.allclose([r.coherence for r in series.coherence(df, "g", "t", "x", "y", 40.0, most=100).orderBy("k").collect()], c)
+
+
+def test_normality_statistic_of_known_samples(spark):
+    rng = np.random.default_rng(11)
+    rows = [("normal", float(v)) for v in rng.normal(size=4000)] + [("skewed", float(v)) for v in rng.exponential(size=500)] + [("few", float(v)) for v in range(5)] + [("flat", 1.0)] * 20
+    out = {r.g: r for r in robust.residual_summary(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert out["normal"].p > 0.001 and out["skewed"].p < 1e-12 and out["few"].k2 is None and out["flat"].k2 is None
+    # under the null about 5 % of samples have p below 5 %
+    many = spark.createDataFrame([(str(i % 400), float(v)) for i, v in enumerate(rng.normal(size=400 * 60))], "g string, v double")
+    share = robust.residual_summary(many, "g", "v").where("p < 0.05").count() / 400
+    assert 0.02 < share < 0.09
 
 
 def test_frequency_scores_find_the_amplitude(spark):
@@ -80,7 +153,7 @@ def test_frequency_scores_find_the_amplitude(spark):
 def test_proportional_series_are_coherent(spark):
     v = np.random.default_rng(1).normal(size=64)
     df = spark.createDataFrame([("k", i, float(a), float(3 * a + 1)) for i, a in enumerate(v)], "k string, i int, x double, y double")
-    found = [r.coherence for r in series.coherence(df.withColumnRenamed("k", "name"), "name", "i", "x", "y", most=16).where("k > 0").collect()]
+    found = [r.coherence for r in series.coherence(df.withColumnRenamed("k", "name"), "name", "i", "x", "y", 20.0, most=16).where("k > 0").collect()]
     assert len(found) == 8 and min(found) > 0.999
 
 
@@ -115,5 +188,5 @@ def test_sky_pairs_meet_across_the_seam(spark, tmp_path):
 
 def test_manifest_precedence(spark):
     a = spark.createDataFrame([("x", 3, "s"), ("y", 3, "s"), ("z", 3, "s"), ("w", 3, "s")], "path string, byte_count long, sha256 string")
-    b = spark.createDataFrame([("x", 3, "s"), ("y", 4, "q"), ("z", 3, "q")], "path string, byte_count long, sha256 string")
-    assert {r.path: r.status for r in custody.verify(a, b).collect()} == {"x": "OK", "y": "BYTE_COUNT_MISMATCH", "z": "SHA256_MISMATCH", "w": "MISSING"}
+    b = spark.createDataFrame([("x", 3, "s"), ("y", 4, "q"), ("z", 3, "q"), ("v", 1, "t")], "path string, byte_count long, sha256 string")
+    assert {r.path: r.status for r in custody.verify(a, b).collect()} == {"x": "OK", "y": "BYTE_COUNT_MISMATCH", "z": "SHA256_MISMATCH", "w": "MISSING", "v": "UNLISTED"}
