@@ -33,9 +33,11 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class of near duplicates; rows of one doc_id stay or go together."""
-    others = near_join.near_duplicates(docs.select("doc_id", "text")).where("NOT doc_id <=> class_id").select("doc_id").distinct()
-    return docs.join(save(others, "near-duplicates"), "doc_id", "left_anti")
+    """The document of the smallest doc_id of each class of near duplicates. Rows of one doc_id are told apart by their texts: each is
+    kept or goes by its own class. A null doc_id is the smallest, so its rows stay."""
+    found = near_join.near_duplicates(docs.select("doc_id", "text"), text_hash=True)
+    others = found.where("NOT doc_id <=> class_id").select("doc_id", F.col("text_hash").alias("__h")).distinct()
+    return docs.withColumn("__h", F.xxhash64("text")).join(save(others, "near-duplicates"), ["doc_id", "__h"], "left_anti").select(*docs.columns)
 
 
 def substring_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
