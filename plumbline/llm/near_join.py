@@ -30,12 +30,14 @@ from plumbline.llm.grams import RunHash, mixed, word_hashes
 SHINGLE = 5
 THRESHOLD = 0.8
 T = 128
-LEAF = 128
+LEAF = 1024
 DEPTH = 5
 RECALL = 0.9999
 BLOCK = 256
 #: Members of a large node that all its others meet.
 PIVOTS = 4
+#: Members of a large node that are looked at together with its pivots.
+CHUNK = 128
 _NULL = -(1 << 63)
 _RNG = np.random.default_rng(20_24)
 _A = _RNG.integers(0, 1 << 63, T, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -200,16 +202,15 @@ def _by_group(met: DataFrame, signatures: DataFrame, keys: list[str], use: Calla
     return dealt.mapInArrow(in_groups(keys, use), schema)
 
 
-def around_pivots(large: DataFrame, signatures: DataFrame, least_equal: int, leaf: int = LEAF) -> DataFrame:
+def around_pivots(large: DataFrame, signatures: DataFrame, least_equal: int, chunk: int = CHUNK) -> DataFrame:
     """node, sid, to, held and dealt for the members of large nodes (large: node, n, sid).
 
-    A node is dealt into chunks of about `leaf` members, and PIVOTS of its members join every chunk, so that no task has
+    A node is dealt into chunks of about `chunk` members, and PIVOTS of its members join every chunk, so that no task has
     a whole node. `to` is a member of the same component in the chunk; bit k of held tells that the component has pivot
     k: all members that hold one pivot are alike through it, whatever their chunk. Pivots outside their own chunk
     come with dealt false."""
-    spread = F.ceil(F.col("n") / leaf).cast("int")
-    chunk = F.pmod(F.xxhash64("node", "sid"), spread).cast("int").alias("chunk")
-    own = large.select("node", chunk, "sid", F.lit(0).alias("bits"), F.lit(True).alias("dealt"))
+    spread = F.ceil(F.col("n") / chunk).cast("int")
+    own = large.select("node", F.pmod(F.xxhash64("node", "sid"), spread).cast("int").alias("chunk"), "sid", F.lit(0).alias("bits"), F.lit(True).alias("dealt"))
     heads = [F.min(F.struct(F.xxhash64(F.lit(k), "sid"), "sid")).getField("sid").alias(f"s{k}") for k in range(PIVOTS)]
     pivots = large.groupBy("node").agg(F.max("n").alias("n"), *heads)
     each = F.array(*[F.struct(F.col(f"s{k}").alias("sid"), F.lit(1 << k).alias("bits")) for k in range(PIVOTS)])
@@ -257,7 +258,7 @@ def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], l
         out.append(members.join(fine.select("node"), "node").select("node", F.lit(0).cast("long").alias("chunk"), "sid"))
         if more.isEmpty():
             break
-        met = save(around_pivots(members.join(more, "node"), classes, least_alike(threshold), leaf), f"pivots{level}")
+        met = save(around_pivots(members.join(more, "node"), classes, least_alike(threshold), min(CHUNK, leaf)), f"pivots{level}")
         links.append(met.where("sid <> to").select(F.col("sid").alias("a"), F.col("to").alias("b")))
         met = met.where("dealt")
         holds = lambda k: F.col("held").bitwiseAND(1 << k) > 0
