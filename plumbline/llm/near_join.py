@@ -113,11 +113,13 @@ def _sets(shingle: int):
         for batch in slices(batches, "text"):
             sets = _shingles(batch.column("text").to_pylist(), shingle)
             sids = [_identity(x) for x in sets]
-            made: dict[bytes, bytes] = {}
+            made: dict[bytes, tuple[bytes, bytes]] = {}
             for sid, x in zip(sids, sets):
                 if sid not in made:
-                    made[sid] = _signature(x).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), pa.array(sids, pa.binary()), pa.array([made[x] for x in sids], pa.binary())], names=["doc", "h", "sid", "sig"])
+                    sig = _signature(x)
+                    made[sid] = sig.tobytes(), sig.astype(np.uint8).tobytes()
+            columns = [pa.array(x, pa.binary()) for x in (sids, *zip(*(made[x] for x in sids)))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), *columns], names=["doc", "h", "sid", "sig", "brief"])
 
     return run
 
@@ -150,8 +152,10 @@ def _equal(sig: np.ndarray) -> np.ndarray:
     return equal
 
 
-def _signatures(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, T)
+def _briefs(column: pa.ChunkedArray) -> np.ndarray:
+    """A byte of each minimum hash. Bytes are equal where the hashes are, and else in one place of 256: what is compared by them
+    is never missed, and what is too much falls to the exact step."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, T)
 
 
 def _leaf(least_equal: int):
@@ -159,7 +163,7 @@ def _leaf(least_equal: int):
 
     def use(table: pa.Table) -> pa.RecordBatch | None:
         node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
-        sid, sig = table["sid"].to_pylist(), _signatures(table["sig"])
+        sid, sig = table["sid"].to_pylist(), _briefs(table["brief"])
         a: list[bytes] = []
         b: list[bytes] = []
         for i, j in _bounds(node, chunk):
@@ -182,7 +186,7 @@ def _around_pivots(least_equal: int):
 
     def use(table: pa.Table) -> pa.RecordBatch | None:
         node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
-        sid, sig, bits = table["sid"].to_pylist(), _signatures(table["sig"]), table["bits"].to_numpy()
+        sid, sig, bits = table["sid"].to_pylist(), _briefs(table["brief"]), table["bits"].to_numpy()
         to: list[bytes] = []
         held = np.zeros(len(sid), np.int32)
         for i, j in _bounds(node, chunk):
@@ -196,13 +200,13 @@ def _around_pivots(least_equal: int):
     return use
 
 
-def _by_group(met: DataFrame, signatures: DataFrame, keys: list[str], use: Callable, schema: str) -> DataFrame:
+def _by_group(met: DataFrame, classes: DataFrame, keys: list[str], use: Callable, schema: str) -> DataFrame:
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.join(signatures, "sid").repartition(parts, *keys).sortWithinPartitions(*keys, "sid")
+    dealt = met.join(classes.select("sid", "brief"), "sid").repartition(parts, *keys).sortWithinPartitions(*keys, "sid")
     return dealt.mapInArrow(in_groups(keys, use), schema)
 
 
-def around_pivots(large: DataFrame, signatures: DataFrame, least_equal: int, chunk: int = CHUNK) -> DataFrame:
+def around_pivots(large: DataFrame, classes: DataFrame, least_equal: int, chunk: int = CHUNK) -> DataFrame:
     """node, sid, to, held and dealt for the members of large nodes (large: node, n, sid).
 
     A node is dealt into chunks of about `chunk` members, and PIVOTS of its members join every chunk, so that no task has
@@ -217,7 +221,7 @@ def around_pivots(large: DataFrame, signatures: DataFrame, least_equal: int, chu
     pivots = pivots.select("node", F.explode(F.sequence(F.lit(0), spread - 1)).alias("chunk"), each.alias("s")).select("node", "chunk", F.inline("s"))
     both = own.unionByName(pivots.withColumn("dealt", F.lit(False)))
     both = both.groupBy("node", "chunk", "sid").agg(F.sum("bits").cast("int").alias("bits"), F.max("dealt").alias("dealt"))
-    return _by_group(both, signatures, ["node", "chunk"], _around_pivots(least_equal), "node long, sid binary, to binary, held int, dealt boolean")
+    return _by_group(both, classes, ["node", "chunk"], _around_pivots(least_equal), "node long, sid binary, to binary, held int, dealt boolean")
 
 
 def across(named: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -239,7 +243,7 @@ def across(named: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
     """node, chunk and sid: what is to be compared by brute force; and links (a, b) that were found on the way.
-    classes: sid, sig.
+    classes: sid, sig, brief.
 
     A node of at most `leaf` members is a leaf. In a larger one all members meet its pivots. Those alike through one
     pivot are one group, of which no pair need be looked at again; if the others are a leaf or fewer (or the level is
@@ -273,7 +277,7 @@ def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], l
             break
         draw = lambda p: F.pmod(F.xxhash64(F.lit(7), F.col("node"), p), F.lit(1 << 20)) < int((1 << 20) / (threshold * T))
         chosen = F.filter(F.sequence(F.lit(0), F.lit(T - 1)), draw)
-        split = members.join(left.select("node"), "node").join(classes, "sid").select("sid", "node", "sig", F.explode(chosen).alias("p"))
+        split = members.join(left.select("node"), "node").join(classes.select("sid", "sig"), "sid").select("sid", "node", "sig", F.explode(chosen).alias("p"))
         members = split.select("sid", F.xxhash64("node", "p", at(F.col("p"))).alias("node"))
     return reduce(DataFrame.unionByName, out), links
 
@@ -362,11 +366,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     classes. Other columns are not read. Links are exact; a link can be missed only where both its texts meet neither
     directly nor through others in any run: below 1 - recall at the threshold, less above it."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.xxhash64("text").alias("h"), "text")
-    signed = save(rows.mapInArrow(_sets(shingle), "doc long, h long, sid binary, sig binary"), "signed")
+    signed = save(rows.mapInArrow(_sets(shingle), "doc long, h long, sid binary, sig binary, brief binary"), "signed")
     # a class is read again from the row of its least id and text hash, as an id may have several texts
-    classes = signed.where(F.length("sid") > 0).groupBy("sid").agg(F.min(F.struct("doc", "h")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    classes = save(classes.select("sid", F.col("least.doc").alias("rep"), F.col("least.h").alias("h"), "copies", "sig"), "classes")
-    signatures = classes.select("sid", "sig")
+    classes = signed.where(F.length("sid") > 0).groupBy("sid").agg(F.min(F.struct("doc", "h")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
+    classes = save(classes.select("sid", F.col("least.doc").alias("rep"), F.col("least.h").alias("h"), "copies", "sig", "brief"), "classes")
+    signatures = classes.select("sid", "sig", "brief")
     met, links = leaves(signatures, threshold, draw_roots(recall, threshold), leaf, block=block)
     found = _by_group(met, signatures, ["node", "chunk"], _leaf(least_alike(threshold)), "a binary, b binary")
     provisional = components(reduce(DataFrame.unionByName, links, found))
