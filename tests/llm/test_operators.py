@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, exact_dedup, idfile, line_dedup, near_join, packing, quality, sharding, substring, topk
 
@@ -79,6 +80,54 @@ def test_quality_learns_and_keeps_held_out_rows_apart(spark):
     assert one.where("predicted = 1").count() == 602
 
 
+def test_bpe_rows_of_no_or_one_id(spark):
+    rows = spark.createDataFrame([(None, "no id"), (1, "same"), (1, "same"), (1, None)], "doc_id long, text string")
+    found = bpe.round_trip(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert Counter((r.doc_id, r.decoded_sha256) for r in found) == Counter((k, hashlib.sha256((t or "").encode()).hexdigest()) for k, t in map(tuple, rows.collect()))
+
+
+def test_support_vectors_against_a_plain_solver():
+    rng = np.random.default_rng(4)
+    features = [np.unique(rng.integers(0, 30, int(rng.integers(3, 12)))) for _ in range(50)]
+    labels = np.array([int((x < 13).mean() + rng.normal() * 0.2 > 0.4) for x in features])
+    got, bias = quality.fit_rows(features, labels, c=0.7, epochs=4000)
+    # log-count ratios by hand
+    held = np.zeros((50, 30))
+    for i, x in enumerate(features):
+        held[i, x] = 1
+    n = np.bincount(labels)
+    up, down = held[labels == 1].sum(0), held[labels == 0].sum(0)
+    ratio = np.where(up + down > 0, np.log((up + 1) / (n[1] + 2)) - np.log((down + 1) / (n[0] + 2)), 0)
+    v = held * ratio / np.sqrt(held.sum(1, keepdims=True))
+    sign, most = np.where(labels == 1, 1.0, -1.0), 0.7 * 50 / (2 * n[labels])
+    q = (v @ v.T + 1) * np.outer(sign, sign)
+    dual, step = np.zeros(50), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(60_000):  # projected gradient on the dual
+        dual = np.clip(dual - step * (q @ dual - 1), 0, most)
+    w, b = (dual * sign) @ v, (dual * sign).sum()
+    assert abs(bias - b) < 5e-3 and np.abs(got[:30] - w * ratio).max() < 5e-3 and not got[30:].any()
+
+
+def test_quality_bounds_what_the_driver_gets(spark, monkeypatch):
+    rows = [(7, "good words here", 1)] * 300 + [(i, f"text {i} " * (i % 9), i % 2) for i in range(1000, 1100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    seen = []
+    real = quality.fit_rows
+    monkeypatch.setattr(quality, "fit_rows", lambda f, y, **k: seen.append((len(f), sum(map(len, f)))) or real(f, y, **k))
+    quality.fit(df, max_rows=40)
+    quality.fit(df, max_rows=400, max_grams=700)
+    assert seen[0][0] <= 40 and seen[1][1] <= 700 and seen[1][0] > 10
+    assert quality.fit(df.limit(0)).slope == 0.0
+
+
+def test_quality_scores_every_row(spark):
+    docs = spark.createDataFrame([(1, "a text", 0.5), (1, "a text", 0.1), (2, None, 0.2), (None, "", 0.3), (3, "word " * 200_000, 0.4)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, quality int")
+    found = quality.classify(docs, labels).collect()
+    assert Counter(r.doc_id for r in found) == Counter({1: 2, 2: 1, 3: 1, None: 1}) and all(0 <= r.score <= 1 for r in found)
+    assert quality.classify(docs.limit(0), labels).count() == 0 and quality.classify(docs, labels.limit(0)).count() == 5
+
+
 def test_near_join_is_exact_on_fixture(docs, empty):
     sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for k, t in TEXTS.items()}
     links, parent = Counter(), {k: k for k in sets}
@@ -208,6 +257,43 @@ def test_sharding_is_exact_and_gapless(spark, docs, empty):
     assert sharding.shuffle_shards(empty, ["doc_id"]).count() == 0
 
 
+def test_hypergeometric_is_the_exact_distribution(spark):
+    from math import comb
+
+    cases = [(0, 5, 5), (5, 0, 9), (7, 6, 9), (10, 40, 3), (60, 50, 70), (9, 9, 0), (300, 500, 4000)]
+    steps = 4000
+    grid = spark.range(steps).select((F.col("id") + 0.5).alias("u"))
+    drawn = grid.select(*[sharding.hypergeometric(F.lit(d), F.lit(g), F.lit(b), F.col("u") / steps).alias(f"c{i}") for i, (d, g, b) in enumerate(cases)]).toPandas()
+    for i, (d, g, b) in enumerate(cases):
+        weights = np.array([comb(g, k) * comb(b, d - k) if 0 <= d - k <= b else 0 for k in range(min(d, g) + 1)], object)
+        want = np.array([float(x / sum(weights)) for x in np.cumsum(weights)])
+        have = np.array([(drawn[f"c{i}"] <= k).mean() for k in range(len(want))])
+        assert np.abs(have - want).max() < 1.5 / steps
+
+
+def test_sharding_is_uniform_and_keeps_documents_whole(spark):
+    rows = [(i, f"text {i % 50}") for i in range(3000)] + [(None, None), (None, None), (5, "x"), (5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("own"))
+    found = sharding.shard_documents(docs, shards=6).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in found) == Counter((k, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for k, t in rows)
+    slots = defaultdict(list)
+    for r in found:
+        assert r.law == "rows" and r.grown_shard is None
+        slots[r.shard].append((r.slot, r.doc_id))
+    assert sorted(map(len, slots.values())) == [500, 500, 501, 501, 501, 501]
+    low = []
+    for own in slots.values():
+        own.sort(key=lambda x: x[0])
+        assert [x for x, _ in own] == list(range(len(own)))
+        ids = [k for _, k in own if k is not None]
+        low.append(sum(k < 1500 for k in ids))
+        assert abs(np.corrcoef(np.arange(len(ids)), ids)[0, 1]) < 0.2  # places do not follow ids
+    # of 500 rows drawn without replacement half are low, with a deviation of ten
+    assert all(abs(x - 250) < 50 for x in low)
+    other = sharding.shard_documents(docs, shards=6, seed=2).collect()
+    assert sum(a.shard == b.shard for a, b in zip(sorted(found, key=lambda r: (r.doc_id or -1, r.slot)), sorted(other, key=lambda r: (r.doc_id or -1, r.slot)))) < 700
+
+
 def test_substring_dedup_against_brute_force(docs, empty):
     first = {}
     for k in sorted(TEXTS):
@@ -343,6 +429,36 @@ def test_packing_places_every_id_once(docs, empty):
     assert packing.pack(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
+def test_packing_is_the_librarys_ids_and_close_to_full(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    rng = np.random.default_rng(12)
+    texts = [(i, " ".join(f"word{x}" for x in rng.integers(0, 999, int(rng.integers(0, 90))))) for i in range(400)]
+    texts += [(None, "no id"), (3, texts[3][1]), (7, "other text of an id"), (500, None), (501, "Ünï <|endoftext|> code " * 700)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("offset", F.lit("own")).repartition(3)
+    rows = packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN, room=256, open_windows=16, merge=2).collect()
+    want, total = Counter(), 0
+    for k, t in texts:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        for a in range(0, len(ids), 256):
+            want[k, a, len(ids[a : a + 256]), zlib.crc32(ids[a : a + 256].tobytes()), len(ids)] += 1
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+    # plain best fit of the same pieces, longest first, in unbounded space
+    fills: list[int] = []
+    for n in sorted((x[2] for x in want.elements()), reverse=True):
+        fits = [f for f in fills if f + n <= 256]
+        if fits:
+            fills.remove(max(fits))
+            fills.append(max(fits) + n)
+        else:
+            fills.append(n)
+    sequences = len({r.sequence_id for r in rows})
+    assert sequences <= 1.05 * len(fills) + 1 and total / (256 * sequences) > 0.93
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_line_dedup_against_brute_force(docs, empty, batches):
     key = lambda x: re.sub(r"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
@@ -359,6 +475,25 @@ def test_line_dedup_against_brute_force(docs, empty, batches):
     assert line_dedup.digest(empty).count() == 0
 
 
+def test_line_dedup_of_no_id_and_repeated_rows(spark):
+    rows = [(None, "a shared line of text\nnull only"), (None, "a shared line of text\nsecond text of no id"), (4, "A SHARED line of text \nown words alone"), (4, "own words alone\na shared line of text\nown words alone"), (4, "A SHARED line of text \nown words alone"), (6, "own words alone\nown words alone"), (7, "\n" * 50_000 + "a shared line of text")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kept = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found)
+    want = [(None, 2, 0, rows[0][1]), (None, 2, 0, rows[1][1]), (4, 2, 1, "own words alone"), (4, 3, 1, "own words alone\nown words alone"), (4, 2, 1, "own words alone"), (6, 2, 2, ""), (7, 50_001, 1, "\n" * 49_999)]
+    assert kept == Counter(want)
+
+
+def test_line_runs_merge_and_compact(spark):
+    runs = line_dedup.Runs(spark, fanout=2)
+    for i in range(5):
+        runs.add(spark.createDataFrame([(f"k{k}".encode(), i) for k in range(i, i + 3)] * 2, "key binary, doc int"))
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    plan = runs.all()[0].join(spark.createDataFrame([(b"k1",)], "key binary").hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the run is merged where it lies
+    assert {bytes(r.key).decode(): r["first"] for r in runs.table().collect()} == {f"k{k}": max(0, k - 2) for k in range(7)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run")]
+
+
 def test_exact_dedup_keeps_one_of_each_group(spark, docs, empty):
     rows = docs.unionByName(docs.where("doc_id = 3")).unionByName(spark.createDataFrame([(None, TEXTS[10] + " ", None, None, None)], SCHEMA))
     found = exact_dedup.mark_copies(rows, block_chars=7).collect()
@@ -390,6 +525,19 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_counts_repeated_rows_and_pads_short_vectors(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, (rng.integers(-3, 4, int(rng.integers(0, 6))) / 64).tolist()) for i in range(130)]
+    rows += [rows[33]] * 24 + [rows[40], (40, [5 / 64, 1 / 64]), (45, [9 / 64]), (45, [8 / 64])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), block_rows=20, chunk_queries=2).collect()
+    full = [(k, [int(64 * x) for x in v] + [0] * (6 - len(v))) for k, v in rows]
+    for q in range(0, 130, 20):
+        own = min(v + [] for k, v in full if k == q)
+        scored = sorted((-sum(a * b for a, b in zip(own, v)), k) for k, v in full if k != q)[:20]
+        got = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+        assert got == [(i + 1, k, -s) for i, (s, k) in enumerate(scored)]
+
+
 @pytest.mark.parametrize("scale", [1 << 21, 1 << 40])
 def test_topk_keeps_large_finite_vectors(spark, scale):
     rng = np.random.default_rng(6)
