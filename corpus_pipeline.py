@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup, near_join, packing, quality, substring
@@ -13,23 +15,25 @@ THRESHOLD = 0.3
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
-    """docs with a new text and its n_chars, if there is such a column, and no more columns than before."""
-    out = docs.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+def _rewritten(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], text: Column) -> DataFrame:
+    """docs with a new text, made by an operator from doc_id and text, and its n_chars, if there is such a column. Other columns stay as
+    they are, whatever the operator calls its own: they pass it as one."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(True).alias("__"), *[F.col(f"`{c}`") for c in rest]).alias("__rest"))
+    out = operator(packed).withColumn("text", text)
+    kept = {c: F.length("text").cast("long") if c == "n_chars" else F.col(f"__rest.`{c}`") for c in rest}
+    return out.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in docs.columns])
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.3 or more (null and empty texts are scored too)."""
     model = quality.train_on(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="__score").where(F.col("__score") >= THRESHOLD).drop("__score")
+    return quality.score(docs, model, out="__score").where(F.col("__score") >= THRESHOLD).select(*docs.columns)
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier document has."""
-    return _with_text(line_dedup.dedup_lines(docs), F.col("kept_text"), docs.columns)
+    return _rewritten(docs, line_dedup.dedup_lines, F.col("kept_text"))
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +46,7 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def substring_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without words of passages that an earlier document has; untouched texts stay as they are."""
-    cut = substring.remove_spans(docs)
-    return _with_text(cut, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")), docs.columns)
+    return _rewritten(docs, substring.remove_spans, F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
