@@ -108,6 +108,7 @@ def operator_status(df: DataFrame, multiplier: float = 1.96) -> DataFrame:
     out = df.withColumn("difference", F.col("exact") - F.col("sis")).withColumn("z", F.when(F.col("sigma") > 0, F.col("difference") / F.col("sigma")))
     out = out.withColumn("tail_low", low).withColumn("tail_high", high).withColumn("shift", F.abs(F.col("quadratic") - F.col("exact")))
     systematic = F.greatest((F.col("tail_high") - F.col("tail_low")) / 2, F.col("shift"))
+    # the names of the states are fixed values
     status = (
         F.when(F.col("z").isNull() | F.isnan("z") | (F.col("sis") <= 0) | (F.col("exact") <= 0), "NOT_ESTIMABLE_NONPOSITIVE_OR_DEGENERATE")
         .when(systematic >= F.abs("difference"), "OPERATOR_DIFFERENCE_UNRESOLVED_SYSTEMATICS")

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
 
+#: Mean, deviation and bounds of the mass-to-light ratios of disk and bulge, and the bounds of the distance's
+#: scale and of the inclination in degrees.
+DISK = (0.5, 0.1, 0.05, 2.0)
+BULGE = (0.7, 0.15, 0.05, 2.0)
+SCALE_BOUNDS = (0.1, 10.0)
+INCLINATION_BOUNDS = (5.0, 90.0)
+
 
 def select_observations(models: DataFrame, sample: DataFrame) -> DataFrame:
     """Radii of galaxies of quality 2 or better, inclination 30 or more, positive radius, speed and error, and a relative error of
@@ -17,7 +24,7 @@ def select_observations(models: DataFrame, sample: DataFrame) -> DataFrame:
     return both.where("quality <= 2 AND inclination >= 30 AND radius > 0 AND v_obs > 0 AND v_err > 0 AND v_err / abs(v_obs) <= 0.10")
 
 
-def nominal(points: DataFrame, disk: float = 0.5, bulge: float = 0.7) -> DataFrame:
+def nominal(points: DataFrame, disk: float = DISK[0], bulge: float = BULGE[0]) -> DataFrame:
     """points with v_bar2 (signed squares of gas, disk and bulge), delta_v2 and closure cost."""
     bar = scalars.signed_square(F.col("v_gas")) + disk * scalars.signed_square(F.col("v_disk")) + bulge * scalars.signed_square(F.col("v_bulge"))
     out = points.withColumn("v_bar2", bar).withColumn("delta_v2", F.pow("v_obs", F.lit(2)) - F.col("v_bar2"))
@@ -44,9 +51,9 @@ def propagate(points: DataFrame, draws: int = 4096, seed: int = 10) -> DataFrame
         pdf = pdf.sort_values("radius")
         g = pdf.iloc[0]
         rng = np.random.default_rng([seed, *g.galaxy.encode()])
-        scale = bounded(rng, 1.0, g.distance_error / g.distance, 0.1, 10.0)
-        incline = np.radians(bounded(rng, g.inclination, g.inclination_error, 5.0, 90.0))
-        disk, bulge = bounded(rng, 0.5, 0.1, 0.05, 2.0), bounded(rng, 0.7, 0.15, 0.05, 2.0)
+        scale = bounded(rng, 1.0, g.distance_error / g.distance, *SCALE_BOUNDS)
+        incline = np.radians(bounded(rng, g.inclination, g.inclination_error, *INCLINATION_BOUNDS))
+        disk, bulge = bounded(rng, *DISK), bounded(rng, *BULGE)
         square = lambda v: v * abs(v)
         rows = []
         for p in pdf.itertuples():

@@ -13,6 +13,7 @@ def probe_status(probes: DataFrame) -> DataFrame:
     rows = F.col("expected_rows").isNull() | F.coalesce(F.col("rows") == F.col("expected_rows"), F.lit(False))
     out = probes.withColumn("missing", missing).withColumn("size_matches", F.coalesce(F.col("observed_bytes") == F.col("expected_bytes"), F.lit(False)))
     out = out.withColumn("schema_matches", (F.size("missing") == 0) & rows)
+    # the names of the states are fixed values
     status = (
         F.when(~F.coalesce(F.col("http_status").isin(200, 206), F.lit(False)), "UNAVAILABLE_HTTP_STATUS")
         .when(F.col("size_matches") & F.col("schema_matches"), "AVAILABLE_SCHEMA_VERIFIED")

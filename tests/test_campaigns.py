@@ -321,3 +321,34 @@ def test_sealed_challenge_hides_and_reveals(spark):
     good = hashlib.sha256(bytes.fromhex(seed)).hexdigest()
     assert {r.label: r.outcome for r in sealed.reveal(said, hidden, seed, good).collect()} == {"x": "CORRECT", "y": "MISSING", "null": "FALSE_ALARM"}
     assert {r.outcome for r in sealed.reveal(said, hidden, seed, "00").collect()} == {"SEED_MISMATCH"}
+
+
+def test_covariances_are_judged_by_their_eigenvalues(spark):
+    def check(m):
+        cells = [(i, j, float(m[i, j])) for i in range(len(m)) for j in range(len(m)) if np.isfinite(m[i, j])]
+        return lens.covariance_checks(frame(spark, cells, "i int, j int, v double")).first()
+
+    good = check(np.array([[4.0, 1.0], [1.0, 9.0]]))
+    low, high = np.linalg.eigvalsh([[4.0, 1.0], [1.0, 9.0]])
+    assert good.positive_definite and abs(good.least_eigenvalue - low) < 1e-12 and abs(good.condition - high / low) < 1e-9
+    r = check(np.array([[1.0, 2.0], [2.0, 1.0]]))
+    assert (r.positive_definite, r.condition, r.asymmetric, r.max_correlation) == (False, None, 0, 2.0)
+    r = check(np.array([[1.0, 0.5], [0.4, 1.0]]))
+    assert (r.positive_definite, r.asymmetric) == (None, 2)
+    r = check(np.array([[1.0, np.nan], [0.4, 1.0]]))
+    assert (r.positive_definite, r.missing) == (None, 1)
+    assert lens.covariance_checks(frame(spark, [], "i int, j int, v double")).first().positive_definite is None
+
+
+def test_critical_values_by_counts(spark):
+    values = [5.0, 5.0, 4.0, 3.0, 3.0, 2.0, 1.0, 0.0, -1.0, -1.0]
+    for alpha in (0.05, 0.1, 0.2, 0.35, 0.5, 0.9):
+        place = math.floor(alpha * 11 - 1)
+        want = sorted(values, reverse=True)[place] if place >= 0 else None
+        r = nulls.critical_value(frame(spark, [("f", v) for v in values], "family string, statistic double"), alpha).first()
+        assert (r.n, r.critical) == (10, want)
+
+
+def test_times_with_and_without_a_zone(spark):
+    df = frame(spark, [("2024-05-01 10:00:00",), ("2024-05-01T10:00:00+02:00",), ("2024-05-01T10:00:00Z",), ("nothing",), (None,)], "s string")
+    assert [r[0] for r in df.select(scalars.iso(scalars.utc(F.col("s")))).collect()] == ["2024-05-01T10:00:00Z", "2024-05-01T08:00:00Z", "2024-05-01T10:00:00Z", None, None]

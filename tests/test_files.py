@@ -57,3 +57,23 @@ def test_velocities_cover_speeds_and_directions(spark):
     speed = np.linalg.norm(v, axis=1)
     assert speed.min() >= 50 - 1e-9 and speed.max() <= 800 and abs(np.log(speed).mean() - np.log(200)) < 0.05
     assert np.abs((v / speed[:, None]).mean(0)).max() < 0.05
+
+
+def test_csv_sink_and_its_record(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string").coalesce(1)
+    record = files.write_csv(df, f"file://{tmp_path}/out").collect()
+    (part,) = [p for p in (tmp_path / "out").iterdir() if p.suffix == ".csv"]
+    assert [(r.path, r.byte_count, r.sha256) for r in record if not r.path.startswith(".")] == [(part.name, part.stat().st_size, hashlib.sha256(part.read_bytes()).hexdigest())]
+    assert part.read_text().splitlines()[0] == "k,v"
+    with pytest.raises(Exception, match="exists"):
+        files.write_csv(df, f"file://{tmp_path}/out")
+
+
+def test_document_and_column_control(spark):
+    df = spark.createDataFrame([(2, ("x", [1, 2]))], "b int, a struct<z:string,y:array<int>>")
+    assert files.document(df) == '{\n  "a": {\n    "y": [\n      1,\n      2\n    ],\n    "z": "x"\n  },\n  "b": 2\n}\n'
+    with pytest.raises(ValueError):
+        files.document(df.unionByName(df))
+    assert files.select_allowed(df, ["b"], {"discovery": ["b"]}, "discovery").columns == ["b"]
+    with pytest.raises(PermissionError, match="a"):
+        files.select_allowed(df, ["a"], {"discovery": ["b"]}, "discovery")
