@@ -164,8 +164,8 @@ def _leaf(least_equal: int):
     def use(table: pa.Table) -> pa.RecordBatch | None:
         node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
         sid, sig = table["sid"].to_pylist(), _briefs(table["brief"])
-        a: list[bytes] = []
-        b: list[bytes] = []
+        a: list[int] = []
+        b: list[int] = []
         for i, j in _bounds(node, chunk):
             if j - i == 2:
                 if np.count_nonzero(sig[i] == sig[i + 1]) >= least_equal:
@@ -176,7 +176,7 @@ def _leaf(least_equal: int):
                 for k in np.flatnonzero(root != np.arange(j - i)).tolist():
                     a.append(sid[i + int(root[k])])
                     b.append(sid[i + k])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return use
 
@@ -187,7 +187,7 @@ def _around_pivots(least_equal: int):
     def use(table: pa.Table) -> pa.RecordBatch | None:
         node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
         sid, sig, bits = table["sid"].to_pylist(), _briefs(table["brief"]), table["bits"].to_numpy()
-        to: list[bytes] = []
+        to: list[int] = []
         held = np.zeros(len(sid), np.int32)
         for i, j in _bounds(node, chunk):
             root = _roots(_equal(sig[i:j]) >= least_equal)
@@ -195,7 +195,7 @@ def _around_pivots(least_equal: int):
             np.bitwise_or.at(of, root, bits[i:j])
             held[i:j] = of[root]
             to += [sid[i + k] for k in root.tolist()]
-        return pa.RecordBatch.from_arrays([table["node"].combine_chunks(), pa.array(sid, pa.binary()), pa.array(to, pa.binary()), pa.array(held), table["dealt"].combine_chunks()], names=["node", "sid", "to", "held", "dealt"])
+        return pa.RecordBatch.from_arrays([table["node"].combine_chunks(), pa.array(sid, pa.int64()), pa.array(to, pa.int64()), pa.array(held), table["dealt"].combine_chunks()], names=["node", "sid", "to", "held", "dealt"])
 
     return use
 
@@ -221,7 +221,7 @@ def around_pivots(large: DataFrame, classes: DataFrame, least_equal: int, chunk:
     pivots = pivots.select("node", F.explode(F.sequence(F.lit(0), spread - 1)).alias("chunk"), each.alias("s")).select("node", "chunk", F.inline("s"))
     both = own.unionByName(pivots.withColumn("dealt", F.lit(False)))
     both = both.groupBy("node", "chunk", "sid").agg(F.sum("bits").cast("int").alias("bits"), F.max("dealt").alias("dealt"))
-    return _by_group(both, classes, ["node", "chunk"], _around_pivots(least_equal), "node long, sid binary, to binary, held int, dealt boolean")
+    return _by_group(both, classes, ["node", "chunk"], _around_pivots(least_equal), "node long, sid long, to long, held int, dealt boolean")
 
 
 def across(named: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -243,7 +243,7 @@ def across(named: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
     """node, chunk and sid: what is to be compared by brute force; and links (a, b) that were found on the way.
-    classes: sid, sig, brief.
+    classes: sid (a number), sig, brief.
 
     A node of at most `leaf` members is a leaf. In a larger one all members meet its pivots. Those alike through one
     pivot are one group, of which no pair need be looked at again; if the others are a leaf or fewer (or the level is
@@ -252,17 +252,20 @@ def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], l
     # four bytes of the signature, as a number
     at = lambda p: F.substring("sig", p * 4 + 1, 4)
     first = F.array(*[F.xxhash64(F.lit(run), F.lit(p), F.substring("sig", p * 4 + 1, 4)) for run, p in roots])
-    members = classes.select("sid", F.explode(first).alias("node"))
+    members = classes.select("sid", F.explode(first).alias("node"))  # made twice: that costs less than to keep it
     out: list[DataFrame] = []
     links: list[DataFrame] = []
     for level in range(1, depth + 1):
-        members = save(members, f"members{level}")
+        if level > 1:
+            members = save(members, f"members{level}")
         sizes = save(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"sizes{level}")
-        fine, more = sizes.where(F.col("n") <= leaf), sizes.where(F.col("n") > leaf)
-        out.append(members.join(fine.select("node"), "node").select("node", F.lit(0).cast("long").alias("chunk"), "sid"))
-        if more.isEmpty():
+        # one shuffle of all members, and what is alone in its node is gone
+        sized = save(members.join(sizes, "node"), f"sized{level}")
+        out.append(sized.where(F.col("n") <= leaf).select("node", F.lit(0).cast("long").alias("chunk"), "sid"))
+        large = sized.where(F.col("n") > leaf)
+        if sizes.where(F.col("n") > leaf).isEmpty():
             break
-        met = save(around_pivots(members.join(more, "node"), classes, least_alike(threshold), min(CHUNK, leaf)), f"pivots{level}")
+        met = save(around_pivots(large, classes, least_alike(threshold), min(CHUNK, leaf)), f"pivots{level}")
         links.append(met.where("sid <> to").select(F.col("sid").alias("a"), F.col("to").alias("b")))
         met = met.where("dealt")
         holds = lambda k: F.col("held").bitwiseAND(1 << k) > 0
@@ -277,7 +280,7 @@ def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], l
             break
         draw = lambda p: F.pmod(F.xxhash64(F.lit(7), F.col("node"), p), F.lit(1 << 20)) < int((1 << 20) / (threshold * T))
         chosen = F.filter(F.sequence(F.lit(0), F.lit(T - 1)), draw)
-        split = members.join(left.select("node"), "node").join(classes.select("sid", "sig"), "sid").select("sid", "node", "sig", F.explode(chosen).alias("p"))
+        split = large.join(left.select("node"), "node").select("node", "sid").join(classes.select("sid", "sig"), "sid").select("sid", "node", "sig", F.explode(chosen).alias("p"))
         members = split.select("sid", F.xxhash64("node", "p", at(F.col("p"))).alias("node"))
     return reduce(DataFrame.unionByName, out), links
 
@@ -289,13 +292,13 @@ def _shingle_sets(shingle: int):
         seen: set[bytes] = set()
         for batch in slices(batches, "text"):
             new = []
-            for i, sid in enumerate(batch.column("sid").to_pylist()):
-                if sid not in seen:
-                    seen.add(sid)
+            for i, key in enumerate(batch.column("key").to_pylist()):
+                if key not in seen:
+                    seen.add(key)
                     new.append(i)
             batch = batch.take(pa.array(new, pa.int32()))
             sets = _shingles(batch.column("text").to_pylist(), shingle)
-            same = [i for i, (x, sid) in enumerate(zip(sets, batch.column("sid").to_pylist())) if _identity(x) == sid]
+            same = [i for i, (x, key) in enumerate(zip(sets, batch.column("key").to_pylist())) if _identity(x) == key]
             part = batch.take(pa.array(same, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("root", "size", "sid", "copies")), pa.array([sets[i].tobytes() for i in same], pa.binary())], names=["root", "size", "sid", "copies", "shingles"])
 
@@ -326,12 +329,11 @@ def _exact(threshold: Fraction):
         # a class that several tasks found is there once
         first = [True, *(a != b for a, b in pairwise(zip(*(table[x].to_pylist() for x in ("root", "i", "j", "sid")))))]
         table = table.filter(pa.array(first[: table.num_rows], pa.bool_()))
-        root, i_, j_ = table["root"].to_pylist(), table["i"].to_numpy(), table["j"].to_numpy()
-        codes = np.unique(np.array([x.hex() for x in root]), return_inverse=True)[1]
+        root, i_, j_ = table["root"].to_numpy(), table["i"].to_numpy(), table["j"].to_numpy()
         own, sid, copies = table["own"].to_numpy(), table["sid"].to_pylist(), table["copies"].to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()]
         out: tuple[list, list, list] = ([], [], [])
-        for a, b in _bounds(codes, i_, j_):
+        for a, b in _bounds(root, i_, j_):
             size = np.array([len(x) for x in sets[a:b]])
             both = _common(sets[a:b])
             # common / (sum - common) >= num / den
@@ -349,7 +351,7 @@ def _exact(threshold: Fraction):
                     out[0].append(sid[a + k])
                     out[1].append(sid[a + int(roots[k])])
                     out[2].append(int(links[k]))
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["sid", "to", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["sid", "to", "links"])
 
     return use
 
@@ -367,31 +369,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     directly nor through others in any run: below 1 - recall at the threshold, less above it."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.xxhash64("text").alias("h"), "text")
     signed = save(rows.mapInArrow(_sets(shingle), "doc long, h long, sid binary, sig binary, brief binary"), "signed")
-    # a class is read again from the row of its least id and text hash, as an id may have several texts
+    # a class is read again from the row of its least id and text hash, as an id may have several texts; on the way it is
+    # known by its number in the written table
     classes = signed.where(F.length("sid") > 0).groupBy("sid").agg(F.min(F.struct("doc", "h")).alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
-    classes = save(classes.select("sid", F.col("least.doc").alias("rep"), F.col("least.h").alias("h"), "copies", "sig", "brief"), "classes")
+    numbered = classes.select(F.col("sid").alias("key"), F.monotonically_increasing_id().alias("sid"), F.col("least.doc").alias("rep"), F.col("least.h").alias("h"), "copies", "sig", "brief")
+    classes = save(numbered, "classes")
     signatures = classes.select("sid", "sig", "brief")
     met, links = leaves(signatures, threshold, draw_roots(recall, threshold), leaf, block=block)
-    found = _by_group(met, signatures, ["node", "chunk"], _leaf(least_alike(threshold)), "a binary, b binary")
+    found = _by_group(met, signatures, ["node", "chunk"], _leaf(least_alike(threshold)), "a long, b long")
     provisional = components(reduce(DataFrame.unionByName, links, found))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = provisional.groupBy("root").agg(F.count("*").alias("size"))
-    members = save(provisional.withColumnRenamed("node", "sid").join(sizes, "root").join(classes.select("sid", "rep", "h", "copies"), "sid"), "members")
+    members = save(provisional.withColumnRenamed("node", "sid").join(sizes, "root").join(classes.select("sid", "key", "rep", "h", "copies"), "sid"), "members")
     # by sort and merge at every size: the members grow with the documents
-    texts = rows.join(members.withColumnRenamed("rep", "doc").hint("merge"), ["doc", "h"]).select("root", "size", "sid", "copies", "text")
-    sets = texts.mapInArrow(_shingle_sets(shingle), "root binary, size long, sid binary, copies long, shingles binary")
+    texts = rows.join(members.withColumnRenamed("rep", "doc").hint("merge"), ["doc", "h"]).select("root", "size", "sid", "key", "copies", "text")
+    sets = texts.mapInArrow(_shingle_sets(shingle), "root long, size long, sid long, copies long, shingles binary")
     sets = save(sets, "sets")
     blocks = F.ceil(F.col("size") / block).cast("int")
     placed = sets.withColumn("own", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "copies", "shingles")
-    judged = placed.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid").mapInArrow(in_groups(["root", "i", "j"], _exact(Fraction(threshold).limit_denominator(1000))), "sid binary, to binary, links long")
+    judged = placed.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid").mapInArrow(in_groups(["root", "i", "j"], _exact(Fraction(threshold).limit_denominator(1000))), "sid long, to long, links long")
     judged = save(judged, "judged")
     exact = components(judged.select(F.col("sid").alias("a"), F.col("to").alias("b")))
     links = judged.groupBy("sid").agg(F.sum("links").alias("links"))
     named = exact.withColumnRenamed("node", "sid").join(classes.select("sid", "rep"), "sid")
     heads = named.groupBy("root").agg(F.min("rep").alias("head"))
     result = named.join(heads, "root").select("sid", "head").join(links, "sid", "left")
-    whole = classes.select("sid", "rep", "copies").join(result, "sid", "left").select("sid", F.coalesce("head", "rep").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    whole = classes.select("sid", "key", "rep", "copies").join(result, "sid", "left").select(F.col("key").alias("sid"), F.coalesce("head", "rep").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
     out = signed.select("doc", "h", "sid").join(save(whole, "class-of"), "sid", "left")
     real = lambda c: F.when(c != _NULL, c)
     found = [real(F.col("doc")).alias("doc_id"), real(F.coalesce("head", "doc")).alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links")]

@@ -181,10 +181,10 @@ def test_near_join_reaches_its_recall_at_the_last_level(spark):
 def test_near_join_compares_all_of_a_large_last_node(spark):
     # node 1: one group of 60 classes and 31 others; node 2: one group alone; node 3: no group at all
     large = [(1, f"m{i}") for i in range(60)] + [(1, f"r{i}") for i in range(31)] + [(2, f"m{i}") for i in range(40)] + [(3, f"r{i}") for i in range(25)]
-    rows = near_join.across(spark.createDataFrame([(n, k.encode(), k[0] == "m") for n, k in large], "node long, sid binary, is_main boolean"), block=8).collect()
+    rows = near_join.across(spark.createDataFrame([(n, k, k[0] == "m") for n, k in large], "node long, sid string, is_main boolean"), block=8).collect()
     groups, met = defaultdict(list), defaultdict(set)
     for r in rows:
-        groups[r.node, r.chunk].append(bytes(r.sid).decode())
+        groups[r.node, r.chunk].append(r.sid)
     for (node, _), ks in groups.items():
         assert len(ks) <= 40
         met[node] |= {(a, b) for a in ks for b in ks}
