@@ -74,11 +74,11 @@ def unmatched_keys(left: DataFrame, right: DataFrame, key: str, most: int = 5) -
 
 def suffix_lookup(names: DataFrame, entries: DataFrame, suffix: str = "suffix", path: str = "path") -> DataFrame:
     """names with path, n and lookup_status: the one entry whose path ends with the suffix (FOUND), or none (NOT_FOUND), or more
-    (AMBIGUOUS, no path). A suffix has a file name; entries are joined on that, then compared whole."""
+    (AMBIGUOUS, no path). A suffix may begin inside a file name, so an entry comes once for each ending of its own, and meets
+    the suffixes whose last part that is; what stands before is then compared."""
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     there = entries.select(F.col(path).alias("__path")).withColumn("__base", base(F.col("__path")))
     wanted = names.withColumn("__base", base(F.col(suffix)))
-    # a suffix may begin inside a file name: then its base is only the end of the entry's, so lengths are tried, not bases
     ends = F.transform(F.sequence(F.lit(1), F.length("__base")), lambda i: F.substring(F.col("__base"), -i, i))
     there = there.withColumn("__base", F.explode(ends))
     found = wanted.join(there, "__base").where(F.endswith(F.col("__path"), F.col(suffix))).groupBy(suffix).agg(F.count("*").alias("__n"), F.min("__path").alias("__p"))
