@@ -61,6 +61,16 @@ def two_level_quantiles(df: DataFrame, group: str, member: str, v: str, least: i
     return out.select(group, "n", value(0).alias("q16"), value(1).alias("median"), value(2).alias("q84"), F.when(enough, "DESCRIPTIVE").otherwise("INSUFFICIENT").alias("status"))
 
 
+def draw_quantiles(df: DataFrame, by: str, channel: str, channels: list[str], v: str, shares: list[float]) -> DataFrame:
+    """by and a column <channel>_<percent> for each channel (a parameter) and share: quantiles over draws, nulls and NaN left out; null
+    where a channel has none."""
+    made = []
+    for c in channels:
+        own = F.when((F.col(channel) == c) & ~F.isnan(v), F.col(v))
+        made += [F.percentile(own, F.lit(q)).alias(f"{c}_{int(q * 100)}") for q in shares]
+    return df.groupBy(by).agg(*made)
+
+
 def ratio_summary(df: DataFrame, by: str, ratio: str, z: str) -> DataFrame:
     """by, n, median_ratio, max_abs_log10, z_median, z_max, z_over_2: of the finite positive ratios and of the absolute z."""
     good = F.col(ratio).isNotNull() & ~F.isnan(ratio) & (F.col(ratio) > 0) & (F.col(ratio) < float("inf"))

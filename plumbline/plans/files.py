@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from plumbline.operators import network
+from plumbline.operators import network, robust
+from plumbline.session import shared_dir
 from plumbline.sources import files
 
 BASE = "products"
@@ -36,13 +39,32 @@ def velocity_bank(spark, sf_dir):
     return n.join(bank, "template").select("template", *[F.round(c, 6).alias(c) for c in ("x", "y", "z")])
 
 
-PLANS = [product_index, canonical_rows, row_gather, velocity_bank]
+def csv_record(spark, sf_dir):
+    """Nations written as one CSV file into the shared folder: the record of its bytes."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
+    made = files.write_csv(n.orderBy("n_nationkey").coalesce(1), f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}")
+    return made.where("path LIKE '%.csv'").select("byte_count", "sha256")
+
+
+def draw_quantiles(spark, sf_dir):
+    """Quantiles over each order priority's draws (orders) of prices, nulls left out, for two statuses side by side."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority", "o_orderstatus", F.when(F.col("o_custkey") % 9 > 0, F.col("o_totalprice").cast("double")).alias("v"))
+    out = robust.draw_quantiles(o, "o_orderpriority", "o_orderstatus", ["F", "O"], "v", [0.16, 0.5, 0.84])
+    return out.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
+
+
+PLANS = [product_index, canonical_rows, row_gather, velocity_bank, csv_record, draw_quantiles]
 
 #: Digits of the numbers 1 to 25 in bases 2, 3 and 5, written out: five, three and three digits are enough below 27.
 _UNIT = {2: range(5), 3: range(3), 5: range(3)}
 _H = {b: " + ".join(f"((template + 1) // {b**d} % {b}) / {b ** (d + 1)}::DOUBLE" for d in ds) for b, ds in _UNIT.items()}
 
 SQL = {
+    "csv_record": """WITH t AS (SELECT 'n_nationkey,n_name,n_regionkey' || chr(10) || string_agg(n_nationkey || ',' || n_name || ',' || n_regionkey, chr(10) ORDER BY n_nationkey) || chr(10) AS t FROM nation)
+ SELECT strlen(t)::BIGINT AS byte_count, sha256(t) AS sha256 FROM t""",
+    "draw_quantiles": "WITH o AS (SELECT o_orderpriority, o_orderstatus AS s, CASE WHEN o_custkey % 9 > 0 THEN o_totalprice::DOUBLE END AS v FROM orders) SELECT o_orderpriority, "
+    + ", ".join(f"round(quantile_cont(v, {q}) FILTER (s = '{s}'), 4) AS {s}_{int(q * 100)}" for s in "FO" for q in (0.16, 0.5, 0.84))
+    + " FROM o GROUP BY 1",
     "product_index": "SELECT strftime(d, '%Y-%m-%d') AS day, 'products/' || year(d) || '/' || strftime(d, '%Y-%m-%d') || '_hr.tdp.gz' AS clock, 'products/' || year(d) || '/' || strftime(d, '%Y-%m-%d') || '.pos.gz' AS position FROM (SELECT DISTINCT o_orderdate::DATE AS d FROM orders)",
     "canonical_rows": """WITH j AS (SELECT '{"a_name":"' || n_name || '","ids":{"key":' || n_nationkey || ',"region":' || n_regionkey || '}}' AS json FROM nation) SELECT json, sha256(json) AS sha256 FROM j""",
     "row_gather": "SELECT o_orderkey AS place, c_acctbal::DOUBLE AS value FROM orders JOIN customer ON o_custkey = c_custkey",

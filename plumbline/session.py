@@ -1,4 +1,6 @@
-"""The session that tests and benches share."""
+"""The session that tests and benches share, and the folder that a cluster shares."""
+
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +21,14 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session
+    (one machine) takes a temporary folder; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return f"file://{tempfile.gettempdir()}/plumbline-shared"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

@@ -1,12 +1,14 @@
 import hashlib
 import io
 import tarfile
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import network
+from plumbline.session import shared_dir
 from plumbline.sources import files
 
 
@@ -77,3 +79,14 @@ def test_document_and_column_control(spark):
     assert files.select_allowed(df, ["b"], {"discovery": ["b"]}, "discovery").columns == ["b"]
     with pytest.raises(PermissionError, match="a"):
         files.select_allowed(df, ["a"], {"discovery": ["b"]}, "discovery")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(session("local[4]")).startswith("file:///")
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
