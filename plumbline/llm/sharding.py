@@ -132,8 +132,12 @@ def shuffle_shards(df: DataFrame, key: list[str], shards: int = 24, seed: int =
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 1) -> DataFrame:
-    """The rows law for documents: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: no key law)."""
+    """The rows law for documents: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: no key law).
+
+    Every row of docs gets one slot: rows of one id, of none, and rows alike in everything too. A null text has no bytes; other
+    columns are not read; an empty table gives no rows. A row is dealt by its number in a table that is written first, so
+    that repeated rows are many keys, not one, and a task that runs again deals alike."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shuffle_shards(rows, ["doc_id", "size", "text_crc32"], shards, seed)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = shuffle_shards(save(rows, "sharded-rows"), ["row"], shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
