@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_groups, save, slices
+from plumbline.llm.common import drop_saved, in_groups, save, slices
 from plumbline.llm.components import components
 from plumbline.llm.grams import RunHash, mixed, word_hashes
 
@@ -241,8 +241,9 @@ def across(named: DataFrame, block: int = BLOCK) -> DataFrame:
     return placed.select("node", (F.least("own", "other") * F.col("both") + F.greatest("own", "other")).alias("chunk"), "sid")
 
 
-def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
-    """node, chunk and sid: what is to be compared by brute force; and links (a, b) that were found on the way.
+def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """node, chunk and sid: what is to be compared by brute force; links (a, b) that were found on the way; and the tables that
+    both read.
     classes: sid (a number), sig, brief.
 
     A node of at most `leaf` members is a leaf. In a larger one all members meet its pivots. Those alike through one
@@ -255,17 +256,20 @@ def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], l
     members = classes.select("sid", F.explode(first).alias("node"))  # made twice: that costs less than to keep it
     out: list[DataFrame] = []
     links: list[DataFrame] = []
+    kept: list[DataFrame] = []
     for level in range(1, depth + 1):
         if level > 1:
             members = save(members, f"members{level}")
         sizes = save(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), f"sizes{level}")
         # one shuffle of all members, and what is alone in its node is gone
         sized = save(members.join(sizes, "node"), f"sized{level}")
+        kept.append(sized)
         out.append(sized.where(F.col("n") <= leaf).select("node", F.lit(0).cast("long").alias("chunk"), "sid"))
         large = sized.where(F.col("n") > leaf)
         if sizes.where(F.col("n") > leaf).isEmpty():
             break
         met = save(around_pivots(large, classes, least_alike(threshold), min(CHUNK, leaf)), f"pivots{level}")
+        kept.append(met)
         links.append(met.where("sid <> to").select(F.col("sid").alias("a"), F.col("to").alias("b")))
         met = met.where("dealt")
         holds = lambda k: F.col("held").bitwiseAND(1 << k) > 0
@@ -282,7 +286,7 @@ def leaves(classes: DataFrame, threshold: float, roots: list[tuple[int, int]], l
         chosen = F.filter(F.sequence(F.lit(0), F.lit(T - 1)), draw)
         split = large.join(left.select("node"), "node").select("node", "sid").join(classes.select("sid", "sig"), "sid").select("sid", "node", "sig", F.explode(chosen).alias("p"))
         members = split.select("sid", F.xxhash64("node", "p", at(F.col("p"))).alias("node"))
-    return reduce(DataFrame.unionByName, out), links
+    return reduce(DataFrame.unionByName, out), links, kept
 
 
 def _shingle_sets(shingle: int):
@@ -375,9 +379,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     numbered = classes.select(F.col("sid").alias("key"), F.monotonically_increasing_id().alias("sid"), F.col("least.doc").alias("rep"), F.col("least.h").alias("h"), "copies", "sig", "brief")
     classes = save(numbered, "classes")
     signatures = classes.select("sid", "sig", "brief")
-    met, links = leaves(signatures, threshold, draw_roots(recall, threshold), leaf, block=block)
+    met, links, kept = leaves(signatures, threshold, draw_roots(recall, threshold), leaf, block=block)
     found = _by_group(met, signatures, ["node", "chunk"], _leaf(least_alike(threshold)), "a long, b long")
     provisional = components(reduce(DataFrame.unionByName, links, found))
+    for table in kept:
+        drop_saved(table)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = provisional.groupBy("root").agg(F.count("*").alias("size"))
     members = save(provisional.withColumnRenamed("node", "sid").join(sizes, "root").join(classes.select("sid", "key", "rep", "h", "copies"), "sid"), "members")
@@ -385,11 +391,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     texts = rows.join(members.withColumnRenamed("rep", "doc").hint("merge"), ["doc", "h"]).select("root", "size", "sid", "key", "copies", "text")
     sets = texts.mapInArrow(_shingle_sets(shingle), "root long, size long, sid long, copies long, shingles binary")
     sets = save(sets, "sets")
+    drop_saved(members)
     blocks = F.ceil(F.col("size") / block).cast("int")
     placed = sets.withColumn("own", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "copies", "shingles")
     judged = placed.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sid").mapInArrow(in_groups(["root", "i", "j"], _exact(Fraction(threshold).limit_denominator(1000))), "sid long, to long, links long")
     judged = save(judged, "judged")
+    drop_saved(sets)
     exact = components(judged.select(F.col("sid").alias("a"), F.col("to").alias("b")))
     links = judged.groupBy("sid").agg(F.sum("links").alias("links"))
     named = exact.withColumnRenamed("node", "sid").join(classes.select("sid", "rep"), "sid")
