@@ -13,20 +13,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates two steps until nothing changes: each node links its larger neighbours to its least one, then its
     smaller ones and itself. Rounds grow with the logarithm of a component's size. Minima are pre-aggregated, so that a
-    node with many neighbours is no large group; the joins have a row for each edge."""
+    node with many neighbours is no large group, and written, so that both sides of a join are plain exchanges, of which AQE
+    splits the skewed partitions; the joins have a row for each edge."""
     now = save(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        least = save(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), "least-of-all")
         large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         large = save(large, "large-star")
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        drop_saved(least)
+        least = save(large.groupBy("v").agg(F.min("u").alias("m")), "least-of-large")
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).distinct()
         small = save(small, "small-star")
         state = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_saved(now)
-        drop_saved(large)
+        for table in (now, large, least):
+            drop_saved(table)
         now = small
         if state == before:
             break
