@@ -13,8 +13,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, tolerance: float, t: str = "
     columns get the prefix r_ and are null where nothing is near. A null t or key matches nothing.
 
     Of right rows of one time the last in `order` (a right column; none: all its columns) is the nearest before, the first
-    the nearest after. Both sides are cut into ranges of `ranges` tolerances and ordered there once; the range beside gives
-    its outermost right row, as nothing further can be near. No pairs are made."""
+    the nearest after. Both sides are cut into ranges of `ranges` tolerances and ordered there once; each range sends its
+    outermost right rows to the ranges beside it, as nothing further can be near. No pairs are made, and nothing is joined."""
     if ranges < 1:
         raise ValueError("a range must be as wide as the tolerance")
     keys = [*by, pieces.CUT]
@@ -26,17 +26,16 @@ def asof_nearest(left: DataFrame, right: DataFrame, tolerance: float, t: str = "
     cut = pieces.cut(t, ranges * tolerance).alias(pieces.CUT)
     there = right.where(fits).select(*by, cut, F.col(t).alias("__t"), ord_.alias("__o"), F.struct(*names).alias("__r"))
     here = left.where(fits).select(*by, cut, F.col(t).alias("__t"), F.struct(*left.columns).alias("__l"))
-    both = there.unionByName(here, allowMissingColumns=True)
+    row, place = F.struct("__t", "__o", "__r"), F.struct("__t", "__o")
+    ends = there.groupBy(*keys).agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
+    beside = lambda c, step: F.struct((F.col(pieces.CUT) + step).alias(pieces.CUT), *[F.col(f"{c}.{x}").alias(x) for x in ("__t", "__o", "__r")])
+    sent = ends.select(*by, F.inline(F.array(beside("last", 1), beside("first", -1))))
+    both = there.unionByName(sent).unionByName(here, allowMissingColumns=True)
     is_left = F.col("__l").isNotNull()
     running = lambda *o: Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
     back = F.last("__r", ignorenulls=True).over(running(F.asc("__t"), is_left.asc(), F.asc("__o")))
     ahead = F.last("__r", ignorenulls=True).over(running(F.desc("__t"), is_left.asc(), F.desc("__o")))
     rows = both.withColumn("__back", back).withColumn("__ahead", ahead).where(is_left)
-    place = F.struct("__t", "__o")
-    edge = there.groupBy(*keys).agg(F.min_by("__r", place).alias("__first"), F.max_by("__r", place).alias("__last"))
-    shifted = lambda c, by_: edge.select(*by, (F.col(pieces.CUT) + by_).alias(pieces.CUT), c)
-    rows = rows.join(shifted("__last", 1), keys, "left").join(shifted("__first", -1), keys, "left")
-    rows = rows.withColumn("__back", F.coalesce("__back", "__last")).withColumn("__ahead", F.coalesce("__ahead", "__first"))
     gap_back, gap_ahead = F.col("__t") - F.col(f"__back.{t}"), F.col(f"__ahead.{t}") - F.col("__t")
     near = F.when(gap_back.isNotNull() & (gap_ahead.isNull() | (gap_back <= gap_ahead)), F.col("__back")).otherwise(F.col("__ahead"))
     hit = F.when(F.least(gap_back, gap_ahead) <= tolerance, near)
