@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,12 +104,12 @@ def fit_rows(features: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epo
     sign = np.where(labels == 1, 1.0, -1.0)
     most = c * len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))[labels]  # classes weigh the same
     dual, order = np.zeros(len(labels)), np.random.default_rng(seed)
-    values = [ratio[x] / np.sqrt(max(len(x), 1)) for x in features]
-    norm = np.array([v @ v + 1 for v in values])
+    value = lambda x: ratio[x] / np.sqrt(max(len(x), 1))
+    norm = np.array([np.square(value(x)).sum() + 1 for x in features])
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(labels)):
-            x, v = features[i], values[i]
+            x, v = features[i], value(features[i])
             slope = sign[i] * (w[x] @ v + bias) - 1
             new = min(max(dual[i] - slope / norm[i], 0.0), most[i])
             if new != dual[i]:
@@ -154,11 +156,14 @@ def _features(df: DataFrame, text: str) -> DataFrame:
 def _least(rows: DataFrame, most: int) -> DataFrame:
     """At most `most` rows, those of smallest (h, t); of rows alike in both any may be the last. Two numbers a row are
     compared, without texts."""
-    edge = rows.select("h", "t").orderBy("h", "t").limit(most).agg(F.max(F.struct("h", "t")).alias("e"), F.count("*").alias("n")).first()
-    if not edge["n"]:
+    place = F.struct("h", "t")
+    few = rows.select("h", "t").orderBy("h", "t").limit(most).groupBy("h", "t").agg(F.count("*").alias("n"))
+    edge = few.agg(F.max(place).alias("e"), F.max_by("n", place).alias("n")).first()
+    if edge["e"] is None:
         return rows.limit(0)
-    place, last = F.struct("h", "t"), F.struct(F.lit(edge["e"]["h"]).alias("h"), F.lit(edge["e"]["t"]).alias("t"))
-    return rows.where(place < last).unionByName(rows.where(place == last).limit(most)).limit(most)
+    last = F.struct(F.lit(edge["e"]["h"]).alias("h"), F.lit(edge["e"]["t"]).alias("t"))
+    # a limit goes through one task: only rows alike with the last one do
+    return rows.where(place < last).unionByName(rows.where(place == last).limit(edge["n"]))
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", max_rows: int = 12_000, c: float = 1.0, max_grams: int = 24_000_000) -> Model:
@@ -176,12 +181,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     kept = int(np.searchsorted(np.cumsum([n for _, _, n in places]), max_grams, "right"))
     got = (made if kept == len(places) else _least(made, kept)).select("label", "grams").toArrow()
     labels = got["label"].to_numpy().astype(int)
-    features = [np.asarray(x, np.int64) for x in got["grams"].to_pandas()] if len(labels) else []
+    grams = got["grams"].combine_chunks()
+    flat, cuts = grams.flatten().to_numpy(), np.cumsum(np.append(0, pc.list_value_length(grams).to_numpy()))
+    features = [flat[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]  # views: the sample is held once
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     # order by content: the tasks' order does not matter
-    order = sorted(range(len(labels)), key=lambda i: (labels[i], features[i].tobytes()))
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], hashlib.md5(features[i]).digest()))
     features, labels = [features[i] for i in order], labels[order]
     fold = np.arange(len(labels)) % 5 == 0
     part = lambda pick: ([features[i] for i in np.flatnonzero(pick)], labels[pick])
