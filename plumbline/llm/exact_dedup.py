@@ -15,7 +15,10 @@ def _named(parts: DataFrame, content: list[str], tag: str) -> DataFrame:
 
     The distinct contents are sorted over all partitions, and names ascend in that order; they are written once, so
     that a task that runs again finds the same ones."""
-    distinct = parts.select(*content).distinct().repartitionByRange(*content).sortWithinPartitions(*content)
+    kinds = dict(parts.dtypes)
+    # ranges by the first characters, which order as the whole does, as the driver samples what ranges are cut by
+    ranges = [F.substring(c, 1, 32) if kinds[c] == "string" else F.col(c) for c in content]
+    distinct = parts.select(*content).distinct().repartitionByRange(*ranges).sortWithinPartitions(*content)
     names = save(distinct.withColumn("name", F.monotonically_increasing_id()), tag)
     on = [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in content]
     return parts.alias("p").join(names.alias("n"), on).select("p.unit", "p.pos", "n.name")
