@@ -125,8 +125,9 @@ def sentencepiece_coder(path: str, pattern: str) -> tuple[Cached, Callable[[byte
 
 
 @functools.cache
-def library_coder(path: str, pattern: str) -> Cached:
-    """Texts to little-endian uint16 or uint32 ids (by the vocabulary's size) with the tokenizers library."""
+def library_coder(path: str, pattern: str, most: int = 800_000) -> Cached:
+    """Texts to little-endian uint16 or uint32 ids (by the vocabulary's size) with the tokenizers library; most: words that the
+    cache holds."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,7 +148,7 @@ def library_coder(path: str, pattern: str) -> Cached:
             out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    return Cached(pattern, encode_many, 800_000)
+    return Cached(pattern, encode_many, most)
 
 
 def id_type(vocabulary: int) -> str:

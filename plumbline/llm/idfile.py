@@ -33,6 +33,8 @@ from plumbline.llm.common import save, slices
 PART_BYTES = 1 << 20
 #: The more keys, the likelier that a seed fails: about one time in fifty here.
 PART_KEYS = 1 << 14
+#: Words of known ids in a worker, which also holds a part and sorts its shard.
+CACHED_WORDS = 400_000
 #: Seeds of a perfect hash, each with hashes of its own.
 SEEDS = 256
 _SEED = 1 << 21
@@ -149,7 +151,7 @@ def write(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 0, shard
     names = [x.split()[0] for x in fields.split(", ")]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = bpe.library_coder(vocabulary, pattern), np.array([end_id], kind).tobytes()
+        coder, end = bpe.library_coder(vocabulary, pattern, CACHED_WORDS), np.array([end_id], kind).tobytes()
         shard = TaskContext.get().partitionId()
         keys: list[int] = []
         raws: list[bytes] = []
