@@ -34,23 +34,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _varint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def field(number: int, payload: bytes) -> bytes:
+    """A length-delimited field of a protocol buffer."""
+    return _varint(number << 3 | 2) + _varint(len(payload)) + payload
+
+
+def flag(number: int, n: int) -> bytes:
+    """A field that holds a whole number."""
+    return _varint(number << 3) + _varint(n)
+
+
 def serialise(ranks: dict[bytes, int]) -> bytes:
     """A sentencepiece ModelProto: <unk> as piece 0, then each token in rank order as piece rank + 1, its bytes
     mapped to characters and its score the negative rank; BPE; identity normalisation."""
     chars = byte_chars()
 
-    def varint(n: int) -> bytes:
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    def field(number: int, payload: bytes) -> bytes:
-        return varint(number << 3 | 2) + varint(len(payload)) + payload
-
-    def flag(number: int, n: int) -> bytes:
-        return varint(number << 3) + varint(n)
-
     def piece(text: str, score: float, kind: int) -> bytes:
         return field(1, field(1, text.encode()) + b"\x15" + struct.pack("<f", score) + flag(3, kind))
 
@@ -124,31 +129,59 @@ def sentencepiece_coder(path: str, pattern: str) -> tuple[Cached, Callable[[byte
     return Cached(pattern, encode_many), lambda ids: b"".join(map(inverse.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class WithAdded:
+    """Encodes texts as the tokenizers library does where its added tokens' strings have ids of their own: what stands between
+    them is encoded by itself."""
+
+    def __init__(self, coder: Cached, added: dict[str, bytes]):
+        self.coder, self.added = coder, added
+        self.split = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).split
+        self.find = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))).findall
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        found = [self.find(x) if any(map(x.__contains__, self.added)) else [] for x in texts]
+        if not any(found):
+            return self.coder(texts)
+        parts = [self.split(x) if own else [x] for x, own in zip(texts, found)]
+        ids = iter(self.coder([x for own in parts for x in own]))
+        return [b"".join(next(ids) + (self.added[names[i]] if i < len(names) else b"") for i in range(len(own))) for own, names in zip(parts, found)]
+
+
 @functools.cache
-def library_coder(path: str, pattern: str, most: int = 800_000) -> Cached:
-    """Texts to little-endian uint16 or uint32 ids (by the vocabulary's size) with the tokenizers library; most: words that the
-    cache holds."""
+def library_coder(path: str, pattern: str, most: int = 800_000, plain: bool = False) -> Callable[[list[str]], list[bytes]]:
+    """Texts to little-endian uint16 or uint32 ids (by the vocabulary's size) as the tokenizers library encodes them without
+    adding tokens; most: words that the cache holds. The strings of the vocabulary's added tokens get these tokens' ids, as the library
+    gives them; with `plain` they are ordinary text, as with its encode_special_tokens."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
+    model.encode_special_tokens = True  # words are between added tokens, or added tokens are text
     kind = id_type(model.get_vocab_size())
 
+    sizes = np.array([len(model.id_to_token(i)) for i in range(model.get_vocab_size())])  # a character for each byte
+
     def encode_many(words: list[str]) -> list[bytes]:
-        """Words go as pre-tokens of one input, in parts."""
+        """Words go as pre-tokens of one input, in parts, and are told apart by their bytes or, where ids stand for other bytes, by
+        the library's slower count of words."""
         out: list[bytes] = []
-        size = int(kind[2])
         inputs = [words[a : a + 2000] for a in range(0, len(words), 2000)]
-        for own, x in zip(inputs, model.encode_batch(inputs, is_pretokenized=True, add_special_tokens=False)):
-            raw = np.array(x.ids, kind).tobytes()
-            cuts = (np.searchsorted(np.array(x.word_ids, np.int64), np.arange(len(own) + 1)) * size).tolist()
+        for own, x in zip(inputs, model.encode_batch_fast(inputs, is_pretokenized=True, add_special_tokens=False)):
+            ids, bounds = np.array(x.ids, np.int64), np.cumsum([0, *(len(w.encode()) for w in own)])
+            ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+            cuts = np.searchsorted(ends, bounds)
+            if ends[-1] != bounds[-1] or (ends[cuts] != bounds).any():
+                x = model.encode(own, is_pretokenized=True, add_special_tokens=False)
+                ids, cuts = np.array(x.ids, np.int64), np.searchsorted(np.array(x.word_ids, np.int64), np.arange(len(own) + 1))
+            raw, cuts = ids.astype(kind).tobytes(), (cuts * int(kind[2])).tolist()
             out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    return Cached(pattern, encode_many, most)
+    cached = Cached(pattern, encode_many, most)
+    added = {} if plain else {x.content: np.array([i], kind).tobytes() for i, x in model.get_added_tokens_decoder().items()}
+    return WithAdded(cached, added) if added else cached
 
 
 def id_type(vocabulary: int) -> str:

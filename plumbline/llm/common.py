@@ -9,7 +9,8 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from plumbline.session import shared_dir
 
@@ -71,6 +72,16 @@ def drop_saved(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with the number (from 1) of each row in an order of all rows. The order is cut into sampled ranges, which are written once; a
+    row for each range carries the count of those before."""
+    ranges = save(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.withColumn(out, inside).join(F.broadcast(before), "__range").withColumn(out, F.col("__before") + F.col(out)).drop("__range", "__before")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `most` bytes of a column (one row at least), so that memory stays bounded."""
     for batch in batches:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from plumbline.llm import bpe, exact_dedup, idfile, line_dedup, near_join, packing, quality, sharding, substring, topk
+from plumbline.llm import alignment, bpe, decontaminate, exact_dedup, idfile, importance, line_dedup, near_join, packing, quality, sharding, substring, topk
 from plumbline.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_byte_bpe(spark, sf_dir):
@@ -51,5 +52,17 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_near_join, op4_sharding, op5_substring_dedup, op6_id_files, op7_packing, op8_line_dedup, op9_exact_dedup, op10_topk)}
-ORACLES = {"op3_near_join": near_join.NEAR_SQL, "op5_substring_dedup": substring.DIGEST_SQL, "op8_line_dedup": line_dedup.DIGEST_SQL, "op9_exact_dedup": exact_dedup.MARK_SQL, "op10_topk": topk.TOP_SQL}
+def op11_decontamination(spark, sf_dir):
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_near_join, op4_sharding, op5_substring_dedup, op6_id_files, op7_packing, op8_line_dedup, op9_exact_dedup, op10_topk, op11_decontamination, op12_importance, op13_alignment)}
+ORACLES = {"op3_near_join": near_join.NEAR_SQL, "op5_substring_dedup": substring.DIGEST_SQL, "op8_line_dedup": line_dedup.DIGEST_SQL, "op9_exact_dedup": exact_dedup.MARK_SQL, "op10_topk": topk.TOP_SQL, "op11_decontamination": decontaminate.DIGEST_SQL, "op12_importance": importance.RESAMPLE_SQL}
