@@ -26,21 +26,24 @@ def _text(*parts):
 
 
 def header_feed(spark, sf_dir):
-    """Suppliers as one feed of rows below a header: bad times and rows of other widths go, the last of equal times stays."""
-    k = F.col("s_suppkey")
-    stamp = F.when(k % 9 == 0, "no time").otherwise(F.concat(F.lit("2024-01-01 00:"), F.lpad((k % 45).cast("string"), 2, "0"), F.lit(":00")))
+    """Suppliers as feeds of rows below a header, one for each nation: bad times and rows of other widths go, the last of equal times
+    stays. Feeds of even nations have a propagated time too, which then counts, an hour after the other."""
+    k, even = F.col("s_suppkey"), F.col("s_nationkey") % 2 == 0
+    stamp = lambda hour: F.when(k % 9 == 0, "no time").otherwise(F.concat(F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("s_nationkey") * 86400), "yyyy-MM-dd"), F.lit(f" {hour}:"), F.lpad((k % 3).cast("string"), 2, "0"), F.lit(":00")))
     density = F.when(k % 7 == 0, "n/a").otherwise((k * 2).cast("string"))
-    row = F.when(k % 11 == 0, F.array(stamp)).otherwise(F.array(stamp, density, (k / 4.0).cast("string")))
-    rows = _t(spark, sf_dir, "supplier").select(F.struct(k.alias("k"), row.alias("r")).alias("x"))
-    feed = rows.agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.concat(F.array(F.array(F.lit("time_tag"), F.lit("density"), F.lit("speed"))), F.col("x.r")).alias("a"))
-    out = text.header_rows(feed.select(F.to_json("a").alias("json")), ["density", "speed"], "time_tag")
+    row = F.concat(F.array(stamp("00"), density, (k / 4.0).cast("string")), F.when(even, F.array(stamp("01"))).otherwise(F.array().cast("array<string>")))
+    rows = _t(spark, sf_dir, "supplier").select("s_nationkey", F.struct(k.alias("k"), F.when(k % 11 == 0, F.slice(row, 1, 1)).otherwise(row).alias("r")).alias("x"))
+    names = F.concat(F.array(F.lit("time_tag"), F.lit("density"), F.lit("speed")), F.when(even, F.array(F.lit("propagated_time_tag"))).otherwise(F.array().cast("array<string>")))
+    feed = rows.groupBy("s_nationkey").agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.concat(F.array(names), F.col("x.r")).alias("a"))
+    out = text.header_rows(feed.select(F.to_json("a").alias("json")), ["density", "speed"], ["propagated_time_tag", "time_tag"])
     return out.select(scalars.iso(F.col("time")).alias("at"), "density", "speed")
 
 
 def parallel_feed(spark, sf_dir):
-    """Nations' account balances as parallel arrays of two series, one nation's a value short; wide again."""
-    c = _t(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select("c_nationkey", F.struct("c_custkey", F.col("c_acctbal").cast("double").alias("b")).alias("x"))
-    one = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    """Account balances of all customers as parallel arrays of two series, a feed for each hundred of a nation, in some of which the second is
+    a value short; wide again."""
+    c = _t(spark, sf_dir, "customer").select("c_nationkey", F.floor(F.col("c_custkey") / 100).alias("g"), F.struct("c_custkey", F.col("c_acctbal").cast("double").alias("b")).alias("x"))
+    one = c.groupBy("c_nationkey", "g").agg(F.array_sort(F.collect_list("x")).alias("x"))
     values = F.transform("x", lambda x: x["b"])
     times = F.transform("x", lambda x: F.date_format(F.timestamp_seconds(F.lit(1706745600) + x["c_custkey"] * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     short = F.when(F.col("c_nationkey") % 5 == 0, F.slice(values, 1, F.size(values) - 1)).otherwise(F.transform(values, lambda v: v * 2))
@@ -55,7 +58,7 @@ def described_feed(spark, sf_dir):
     at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + k * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     size = F.when(k % 6 == 0, "-999.9").otherwise(F.col("p_size").cast("string"))
     vector = F.concat(F.lit("["), (k % 10).cast("string"), F.lit(","), F.when(k % 8 == 0, "1e31").otherwise((k % 7).cast("string")), F.lit("]"))
-    data = _t(spark, sf_dir, "part").groupBy((k % 16).alias("g")).agg(F.collect_list(F.when(k % 25 == 0, F.array(at, size)).otherwise(F.array(at, size, vector))).alias("d"))
+    data = _t(spark, sf_dir, "part").groupBy(F.floor(k / 256).alias("g")).agg(F.collect_list(F.when(k % 25 == 0, F.array(at, size)).otherwise(F.array(at, size, vector))).alias("d"))
     names = F.array(*[F.struct(F.lit(n).alias("name")) for n in ("Time", "size", "B")])
     feed = data.select(F.to_json(F.struct(names.alias("parameters"), F.col("d").alias("data"))).alias("json"))
     out = text.fill_to_null(text.hapi_rows(feed, ["size", "B_0", "B_1"]), {"size": -999.9, "B_0": -1.0, "B_1": -1.0}, 1e30)
@@ -66,9 +69,9 @@ def merged_feeds(spark, sf_dir):
     """Clicks and errors as two feeds, merged to the nearest within 45 s: complete rows, the first of equal times."""
     e = _events(spark, sf_dir)
     left = e.where("event_type = 'click'").select(F.floor("t").cast("double").alias("time"), F.col("event_id").alias("row"), F.col("value").alias("bz"))
-    right = e.where("event_type = 'error'").select(F.floor("t").cast("double").alias("time"), F.col("event_id").alias("row"), F.when(F.col("event_id") % 5 > 0, F.col("value")).alias("speed"))
-    out = text.merge_nearest(left, joins.prefixed(right, "", ("time",)), ["bz", "speed"], 45.0, 60)
-    return out.select(F.col("time").cast("long").alias("time"), F.round("bz", 6).alias("bz"), F.round("speed", 6).alias("speed"), "enough")
+    right = e.where("event_type = 'error'").select(F.floor("t").cast("double").alias("time"), F.col("event_id").alias("row"), F.when(F.col("event_id") % 5 > 0, F.col("value")).alias("bz"))
+    out = text.merge_nearest(left, joins.prefixed(right, "wind_", ("time", "row")), ["bz", "wind_bz"], 45.0, 60)
+    return out.select(F.col("time").cast("long").alias("time"), F.round("bz", 6).alias("bz"), F.round("wind_bz", 6).alias("wind_bz"), "enough")
 
 
 def _sample_lines(spark, sf_dir):
@@ -140,7 +143,7 @@ def position_feed(spark, sf_dir):
 def commented_csv(spark, sf_dir):
     """Parts as CSV rows with comments, quotes and other widths."""
     k = F.col("p_partkey")
-    row = F.concat((k / 2.0).cast("string"), F.lit(","), F.when(k % 3 == 0, F.concat(F.lit('"'), k.cast("string"), F.lit(',5"'))).otherwise(k.cast("string")))
+    row = F.concat((k / 2.0).cast("string"), F.lit(","), F.when(k % 3 == 0, F.concat(F.lit('"'), k.cast("string"), F.lit(',#5"'))).otherwise(k.cast("string")))
     lines = _t(spark, sf_dir, "part").select(F.when(k % 11 == 0, F.concat(F.lit("# "), row)).when(k == 1, "a,b,c").when(k % 5 == 0, row).otherwise(F.concat(row, F.lit(", 7"), F.when(k % 4 == 0, ",8").otherwise(""), F.lit(" # note, with commas"))).alias("value"))
     return text.comment_csv(lines, ["a", "b", "c"]).groupBy("width_ok").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
 
@@ -269,14 +272,14 @@ _MODELS = """ml AS (SELECT 'G' || (l_suppkey + 3) AS galaxy, l_linenumber * 2 +
 _CUTS = "quality <= 2 AND inclination >= 30 AND radius > 0 AND vo > 0 AND ve > 0 AND ve / abs(vo) <= 0.10"
 _STAMP = "strftime(make_timestamp({} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 SQL = {
-    "header_feed": """WITH r AS (SELECT s_suppkey AS k, s_suppkey % 45 AS m FROM supplier WHERE s_suppkey % 9 <> 0 AND s_suppkey % 11 <> 0), l AS (SELECT m, max(k) AS k FROM r GROUP BY m)
- SELECT '2024-01-01T00:' || lpad(m::VARCHAR, 2, '0') || ':00Z' AS at, CASE WHEN k % 7 > 0 THEN k * 2 END::DOUBLE AS density, k / 4.0::DOUBLE AS speed FROM l""",
-    "parallel_feed": f"""SELECT {_STAMP.format("(1706745600 + c_custkey * 60)")} AS at, round(c_acctbal::DOUBLE, 2) AS x, round(CASE WHEN c_nationkey % 5 > 0 THEN 2 * c_acctbal::DOUBLE END, 2) AS y FROM customer WHERE c_custkey % 3 = 0""",
+    "header_feed": f"""WITH l AS (SELECT 1704067200 + s_nationkey * 86400 + (1 - s_nationkey % 2) * 3600 + s_suppkey % 3 * 60 AS m, max(s_suppkey) AS k FROM supplier WHERE s_suppkey % 9 <> 0 AND s_suppkey % 11 <> 0 GROUP BY 1)
+ SELECT {_STAMP.format("m")} AS at, CASE WHEN k % 7 > 0 THEN k * 2 END::DOUBLE AS density, k / 4.0::DOUBLE AS speed FROM l""",
+    "parallel_feed": f"""SELECT {_STAMP.format("(1706745600 + c_custkey * 60)")} AS at, round(c_acctbal::DOUBLE, 2) AS x, round(CASE WHEN c_nationkey % 5 > 0 THEN 2 * c_acctbal::DOUBLE END, 2) AS y FROM customer""",
     "described_feed": f"""SELECT {_STAMP.format("(1704067200 + p_partkey * 60)")} AS at, CASE WHEN p_partkey % 6 > 0 THEN p_size END::DOUBLE AS size, (p_partkey % 10)::DOUBLE AS B_0, CASE WHEN p_partkey % 8 > 0 THEN p_partkey % 7 END::DOUBLE AS B_1 FROM part WHERE p_partkey % 25 <> 0""",
     "merged_feeds": f"""WITH {_E}, c AS (SELECT floor(t) AS t, event_id, value FROM e WHERE event_type = 'click'), r AS (SELECT floor(t) AS t, event_id, CASE WHEN event_id % 5 > 0 THEN value END AS value FROM e WHERE event_type = 'error'),
  n AS (SELECT c.t, c.event_id, c.value AS bz, r.value AS speed, row_number() OVER (PARTITION BY c.event_id ORDER BY abs(c.t - r.t), r.t, CASE WHEN r.t <= c.t THEN -r.event_id ELSE r.event_id END) AS i FROM c JOIN r ON abs(c.t - r.t) <= 45),
  f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY event_id) AS j FROM n WHERE i = 1 AND bz IS NOT NULL AND speed IS NOT NULL)
- SELECT t::BIGINT AS time, round(bz, 6) AS bz, round(speed, 6) AS speed, count(*) OVER () >= 60 AS enough FROM f WHERE j = 1""",
+ SELECT t::BIGINT AS time, round(bz, 6) AS bz, round(speed, 6) AS wind_bz, count(*) OVER () >= 60 AS enough FROM f WHERE j = 1""",
     "galaxy_table": f"WITH {_SAMPLE} SELECT * FROM sl",
     "galaxy_doubles": f"WITH {_SAMPLE} SELECT galaxy, 2::BIGINT AS n FROM sl WHERE galaxy LIKE 'G1%'",
     "curve_table": f"WITH {_MODELS} SELECT galaxy, count(*) AS n, round(min(radius), 6) AS least, round(sum(vo), 6) AS total FROM ml GROUP BY 1",

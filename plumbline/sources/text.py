@@ -3,6 +3,8 @@ typed columns; lines that do not fit are left out, numbers that do not parse bec
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from plumbline.operators import joins, ordered
 #: The name of a clock product, and the widths of the token tables.
 CLOCK_NAME = r"^\.Satellite\.(GPS\d+)\.Clk\.Bias$"
 SAMPLE_TOKENS, MODEL_TOKENS, CLOCK_TOKENS = 19, 10, 5
+#: What stands before a comment: quoted fields whole, a quote that nothing closes as any other character.
+_BEFORE_COMMENT = r'^((?:[^"#]++|"[^"]*+"|"(?=[^"]*+$))*+)'
 
 
 def number(c: Column) -> Column:
@@ -19,50 +23,50 @@ def number(c: Column) -> Column:
     return F.when(F.abs(x) < float("inf"), x)  # NaN is above all numbers
 
 
-def tokens(lines: DataFrame, count: int) -> DataFrame:
-    """Lines of exactly `count` tokens, as an array t."""
-    return lines.select(F.split(F.trim("value"), r"\s+").alias("t")).where(F.size("t") == count)
-
+def parsed(lines: DataFrame, count: int, keep: dict[str, int], pick: dict[str, int], fits: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Lines of exactly `count` tokens (with `fits`: of `count` and more, whose tokens meet it) as texts (keep) and numbers (pick) by
+    place; lines in which one is no number go.
 
-def numbers(rows: DataFrame, keep: dict[str, int], pick: dict[str, int]) -> DataFrame:
-    """Tokens t as texts (keep) and numbers (pick) by place; rows in which one is no number go. All are parsed at once."""
-    at = lambda i: F.get("t", F.lit(i))
-    d = rows.select(*[at(i).alias(n) for n, i in keep.items()], F.transform(F.array(*[at(i) for i in pick.values()]), number).alias("__d"))
-    fine = d.where(~F.exists("__d", lambda x: x.isNull()))
-    return fine.select(*keep, *[F.get("__d", F.lit(i)).alias(n) for i, n in enumerate(pick)])
+    One generator makes a row of a line or none, so that a line is split once: filters and projections above it see columns,
+    and are not pushed into it."""
+    split = F.array(F.split(F.trim("value"), r"\s+"))
+    right = (lambda t: F.size(t) == count) if fits is None else (lambda t: (F.size(t) >= count) & fits(t))
+    at = lambda t, i: F.get(t, F.lit(i))
+    row = lambda t: F.struct(*[at(t, i).alias(n) for n, i in keep.items()], F.transform(F.array(*[at(t, i) for i in pick.values()]), number).alias("__d"))
+    rows = F.filter(F.transform(F.filter(split, right), row), lambda r: ~F.exists(r["__d"], lambda x: x.isNull()))
+    return lines.select(F.inline(rows)).select(*keep, *[F.get("__d", F.lit(i)).alias(n) for i, n in enumerate(pick)])
 
 
 def rotation_sample(lines: DataFrame) -> DataFrame:
     """Galaxies of a 19-token table: name, distance and inclination with errors, quality; rows that parse whole."""
-    t = tokens(lines, SAMPLE_TOKENS)
     pick = {"distance": 2, "distance_error": 3, "inclination": 5, "inclination_error": 6, "quality": 17}
-    return numbers(t, {"galaxy": 0}, pick)
+    return parsed(lines, SAMPLE_TOKENS, {"galaxy": 0}, pick)
 
 
 def mass_models(lines: DataFrame) -> DataFrame:
     """Radii of a 10-token table: galaxy, then nine numbers."""
     names = ["distance", "radius", "v_obs", "v_err", "v_gas", "v_disk", "v_bulge", "sb_disk", "sb_bulge"]
-    return numbers(tokens(lines, MODEL_TOKENS), {"galaxy": 0}, {n: i + 1 for i, n in enumerate(names)})
+    return parsed(lines, MODEL_TOKENS, {"galaxy": 0}, {n: i + 1 for i, n in enumerate(names)})
 
 
 def clock_lines(lines: DataFrame) -> DataFrame:
     """Satellite clock biases: jpl_second, node, bias_m, sigma_m; other satellites, negative sigmas and bad numbers go."""
-    t = numbers(tokens(lines, CLOCK_TOKENS), {"name": 4}, {"jpl_second": 0, "bias_m": 2, "sigma_m": 3})
+    t = parsed(lines, CLOCK_TOKENS, {"name": 4}, {"jpl_second": 0, "bias_m": 2, "sigma_m": 3})
     out = t.select("jpl_second", F.regexp_extract("name", CLOCK_NAME, 1).alias("node"), "bias_m", "sigma_m")
     return out.where("node <> '' AND sigma_m >= 0")
 
 
 def position_lines(lines: DataFrame) -> DataFrame:
     """Satellite positions of E lines: jpl_second, node, x_km, y_km, z_km."""
-    t = lines.select(F.split(F.trim("value"), r"\s+").alias("t")).where((F.size("t") >= 7) & (F.col("t")[0] == "E") & F.col("t")[1].startswith("GPS"))
-    return numbers(t, {"node": 1}, {"jpl_second": 2, "x_km": 4, "y_km": 5, "z_km": 6}).select("jpl_second", "node", "x_km", "y_km", "z_km")
+    satellite = lambda t: (F.get(t, F.lit(0)) == "E") & F.get(t, F.lit(1)).startswith("GPS")
+    return parsed(lines, 7, {"node": 1}, {"jpl_second": 2, "x_km": 4, "y_km": 5, "z_km": 6}, satellite).select("jpl_second", "node", "x_km", "y_km", "z_km")
 
 
 def comment_csv(lines: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of a CSV whose text after any # is a comment, with the names of columns as numbers, and width_ok: whether the row has as
+    """Rows of a CSV whose text after any # outside double quotes is a comment, with the names of columns as numbers, and width_ok: whether the row has as
     many fields as there are columns (missing ones are null, further ones are cut). Fields in double quotes may hold commas;
     the header, a row that begins with the first name, goes."""
-    bare = lines.select(F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("v")).where("v <> ''")
+    bare = lines.select(F.trim(F.regexp_extract("value", _BEFORE_COMMENT, 1)).alias("v")).where("v <> ''")
     schema = ", ".join(f"f{i} string" for i in range(len(columns) + 1))
     t = bare.select(F.from_csv("v", F.lit(schema)).alias("t"))
     width = (F.col(f"t.f{len(columns) - 1}").isNotNull()) & F.col(f"t.f{len(columns)}").isNull()
@@ -80,12 +84,15 @@ def fits_cards(files: DataFrame) -> DataFrame:
     return cards.join(ends, "path").where("place < end AND substring(card, 9, 1) = '='").select("path", "place", F.trim(F.substring("card", 1, 8)).alias("keyword"), value.alias("value"))
 
 
-def header_rows(documents: DataFrame, columns: list[str], time: str) -> DataFrame:
+def header_rows(documents: DataFrame, columns: list[str], time: str | list[str]) -> DataFrame:
     """JSON arrays whose first row names the columns (rows: json): numbers by name, time as a timestamp; bad times and rows of
-    other widths go, and of equal times the last stays."""
+    other widths go, and of equal times the last stays. Of several names for the time, each document goes by the first that
+    its own header has."""
     rows = documents.select(F.from_json("json", "array<array<string>>").alias("a")).select(F.col("a")[0].alias("h"), F.posexplode(F.slice(F.col("a"), 2, F.greatest(F.size("a") - 1, F.lit(1)))).alias("i", "r")).where(F.size("r") == F.size("h"))
     at = lambda n: F.try_element_at("r", F.nullif(F.array_position("h", n), F.lit(0).cast("long")).cast("int"))
-    out = rows.select(F.try_to_timestamp(at(time)).alias("time"), "i", *[number(at(c)).alias(c) for c in columns]).where("time IS NOT NULL")
+    names = [time] if isinstance(time, str) else time
+    stamp = F.coalesce(*[F.when(F.array_contains("h", n), F.struct(at(n).alias("at"))) for n in names])["at"]
+    out = rows.select(F.try_to_timestamp(stamp).alias("time"), "i", *[number(at(c)).alias(c) for c in columns]).where("time IS NOT NULL")
     last = F.row_number().over(Window.partitionBy("time").orderBy(F.desc("i")))
     return out.withColumn("__k", last).where("__k = 1").drop("__k", "i")
 
@@ -151,8 +158,7 @@ def merge_nearest(left: DataFrame, right: DataFrame, values: list[str], toleranc
 
 def named_table(lines: DataFrame, names: list[str]) -> DataFrame:
     """Lines of as many white-space tokens as names, all numbers; lines of another width or with text go, comments (#) too."""
-    t = tokens(lines.where("NOT startswith(ltrim(value), '#')"), len(names))
-    return numbers(t, {}, {n: i for i, n in enumerate(names)})
+    return parsed(lines.where("NOT startswith(ltrim(value), '#')"), len(names), {}, {n: i for i, n in enumerate(names)})
 
 
 def strict_profile(df: DataFrame, x: str, sigma: str, rows: int) -> DataFrame:
