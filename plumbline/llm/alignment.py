@@ -28,7 +28,7 @@ from plumbline.session import shared_dir
 #: Distinct keys that a task holds before it sends their counts on.
 HELD_KEYS = 1 << 20
 #: Chunks that a worker has aligned and holds.
-CACHED = 250_000
+CACHED = 120_000
 _LOW = (1 << 32) - 1
 
 
