@@ -13,13 +13,13 @@ BLOCK_CHARS = 512
 def _named(parts: DataFrame, content: list[str], tag: str) -> DataFrame:
     """unit, pos and name: parts (unit, pos, *content) with each distinct content in place of an integer.
 
-    The distinct contents are sorted over all partitions, and names ascend in that order; they are written once, so
-    that a task that runs again finds the same ones."""
-    kinds = dict(parts.dtypes)
-    # ranges by the first characters, which order as the whole does, as the driver samples what ranges are cut by
-    ranges = [F.substring(c, 1, 32) if kinds[c] == "string" else F.col(c) for c in content]
-    distinct = parts.select(*content).distinct().repartitionByRange(*ranges).sortWithinPartitions(*content)
-    names = save(distinct.withColumn("name", F.monotonically_increasing_id()), tag)
+    The distinct contents are sorted over all partitions, by a hash of the whole content and then by the content itself, so that no
+    common beginning fills a range; names ascend in that order. They are written once, so that a task that runs again finds the
+    same ones."""
+    distinct = parts.select(*content).distinct().withColumn("h", F.xxhash64(*content))
+    # ranges by the hash alone: equal contents are one row, and the driver's sample for the ranges is of numbers
+    ordered = distinct.repartitionByRange("h").sortWithinPartitions("h", *content)
+    names = save(ordered.select(*content, F.monotonically_increasing_id().alias("name")), tag)
     on = [F.col(f"p.{c}").eqNullSafe(F.col(f"n.{c}")) for c in content]
     return parts.alias("p").join(names.alias("n"), on).select("p.unit", "p.pos", "n.name")
 
