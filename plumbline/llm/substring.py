@@ -51,7 +51,7 @@ def _anchors(window: int, anchor: int):
             _, at, least, starts = _anchored(batch.column("text").to_pylist(), window, anchor)
             cuts = np.searchsorted(at, starts[1:-1])
             found = [np.unique(x) for x in np.split(least.view(np.int64), cuts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), lists(found, pa.int64())], names=["doc", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), lists(found, pa.int64())], names=["doc", "h", "anchors"])
 
     return run
 
@@ -137,14 +137,15 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     A block of more than block_runs different runs is no task's: it is split into blocks of one window each, in which
     parsing is to take the least document of each window."""
     rows = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.xxhash64("text").alias("h"), "text")
-    anchors = save(rows.select("doc", "text").mapInArrow(_anchors(window, anchor), "doc long, anchors array<long>"), "anchors")
-    single = anchors.select("doc", F.explode("anchors").alias("anchor"))
+    anchors = save(rows.mapInArrow(_anchors(window, anchor), "doc long, h long, anchors array<long>"), "anchors")
+    single = anchors.select("doc", "h", F.explode("anchors").alias("anchor"))
     # only anchors of several documents can belong to duplicates
-    shared = save(single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
-    by_doc = save(single.join(shared, "anchor", "left_semi").groupBy("doc").agg(F.collect_list("anchor").alias("shared")), "doc-anchors")
+    shared = save(single.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("anchor"), "shared-anchors")
+    # by text, as rows of one id, or of none, may be many: a list has a text's own anchors
+    by_doc = save(single.join(shared, "anchor", "left_semi").groupBy("doc", "h").agg(F.collect_set("anchor").alias("shared")), "doc-anchors")
     drop_saved(anchors)
     runs = save(
-        rows.join(by_doc, "doc").select("doc", "h", "text", "shared").mapInArrow(_runs(window, anchor), "doc long, h long, pos array<int>, n array<int>, anchor array<long>, content array<long>, windows array<array<long>>"),
+        rows.join(by_doc, ["doc", "h"]).select("doc", "h", "text", "shared").mapInArrow(_runs(window, anchor), "doc long, h long, pos array<int>, n array<int>, anchor array<long>, content array<long>, windows array<array<long>>"),
         "runs",
     )
     drop_saved(by_doc)
