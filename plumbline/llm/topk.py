@@ -13,12 +13,19 @@ BLOCK_ROWS = 8192
 CHUNK_QUERIES = 16_384
 #: Components stay below this in magnitude, so that differences of two fit a long.
 LARGEST = 1 << 62
+#: Doubles of this size have no more than six bits of fraction.
+WHOLE = float(1 << 47)
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def bit_slices(values: np.ndarray, bits: int) -> np.ndarray:
     """(bits, ..., words): bitmap b holds bit b of each value along the last axis; 64 rows a word."""
     n = values.shape[-1]
+    if values.dtype == object:
+        planes = np.zeros((bits, *values.shape[:-1], -(-n // 64) * 64), np.uint8)
+        for b in range(bits):
+            planes[b, ..., :n] = ((values >> b) & 1).astype(np.uint8)
+        return np.ascontiguousarray(np.packbits(planes, axis=-1, bitorder="little")).view("<u8")
     padded = np.zeros((*values.shape[:-1], -(-n // 64) * 64), np.int64)
     padded[..., :n] = values
     planes = ((padded[None] >> np.arange(bits, dtype=np.int64).reshape(-1, *[1] * padded.ndim)) & 1).astype(np.uint8)
@@ -84,7 +91,7 @@ class Index:
         weights = queries - low  # q.v = w.a + w.base + low.v: the last part differs by row and is added as one more attribute
         total: list[np.ndarray] = []
         for bit in range(max(1, int(weights.max(initial=0)).bit_length())):
-            on = (weights >> bit) & 1
+            on = ((weights >> bit) & 1).astype(np.int64)
             part: list[np.ndarray] = []
             for g, table in enumerate(self.tables):
                 code = on[:, g * self.GROUP : (g + 1) * self.GROUP]
@@ -92,8 +99,9 @@ class Index:
                 part = add_slices(part, list(table[:, subset])) if part else list(table[:, subset])
             total = add_slices(total, part, bit) if total else part
         large = lambda x: np.abs(x.astype(float)).max(0, initial=0)
-        v, w = large(self.vectors), large(weights)
-        if (3 * v * w + v * np.abs(low.astype(float))).sum() < LARGEST / 2:
+        wide = self.vectors.dtype == object or queries.dtype == object
+        v, w = (0, 0) if wide else (large(self.vectors), large(weights))
+        if not wide and (3 * v * w + v * np.abs(low.astype(float))).sum() < LARGEST / 2:
             vectors, base = self.vectors, self.base
         else:
             vectors, base, low, weights = (x.astype(object) for x in (self.vectors, self.base, low, weights))
@@ -132,10 +140,6 @@ class Index:
         score = added[q].copy()
         for j, s in enumerate(slices):
             score += ((s[q, r // 64] >> (r % 64).astype(np.uint64)) & np.uint64(1)).astype(score.dtype) << j
-        if score.dtype == object:
-            if any(not -(1 << 63) <= x < 1 << 63 for x in score):
-                raise OverflowError("a score does not fit a long")
-            score = score.astype(np.int64)
         return q, r, score
 
     @staticmethod
@@ -147,19 +151,26 @@ class Index:
 
 
 def quantised(vector: Column) -> Column:
-    """floor(64 x) of each component; null unless all are finite numbers. One of 2^62 or more is an error."""
+    """floor(64 x) / 64 of each component, which a double holds for every finite x; null unless all are finite numbers."""
     real = F.transform(vector, lambda x: x.cast("double"))
     finite = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = lambda x: F.when(F.abs(x) < float(LARGEST // 64), F.floor(x * 64).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit a long")).cast("long"))
-    return F.when(finite, F.transform(real, whole))
+    return F.when(finite, F.transform(real, lambda x: F.when(F.abs(x) < WHOLE, F.floor(x * 64) / 64.0).otherwise(x)))
+
+
+def whole_numbers(quantised: np.ndarray) -> np.ndarray:
+    """64 times quantised components: as longs, or as Python's integers where one is too large for the index's arithmetic in longs."""
+    if np.abs(quantised).max(initial=0) < LARGEST // 64:
+        return (quantised * 64).astype(np.int64)
+    flat = [int(x * 64) if abs(x) < WHOLE else int(x) * 64 for x in quantised.ravel().tolist()]
+    return np.array([*flat, None], object)[:-1].reshape(quantised.shape)
 
 
 def top_k(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding", key: str = "vec_id", block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row whose key is divisible by `every`, the k other rows of
     greatest integer inner product of quantised vectors; ties go to the smaller key.
 
-    Rows of null key, null vectors, and vectors with null or non-finite components take no part. Components of 2^56 and
-    over and scores that do not fit a long are errors. Shorter vectors, empty ones too, count as zero in what they lack. Rows of one key ask
+    Rows of null key, null vectors, and vectors with null or non-finite components take no part; all others do, however large their
+    components are. A score among the answers that does not fit a long is an error. Shorter vectors, empty ones too, count as zero in what they lack. Rows of one key ask
     once, with the least of their vectors; every row is a candidate, repeated ones as often as they stand, but no row of the
     query's own key. Other
     columns are not read.
@@ -173,7 +184,7 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding"
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     most = max(most, 1)
     if least < most:
-        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(most) - F.size("v"))))
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("v"))))
     blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-(n // every + 1) // chunk_queries))
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     left = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(False).alias("asks"), "id", "v", F.least("copies", F.lit(k)).cast("int").alias("copies"))
@@ -181,10 +192,10 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding"
 
     def answer(group: pa.Table) -> pa.Table:
         ids, asks = group["id"].to_numpy(), group["asks"].to_numpy()
-        flat = group["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(np.int64)
+        flat = group["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         order = np.argsort(ids[~asks], kind="stable")
-        rid, vectors, copies = ids[~asks][order], flat[~asks][order], group["copies"].to_numpy()[~asks][order]
-        qid, asked = ids[asks], flat[asks]
+        rid, vectors, copies = ids[~asks][order], whole_numbers(flat[~asks][order]), group["copies"].to_numpy()[~asks][order]
+        qid, asked = ids[asks], whole_numbers(flat[asks])
         out: list[tuple] = []
         if len(rid) and len(qid):
             index = Index(vectors)
@@ -197,13 +208,20 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, vector: str = "embedding"
                 keep = rid[r] != qid[q]
                 out.append((qid[q][keep], rid[r][keep], s[keep], copies[r][keep]))
         parts = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(4)]
-        return pa.table({"query_id": parts[0], "vec_id": parts[1], "score": parts[2], "copies": parts[3].astype(np.int32)})
+        score, low = parts[2], np.zeros(len(parts[2]), bool)
+        if score.dtype == object:  # what is too high is among the answers, or others too high are; what is too low need not be
+            if any(x >= 1 << 63 for x in score):
+                raise OverflowError("a score does not fit a long")
+            low = np.array([x < -(1 << 63) for x in score], bool)
+            score = np.where(low, 0, score).astype(np.int64)
+        return pa.table({"query_id": parts[0], "vec_id": parts[1], "score": pa.array(score, mask=low), "copies": parts[3].astype(np.int32)})
 
     found = left.unionByName(right).groupBy("block", "chunk").applyInArrow(answer, "query_id long, vec_id long, score long, copies int")
     found = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("copies"))))  # k at most: no more can be ranked
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    held = F.coalesce("score", F.raise_error(F.lit("a score does not fit a long")).cast("long"))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", held.alias("score"))
 
 
 TOP_SQL = """

@@ -360,7 +360,6 @@ def test_id_files_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "null key"), (3, TEXTS[3])], "doc_id long, text string"))
     parts = idfile.write(rows, P.path("byte_bpe_50k.json"), P.PATTERN)
     found = sorted(idfile.read(parts).collect(), key=lambda r: r.start)
@@ -433,7 +432,6 @@ def test_packing_is_the_librarys_ids_and_close_to_full(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rng = np.random.default_rng(12)
     texts = [(i, " ".join(f"word{x}" for x in rng.integers(0, 999, int(rng.integers(0, 90))))) for i in range(400)]
     texts += [(None, "no id"), (3, texts[3][1]), (7, "other text of an id"), (500, None), (501, "Ünï <|endoftext|> code " * 700)]
@@ -556,10 +554,70 @@ def test_topk_keeps_large_finite_vectors(spark, scale):
         assert [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [(i, scores[i]) for i in order]
 
 
-def test_topk_fails_openly_beyond_a_long(spark):
+def test_topk_answers_any_finite_vector(spark):
+    rng = np.random.default_rng(8)
+    vectors = [[float(x) for x in rng.integers(-3, 4, 4)] for _ in range(100)]
+    vectors[0], vectors[20], vectors[60] = [0.0, 3.0, -1.0, 0.0], [0.0, 1.5, 2.0, 0.0], [0.0, -(2.0**40), 1.0, 0.0]
+    for q in (40, 80):
+        vectors[q][0] = vectors[q][3] = 0.0
+    vectors[5], vectors[6], vectors[7] = [2.0**60, 1.0, 2.0, 0.0], [-1.7e308, 0.25, 0.0, 1.7e308], [1.0, 2.0**40, 0.0, 0.0]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    found = topk.top_k(df, block_rows=30, chunk_queries=2).collect()
+    x = [[int(y * 64) if abs(y) < 2**40 else int(y) * 64 for y in v] for v in vectors]
+    for q in range(0, 100, 20):
+        scores = [sum(a * b for a, b in zip(x[q], v)) for v in x]
+        order = [i for i in sorted(range(100), key=lambda i: (-scores[i], i)) if i != q][:20]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == [(i, scores[i]) for i in order]
+
+
+def test_topk_fails_openly_where_an_answer_does_not_fit(spark):
     far = spark.createDataFrame([(0, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="a score does not fit a long"):
         topk.top_k(far).collect()
-    with pytest.raises(Exception, match="a component does not fit a long"):
-        topk.top_k(spark.createDataFrame([(0, [1e200])], "vec_id long, embedding array<double>")).collect()
+    low = spark.createDataFrame([(0, [1e10]), *((i, [-1e200]) for i in range(1, 3))], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="a score does not fit a long"):
+        topk.top_k(low).collect()
+    assert topk.top_k(spark.createDataFrame([(0, [1e200])], "vec_id long, embedding array<double>")).count() == 0
     assert topk.top_k(spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<double>")).first().score == 0
+
+
+def test_substring_dedup_of_rows_without_an_id(spark):
+    """Rows of no id are one document; each gets the anchors of its own text alone."""
+    rng = np.random.default_rng(11)
+    shared = " ".join(f"s{i}" for i in range(40))
+    own = [" ".join(f"x{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(150)]
+    rows = [(None, f"{t} {shared}") for t in own] + [(None, own[0])] * 20 + [(4, f"a b {shared} c"), (9, own[3]), (9, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_spans(df, digest=True).collect())
+    assert found == Counter([(None, 100, 0)] * 150 + [(None, 60, 0)] * 20 + [(4, 43, 40), (9, 60, 60), (9, 40, 40)])
+    lists = substring.duplicate_spans(df)
+    assert {r.doc for r in lists.collect()} == {4, 9}
+
+
+def test_names_of_blocks_with_a_long_common_beginning(spark):
+    """Ranges go by a hash of the whole block: none of them gets all blocks that begin alike."""
+    rows = spark.range(4000).select("id", F.concat(F.lit("x" * 600), F.col("id").cast("string")).alias("content")).select(F.col("id").alias("unit"), F.lit(0).alias("pos"), "content")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        names = [r.name for r in exact_dedup._named(rows, ["content"], "test-names").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(set(names)) == 4000
+    held = Counter(n >> 33 for n in names)
+    assert len(held) == 4 and max(held.values()) < 1.5 * 1000
+
+
+def test_id_files_and_packing_take_the_librarys_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = {1: "<|endoftext|> at the start", 2: "in the <|endoftext|> middle", 3: "at the end <|endoftext|>", 4: "twice<|endoftext|><|endoftext|>", 5: "<|endoftext|>", 6: "none <|endoftex|>"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids = {k: [*model.encode(t, add_special_tokens=False).ids, 0] for k, t in texts.items()}
+    assert ids[2][2] == 50256 or 50256 in ids[2]
+    start = 0
+    for r in sorted(idfile.read(idfile.write(docs, P.path("byte_bpe_50k.json"), P.PATTERN)).collect(), key=lambda r: r.doc_id):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[r.doc_id]), zlib.crc32(np.array(ids[r.doc_id], "<u4").tobytes()))
+        start += r.n_tokens
+    for r in packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id])
