@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.selection import quantiles
+
 
 def nuisance_terms(u: Column, phi: Column) -> list[Column]:
     """1, u, cos phi, sin phi, u cos phi, u sin phi."""
@@ -111,5 +113,5 @@ def phase_proxy(df: DataFrame, by: str, arms: list[tuple[str, str, str]], share:
     info = sum(F.pow(F.col(c) / F.col(s), F.lit(2)) for c, _, s in arms)
     top = sum(F.col(c) * F.col(r) / F.pow(F.col(s), F.lit(2)) for c, r, s in arms)
     out = df.withColumn("information", info).withColumn("__top", top)
-    cut = out.groupBy(by).agg(F.percentile("information", F.lit(share)).alias("__cut"))
+    cut = quantiles(out, [by], "information", [share]).select(by, F.get("q", F.lit(0)).alias("__cut"))
     return out.join(cut, by).where("information >= __cut AND __top IS NOT NULL").withColumn("phase", F.try_divide("__top", "information")).drop("__top", "__cut")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import pieces
+from plumbline.operators import pieces, selection
 
 
 def chronological_split(df: DataFrame, by: list[str], order: list[str], width: float, share: float = 0.4) -> DataFrame:
@@ -47,7 +47,7 @@ def cadence(df: DataFrame, by: str, order: list[str], width: float) -> DataFrame
     """by, median_interval, nyquist: of the positive steps of order[0] from row to row, and half its inverse. Groups without a
     positive step give no row."""
     steps = first_difference(df, [by], order, order[0], width).where("difference > 0")
-    out = steps.groupBy(by).agg(F.median("difference").alias("median_interval"))
+    out = selection.medians(steps, [by], "difference", "median_interval")
     return out.withColumn("nyquist", 0.5 / F.col("median_interval"))
 
 

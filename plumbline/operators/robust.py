@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.pieces import join_alike
+from plumbline.operators.selection import medians, quantiles
+
 
 def skew_score(skew: Column, n: Column) -> Column:
     """D'Agostino's normal score of a population skewness of n values (8 at least, else null)."""
@@ -31,9 +34,9 @@ def residual_summary(df: DataFrame, by: str, v: str) -> DataFrame:
     is 0), and D'Agostino's k2 with its p (null under 8 values or without spread). The medians come back by a join on the
     group."""
     fine = df.where(F.col(v).isNotNull() & ~F.isnan(v))
-    centre = fine.groupBy(by).agg(F.median(v).alias("median"))
+    centre = medians(fine, [by], v)
     off = F.abs(F.col(v) - F.col("median"))
-    mads = fine.join(centre, by).groupBy(by).agg(F.first("median").alias("median"), F.median(off).alias("mad"))
+    mads = centre.join(medians(fine.join(centre, by), [by], off, "mad"), by)
     n, g1, g2 = F.col("n"), F.col("g1"), F.col("g2")
     sums = fine.join(mads, by).groupBy(by).agg(
         F.count(v).alias("n"),
@@ -54,8 +57,7 @@ def residual_summary(df: DataFrame, by: str, v: str) -> DataFrame:
 def two_level_quantiles(df: DataFrame, group: str, member: str, v: str, least: int = 5) -> DataFrame:
     """group, n, q16, median, q84, status: each member's median, then quantiles over a group's members; null and INSUFFICIENT
     under `least` members, else DESCRIPTIVE."""
-    each = df.groupBy(group, member).agg(F.median(v).alias("m"))
-    out = each.groupBy(group).agg(F.count("*").alias("n"), F.percentile("m", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("q"))
+    out = quantiles(medians(df, [group, member], v, "m"), [group], "m", [0.16, 0.5, 0.84])
     enough = F.col("n") >= least
     value = lambda i: F.when(enough, F.col("q")[i])
     return out.select(group, "n", value(0).alias("q16"), value(1).alias("median"), value(2).alias("q84"), F.when(enough, "DESCRIPTIVE").otherwise("INSUFFICIENT").alias("status"))
@@ -64,26 +66,23 @@ def two_level_quantiles(df: DataFrame, group: str, member: str, v: str, least: i
 def draw_quantiles(df: DataFrame, by: str, channel: str, channels: list[str], v: str, shares: list[float]) -> DataFrame:
     """by and a column <channel>_<percent> for each channel (a parameter) and share: quantiles over draws, nulls and NaN left out; null
     where a channel has none."""
-    made = []
-    for c in channels:
-        own = F.when((F.col(channel) == c) & ~F.isnan(v), F.col(v))
-        made += [F.percentile(own, F.lit(q)).alias(f"{c}_{int(q * 100)}") for q in shares]
-    return df.groupBy(by).agg(*made)
+    q = quantiles(df.where(F.col(channel).isin(channels)), [by, channel], v, shares)
+    picked = [F.max(F.when(F.col(channel) == c, F.get("q", F.lit(i)))).alias(f"{c}_{int(s * 100)}") for c in channels for i, s in enumerate(shares)]
+    return join_alike(df.select(by).distinct(), q.groupBy(by).agg(*picked), [by])
 
 
 def ratio_summary(df: DataFrame, by: str, ratio: str, z: str) -> DataFrame:
     """by, n, median_ratio, max_abs_log10, z_median, z_max, z_over_2: of the finite positive ratios and of the absolute z."""
     good = F.col(ratio).isNotNull() & ~F.isnan(ratio) & (F.col(ratio) > 0) & (F.col(ratio) < float("inf"))
     value, size = F.when(good, F.col(ratio)), F.abs(z)
-    return df.groupBy(by).agg(
-        F.count("*").alias("n"), F.median(value).alias("median_ratio"), F.max(F.abs(F.log10(value))).alias("max_abs_log10"),
-        F.median(size).alias("z_median"), F.max(size).alias("z_max"), F.count_if(size > 2).alias("z_over_2"),
-    )
+    out = df.groupBy(by).agg(F.count("*").alias("n"), F.max(F.abs(F.log10(value))).alias("max_abs_log10"), F.max(size).alias("z_max"), F.count_if(size > 2).alias("z_over_2"))
+    out = join_alike(join_alike(out, medians(df, [by], value, "median_ratio"), [by]), medians(df, [by], size, "z_median"), [by])
+    return out.select(by, "n", "median_ratio", "max_abs_log10", "z_median", "z_max", "z_over_2")
 
 
 def standardise(df: DataFrame, by: str, v: str) -> DataFrame:
     """df with z: v less its group's median, over 1.4826 * mad, or over the standard deviation where mad is 0."""
-    centre = df.groupBy(by).agg(F.median(v).alias("__m"), F.stddev_samp(v).alias("__sd"))
-    mads = df.join(centre, by).groupBy(by).agg(F.first("__m").alias("__m"), F.first("__sd").alias("__sd"), F.median(F.abs(F.col(v) - F.col("__m"))).alias("__mad"))
+    centre = medians(df, [by], v, "__m").join(df.groupBy(by).agg(F.stddev_samp(v).alias("__sd")), by)
+    mads = centre.join(medians(df.join(centre, by), [by], F.abs(F.col(v) - F.col("__m")), "__mad"), by)
     scale = F.when(F.col("__mad") > 0, 1.4826 * F.col("__mad")).otherwise(F.nullif(F.col("__sd"), F.lit(0.0)))
     return df.join(mads, by).withColumn("z", (F.col(v) - F.col("__m")) / scale).drop("__m", "__sd", "__mad")

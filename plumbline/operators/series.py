@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import fringe, pieces
+from plumbline.operators import fringe, pieces, selection
 
 
 def project_nuisance(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -186,7 +186,7 @@ def whittle_baseline(df: DataFrame, by: str, order: str, v: str, width: float, d
     both = here.withColumn("__low", low).select(by, "frequency", "observed", F.explode(F.array(F.struct(F.col("__low").cast("int").alias("k"), (1 - (F.col("__at") - F.col("__low"))).alias("w")), F.struct((F.col("__low") + 1).cast("int").alias("k"), (F.col("__at") - F.col("__low")).alias("w")))).alias("b"))
     both = both.select(by, "frequency", "observed", "b.k", "b.w").join(model, [by, "k"])
     drawn = both.groupBy(by, "frequency").agg(F.first("observed").alias("observed"), (F.sum(F.col("w") * F.col("density")) * dt).alias("model"))
-    floor = drawn.groupBy(by).agg((F.median("model") * 1e-12).alias("__floor"))
+    floor = selection.medians(drawn, [by], "model", "__m").select(by, (F.col("__m") * 1e-12).alias("__floor"))
     least = F.when(F.col("__floor") > 0, F.col("__floor")).otherwise(2.2250738585072014e-308)
     return whittle(drawn.join(floor, by).withColumn("model", F.greatest("model", least)), by)
 

@@ -1,8 +1,9 @@
 """The session that tests and benches share, and the folder that a cluster shares."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -32,3 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.split("[")[0] == "local":
         return f"file://{tempfile.gettempdir()}/plumbline-shared"
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts the lineage, and outlives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
