@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import waves
 from plumbline.operators.selection import quantiles
 
 
@@ -51,7 +52,7 @@ def profiled_scores(df: DataFrame, by: str, t: str, y: str, terms: list[str], fr
     """frequency, q_cos, q_sin, amplitude, phase, statistic for each frequency of a family (a parameter): the score test of
     modulator * (cos, sin)(2 pi f t) after each group's nuisance terms are projected out of the data and the signal.
 
-    Sums of products for each group, and for each group and frequency, combine before the shuffle; a system of as many
+    Sums of products for each group, and for each group and frequency (see waves.wave_sums), combine before the shuffle; a system of as many
     unknowns as terms is solved on each of these rows; groups then add up, but not over columns of `apart`, which stand
     beside the frequency in the result (a group has one value of them). Degenerate frequencies give no row."""
     p = len(terms)
@@ -60,14 +61,8 @@ def profiled_scores(df: DataFrame, by: str, t: str, y: str, terms: list[str], fr
     rows = df.select(by, *apart, F.col(t).alias("__t"), F.col(y).alias("__y"), m.alias("__m"), w.alias("__w"), *terms).na.drop()
     dot = lambda a, b: F.sum(F.col("__w") * F.col(a) * F.col(b))
     base = rows.groupBy(by, *apart).agg(F.array(*[dot(a, b) for a in terms for b in terms]).alias("xx"), F.array(*[dot(a, "__y") for a in terms]).alias("xy"))
-    waves = rows.withColumn("frequency", F.explode(F.array(*map(F.lit, frequencies))))
-    angle = 2 * math.pi * F.col("frequency") * F.col("__t")
-    waves = waves.withColumn("__c", F.col("__m") * F.cos(angle)).withColumn("__s", F.col("__m") * F.sin(angle))
-    each = waves.groupBy(by, *apart, "frequency").agg(
-        F.array(*[dot(a, z) for a in terms for z in ("__c", "__s")]).alias("xz"),
-        F.array(dot("__c", "__c"), dot("__c", "__s"), dot("__s", "__s")).alias("zz"),
-        F.array(dot("__c", "__y"), dot("__s", "__y")).alias("zy"),
-    )
+    sums = waves.wave_sums(rows, [by, *apart], F.col("__t"), [*map(F.col, terms), F.col("__y")], frequencies, F.col("__w"), F.col("__m"))
+    each = sums.select(by, *apart, "frequency", F.array(*[F.col(f"{z}{i}") for i in range(p) for z in "cs"]).alias("xz"), F.array("cc", "cs", "ss").alias("zz"), F.array(f"c{p}", f"s{p}").alias("zy"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

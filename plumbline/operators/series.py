@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import fringe, pieces, selection
+from plumbline.operators import fringe, pieces, selection, waves
 
 
 def project_nuisance(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -50,16 +50,13 @@ def lag_scan(x: DataFrame, y: DataFrame, most: int, least_pairs: int = 8) -> Dat
 
 
 def frequency_scores(df: DataFrame, t: str, y: str, frequencies: list[float]) -> DataFrame:
-    """frequency, a, b, power: the least-squares amplitude of cos and sin at each frequency, from five sums each. The
-    family is a parameter, a column of constants exploded beside each row; sums combine in each task."""
-    base = df.select(F.col(t).alias("t"), F.col(y).alias("y"), F.explode(F.array(*map(F.lit, frequencies))).alias("frequency"))
-    angle = 2 * math.pi * F.col("frequency") * F.col("t")
-    waves = base.select("frequency", "y", F.cos(angle).alias("c"), F.sin(angle).alias("s"))
-    g = waves.groupBy("frequency").agg(*[F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("c", "c"), ("c", "s"), ("s", "s"), ("c", "y"), ("s", "y"))])
+    """frequency, a, b, power: the least-squares amplitude of cos and sin at each frequency of a family (a parameter, of any
+    length), from five sums each that tasks add up as matrices."""
+    g = waves.wave_sums(df, [], F.col(t), [F.col(y)], frequencies)
     det = F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs")
-    a = (F.col("ss") * F.col("cy") - F.col("cs") * F.col("sy")) / det
-    b = (F.col("cc") * F.col("sy") - F.col("cs") * F.col("cy")) / det
-    return g.where(det > 1e-9).select("frequency", a.alias("a"), b.alias("b"), (a * F.col("cy") + b * F.col("sy")).alias("power"))
+    a = (F.col("ss") * F.col("c0") - F.col("cs") * F.col("s0")) / det
+    b = (F.col("cc") * F.col("s0") - F.col("cs") * F.col("c0")) / det
+    return g.where(det > 1e-9).select("frequency", a.alias("a"), b.alias("b"), (a * F.col("c0") + b * F.col("s0")).alias("power"))
 
 
 def block_coherence(df: DataFrame, blocks: int, frequency: float) -> DataFrame:

@@ -99,6 +99,13 @@ def frequency_score_scan(spark, sf_dir):
     return series.frequency_scores(hourly, "t", "y", FREQUENCIES).select("frequency", *[F.round(c, 5).alias(c) for c in ("a", "b", "power")])
 
 
+def frequency_family(spark, sf_dir):
+    """All events at 2,000 frequencies of an even grid, in cycles an hour."""
+    rows = _events(spark, sf_dir).select((F.col("t") / 3600 - 473000).alias("t"), F.col("value").alias("y"))
+    out = series.frequency_scores(rows, "t", "y", [k / 4000 for k in range(1, 2001)])
+    return out.select(F.round("frequency", 9).alias("frequency"), *[F.round(c, 5).alias(c) for c in ("a", "b")], F.round("power", 3).alias("power"))
+
+
 def _daily_pair(spark, sf_dir, a, b):
     daily = _events(spark, sf_dir).where(F.col("event_type").isin(a, b)).groupBy("day").agg(F.avg(F.when(F.col("event_type") == a, F.col("value"))).alias("x"), F.avg(F.when(F.col("event_type") == b, F.col("value"))).alias("y"))
     return daily.where("x IS NOT NULL AND y IS NOT NULL")
@@ -202,7 +209,7 @@ def value_profile_width(spark, sf_dir):
     return ordered.full_width(ordered.final_iteration(hours, ["event_type"], "day"), "event_type", "h", "n")
 
 
-PLANS = [frequency_grid, first_difference, coherence_peak, standardised_projection, last_hours, separated_off_probes, value_profile_width, asof_nearest_tolerance, asof_robust_slice, gap_aware_difference, robust_residual_summary, robust_scale_standardize, lag_correlation_scan, chronological_split, node_coverage_selection, adaptive_grid, frequency_score_scan, block_coherence, circular_rotation_null, local_maxima, greedy_separated_topk, interpolating_lookup, daily_maximum_rank, json_props, reversal_counter, welch_psd, msc_coherence]
+PLANS = [frequency_grid, first_difference, coherence_peak, standardised_projection, last_hours, separated_off_probes, value_profile_width, asof_nearest_tolerance, asof_robust_slice, gap_aware_difference, robust_residual_summary, robust_scale_standardize, lag_correlation_scan, chronological_split, node_coverage_selection, adaptive_grid, frequency_score_scan, frequency_family, block_coherence, circular_rotation_null, local_maxima, greedy_separated_topk, interpolating_lookup, daily_maximum_rank, json_props, reversal_counter, welch_psd, msc_coherence]
 
 _NEAR = """c AS (SELECT * FROM e WHERE event_type = 'click'), r AS (SELECT * FROM e WHERE event_type = 'error'),
 n AS (SELECT c.event_id, r.event_id AS error_id, abs(c.t - r.t) AS gap, c.value - r.value AS d, c.day,
@@ -283,6 +290,11 @@ SQL = {
  g AS (SELECT frequency, sum(c*c) AS cc, sum(c*s) AS cs, sum(s*s) AS ss, sum(c*y) AS cy, sum(s*y) AS sy FROM w GROUP BY 1),
  z AS (SELECT *, (ss*cy - cs*sy) / (cc*ss - cs*cs) AS a, (cc*sy - cs*cy) / (cc*ss - cs*cs) AS b FROM g WHERE cc*ss - cs*cs > 1e-9)
  SELECT frequency, round(a, 5) AS a, round(b, 5) AS b, round(a*cy + b*sy, 5) AS power FROM z""",
+    "frequency_family": f"""WITH {_E}, h AS (SELECT t / 3600 - 473000 AS t, value AS y FROM e), f AS (SELECT unnest(range(1, 2001)) / 4000.0::DOUBLE AS frequency),
+ w AS (SELECT frequency, y, cos(2 * pi() * frequency * t) AS c, sin(2 * pi() * frequency * t) AS s FROM h, f),
+ g AS (SELECT frequency, sum(c*c) AS cc, sum(c*s) AS cs, sum(s*s) AS ss, sum(c*y) AS cy, sum(s*y) AS sy FROM w GROUP BY 1),
+ z AS (SELECT *, (ss*cy - cs*sy) / (cc*ss - cs*cs) AS a, (cc*sy - cs*cy) / (cc*ss - cs*cs) AS b FROM g WHERE cc*ss - cs*cs > 1e-9)
+ SELECT round(frequency, 9) AS frequency, round(a, 5) AS a, round(b, 5) AS b, round(a*cy + b*sy, 3) AS power FROM z""",
     "block_coherence": f"""WITH {_E}, {_DAILY.format("click", "view")}, w AS (SELECT floor(day / 4) AS k, x, y, cos(2*pi()*0.11*(day-19700)) AS c, sin(2*pi()*0.11*(day-19700)) AS s FROM q),
  b AS (SELECT k, sum(x*c) AS xc, sum(x*s) AS xs, sum(y*c) AS yc, sum(y*s) AS ys FROM w GROUP BY k)
  SELECT round((sum(xc*yc+xs*ys)**2 + sum(xc*ys-xs*yc)**2) / (sum(xc*xc+xs*xs) * sum(yc*yc+ys*ys)), 6) AS coherence, count(*) AS blocks FROM b""",
