@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plumbline.functions import scalars
+from plumbline.functions import draws, scalars
 from plumbline.operators import fringe, joins, shadow
 from plumbline.plans.time_series import _E, _events
 from plumbline.sources import files, text
@@ -115,14 +115,12 @@ def observation_selection(spark, sf_dir):
 
 
 def curve_propagation(spark, sf_dir):
-    """Quantiles over draws of each selected radius' excess: whether they are in order and bracket a plain estimate."""
-    points = shadow.select_observations(text.mass_models(_model_lines(spark, sf_dir)).where("radius < 4"), text.rotation_sample(_sample_lines(spark, sf_dir)))
-    points = points.where("v_err > 0").dropDuplicates(["galaxy", "radius"])
-    q = shadow.propagate(points, draws=512)
-    both = q.join(shadow.nominal(points).select("galaxy", "radius", "delta_v2"), ["galaxy", "radius"])
-    held = F.col("delta_v2").between(F.col("q025") - 0.5 * (F.col("q975") - F.col("q025")), F.col("q975") + 0.5 * (F.col("q975") - F.col("q025")))
-    rising = (F.col("q025") <= F.col("q16")) & (F.col("q16") <= F.col("q50")) & (F.col("q50") <= F.col("q84")) & (F.col("q84") <= F.col("q975"))
-    return both.groupBy("galaxy").agg(F.count("*").alias("n"), F.bool_and(rising).alias("rising"), F.bool_and(held).alias("held"))
+    """Quantiles over 4,096 draws of every selected radius' excess, added up by galaxy."""
+    points = shadow.select_observations(text.mass_models(_model_lines(spark, sf_dir)), text.rotation_sample(_sample_lines(spark, sf_dir)))
+    # a radius of the lines is a whole number of sixty-fourths
+    sample = text.rotation_sample(_sample_lines(spark, sf_dir)).select("galaxy", "distance")
+    q = shadow.propagate(points.drop("distance").join(sample, "galaxy"), point=F.col("radius") * 64)
+    return q.groupBy("galaxy").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 2).alias(c) for c in ("q025", "q16", "q50", "q84", "q975")])
 
 
 def clock_feed(spark, sf_dir):
@@ -270,6 +268,36 @@ _SAMPLE = """sl AS (SELECT 'G' || s_suppkey AS galaxy, s_suppkey / 4.0::DOUBLE A
  FROM supplier WHERE s_suppkey % 10 <> 0 AND s_suppkey % 7 <> 0)"""
 _MODELS = """ml AS (SELECT 'G' || (l_suppkey + 3) AS galaxy, l_linenumber * 2 + l_orderkey / 64.0::DOUBLE AS radius, (l_orderkey % 200 - 8)::DOUBLE AS vo, (l_orderkey % 11)::DOUBLE AS ve, (l_orderkey % 30 - 5)::DOUBLE AS vg, (l_orderkey % 70)::DOUBLE AS vd, (l_orderkey % 13)::DOUBLE AS vb FROM lineitem WHERE l_orderkey % 17 <> 0)"""
 _CUTS = "quality <= 2 AND inclination >= 30 AND radius > 0 AND vo > 0 AND ve > 0 AND ve / abs(vo) <= 0.10"
+
+
+def _philox(table, keep, a, b, c, d):
+    """Rows of a table with the generator's four words a, b, c, d0 of a counter, the key being 10 and its column k."""
+    out, keys = f"SELECT {keep}, {a} AS a, {b} AS b, {c} AS c, {d} AS d0, k AS k1 FROM {table}", (10, 0)
+    for _ in range(draws.ROUNDS):
+        p, q = f"(a * {draws.MULTIPLIERS[0]})", f"(c * {draws.MULTIPLIERS[1]})"
+        out = f"SELECT {keep}, xor(xor({q} >> 32, b), {keys[0]}::UBIGINT) AS a, {q} & 4294967295 AS b, xor(xor({p} >> 32, d0), k1) AS c, {p} & 4294967295 AS d0, (k1 + {draws.STEPS[1]}) & 4294967295 AS k1 FROM ({out})"
+        keys = ((keys[0] + draws.STEPS[0]) & 0xFFFFFFFF, 0)
+    return out
+
+
+def _uniform(high, low):
+    return f"((({high} >> 5)::DOUBLE * 67108864 + ({low} >> 6)::DOUBLE + 0.5) / 9007199254740992)"
+
+
+def _inverse(p):
+    """The normal inverse of p."""
+
+    def poly(x, coefficients):
+        out = repr(coefficients[-1]) + "::DOUBLE"
+        for k in reversed(coefficients[:-1]):
+            out = f"({out} * {x} + {k!r}::DOUBLE)"
+        return out
+
+    ratio = lambda x, t: f"({poly(x, t[0])} / {poly(x, t[1])})"
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"(CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {ratio(f'(0.180625::DOUBLE - ({p} - 0.5) * ({p} - 0.5))', draws.MIDDLE)} ELSE sign({p} - 0.5) * CASE WHEN {r} <= 5 THEN {ratio(f'({r} - 1.6)', draws.TAIL)} ELSE {ratio(f'({r} - 5)', draws.FAR)} END END)"
+
+
 _STAMP = "strftime(make_timestamp({} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 SQL = {
     "header_feed": f"""WITH l AS (SELECT 1704067200 + s_nationkey * 86400 + (1 - s_nationkey % 2) * 3600 + s_suppkey % 3 * 60 AS m, max(s_suppkey) AS k FROM supplier WHERE s_suppkey % 9 <> 0 AND s_suppkey % 11 <> 0 GROUP BY 1)
@@ -285,7 +313,23 @@ SQL = {
     "curve_table": f"WITH {_MODELS} SELECT galaxy, count(*) AS n, round(min(radius), 6) AS least, round(sum(vo), 6) AS total FROM ml GROUP BY 1",
     "observation_selection": f"""WITH {_SAMPLE}, {_MODELS}, p AS (SELECT *, vg * abs(vg) + 0.5 * vd * abs(vd) + 0.7 * vb * abs(vb) AS bar FROM ml JOIN sl USING (galaxy) WHERE {_CUTS})
  SELECT galaxy, count(*) AS n, round(sum(bar), 4) AS v_bar2, round(sum(vo * vo - bar), 4) AS delta_v2, round(max(abs(vo - sqrt(greatest(bar, 0))) / ve), 6) AS closure_cost FROM p GROUP BY 1""",
-    "curve_propagation": f"WITH {_SAMPLE}, {_MODELS} SELECT galaxy, count(DISTINCT radius) AS n, true AS rising, true AS held FROM ml JOIN sl USING (galaxy) WHERE {_CUTS} AND radius < 4 GROUP BY 1",
+    "curve_propagation": f"""WITH RECURSIVE {_SAMPLE}, {_MODELS}, p AS MATERIALIZED (SELECT row_number() OVER () AS r, *, (radius * 64)::BIGINT AS point FROM ml JOIN sl USING (galaxy) WHERE {_CUTS}),
+ g AS MATERIALIZED (SELECT DISTINCT galaxy, ('0x' || substr(md5(galaxy), 1, 8))::UBIGINT AS k, distance_error / distance AS ds, inclination AS i, inclination_error AS di FROM p),
+ b AS (SELECT galaxy, what, (bound - mean) / sd AS x FROM (SELECT galaxy, unnest(['s', 's', 'i', 'i', 'd', 'd', 'b', 'b']) AS what, unnest([1.0, 1.0, i, i, {shadow.DISK[0]}, {shadow.DISK[0]}, {shadow.BULGE[0]}, {shadow.BULGE[0]}]::DOUBLE[]) AS mean, unnest([ds, ds, di, di, {shadow.DISK[1]}, {shadow.DISK[1]}, {shadow.BULGE[1]}, {shadow.BULGE[1]}]::DOUBLE[]) AS sd,
+  unnest([{", ".join(map(str, (*shadow.SCALE_BOUNDS, *shadow.INCLINATION_BOUNDS, *shadow.DISK[2:], *shadow.BULGE[2:])))}]::DOUBLE[]) AS bound FROM g)),
+ t AS (SELECT galaxy, what, x, least(abs(x), 8.0) AS y, 0 AS j, least(abs(x), 8.0) AS term, least(abs(x), 8.0) AS total FROM b UNION ALL SELECT galaxy, what, x, y, j + 1, term * y * y / (2 * j + 3), total + term * y * y / (2 * j + 3) FROM t WHERE j < 150),
+ c AS (SELECT galaxy, what, min(s) AS low, max(s) AS high FROM (SELECT galaxy, what, 0.5 + sign(x) * exp(-y * y / 2) / sqrt(2 * pi()) * total AS s FROM t WHERE j = 150) GROUP BY 1, 2),
+ o AS (SELECT galaxy, max(low) FILTER (what = 's') AS ls, max(high) FILTER (what = 's') AS hs, max(low) FILTER (what = 'i') AS li, max(high) FILTER (what = 'i') AS hi, max(low) FILTER (what = 'd') AS ld, max(high) FILTER (what = 'd') AS hd, max(low) FILTER (what = 'b') AS lb, max(high) FILTER (what = 'b') AS hb FROM c GROUP BY 1),
+ w AS (SELECT galaxy, unnest(range(0, 4096)) AS d, k FROM g),
+ f AS ({_philox("w", "galaxy, d", "d::UBIGINT", "0::UBIGINT", "0::UBIGINT", "0::UBIGINT")}), h AS ({_philox("w", "galaxy, d", "d::UBIGINT", "1::UBIGINT", "0::UBIGINT", "0::UBIGINT")}),
+ u AS (SELECT galaxy, d, i, ds, di, ls + {_uniform("f.a", "f.b")} * (hs - ls) AS us, li + {_uniform("f.c", "f.d0")} * (hi - li) AS ui, ld + {_uniform("h.a", "h.b")} * (hd - ld) AS ud, lb + {_uniform("h.c", "h.d0")} * (hb - lb) AS ub FROM f JOIN h USING (galaxy, d) JOIN g USING (galaxy) JOIN o USING (galaxy)),
+ m AS MATERIALIZED (SELECT galaxy, d, 1 + ds * {_inverse("us")} AS scale, sin(radians(i)) / sin(radians(i + di * {_inverse("ui")})) AS tilt, {shadow.DISK[0]} + {shadow.DISK[1]} * {_inverse("ud")} AS disk, {shadow.BULGE[0]} + {shadow.BULGE[1]} * {_inverse("ub")} AS bulge FROM u),
+ x AS (SELECT r, point, k, unnest(range(0, 2048)) AS j FROM p JOIN g USING (galaxy)),
+ y AS (SELECT r, j, sqrt(-2 * ln({_uniform("a", "b")})) AS size, 2 * pi() * {_uniform("c", "d0")} AS angle FROM ({_philox("x", "r, j", "j::UBIGINT", "2::UBIGINT", "point::UBIGINT & 4294967295", "point::UBIGINT >> 32")})),
+ z AS (SELECT r, 2 * j AS d, size * cos(angle) AS z FROM y UNION ALL SELECT r, 2 * j + 1, size * sin(angle) FROM y),
+ v AS (SELECT galaxy, r, ((vo + ve * z) * tilt) ** 2 - scale * (vg * abs(vg) + disk * vd * abs(vd) + bulge * vb * abs(vb)) AS v FROM z JOIN p USING (r) JOIN m USING (galaxy, d)),
+ q AS (SELECT galaxy, r, quantile_cont(v, [0.025, 0.16, 0.5, 0.84, 0.975]) AS q FROM v GROUP BY 1, 2)
+ SELECT galaxy, count(*) AS n, round(sum(q[1]), 2) AS q025, round(sum(q[2]), 2) AS q16, round(sum(q[3]), 2) AS q50, round(sum(q[4]), 2) AS q84, round(sum(q[5]), 2) AS q975 FROM q GROUP BY 1""",
     "clock_feed": "SELECT 'GPS' || (c_custkey % 32 + 40) AS node, count(*) AS n, sum(c_custkey * 30)::DOUBLE AS seconds, sum(c_custkey / 8.0::DOUBLE) AS bias, sum(c_custkey / 16.0::DOUBLE) AS sigma FROM customer WHERE c_custkey % 6 <> 0 AND c_custkey % 10 <> 0 AND c_custkey % 7 <> 0 GROUP BY 1",
     "position_feed": "SELECT 'GPS' || (c_custkey % 32 + 40) AS node, count(*) AS n, sum(c_custkey / 2.0::DOUBLE) AS x_km, -sum(c_custkey)::DOUBLE AS y_km, sum(c_custkey * 3)::DOUBLE AS z_km FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 9 <> 0 GROUP BY 1",
     "commented_csv": """WITH r AS (SELECT p_partkey AS k, p_partkey / 2.0::DOUBLE AS a, CASE WHEN p_partkey % 3 > 0 THEN p_partkey END::DOUBLE AS b, CASE WHEN p_partkey % 5 > 0 THEN 7 END::DOUBLE AS c FROM part WHERE p_partkey % 11 <> 0 AND p_partkey <> 1)
