@@ -2,42 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import pieces
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, tolerance: float, t: str = "t", by: tuple[str, ...] = (), order: str | None = None, ranges: float = 8.0) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, tolerance: float, t: str = "t", by: tuple[str, ...] = (), order: str | None = None, ranges: float | None = None) -> DataFrame:
     """Every left row with the right row nearest in t within the tolerance (inclusive), ties to the earlier; right
     columns get the prefix r_ and are null where nothing is near. A null t or key matches nothing.
 
     Of right rows of one time the last in `order` (a right column; none: all its columns) is the nearest before, the first
-    the nearest after. Both sides are cut into ranges of `ranges` tolerances and ordered there once; each range sends its
-    outermost right rows to the ranges beside it, as nothing further can be near. No pairs are made, and nothing is joined."""
-    if ranges < 1:
-        raise ValueError("a range must be as wide as the tolerance")
-    keys = [*by, pieces.CUT]
+    the nearest after. Both sides are cut into ranges of about as many rows each (with `ranges`: of that many tolerances) and ordered
+    there; a row for each range carries the right rows outside it that are nearest. No pairs are made."""
+    if ranges is not None and ranges <= 0:
+        raise ValueError("a range must have a width")
     names = right.columns
-    ord_ = F.col(order) if order else F.struct(*names)
     fits = F.col(t).isNotNull()
     for c in by:
         fits = fits & F.col(c).isNotNull()
-    cut = pieces.cut(t, ranges * tolerance).alias(pieces.CUT)
-    there = right.where(fits).select(*by, cut, F.col(t).alias("__t"), ord_.alias("__o"), F.struct(*names).alias("__r"))
-    here = left.where(fits).select(*by, cut, F.col(t).alias("__t"), F.struct(*left.columns).alias("__l"))
-    row, place = F.struct("__t", "__o", "__r"), F.struct("__t", "__o")
-    ends = there.groupBy(*keys).agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
-    beside = lambda c, step: F.struct((F.col(pieces.CUT) + step).alias(pieces.CUT), *[F.col(f"{c}.{x}").alias(x) for x in ("__t", "__o", "__r")])
-    sent = ends.select(*by, F.inline(F.array(beside("last", 1), beside("first", -1))))
-    both = there.unionByName(sent).unionByName(here, allowMissingColumns=True)
-    is_left = F.col("__l").isNotNull()
-    running = lambda *o: Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0)
-    back = F.last("__r", ignorenulls=True).over(running(F.asc("__t"), is_left.asc(), F.asc("__o")))
-    ahead = F.last("__r", ignorenulls=True).over(running(F.desc("__t"), is_left.asc(), F.desc("__o")))
-    rows = both.withColumn("__back", back).withColumn("__ahead", ahead).where(is_left)
-    gap_back, gap_ahead = F.col("__t") - F.col(f"__back.{t}"), F.col(f"__ahead.{t}") - F.col("__t")
-    near = F.when(gap_back.isNotNull() & (gap_ahead.isNull() | (gap_back <= gap_ahead)), F.col("__back")).otherwise(F.col("__ahead"))
+    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]
+    ord_ = F.col(order) if order else F.struct(*names)
+    there = right.where(fits).select(*keys, F.col(t).alias("__t"), ord_.alias("__o"), F.struct(*names).alias("__r"))
+    here = left.where(fits).select(*keys, F.col(t).alias("__t"), F.struct(*left.columns).alias("__l"))
+    both = there.unionByName(here, allowMissingColumns=True)
+    rows = pieces.around(both, [f"__k{i}" for i in range(len(by))], "__t", "__r", None if ranges is None else ranges * tolerance, "__o").where("__l IS NOT NULL")
+    gap_back, gap_ahead = F.col("__t") - F.col(f"lo.{t}"), F.col(f"hi.{t}") - F.col("__t")
+    near = F.when(gap_back.isNotNull() & (gap_ahead.isNull() | (gap_back <= gap_ahead)), F.col("lo")).otherwise(F.col("hi"))
     hit = F.when(F.least(gap_back, gap_ahead) <= tolerance, near)
     out = rows.withColumn("__hit", hit).select("__l.*", *[F.col(f"__hit.{n}").alias(f"r_{n}") for n in names])
     return out.unionByName(left.where(~fits), allowMissingColumns=True)
@@ -85,9 +76,9 @@ def suffix_lookup(names: DataFrame, entries: DataFrame, suffix: str = "suffix",
     return names.join(found, suffix, "left").select(*names.columns, F.when(F.col("__n") == 1, F.col("__p")).alias("path"), F.coalesce("__n", F.lit(0)).alias("n"), status.alias("lookup_status"))
 
 
-def interpolate(marks: DataFrame, series: DataFrame, t: str, v: str, by: str, width: float) -> DataFrame:
-    """Linear value of each by-series at marks (by, t): null outside its coverage. Points of one series stand at different t. Ranges of
-    `width` in t are ordered apart (see pieces.around)."""
+def interpolate(marks: DataFrame, series: DataFrame, t: str, v: str, by: str, width: float | None = None) -> DataFrame:
+    """Linear value of each by-series at marks (by, t): null outside its coverage. Points of one series stand at different t. Ranges of t are
+    ordered apart (see pieces.around)."""
     none = F.lit(None).cast(f"struct<t:double,v:{series.schema[v].dataType.simpleString()}>")
     point = F.struct(F.col(t).cast("double").alias("t"), F.col(v).alias("v"))
     both = marks.select(by, t, none.alias("__p"), F.lit(True).alias("__m")).unionByName(series.select(by, t, point.alias("__p"), F.lit(False).alias("__m")))

@@ -6,31 +6,33 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import pieces
+
 
 def rank_pvalue(targets: DataFrame, nulls: DataFrame, stat: str = "statistic", by: str = "family") -> DataFrame:
     """targets with p = (1 + how many nulls of the family reach the statistic) / (n + 1); null where a family has none. Nulls are
-    counted by value before the shuffle; one falling pass over a family's values adds them up, whatever the number of targets."""
+    counted by value before the shuffle, and added up from the greatest in ranges of values (see pieces.running_total), so that one family is many
+    tasks, whatever the number of targets."""
     n = nulls.groupBy(by).agg(F.count("*").alias("__n"))
     counts = nulls.groupBy(by, stat).agg(F.count("*").alias("__k"), F.lit(False).alias("__t"))
     places = targets.select(by, stat).distinct().select(by, stat, F.lit(0).cast("long").alias("__k"), F.lit(True).alias("__t"))
     # nulls of the same value come first
-    falling = Window.partitionBy(by).orderBy(F.desc(stat), "__t").rowsBetween(Window.unboundedPreceding, 0)
-    reached = counts.unionByName(places).withColumn("__hit", F.sum("__k").over(falling)).where("__t").select(by, stat, "__hit")
+    reached = pieces.running_total(counts.unionByName(places), [by], stat, "__k", "__hit", ["__t"], falling=True).where("__t").select(by, stat, "__hit")
     out = targets.join(n, by, "left").join(reached, [by, stat], "left")
     return out.withColumn("p", (1 + F.col("__hit")) / (F.col("__n") + 1)).drop("__n", "__hit")
 
 
 def critical_value(nulls: DataFrame, alpha: float, stat: str = "statistic", by: str = "family") -> DataFrame:
-    """by, n, critical: of n nulls in falling order the one at floor(alpha * (n + 1) - 1), from 0; null when that is below 0."""
+    """by, n, critical: of n nulls in falling order the one at floor(alpha * (n + 1) - 1), from 0; null when that is below 0. Counted in
+    ranges of values."""
     counts = nulls.groupBy(by, stat).agg(F.count("*").alias("__k"))
-    falling = Window.partitionBy(by).orderBy(F.desc(stat)).rowsBetween(Window.unboundedPreceding, 0)
     n = nulls.groupBy(by).agg(F.count("*").alias("n"))
     place = F.floor(alpha * (F.col("n") + 1) - 1)
     # the first value at which more rows are counted than stand before the place
-    at = counts.withColumn("__to", F.sum("__k").over(falling)).join(n, by).where((place >= 0) & (F.col("__to") > place))
+    at = pieces.running_total(counts, [by], stat, "__k", "__to", [], falling=True).join(n, by).where((place >= 0) & (F.col("__to") > place))
     return n.join(at.groupBy(by).agg(F.max(stat).alias("critical")), by, "left")
 
 

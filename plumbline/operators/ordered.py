@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from plumbline.operators import pieces, selection
 
 
-def chronological_split(df: DataFrame, by: list[str], order: list[str], width: float, share: float = 0.4) -> DataFrame:
+def chronological_split(df: DataFrame, by: list[str], order: list[str], width: float | None = None, share: float = 0.4) -> DataFrame:
     """df with subset: of each group the first floor(share * n) rows in order are development, the rest holdout. Ranges of
-    `width` of order[0] are ordered apart."""
+    order[0] are ordered apart (see pieces.ranged)."""
     out = pieces.numbered(df, by, order, width)
     return out.withColumn("subset", F.when(F.col("i") <= F.floor(F.col("n") * share), "development").otherwise("holdout")).drop("i", "n")
 
 
-def first_difference(df: DataFrame, by: list[str], order: list[str], v: str, width: float) -> DataFrame:
+def first_difference(df: DataFrame, by: list[str], order: list[str], v: str, width: float | None = None) -> DataFrame:
     """df with difference: v less the row before of its group, however far that lies; null for the first."""
     return pieces.neighbours(df, by, order, v, width).withColumn("difference", F.col(v) - F.col("before.v")).drop("before", "after")
 
@@ -37,13 +37,13 @@ def keep_one(df: DataFrame, key: list[str], order: list[str], last: bool = False
     return df.withColumn("__i", F.row_number().over(Window.partitionBy(*key).orderBy(*cols))).where("__i = 1").drop("__i")
 
 
-def local_maxima(df: DataFrame, by: list[str], order: str, v: str, width: float) -> DataFrame:
+def local_maxima(df: DataFrame, by: list[str], order: str, v: str, width: float | None = None) -> DataFrame:
     """Rows not below their left and above their right neighbour; ends of a group are none."""
     beside = pieces.neighbours(df, by, [order], v, width)
     return beside.where((F.col(v) >= F.col("before.v")) & (F.col(v) > F.col("after.v"))).drop("before", "after")
 
 
-def cadence(df: DataFrame, by: str, order: list[str], width: float) -> DataFrame:
+def cadence(df: DataFrame, by: str, order: list[str], width: float | None = None) -> DataFrame:
     """by, median_interval, nyquist: of the positive steps of order[0] from row to row, and half its inverse. Groups without a
     positive step give no row."""
     steps = first_difference(df, [by], order, order[0], width).where("difference > 0")
@@ -86,7 +86,7 @@ def separated_top(df: DataFrame, by: str, x: str, stat: str, apart: float, k: in
     return sorted_.select(by, F.posexplode(fold).alias("i", "p")).select(by, (F.col("i") + 1).alias("place"), F.col("p.x").alias(x), (-F.col("p.s")).alias(stat))
 
 
-def reversals(df: DataFrame, by: str, row: str, t: str, width: float) -> DataFrame:
+def reversals(df: DataFrame, by: str, row: str, t: str, width: float | None = None) -> DataFrame:
     """How often t fails to grow from row to row, in ingest order (row: a number)."""
     step = first_difference(df, [by], [row], t, width)
     return step.groupBy(by).agg(F.count_if(F.col("difference") <= 0).alias("reversals"), F.count("*").alias("n"))

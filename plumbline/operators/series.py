@@ -85,10 +85,10 @@ def _periodogram(x: np.ndarray) -> np.ndarray:
     return p
 
 
-def segments(df: DataFrame, by: str, order: str, columns: list[str], most: int, width: float) -> DataFrame:
+def segments(df: DataFrame, by: str, order: str, columns: list[str], most: int, width: float | None = None) -> DataFrame:
     """by, segment, size and one array of each column: the values of half-overlapping segments of each series less its
     least-squares line over the row number. Their size is the greatest power of two up to min(most, n). Rows with a null or NaN
-    are left out before they are numbered; series under 16 rows give none. Ranges of `width` of the order column
+    are left out before they are numbered; series under 16 rows give none. Ranges of the order column
     are numbered apart, and a segment is one group: no task has a whole series."""
     good = F.lit(True)
     for c in columns:
@@ -106,7 +106,7 @@ def segments(df: DataFrame, by: str, order: str, columns: list[str], most: int,
     return whole.groupBy(by, "segment", "size").agg(F.array_sort(F.collect_list(F.struct("i", *columns))).alias("v")).select(by, "segment", "size", *[F.col(f"v.{c}").alias(c) for c in columns])
 
 
-def welch(df: DataFrame, by: str, order: str, v: str, width: float, most: int = 256) -> DataFrame:
+def welch(df: DataFrame, by: str, order: str, v: str, width: float | None = None, most: int = 256) -> DataFrame:
     """by, k, density: Welch's one-sided power density at frequency k / size: the series less its line, periodic Hann windows of
     the greatest power of two up to min(most, n), half overlapping, not detrended again. Each segment is transformed by
     itself, and their spectra add up; series under 16 values give no rows."""
@@ -124,7 +124,7 @@ def welch(df: DataFrame, by: str, order: str, v: str, width: float, most: int =
     return each.groupBy(by, "k").agg(F.avg("p").alias("density"))
 
 
-def coherence(df: DataFrame, by: str, order: str, x: str, y: str, width: float, most: int = 128) -> DataFrame:
+def coherence(df: DataFrame, by: str, order: str, x: str, y: str, width: float | None = None, most: int = 128) -> DataFrame:
     """by, k, coherence: magnitude-squared coherence of linearly detrended series, segments without their means. Rows with a null in
     either are left out first. Segments are transformed by themselves, and four sums of each frequency add up; null where a
     power is 0."""
@@ -171,7 +171,7 @@ def whittle(df: DataFrame, by: str, observed: str = "observed", model: str = "mo
     return ok.groupBy(by).agg((-F.sum(F.log(model) + F.col(observed) / F.col(model))).alias("loglik"), F.count("*").alias("bins"))
 
 
-def whittle_baseline(df: DataFrame, by: str, order: str, v: str, width: float, dt: float = 1.0, most: int = 256) -> DataFrame:
+def whittle_baseline(df: DataFrame, by: str, order: str, v: str, width: float | None = None, dt: float = 1.0, most: int = 256) -> DataFrame:
     """by, loglik, bins of each series' periodogram under its own Welch density, drawn out on straight lines to the periodogram's
     positive frequencies and kept above 1e-12 of its median. Spectra meet by their frequencies; the likelihood is whittle()'s."""
     observed = periodogram(df, by, order, v, dt).where("frequency > 0").withColumnRenamed("density", "observed")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
 from plumbline.operators import fringe, lens, network, nulls, pieces, sealed, series, shadow, verdicts
-from plumbline.plans.time_series import _E, _SEGMENTS, DAY, _events
+from plumbline.plans.time_series import _E, _SEGMENTS, _events
 
 VELOCITIES = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 2.0, 1.0), (0.5, 0.5, 0.0), (-1.0, 0.5, 0.0), (2.0, -1.0, 0.5), (-0.5, -0.5, 0.0), (3.0, 1.0, 0.0)]
 BANDS = [0.011, 0.029, 0.0417, 0.083, 0.125, 0.21, 0.33, 0.41]
@@ -68,7 +68,7 @@ DRAWS = 60
 def rotation_family_null(spark, sf_dir):
     """Sixty rotations of the event types' daily means against two waves, types independent: the greatest score of each."""
     daily = _events(spark, sf_dir).groupBy(F.col("event_type").alias("group"), "day").agg(F.avg("value").alias("r"))
-    rows = pieces.numbered(daily, ["group"], ["day"], 365.0).drop("n").withColumn("i", F.col("i") - 1).withColumn("frequency", F.explode(F.array(F.lit(0.1), F.lit(0.23))))
+    rows = pieces.numbered(daily, ["group"], ["day"]).drop("n").withColumn("i", F.col("i") - 1).withColumn("frequency", F.explode(F.array(F.lit(0.1), F.lit(0.23))))
     angle = 2 * np.pi * F.col("frequency") * F.col("i")
     signals = rows.select("group", "frequency", "i", F.cos(angle).alias("zc"), F.sin(angle).alias("zs"), "r")
     sizes = daily.groupBy("group").agg(F.count("*").alias("n"))
@@ -96,13 +96,13 @@ def weighted_block_coefficients(spark, sf_dir):
 def allan_deviation(spark, sf_dir):
     """Overlapping Allan deviations of the event values of each type in order of arrival."""
     e = _events(spark, sf_dir)
-    rows = pieces.numbered(e.select("event_type", "t", "event_id", "value"), ["event_type"], ["t", "event_id"], DAY)
+    rows = pieces.numbered(e.select("event_type", "t", "event_id", "value"), ["event_type"], ["t", "event_id"])
     return series.allan_deviation(rows, "event_type", "i", "value", [1, 2, 4, 8]).select("event_type", "m", "n", F.round("deviation", 6).alias("deviation"))
 
 
 def whittle_baseline(spark, sf_dir):
     """The likelihood of each event type's periodogram of hourly means under its own Welch density."""
-    return series.whittle_baseline(_hourly(spark, sf_dir), "event_type", "k", "v", 240.0).select("event_type", F.round("loglik", 4).alias("loglik"), "bins")
+    return series.whittle_baseline(_hourly(spark, sf_dir), "event_type", "k", "v").select("event_type", F.round("loglik", 4).alias("loglik"), "bins")
 
 
 def periodogram(spark, sf_dir):

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from plumbline.operators import joins, nulls, ordered, pieces, robust, series
 
 #: Seconds of a day: the ranges in which events are ordered.
-DAY = 86400.0
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -61,7 +60,7 @@ def lag_correlation_scan(spark, sf_dir):
 
 
 def chronological_split(spark, sf_dir):
-    return ordered.chronological_split(_events(spark, sf_dir), ["event_type"], ["t", "event_id"], DAY).select("event_id", "subset")
+    return ordered.chronological_split(_events(spark, sf_dir), ["event_type"], ["t", "event_id"]).select("event_id", "subset")
 
 
 def node_coverage_selection(spark, sf_dir):
@@ -73,20 +72,20 @@ def node_coverage_selection(spark, sf_dir):
 
 def adaptive_grid(spark, sf_dir):
     """Median positive interval and Nyquist frequency of each event type."""
-    out = ordered.cadence(_events(spark, sf_dir).select("event_type", "t", "event_id"), "event_type", ["t", "event_id"], DAY)
+    out = ordered.cadence(_events(spark, sf_dir).select("event_type", "t", "event_id"), "event_type", ["t", "event_id"])
     return out.select("event_type", F.round("median_interval", 6).alias("median_s"), F.round("nyquist", 9).alias("nyquist_hz"))
 
 
 def frequency_grid(spark, sf_dir):
     """Whole multiples of the events' resolution from 2e-5 Hz to 0.9 of the least Nyquist frequency, 5e-4 Hz at most."""
     e = _events(spark, sf_dir).select("event_type", "t", "event_id")
-    grid = ordered.frequency_grid(ordered.cadence(e, "event_type", ["t", "event_id"], DAY), e.agg(F.min("t").alias("start"), F.max("t").alias("stop")), 2e-5, 5e-4)
+    grid = ordered.frequency_grid(ordered.cadence(e, "event_type", ["t", "event_id"]), e.agg(F.min("t").alias("start"), F.max("t").alias("stop")), 2e-5, 5e-4)
     return grid.select("k", F.round("frequency", 12).alias("frequency"))
 
 
 def first_difference(spark, sf_dir):
     """Each event's value less the one before of its type, however long ago."""
-    out = ordered.first_difference(_events(spark, sf_dir).select("event_id", "event_type", "t", "value"), ["event_type"], ["t", "event_id"], "value", DAY)
+    out = ordered.first_difference(_events(spark, sf_dir).select("event_id", "event_type", "t", "value"), ["event_type"], ["t", "event_id"], "value")
     return out.select("event_id", F.round("difference", 6).alias("difference"))
 
 
@@ -120,7 +119,7 @@ def block_coherence(spark, sf_dir):
 def circular_rotation_null(spark, sf_dir):
     """All circular rotations of the daily click series against views: totals, and the rank p of no rotation. A row a day."""
     pair = _daily_pair(spark, sf_dir, "click", "view")
-    indexed = pieces.numbered(pair.withColumn("g", F.lit(1)), ["g"], ["day"], 365.0)
+    indexed = pieces.numbered(pair.withColumn("g", F.lit(1)), ["g"], ["day"])
     totals = nulls.rotations(indexed, ["g"], "i", ["x"], "y").select("shift", F.round("x", 6).alias("total"))
     held = totals.where("shift = 0").select(F.col("total").alias("t0"))
     return totals.where("shift > 0").crossJoin(F.broadcast(held)).agg(F.count("*").alias("n"), F.round((1 + F.count_if(F.col("total") >= F.col("t0"))) / (F.count("*") + 1), 9).alias("rank_p"))
@@ -143,7 +142,7 @@ def interpolating_lookup(spark, sf_dir):
     e = _events(spark, sf_dir)
     first = e.groupBy("event_type", F.col("t")).agg(F.max("value").alias("value"))
     marks = e.select("event_type", (F.floor(F.col("hour") / 6) * 6 * 3600).cast("double").alias("t")).distinct()
-    return joins.interpolate(marks, first, "t", "value", "event_type", DAY).select("event_type", F.col("t").cast("long").alias("t"), F.round("value", 4).alias("value"))
+    return joins.interpolate(marks, first, "t", "value", "event_type").select("event_type", F.col("t").cast("long").alias("t"), F.round("value", 4).alias("value"))
 
 
 def daily_maximum_rank(spark, sf_dir):
@@ -165,18 +164,18 @@ def reversal_counter(spark, sf_dir):
 
 def welch_psd(spark, sf_dir):
     hourly = _events(spark, sf_dir).groupBy("event_type", "hour").agg(F.avg("value").alias("v"))
-    return series.welch(hourly, "event_type", "hour", "v", 240.0).select("event_type", "k", F.round("density", 5).alias("density"))
+    return series.welch(hourly, "event_type", "hour", "v").select("event_type", "k", F.round("density", 5).alias("density"))
 
 
 def msc_coherence(spark, sf_dir):
     e = _events(spark, sf_dir).groupBy("hour").agg(*[F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in ("click", "view")])
-    return series.coherence(e.withColumn("pair", F.lit("click-view")), "pair", "hour", "click", "view", 240.0).select("pair", "k", F.round("coherence", 6).alias("coherence"))
+    return series.coherence(e.withColumn("pair", F.lit("click-view")), "pair", "hour", "click", "view").select("pair", "k", F.round("coherence", 6).alias("coherence"))
 
 
 def coherence_peak(spark, sf_dir):
     """The greatest coherence of two event types' hourly means over positive frequencies."""
     e = _events(spark, sf_dir).groupBy("hour").agg(*[F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in ("click", "purchase")])
-    spectra = series.coherence(e.withColumn("pair", F.lit("click-purchase")), "pair", "hour", "click", "purchase", 240.0)
+    spectra = series.coherence(e.withColumn("pair", F.lit("click-purchase")), "pair", "hour", "click", "purchase")
     return series.greatest_coherence(spectra, "pair").select("pair", "k", F.round("coherence", 6).alias("coherence"), "bins")
 
 
