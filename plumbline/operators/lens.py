@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Physical constants, fixed values: SI gravity, a solar mass in kg, kpc and Mpc in m, and gravity in Mpc (km/s)^2 / solar mass.
@@ -26,6 +26,39 @@ def log_profile(radius: np.ndarray, value: np.ndarray, query: np.ndarray, inner:
     return np.exp(np.where(q < x[0], below, np.where(q > x[-1], above, inside)))
 
 
+#: Knots that a profile may have in columns.
+MOST_KNOTS = 1 << 12
+
+
+def profile_knots(profiles: DataFrame, by: str, radius: str = "radius", value: str = "esd") -> DataFrame:
+    """by and knots: each profile's logarithms of radius and value as one array (x, y) in order of radius; its bins are tens by
+    contract, MOST_KNOTS at most. Bins that are null, infinite or not positive are left out, profiles with under two others too; of bins at
+    one radius the greatest value counts."""
+    fine = lambda c: (F.col(c) > 0) & (F.col(c) < float("inf"))
+    bins = profiles.where(fine(radius) & fine(value)).groupBy(by, radius).agg(F.max(value).alias("__v"))
+    knots = F.array_sort(F.collect_list(F.struct(F.ln(radius).alias("x"), F.ln("__v").alias("y"))))
+    return bins.groupBy(by).agg(knots.alias("knots")).where(F.size("knots").between(2, MOST_KNOTS))
+
+
+def log_log(knots: Column, r: Column, inner: Column | float, outer: Column | float) -> Column:
+    """The value at r of a profile of profile_knots(): straight lines between the logarithms, beyond either end a line of the given slope. The knot
+    below is found by halves."""
+    q, last = F.ln(r), F.size(knots) - 1
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_KNOTS.bit_length()))])
+    # knots from the second on that are not above q: the interval's number
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(knots, at + step)["x"] <= q, at + step).otherwise(at))
+
+    def line(at: Column) -> Column:
+        low, high = F.get(knots, at), F.get(knots, at + 1)
+        return low["y"] + (high["y"] - low["y"]) * (q - low["x"]) / (high["x"] - low["x"])
+
+    # one place for each r: a second lambda holds it
+    inside = F.get(F.transform(F.array(F.least(place, last - 1)), line), F.lit(0))
+    first, end = F.get(knots, F.lit(0)), F.get(knots, last)
+    slope = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    return F.exp(F.when(q < first["x"], first["y"] + slope(inner) * (q - first["x"])).when(q > end["x"], end["y"] + slope(outer) * (q - end["x"])).otherwise(inside))
+
+
 def deproject_lenses(profiles: DataFrame, masses: DataFrame, accelerations: list[float], inner: float, outer: float, points: int = 4096) -> DataFrame:
     """lens, gbar, gobs (m/s^2): for each lens 4 G times the integral of its profile at R / sin(angle) over a quarter turn, R
     being where its mass makes each acceleration. profiles: lens, radius (Mpc), esd (solar masses / Mpc^2); masses: lens,
@@ -75,20 +108,31 @@ def _quadratic(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def deprojection_operator(spark: SparkSession, radius: list[float], nodes: int = 512, interpolation: str = "linear", tail: str = "sis") -> DataFrame:
-    """i, j, v: the matrix whose product with a profile is its integral at R / sin(angle) over a quarter turn, by Gauss-Legendre
-    nodes, for linear or quadratic interpolation; beyond the last radius the profile falls as 1 / R (sis), stays
-    (flat) or is 0 (zero). Each row of the matrix is a row of Spark."""
-    x = np.asarray(radius, float)
-    if len(x) < 3 or not (np.isfinite(x).all() and x[0] > 0 and (np.diff(x) > 0).all()):
+    """i, j, v: deprojection_operators() for one list of radii."""
+    if len(radius) < 3:
         raise ValueError("radii must be at least three, positive and growing")
+    rows = spark.createDataFrame([(0, i, float(r)) for i, r in enumerate(radius)], "profile int, i int, radius double")
+    return deprojection_operators(rows, "profile", nodes, interpolation, tail).select("i", "j", "v")
+
+
+def deprojection_operators(radii: DataFrame, by: str, nodes: int = 512, interpolation: str = "linear", tail: str = "sis") -> DataFrame:
+    """by, i, j, v: for each profile the matrix whose product with its values is their integral at R / sin(angle) over a quarter turn, by
+    Gauss-Legendre nodes, for linear or quadratic interpolation; beyond the last radius the profile falls as 1 / R (sis), stays
+    (flat) or is 0 (zero). radii: by, i (0 to n - 1), radius, which grows with i and is positive, or it is an error; a profile's radii are
+    tens by contract, those of under three give no rows. Each row of a matrix is a row of Spark beside its profile's radii."""
     if nodes < 64 or interpolation not in ("linear", "quadratic") or tail not in ("sis", "flat", "zero"):
         raise ValueError("unsupported nodes, interpolation or tail")
     at, weight = np.polynomial.legendre.leggauss(nodes)
     sine, weight = np.sin((at + 1) * math.pi / 4), weight * math.pi / 4
+    every = radii.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "radius"))).alias("__x")).select(by, F.col("__x.radius").alias("x")).where(F.size("x") >= 3)
+    rows = radii.select(by, "i").join(every, by)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for i in f.id:
+            for key, i, x in zip(f[by], f.i, f.x):
+                x = np.asarray(x, float)
+                if not (np.isfinite(x).all() and x[0] > 0 and (np.diff(x) > 0).all()):
+                    raise ValueError("radii must be at least three, positive and growing")
                 query = x[i] / sine
                 inside = query <= x[-1]
                 values = np.zeros((nodes, len(x)))
@@ -96,9 +140,9 @@ def deprojection_operator(spark: SparkSession, radius: list[float], nodes: int =
                     q = query[inside]
                     values[inside] = _quadratic(x, q) if interpolation == "quadratic" else np.stack([np.interp(q, x, unit) for unit in np.eye(len(x))], 1)
                 values[~inside, -1] = {"sis": x[-1] / query[~inside], "flat": 1.0, "zero": 0.0}[tail]
-                yield pd.DataFrame({"i": int(i), "j": np.arange(len(x)), "v": weight @ values})
+                yield pd.DataFrame({by: key, "i": int(i), "j": np.arange(len(x)), "v": weight @ values})
 
-    return spark.range(len(x)).mapInPandas(run, "i int, j int, v double")
+    return rows.mapInPandas(run, f"`{by}` {radii.schema[by].dataType.simpleString()}, i int, j int, v double")
 
 
 def operator_status(df: DataFrame, multiplier: float = 1.96) -> DataFrame:

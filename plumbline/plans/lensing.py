@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
@@ -43,9 +44,15 @@ def distances(spark, sf_dir):
 
 
 def spherical_deprojection(spark, sf_dir):
-    """The integral of 1 / R over the sphere for twenty radii, by 256 trapezoids."""
-    rows = spark.range(20).select(F.col("id").cast("int").alias("i"), F.pow(F.lit(10.0), F.col("id") / 10.0 - 1).alias("r"))
-    return rows.select("i", F.round("r", 9).alias("r"), F.round(sky.spherical_deprojection(F.col("r"), lambda q: 1 / q, 256), 6).alias("g"))
+    """The integral over the sphere of each supplier's own profile, of six shapes, at a radius of its own, by 256 trapezoids; some
+    radii lie beyond the profile's ends."""
+    k = F.col("s_suppkey")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k, F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"))
+    radius = F.pow(F.lit(10.0), F.col("b") / 4.0 - 1.5)
+    value = (1 + k % 7) * F.pow(radius, -(0.5 + k % 3 / 2.0)) * F.exp(-(k % 2) * F.col("b") * F.col("b") / 20.0)
+    knots = lens.profile_knots(s.select(k, radius.alias("radius"), value.alias("esd")), "s_suppkey")
+    r = 0.01 * F.pow(F.lit(2.0), k % 11)
+    return knots.select(k, F.round(sky.spherical_deprojection(r, lambda q: lens.log_log(F.col("knots"), q, -1.0, -2.0), 256), 6).alias("g"))
 
 
 def plane_wave_surface(spark, sf_dir):
@@ -71,14 +78,21 @@ def object_level_stack(spark, sf_dir):
 
 
 NODES = 64
-RADII = [round(0.05 * 1.4**k, 9) for k in range(12)]
+BINS = 12
+
+
+def _radii(spark, sf_dir):
+    """Nations as profiles, their customers' keys modulo twelve as bins, a nation's radii on a scale of its own."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % BINS).alias("b")).distinct()
+    place = F.row_number().over(Window.partitionBy("nation").orderBy("b")) - 1  # a row a bin
+    return c.select("nation", place.alias("i"), ((F.col("b") + 1) * (F.col("b") + 2) * (20 + F.col("nation")) / 1024.0).alias("radius"))
 
 
 def deprojection_matrix(spark, sf_dir):
-    """The integral's matrix for linear interpolation over twelve radii and each of three tails."""
-    out = None
+    """The integral's matrix for linear interpolation over each nation's radii and each of three tails."""
+    radii, out = _radii(spark, sf_dir), None
     for tail in ("flat", "sis", "zero"):
-        m = lens.deprojection_operator(spark, RADII, nodes=NODES, tail=tail).select(F.lit(tail).alias("tail"), "i", "j", (F.round("v", 9) + 0.0).alias("v"))
+        m = lens.deprojection_operators(radii, "nation", NODES, tail=tail).select("nation", F.lit(tail).alias("tail"), "i", "j", (F.round("v", 8) + 0.0).alias("v"))
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -86,9 +100,10 @@ def deprojection_matrix(spark, sf_dir):
 def deprojection_matrix_quadratic(spark, sf_dir):
     """The same for quadratic splines, as what it makes of the profiles 1, R and R^2 where no tail is needed: the first row's sums.
     A spline of degree two keeps them, so they are closed integrals by the same nodes."""
-    m = lens.deprojection_operator(spark, RADII, nodes=NODES, interpolation="quadratic", tail="zero")
-    x = F.element_at(F.array(*map(F.lit, RADII)), F.col("j") + 1)
-    return m.groupBy("i").agg(*[F.round(F.sum(F.col("v") * F.pow(x, F.lit(float(p)))), 7).alias(f"p{p}") for p in range(3)])
+    radii = _radii(spark, sf_dir)
+    m = lens.deprojection_operators(radii, "nation", NODES, interpolation="quadratic", tail="zero")
+    both = m.join(radii.withColumnRenamed("i", "j"), ["nation", "j"])
+    return both.groupBy("nation", "i").agg(*[F.round(F.sum(F.col("v") * F.pow("radius", F.lit(float(p)))), 5).alias(f"p{p}") for p in range(3)])
 
 
 PLANS = [haversine_rotation_pairs, critical_density, distances, spherical_deprojection, plane_wave_surface, object_level_stack, deprojection_matrix, deprojection_matrix_quadratic]
@@ -96,7 +111,8 @@ PLANS = [haversine_rotation_pairs, critical_density, distances, spherical_deproj
 _D = "sum(CASE WHEN k = 0 OR k = 64 THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END::DOUBLE / sqrt(0.3::DOUBLE * (1 + {0} * k / 64) ** 3 + 1 - 0.3::DOUBLE)) * {0} / 64 / 3 * 299792.458::DOUBLE / 70"
 #: Gauss and Legendre's places as angles of a quarter turn, and their weights.
 _AT, _WEIGHT = ((x * np.pi / 4).tolist() for x in (lambda at, w: (at + 1, w))(*np.polynomial.legendre.leggauss(NODES)))
-_NODES = f"x AS (SELECT unnest({RADII}::DOUBLE[]) AS x, unnest(range(0, {len(RADII)})) AS i), q AS (SELECT x.i, x.x / sin(a) AS q, w FROM x, (SELECT unnest({_AT}::DOUBLE[]) AS a, unnest({_WEIGHT}::DOUBLE[]) AS w))"
+_NODES = f"""x0 AS (SELECT DISTINCT c_nationkey AS nation, c_custkey % {BINS} AS b FROM customer), x1 AS (SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY b) - 1 AS i, (b + 1) * (b + 2) * (20 + nation) / 1024.0::DOUBLE AS x, count(*) OVER (PARTITION BY nation) AS n FROM x0),
+ x AS (SELECT * FROM x1 WHERE n >= 3), q AS (SELECT x.nation, x.i, x.x / sin(a) AS q, w FROM x, (SELECT unnest({_AT}::DOUBLE[]) AS a, unnest({_WEIGHT}::DOUBLE[]) AS w))"""
 SQL = {
     "haversine_rotation_pairs": """WITH l AS (SELECT s_suppkey AS lens, (s_suppkey * 37 % 3600) / 10.0::DOUBLE AS ra, (s_suppkey * 53 % 100) / 10.0::DOUBLE AS dec FROM supplier),
  s AS (SELECT c_custkey AS source, (c_custkey * 37 % 3600) / 10.0::DOUBLE AS ra, (c_custkey * 53 % 100) / 10.0::DOUBLE AS dec, (c_custkey % 7) / 10.0::DOUBLE AS e1, (c_custkey % 5) / 10.0::DOUBLE AS e2 FROM customer),
@@ -113,14 +129,18 @@ SQL = {
  g AS (SELECT unnest([1e-12, 1e-11, 1e-10]::DOUBLE[]) AS g),
  l AS (SELECT g, 1e12::DOUBLE * (1 + s_suppkey % 7) * t / (sqrt(6.67430e-11::DOUBLE * 1e10::DOUBLE * (1 + s_suppkey % 5) * 1.98847e30::DOUBLE / g) / 3.085677581491367e22::DOUBLE) AS i FROM supplier, t, g)
  SELECT round(log10(g), 6) AS log_gbar, round(avg(4 * 4.30091e-9::DOUBLE * i * 1e6::DOUBLE / 3.085677581491367e22::DOUBLE) * 1e13::DOUBLE, 6) AS gobs, count(*) AS lenses FROM l GROUP BY g""",
-    "deprojection_matrix": f"""WITH {_NODES}, m AS (SELECT max(x) AS m, max(i) AS last FROM x), b AS (SELECT a.i AS lo, a.x AS a, b.x AS b FROM x a JOIN x b ON b.i = a.i + 1), t AS (SELECT unnest(['flat', 'sis', 'zero']) AS tail),
- p AS (SELECT tail, i, lo AS j, w * (b - q) / (b - a) AS v FROM q, b, m, t WHERE q <= m AND q >= a AND (q < b OR (q = b AND b = m)) UNION ALL
-       SELECT tail, i, lo + 1, w * (q - a) / (b - a) FROM q, b, m, t WHERE q <= m AND q >= a AND (q < b OR (q = b AND b = m)) UNION ALL
-       SELECT tail, i, last, w * CASE tail WHEN 'sis' THEN m / q WHEN 'flat' THEN 1 ELSE 0 END FROM q, m, t WHERE q > m UNION ALL SELECT tail, a.i, b.i, 0 FROM x a, x b, t)
- SELECT tail, i::INTEGER AS i, j::INTEGER AS j, round(sum(v), 9) + 0.0 AS v FROM p GROUP BY ALL""",
-    "deprojection_matrix_quadratic": f"""WITH {_NODES} SELECT i::INTEGER AS i, round(coalesce(sum(w) FILTER (q <= (SELECT max(x) FROM x)), 0), 7) AS p0, round(coalesce(sum(w * q) FILTER (q <= (SELECT max(x) FROM x)), 0), 7) AS p1, round(coalesce(sum(w * q * q) FILTER (q <= (SELECT max(x) FROM x)), 0), 7) AS p2 FROM q GROUP BY i""",
-    "spherical_deprojection": """WITH r AS (SELECT i::INTEGER AS i, 10.0::DOUBLE ** (i / 10.0::DOUBLE - 1) AS r FROM (SELECT unnest(range(0, 20)) AS i)), k AS (SELECT unnest(range(0, 257)) AS k)
- SELECT i, round(any_value(r), 9) AS r, round(4 * sum(CASE WHEN k = 0 OR k = 256 THEN 0.5 ELSE 1.0 END::DOUBLE * sin(1e-8 + (pi() / 2 - 1e-8) * k / 256) / r) * (pi() / 2 - 1e-8) / 256, 6) AS g FROM r, k GROUP BY i""",
+    "deprojection_matrix": f"""WITH {_NODES}, m AS (SELECT nation, max(x) AS m, max(i) AS last FROM x GROUP BY 1), b AS (SELECT a.nation, a.i AS lo, a.x AS a, b.x AS b FROM x a JOIN x b ON b.nation = a.nation AND b.i = a.i + 1), t AS (SELECT unnest(['flat', 'sis', 'zero']) AS tail),
+ p AS (SELECT nation, tail, i, lo AS j, w * (b - q) / (b - a) AS v FROM q JOIN b USING (nation) JOIN m USING (nation), t WHERE q <= m AND q >= a AND (q < b OR (q = b AND b = m)) UNION ALL
+       SELECT nation, tail, i, lo + 1, w * (q - a) / (b - a) FROM q JOIN b USING (nation) JOIN m USING (nation), t WHERE q <= m AND q >= a AND (q < b OR (q = b AND b = m)) UNION ALL
+       SELECT nation, tail, i, last, w * CASE tail WHEN 'sis' THEN m / q WHEN 'flat' THEN 1 ELSE 0 END FROM q JOIN m USING (nation), t WHERE q > m UNION ALL SELECT a.nation, tail, a.i, b.i, 0 FROM x a JOIN x b USING (nation), t)
+ SELECT nation, tail, i::INTEGER AS i, j::INTEGER AS j, round(sum(v), 8) + 0.0 AS v FROM p GROUP BY ALL""",
+    "deprojection_matrix_quadratic": f"""WITH {_NODES}, m AS (SELECT nation, max(x) AS m FROM x GROUP BY 1) SELECT nation, i::INTEGER AS i, round(coalesce(sum(w) FILTER (q <= m), 0), 5) AS p0, round(coalesce(sum(w * q) FILTER (q <= m), 0), 5) AS p1, round(coalesce(sum(w * q * q) FILTER (q <= m), 0), 5) AS p2 FROM q JOIN m USING (nation) GROUP BY 1, 2""",
+    "spherical_deprojection": """WITH s AS (SELECT s_suppkey AS k, 0.01::DOUBLE * 2.0::DOUBLE ** (s_suppkey % 11) AS r FROM supplier), b AS (SELECT unnest(range(0, 8)) AS b),
+ n AS (SELECT k, b, (b / 4.0::DOUBLE - 1.5) * ln(10::DOUBLE) AS x, ln((1 + k % 7)::DOUBLE) - (0.5::DOUBLE + (k % 3) / 2.0::DOUBLE) * (b / 4.0::DOUBLE - 1.5) * ln(10::DOUBLE) - (k % 2) * b * b / 20.0::DOUBLE AS y FROM s, b),
+ a AS (SELECT k, p, ln(r / sin(1e-8::DOUBLE + (pi() / 2 - 1e-8::DOUBLE) * p / 256)) AS q FROM s, (SELECT unnest(range(0, 257)) AS p)),
+ e AS (SELECT k, min(x) AS x0, max(x) AS x1, max(y) FILTER (b = 0) AS y0, max(y) FILTER (b = 7) AS y1 FROM n GROUP BY k),
+ v AS (SELECT a.k, p, CASE WHEN q < x0 THEN y0 - (q - x0) WHEN q > x1 THEN y1 - 2 * (q - x1) ELSE (SELECT max(l.y + (h.y - l.y) * (q - l.x) / (h.x - l.x)) FROM n l JOIN n h ON h.k = l.k AND h.b = l.b + 1 WHERE l.k = a.k AND q >= l.x AND q <= h.x) END AS y FROM a JOIN e USING (k))
+ SELECT k AS s_suppkey, round(4 * sum(CASE WHEN p = 0 OR p = 256 THEN 0.5 ELSE 1.0 END::DOUBLE * exp(y)) * (pi() / 2 - 1e-8::DOUBLE) / 256, 6) AS g FROM v GROUP BY k""",
     "plane_wave_surface": """WITH g AS (SELECT s_nationkey % 5 AS node, (s_suppkey % 10)::BIGINT AS k, avg(s_acctbal) AS v FROM supplier GROUP BY ALL), w AS (SELECT unnest(range(1, 9))::INTEGER AS template),
  d AS (SELECT DISTINCT node, template, node * template / 4.0::DOUBLE AS d FROM g, w),
  s AS (SELECT template, a.k - floor(d)::BIGINT AS centre, a.v * (1 - (d - floor(d))) + b.v * (d - floor(d)) AS s FROM d JOIN g a USING (node) JOIN g b ON b.node = a.node AND b.k = a.k + 1),

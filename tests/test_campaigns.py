@@ -352,3 +352,29 @@ def test_critical_values_by_counts(spark):
 def test_times_with_and_without_a_zone(spark):
     df = frame(spark, [("2024-05-01 10:00:00",), ("2024-05-01T10:00:00+02:00",), ("2024-05-01T10:00:00Z",), ("nothing",), (None,)], "s string")
     assert [r[0] for r in df.select(scalars.iso(scalars.utc(F.col("s")))).collect()] == ["2024-05-01T10:00:00Z", "2024-05-01T08:00:00Z", "2024-05-01T10:00:00Z", None, None]
+
+
+def test_profiles_as_columns_are_numpys_lines(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for k in range(6):
+        n = int(rng.integers(2, 40))
+        radius, value = np.sort(rng.uniform(0.01, 9, n)), rng.uniform(0.1, 5, n)
+        rows += [(k, float(a), float(b)) for a, b in zip(radius, value)] + [(k, 1.0, None), (k, -1.0, 2.0), (k, float(radius[0]), 0.01)]
+        for q in [*rng.uniform(0.001, 20, 20), radius[0], radius[-1], radius[n // 2]]:
+            want[k, float(q)] = lens.log_profile(radius, value, np.array([q]), -1.0, -2.5)[0]
+    rows += [(9, 1.0, 1.0), (10, None, 1.0)]  # too few bins
+    knots = lens.profile_knots(spark.createDataFrame(rows, "k int, radius double, esd double"), "k")
+    asked = spark.createDataFrame(list(want), "k int, q double").join(knots, "k")
+    found = {(r.k, r.q): r.v for r in asked.select("k", "q", lens.log_log(F.col("knots"), F.col("q"), -1.0, F.lit(-2.5)).alias("v")).collect()}
+    assert knots.count() == 6 and found == pytest.approx(want)
+
+
+def test_operators_of_many_profiles_are_their_own(spark):
+    lists = {"a": [0.1, 0.2, 0.5, 1.1], "b": [1.0, 2.0, 3.0], "c": [1.0, 2.0]}
+    rows = [(k, i, r) for k, x in lists.items() for i, r in enumerate(x)]
+    found = lens.deprojection_operators(spark.createDataFrame(rows, "name string, i int, radius double").repartition(3), "name", 128).collect()
+    for k in "ab":
+        own = {(r.i, r.j): r.v for r in found if r.name == k}
+        assert own == {(r.i, r.j): r.v for r in lens.deprojection_operator(spark, lists[k], 128).collect()} and len(own) == len(lists[k]) ** 2
+    assert {r.name for r in found} == {"a", "b"}
