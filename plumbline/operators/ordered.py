@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import pieces, selection
+from plumbline.session import saved
 
 
 def chronological_split(df: DataFrame, by: list[str], order: list[str], width: float | None = None, share: float = 0.4) -> DataFrame:
@@ -70,20 +71,63 @@ def exact_mode(df: DataFrame, by: str, v: str, gate: float = 0.5) -> DataFrame:
     return best.select(by, F.col("b.v").alias("mode"), F.round(share, 9).alias("share"), (share >= gate).alias("passes"))
 
 
+#: Candidates of a cell that a pass of separated_top() looks at.
+KEPT = 32
+
+
 def separated_top(df: DataFrame, by: str, x: str, stat: str, apart: float, k: int, probes: list[float] | None = None, probe_width: float = 0.0, tolerance: float = 0.0) -> DataFrame:
     """Greedy choice in each group: the greatest stat first (ties to the smaller x), then the next at least `apart` (less the
     tolerance) away from all chosen, up to k. Candidates nearer than probe_width to one of the probes (known places, a
-    parameter) are none. A group's candidates, the maxima of one scan, fold as one sorted array."""
-    rows = df
+    parameter) are none, and rows without an x or a stat (null or NaN) are none.
+
+    No task gets all candidates of a group. x is cut into cells a trifle narrower than the distance d, so that a cell holds one
+    choice at most and a choice shuts out candidates of its own cell and of two on either side. While j of k are chosen, 5j cells
+    at most are touched, so of the best 5k - 4 cells (by their best candidate) one is untouched, and its best candidate can be chosen: all k
+    choices stand in these cells. Of each the KEPT best candidates are taken to one small array a group. A choice made there is the whole
+    group's as long as no cell has used up its kept ones without a choice in it; there the fold stops, what it has chosen is kept, and a further pass
+    begins without all that is shut out. A pass chooses one at least, as the best candidate left is always kept."""
+    d = apart - tolerance
+    rows = df.select(by, F.col(x).cast("double").alias("__x"), F.col(stat).cast("double").alias("__s")).where("NOT isnan(__x) AND NOT isnan(__s)").na.drop(subset=["__x", "__s"])
     for p in probes or []:
-        rows = rows.where(F.abs(F.col(x) - p) >= probe_width)
-    item = F.struct((-F.col(stat)).alias("s"), F.col(x).cast("double").alias("x"))
-    sorted_ = rows.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias("c"))
-    far = lambda a, c: F.forall(a, lambda y: F.abs(y["x"] - c["x"]) >= apart - tolerance)
-    empty = F.array().cast("array<struct<s:double,x:double>>")
-    cast = F.expr("cast(c as array<struct<s:double,x:double>>)")
-    fold = F.aggregate(cast, empty, lambda a, c: F.when((F.size(a) < k) & far(a, c), F.concat(a, F.array(c))).otherwise(a))
-    return sorted_.select(by, F.posexplode(fold).alias("i", "p")).select(by, (F.col("i") + 1).alias("place"), F.col("p.x").alias(x), (-F.col("p.s")).alias(stat))
+        rows = rows.where(F.abs(F.col("__x") - p) >= probe_width)
+    if d <= 0:  # nothing is shut out
+        place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("__s"), "__x"))
+        return rows.withColumn("place", place).where(F.col("place") <= k).select(by, "place", F.col("__x").alias(x), F.col("__s").alias(stat))
+    cells = rows.withColumn("__c", F.floor(F.col("__x") / (d * (1 - 1e-6))))
+    kind = "array<struct<s:double,x:double,c:bigint>>"
+    none = F.array().cast(kind)
+    chosen = None
+    for _ in range(k):
+        if chosen is None:
+            left = cells.withColumn("__had", none)
+        else:
+            far = F.forall("__had", lambda y: F.abs(y["x"] - F.col("__x")) >= d)
+            left = pieces.join_alike(cells, chosen.where("stopped").select(by, F.col("picked").alias("__had")), [by]).where("__had IS NOT NULL").where(far)
+        best = left.groupBy(by, "__c").agg(F.min(F.struct((-F.col("__s")).alias("s"), F.col("__x").alias("x"))).alias("__top"))
+        ranked = best.withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy("__top"))).where(F.col("__rank") <= 5 * k - 4).select(by, "__c")
+        inner = F.row_number().over(Window.partitionBy(by, "__c").orderBy(F.desc("__s"), "__x"))
+        kept = pieces.join_alike(left, ranked.withColumn("__in", F.lit(True)), [by, "__c"]).where("__in").withColumn("__i", inner).where(F.col("__i") <= KEPT)
+        item = F.struct((-F.col("__s")).alias("s"), F.col("__x").alias("x"), F.col("__c").alias("c"), (F.col("__i") == KEPT).alias("end"))
+        groups = kept.groupBy(by, "__had").agg(F.sort_array(F.collect_list(item)).alias("__items"))
+
+        def step(state, e):
+            here = F.struct((-e["s"]).alias("s"), e["x"].alias("x"), e["c"].alias("c"))
+            fits = ~state["stopped"] & (F.size(state["picked"]) < k) & F.forall(state["picked"], lambda y: F.abs(y["x"] - e["x"]) >= d)
+            picked = F.when(fits, F.concat(state["picked"], F.array(here))).otherwise(state["picked"])
+            used_up = e["end"] & ~F.exists(state["picked"], lambda y: y["c"] == e["c"]) & ~fits
+            return F.struct(picked.alias("picked"), (state["stopped"] | (used_up & (F.size(state["picked"]) < k))).alias("stopped"))
+
+        fold = F.aggregate("__items", F.struct(F.col("__had").alias("picked"), F.lit(False).alias("stopped")), step)
+        new = groups.select(by, fold.alias("f")).select(by, "f.picked", "f.stopped")
+        if chosen is not None:
+            # a group whose candidates were all shut out has no row here: what it had is its result
+            before = chosen.where("stopped").select(by, F.col("picked").alias("__had"))
+            again = pieces.join_alike(before, new, [by]).select(by, F.coalesce("picked", "__had").alias("picked"), F.coalesce("stopped", F.lit(False)).alias("stopped"))
+            new = chosen.where("NOT stopped").unionByName(again)
+        chosen = saved(new, "separated")
+        if chosen.where("stopped").isEmpty():
+            break
+    return chosen.select(by, F.posexplode("picked").alias("i", "p")).select(by, (F.col("i") + 1).alias("place"), F.col("p.x").alias(x), F.col("p.s").alias(stat))
 
 
 def reversals(df: DataFrame, by: str, row: str, t: str, width: float | None = None) -> DataFrame:

@@ -76,3 +76,28 @@ def test_one_family_is_ranked_in_many_ranges(small, spark):
         assert got.n == 3000 and got.critical == (np.sort(null)[::-1][place] if place >= 0 else None)
     cut = pieces.ranged(frame(np.unique(null), "a"), ["family"], "statistic").select(pieces.CUT).distinct().count()
     assert cut > 5
+
+
+@pytest.mark.parametrize("kept", [2, 32])
+def test_separated_top_is_the_greedy_choice(spark, monkeypatch, kept):
+    monkeypatch.setattr(ordered, "KEPT", kept)
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(8):
+        n = 400
+        xs = rng.uniform(0, 30, n) if g % 2 else np.round(rng.uniform(0, 30, n), 1)
+        stats = {0: rng.normal(size=n), 1: xs / 10, 2: -np.abs(xs - 11), 3: np.round(rng.normal(size=n), 1)}[g // 2]  # slopes: neighbours shut out the best of a cell
+        rows += [(g, float(a), float(b)) for a, b in zip(xs, stats)]
+    rows += [(0, None, 9.0), (0, 1.0, None), (0, float("nan"), 9.0), (None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g int, x double, s double").repartition(4)
+    for apart, k, tolerance in ((1.0, 7, 0.0), (3.0, 20, 1e-9), (0.0, 5, 0.0)):
+        found: dict = {}
+        for r in ordered.separated_top(df, "g", "x", "s", apart, k, [5.0], 0.25, tolerance).collect():
+            found.setdefault(r.g, []).append((r.place, r.x, r.s))
+        for g in [*range(8), None]:
+            own = sorted(((-s, x) for h, x, s in rows if h == g and x is not None and s is not None and x == x and abs(x - 5.0) >= 0.25))
+            picked: list = []
+            for s, x in own:
+                if len(picked) < k and all(abs(x - y) >= apart - tolerance for _, y in picked):
+                    picked.append((s, x))
+            assert sorted(found[g]) == [(i + 1, x, -s) for i, (s, x) in enumerate(picked)], (g, apart)
