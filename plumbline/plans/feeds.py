@@ -221,21 +221,17 @@ def controlled_columns(spark, sf_dir):
 
 
 def fringe_fit(spark, sf_dir):
-    """Hourly means by event type in terms of a slow time and a daily phase: whether what is left is orthogonal to all terms, and
-    whether the slope in phase is the fit's derivative."""
+    """Hourly means by event type in terms of a slow time and a daily phase: what the fit leaves of the sum of squares, and the
+    fit's slope in phase at one place."""
     h = _events(spark, sf_dir).groupBy("event_type", "hour").agg(F.avg("value").alias("v"))
     u, phi = (F.col("hour") - 473300) / 400.0, scalars.turns_to_radians(F.col("hour") % 24 / 24.0)
     names = ["one", "u", "c", "s", "uc", "us"]
     rows = h.select("event_type", "v", *[t.alias(n) for t, n in zip(fringe.nuisance_terms(u, phi), names)])
     fits = fringe.fit_groups(rows, "event_type", "v", names)
     beta = [F.col("beta")[i] for i in range(6)]
-    at = lambda p: sum(b * t for b, t in zip(beta, fringe.nuisance_terms(F.lit(0.25), F.lit(p))))
-    slope = fringe.fringe_slope(beta, F.lit(0.25), F.lit(1.0))
-    derived = (F.abs(slope - (at(1.0001) - at(0.9999)) / 0.0002) < 1e-5 * (1 + F.abs(slope))).alias("derived")
     left = F.col("v") - sum(b * F.col(n) for b, n in zip(beta, names))
-    both = rows.join(fits.drop("n"), "event_type").groupBy("event_type", "beta").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("v")).alias("vv"), *[F.sum(left * F.col(n)).alias(f"r{i}") for i, n in enumerate(names)])
-    orthogonal = F.greatest(*[F.abs(f"r{i}") for i in range(6)]) < 1e-8 * F.col("vv")
-    return both.select("event_type", "n", orthogonal.alias("orthogonal"), derived)
+    both = rows.join(fits.drop("n"), "event_type").groupBy("event_type", "beta").agg(F.count("*").alias("n"), F.sum(left * left).alias("rss"))
+    return both.select("event_type", "n", F.round("rss", 3).alias("rss"), F.round(fringe.fringe_slope(beta, F.lit(0.25), F.lit(1.0)), 5).alias("slope"))
 
 
 def phase_proxy(spark, sf_dir):
@@ -298,6 +294,14 @@ def _inverse(p):
     return f"(CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {ratio(f'(0.180625::DOUBLE - ({p} - 0.5) * ({p} - 0.5))', draws.MIDDLE)} ELSE sign({p} - 0.5) * CASE WHEN {r} <= 5 THEN {ratio(f'({r} - 1.6)', draws.TAIL)} ELSE {ratio(f'({r} - 5)', draws.FAR)} END END)"
 
 
+#: r1 to r6: rows less what their terms t0, t1, ... explain, one term after another, each less what the ones before explain. A row that is not of the
+#: data takes no part in the sums, so that with v = 0 its end is the fit at its terms, with the other sign.
+_ORTHOGONAL = ", ".join(
+    f"r{j + 1} AS (SELECT event_type, is_row, "
+    + ", ".join(f"{c} - t{j} * sum({c} * t{j}) FILTER (is_row) OVER (PARTITION BY event_type) / sum(t{j} * t{j}) FILTER (is_row) OVER (PARTITION BY event_type) AS {c}" for c in ["v", *[f"t{i}" for i in range(j + 1, 6)]])
+    + f" FROM r{j})"
+    for j in range(6)
+)
 _STAMP = "strftime(make_timestamp({} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
 SQL = {
     "header_feed": f"""WITH l AS (SELECT 1704067200 + s_nationkey * 86400 + (1 - s_nationkey % 2) * 3600 + s_suppkey % 3 * 60 AS m, max(s_suppkey) AS k FROM supplier WHERE s_suppkey % 9 <> 0 AND s_suppkey % 11 <> 0 GROUP BY 1)
@@ -340,7 +344,10 @@ SQL = {
     "array_files": "WITH v AS (SELECT unnest(range(0, len(embedding))) AS i, embedding FROM embeddings) SELECT i, count(*) AS n, round(sum(embedding[i + 1]::DOUBLE), 5) AS total FROM v GROUP BY i",
     "archives": "WITH s AS (SELECT s_suppkey AS k, unnest(range(0, s_suppkey % 3 + 1)) AS i FROM supplier) SELECT k::VARCHAR AS path, 'part' || i || '/' || k || '.txt' AS member, (k + i)::BIGINT AS byte_count FROM s WHERE k + i > 0",
     "controlled_columns": "SELECT o_orderkey AS place, o_custkey AS row_id, c_acctbal FROM orders JOIN customer ON c_custkey = o_custkey",
-    "fringe_fit": f"WITH {_E} SELECT event_type, count(DISTINCT hour) AS n, true AS orthogonal, true AS derived FROM e GROUP BY 1",
+    "fringe_fit": f"""WITH {_E}, h AS (SELECT event_type, hour, avg(value) AS v FROM e GROUP BY 1, 2), b AS (SELECT event_type, v, (hour - 473300) / 400.0::DOUBLE AS u, 2 * pi() * (hour % 24) / 24.0::DOUBLE AS p FROM h),
+ r0 AS (SELECT event_type, true AS is_row, v, 1.0::DOUBLE AS t0, u AS t1, cos(p) AS t2, sin(p) AS t3, u * cos(p) AS t4, u * sin(p) AS t5 FROM b
+        UNION ALL SELECT DISTINCT event_type, false, 0, 0, 0, -sin(1.0::DOUBLE), cos(1.0::DOUBLE), -0.25::DOUBLE * sin(1.0::DOUBLE), 0.25::DOUBLE * cos(1.0::DOUBLE) FROM b),
+ {_ORTHOGONAL} SELECT event_type, count(*) FILTER (is_row) AS n, round(sum(v * v) FILTER (is_row), 3) AS rss, round(-sum(v) FILTER (NOT is_row), 5) AS slope FROM r6 GROUP BY 1""",
     "unix_times": "SELECT event_id, round(epoch_us(ts) / 1e6, 6) AS t, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM events",
     "phase_proxy": """WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderkey % 17 - 8.0::DOUBLE AS c1, o_orderkey % 5 - 2.0::DOUBLE AS r1, o_orderkey % 3 + 1.0::DOUBLE AS s1, o_orderkey % 11 - 5.0::DOUBLE AS c2, o_orderkey % 7 - 3.0::DOUBLE AS r2 FROM orders),
  i AS (SELECT *, (c1 / s1) ** 2 + (c2 / 2) ** 2 AS i, c1 * r1 / s1 ** 2 + c2 * r2 / 4 AS x FROM o), q AS (SELECT o_orderstatus, quantile_cont(i, 0.1) AS q FROM i GROUP BY 1)
