@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import pieces
+from plumbline.operators import fourier, pieces
 
 
 def rank_pvalue(targets: DataFrame, nulls: DataFrame, stat: str = "statistic", by: str = "family") -> DataFrame:
@@ -50,17 +50,20 @@ def permutation_table(spark, blocks: int, draws: int, seed: int) -> DataFrame:
 
 
 def rotations(df: DataFrame, by: list[str], i: str, x: list[str], y: str) -> DataFrame:
-    """by, shift and one total for each x: sum of x[i] * y[(i + shift) mod n] at all shifts, by Fourier transforms, a series a
-    task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(i)
-        f = np.fft.fft(pdf[y].to_numpy(float))
-        out = {b: pdf[b].iloc[0] for b in by} | {"shift": np.arange(len(pdf))}
-        return pd.DataFrame(out | {c: np.fft.ifft(np.conj(np.fft.fft(pdf[c].to_numpy(float))) * f).real for c in x})
-
-    kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
-    return df.groupBy(*by).applyInPandas(run, f"{kinds}, shift long, " + ", ".join(f"`{c}` double" for c in x))
+    """by, shift and one total for each x: sum of x[i] * y[(i + shift) mod n] at all shifts, i being 0 to n - 1, by Fourier transforms, which long
+    series take over many tasks (see fourier.transform). Keys are not null."""
+    keys = {f"__k{j}": b for j, b in enumerate(by)}
+    every = [*x, y]
+    size = F.max(i) + 1
+    rows = df.select(*[F.col(b).alias(k) for k, b in keys.items()], F.col(i).cast("long").alias("i"), F.explode(F.array(*[F.struct(F.lit(j).alias("__c"), F.col(c).cast("double").alias("re")) for j, c in enumerate(every)])).alias("__v")).select(*keys, "i", "__v.*")
+    lengths = df.groupBy(*[F.col(b).alias(k) for k, b in keys.items()]).agg(size.cast("long").alias("n"))
+    most = fourier.longest(lengths)
+    spectra = fourier.transform(rows.join(lengths, list(keys)).withColumn("im", F.lit(0.0)), [*keys, "__c"], most=most)
+    base = spectra.where(F.col("__c") == len(x)).drop("__c").withColumnsRenamed({"re": "br", "im": "bi"})
+    both = spectra.where(F.col("__c") < len(x)).join(base, [*keys, "n", "i"])
+    product = both.select(*keys, "__c", "n", "i", (F.col("re") * F.col("br") + F.col("im") * F.col("bi")).alias("re"), (F.col("re") * F.col("bi") - F.col("im") * F.col("br")).alias("im"))
+    totals = fourier.transform(product, [*keys, "__c"], inverse=True, most=most).groupBy(*keys, "i").agg(*[F.max(F.when(F.col("__c") == j, F.col("re"))).alias(f"__t{j}") for j in range(len(x))])
+    return totals.select(*[F.col(k).alias(b) for k, b in keys.items()], F.col("i").alias("shift"), *[F.col(f"__t{j}").alias(c) for j, c in enumerate(x)])
 
 
 def rotation_null(signals: DataFrame, shifts: DataFrame, grams: DataFrame) -> DataFrame:

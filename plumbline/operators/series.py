@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import fringe, pieces, selection, waves
+from plumbline.operators import fourier, fringe, pieces, selection, waves
 
 
 def project_nuisance(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -74,17 +74,6 @@ def _hann(size: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
 
 
-def _detrend(x: np.ndarray) -> np.ndarray:
-    i = np.arange(len(x))
-    return x - np.polyval(np.polyfit(i, x, 1), i)
-
-
-def _periodogram(x: np.ndarray) -> np.ndarray:
-    p = np.abs(np.fft.rfft(x)) ** 2 / len(x)
-    p[1 : None if len(x) % 2 else -1] *= 2
-    return p
-
-
 def segments(df: DataFrame, by: str, order: str, columns: list[str], most: int, width: float | None = None) -> DataFrame:
     """by, segment, size and one array of each column: the values of half-overlapping segments of each series less its
     least-squares line over the row number. Their size is the greatest power of two up to min(most, n). Rows with a null or NaN
@@ -153,16 +142,16 @@ def greatest_coherence(spectra: DataFrame, by: str) -> DataFrame:
 
 
 def periodogram(df: DataFrame, by: str, order: str, v: str, dt: float = 1.0) -> DataFrame:
-    """by, frequency, density: the one-sided periodogram of each series less its line. One series a task; series under 16 values
-    give no rows."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[v].dropna().to_numpy(float)
-        if len(x) < 16:
-            return pd.DataFrame()
-        return pd.DataFrame({by: pdf[by].iloc[0], "frequency": np.fft.rfftfreq(len(x), dt), "density": _periodogram(_detrend(x)) * dt})
-
-    return df.groupBy(by).applyInPandas(run, f"`{by}` {df.schema[by].dataType.simpleString()}, frequency double, density double")
+    """by, frequency, density: the one-sided periodogram of each series less its line over the row number; series under 16 values
+    give no rows. Rows are numbered in ranges of the order column, a number that tells a series' rows apart, and long series are transformed over many
+    tasks (see fourier.transform)."""
+    rows = fourier.numbered_series(df.select(F.col(by).alias("__by"), F.col(order).alias("__order"), F.col(v).alias("__v")).where("__by IS NOT NULL"), ["__by"], ["__order"], ["__v"], 16)
+    lines = rows.groupBy("__by").agg(F.regr_slope("__v", "i").alias("__a"), F.regr_intercept("__v", "i").alias("__b"))
+    flat = rows.join(lines, "__by").select("__by", "n", "i", (F.col("__v") - F.col("__a") * F.col("i") - F.col("__b")).alias("re"), F.lit(0.0).alias("im"))
+    half = fourier.transform(flat, ["__by"]).where(2 * F.col("i") <= F.col("n"))
+    twice = F.when((F.col("i") > 0) & (2 * F.col("i") < F.col("n")), 2.0).otherwise(1.0)
+    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n") * twice * dt
+    return half.select(F.col("__by").alias(by), (F.col("i") / (F.col("n") * dt)).alias("frequency"), power.alias("density"))
 
 
 def whittle(df: DataFrame, by: str, observed: str = "observed", model: str = "model") -> DataFrame:

@@ -119,7 +119,7 @@ def block_coherence(spark, sf_dir):
 def circular_rotation_null(spark, sf_dir):
     """All circular rotations of the daily click series against views: totals, and the rank p of no rotation. A row a day."""
     pair = _daily_pair(spark, sf_dir, "click", "view")
-    indexed = pieces.numbered(pair.withColumn("g", F.lit(1)), ["g"], ["day"])
+    indexed = pieces.numbered(pair.withColumn("g", F.lit(1)), ["g"], ["day"]).withColumn("i", F.col("i") - 1)
     totals = nulls.rotations(indexed, ["g"], "i", ["x"], "y").select("shift", F.round("x", 6).alias("total"))
     held = totals.where("shift = 0").select(F.col("total").alias("t0"))
     return totals.where("shift > 0").crossJoin(F.broadcast(held)).agg(F.count("*").alias("n"), F.round((1 + F.count_if(F.col("total") >= F.col("t0"))) / (F.count("*") + 1), 9).alias("rank_p"))
