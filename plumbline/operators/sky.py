@@ -18,14 +18,15 @@ H0, OMEGA_M = 70.0, 0.3
 
 def pairs_within(lenses: DataFrame, sources: DataFrame, degrees: float) -> DataFrame:
     """lens, source, ra_l, dec_l, ra_s, dec_s, degrees of all pairs that stand apart, but no more than the angle. lenses: lens, ra, dec;
-    sources: source, ra, dec, in degrees, ra from 0 to 360, |dec| + angle below 85.
+    sources: source, ra, dec, in degrees, ra from 0 to 360, dec from -90 to 90.
 
     Sky cells no smaller than the angle make it an equi-join: a lens looks into the cells around its own, in a ring
-    around the circle. Near the poles cells in ra are wider, by the greatest |dec| that the bound allows."""
+    around the circle, as far in ra as the angle reaches at its declination; a lens from which it reaches a pole looks into whole rings."""
     rings = max(1, math.floor(360 / (1.001 * degrees)))
     wide = 360 / rings
     # how many cells of ra the angle can reach at a declination
-    reach = F.ceil(degrees / F.cos(F.radians(F.least(F.abs("dec") + degrees, F.lit(89.0)))) / wide).cast("int")
+    widest = F.degrees(F.asin(F.least(math.sin(math.radians(min(degrees, 90.0))) / F.cos(F.radians("dec")), F.lit(1.0)))) * 1.000001
+    reach = F.when(F.abs("dec") + degrees < 90, F.least(F.ceil(widest / wide), F.lit(rings))).otherwise(rings).cast("int")
     cell = lambda c: F.floor(F.col(c) / wide).cast("int")
     steps = F.sequence(-reach, reach)
     # a ring that is reached around comes once

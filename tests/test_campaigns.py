@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
-from plumbline.operators import fringe, lens, network, nulls, sealed, series, verdicts
+from plumbline.operators import fringe, lens, network, nulls, sealed, series, sky, verdicts
 from plumbline.sources import text
 
 
@@ -378,3 +378,18 @@ def test_operators_of_many_profiles_are_their_own(spark):
         own = {(r.i, r.j): r.v for r in found if r.name == k}
         assert own == {(r.i, r.j): r.v for r in lens.deprojection_operator(spark, lists[k], 128).collect()} and len(own) == len(lists[k]) ** 2
     assert {r.name for r in found} == {"a", "b"}
+
+
+@pytest.mark.parametrize("degrees", [0.7, 6.0])
+def test_sky_pairs_at_the_poles_are_all_found(spark, degrees):
+    rng = np.random.default_rng(10)
+    dec = np.concatenate([rng.uniform(80, 90, 60), rng.uniform(-90, -84, 60), [90.0, -90.0, 89.99], rng.uniform(-60, 60, 40)])
+    ra = rng.uniform(0, 360, len(dec))
+    ra[:10], dec[:10] = rng.uniform(10, 11, 10), rng.uniform(85, 85.5, 10)  # a crowded cell
+    side = lambda n, pick: spark.createDataFrame([(int(i), float(ra[i]), float(dec[i])) for i in pick], f"{n} int, ra double, dec double")
+    lenses, sources = range(0, len(dec), 2), range(1, len(dec), 2)
+    found = {(r.lens, r.source): r.degrees for r in sky.pairs_within(side("lens", lenses), side("source", sources), degrees).collect()}
+    xyz = np.stack([np.cos(np.radians(dec)) * np.cos(np.radians(ra)), np.cos(np.radians(dec)) * np.sin(np.radians(ra)), np.sin(np.radians(dec))], 1)
+    apart = np.degrees(2 * np.arcsin(np.clip(np.linalg.norm(xyz[:, None] - xyz[None], axis=2) / 2, 0, 1)))
+    want = {(i, j): apart[i, j] for i in lenses for j in sources if 0 < apart[i, j] <= degrees}
+    assert set(found) == set(want) and found == pytest.approx(want, abs=1e-6)

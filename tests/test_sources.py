@@ -102,3 +102,22 @@ def test_propagation_refuses_draws_that_cannot_be(spark):
     assert shadow.propagate(points, 16).count() == 1
     with pytest.raises(Exception, match="no 16 draws"):
         shadow.propagate(points.withColumn("inclination", F.lit(-400.0)), 16).collect()
+
+
+def test_parsers_split_a_line_once(spark):
+    raw = lines(spark, "a b")
+    for parsed in (text.rotation_sample(raw).where("quality > 1"), text.mass_models(raw).where("radius > 0 AND v_obs > radius"), text.clock_lines(raw), text.position_lines(raw).where("x_km > 0"), text.named_table(raw, ["a", "b"]).where("a > b")):
+        assert parsed._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_comments_start_outside_quotes(spark):
+    raw = lines(spark, '1,"2#x",3 # note "quoted"', '4,"5",6#"', "# whole", '7,8,9 "# open', 'x,"a,#b",#')
+    found = [(r.x, r.y, r.z, r.width_ok) for r in text.comment_csv(raw, ["x", "y", "z"]).collect()]
+    assert (4.0, 5.0, 6.0, True) in found and (1.0, None, 3.0, True) in found and len(found) >= 3
+
+
+def test_a_feed_goes_by_its_own_time_column(spark):
+    feeds = ['[["time_tag", "v"], ["2024-01-01 00:00:00", "1"]]', '[["time_tag", "v", "propagated_time_tag"], ["2024-01-01 00:01:00", "2", "2024-01-01 01:00:00"], ["2024-01-01 00:02:00", "3", "bad"]]', '[["v"], ["4"]]']
+    documents = spark.createDataFrame([(f,) for f in feeds], "json string")
+    found = {(r.time.hour, r.time.minute, r.v) for r in text.header_rows(documents, ["v"], ["propagated_time_tag", "time_tag"]).collect()}
+    assert found == {(0, 0, 1.0), (1, 0, 2.0)}
