@@ -20,7 +20,7 @@ SCALE_BOUNDS = (0.1, 10.0)
 INCLINATION_BOUNDS = (5.0, 90.0)
 #: The quantiles that a propagation gives, and the points whose draws a task holds at a time.
 SHARES = (0.025, 0.16, 0.5, 0.84, 0.975)
-POINTS = 16
+POINTS = 4
 
 
 def select_observations(models: DataFrame, sample: DataFrame) -> DataFrame:
@@ -61,7 +61,10 @@ def propagate(points: DataFrame, draws: int = 4096, seed: int = 10, point: Colum
         return scale, disk, bulge, np.sin(np.radians(g.inclination)) / np.sin(np.radians(incline))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_share = (draws - 1) * np.array(SHARES)
+        low, high, part = np.floor(at_share).astype(int), np.ceil(at_share).astype(int), at_share % 1
         for f in frames:
+            found = []
             for _, own in f.groupby("galaxy", sort=False):
                 scale, disk, bulge, tilt = of_galaxy(own.iloc[0])
                 for i in range(0, len(own), POINTS):
@@ -72,8 +75,10 @@ def propagate(points: DataFrame, draws: int = 4096, seed: int = 10, point: Colum
                     column = lambda c: p[c].to_numpy(float)[:, None]  # noqa: B023, E731
                     v = (column("v_obs") + column("v_err") * z) * tilt
                     bar = scale * (square(column("v_gas")) + disk * square(column("v_disk")) + bulge * square(column("v_bulge")))
-                    q = np.quantile(v * v - bar, SHARES, axis=1, overwrite_input=True)
-                    yield pd.DataFrame({"galaxy": p.galaxy, "radius": p.radius} | dict(zip(names, q)))
+                    x = np.sort(v * v - bar, axis=1)  # quicker than selection for some thousand draws
+                    found.append(pd.DataFrame({"galaxy": p.galaxy, "radius": p.radius} | {n: x[:, a] + (x[:, b] - x[:, a]) * w for n, a, b, w in zip(names, low, high, part)}))
+            if found:
+                yield pd.concat(found)
 
     return rows.mapInPandas(run, "galaxy string, radius double, " + ", ".join(f"{n} double" for n in names))
 
