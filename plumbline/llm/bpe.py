@@ -148,7 +148,7 @@ class WithAdded:
 
 
 @functools.cache
-def library_coder(path: str, pattern: str, most: int = 800_000, plain: bool = False) -> Callable[[list[str]], list[bytes]]:
+def library_coder(path: str, pattern: str, most: int = 400_000, plain: bool = False) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian uint16 or uint32 ids (by the vocabulary's size) as the tokenizers library encodes them without
     adding tokens; most: words that the cache holds. The strings of the vocabulary's added tokens get these tokens' ids, as the library
     gives them; with `plain` they are ordinary text, as with its encode_special_tokens."""
