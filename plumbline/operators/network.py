@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import points
+
 
 def segments(days: DataFrame, starts: list[str], durations: list[float]) -> DataFrame:
     """day, block, part, label, start and stop (Unix seconds, stop excluded) for each day: at each "HH:MM" a run of parts of
@@ -43,6 +45,32 @@ def velocity_bank(spark: SparkSession, templates: int, slowest: float, fastest:
     return v.select("template", (flat * F.cos("turn")).alias("x"), (flat * F.sin("turn")).alias("y"), (F.col("speed") * F.col("up")).alias("z"))
 
 
+def sobol_bank(spark: SparkSession, templates: int, slowest: float, fastest: float, seed: int) -> DataFrame:
+    """template, x, y, z: as velocity_bank(), from scrambled Sobol points: a seed gives one bank, whatever the partitions; a prefix of any longer
+    one."""
+    if not 0 < slowest <= fastest:
+        raise ValueError("speeds must be positive and in order")
+    low, span = float(np.log(slowest)), float(np.log(fastest) - np.log(slowest))
+    u = points.sobol(spark.range(templates).withColumnRenamed("id", "template"), "template", ["__a", "__b", "__c"], seed)
+    v = u.select("template", F.exp(low + F.col("__a") * span).alias("speed"), (2 * F.col("__b") - 1).alias("up"), (2 * np.pi * F.col("__c")).alias("turn"))
+    flat = F.col("speed") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("up") * F.col("up")))
+    return v.select("template", (flat * F.cos("turn")).alias("x"), (flat * F.sin("turn")).alias("y"), (F.col("speed") * F.col("up")).alias("z"))
+
+
+def delay_spans(positions: DataFrame, bank: DataFrame) -> DataFrame:
+    """template, nodes, first, last, spread: over all nodes, the least and greatest delay of a plane wave of each velocity against the mean place, and
+    the root of the mean square: what guard a search needs. positions: x, y, z (a row with a null is no node); bank: template, x, y, z, a parameter
+    of the search, which goes to all tasks as one row. Each task sends one row a template. No nodes, no rows."""
+    nodes = positions.select("x", "y", "z").na.drop()
+    centre = nodes.agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    waves = bank.agg(F.array_sort(F.collect_list(F.struct("template", "x", "y", "z"))).alias("waves"))
+    each = nodes.crossJoin(F.broadcast(centre.crossJoin(waves)))  # one row
+    each = each.select(*[(F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"], F.explode("waves").alias("v"))
+    delay = sum(F.col(c) * F.col(f"v.{c}") for c in "xyz") / sum(F.col(f"v.{c}") * F.col(f"v.{c}") for c in "xyz")
+    out = each.select(F.col("v.template").alias("template"), delay.alias("d")).groupBy("template")
+    return out.agg(F.count("*").alias("nodes"), F.min("d").alias("first"), F.max("d").alias("last"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("spread"))
+
+
 def delays(positions: DataFrame, velocities: list[tuple[float, float, float]]) -> DataFrame:
     """node, template, delay: when a plane wave of each velocity (a parameter, templates count from 0) passes each node,
     against the mean place of all nodes. positions: node, x, y, z."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import draws as generator
 from plumbline.functions import scalars
+from plumbline.session import saved
 
 #: Mean, deviation and bounds of the mass-to-light ratios of disk and bulge, and the bounds of the distance's
 #: scale and of the inclination in degrees.
@@ -100,12 +102,83 @@ def accumulate_esd(pairs: DataFrame, edges: list[float], lenses: int | None = No
     return grid.join(sums, ["lens_index", "bin"], "left").select("lens_index", "bin", (F.col("t") / F.col("d")).alias("esd"), (F.col("x") / F.col("d")).alias("cross_esd"), F.coalesce("n", F.lit(0)).alias("pairs"))
 
 
+#: Columns that a row of sums holds, and numbers of a task's strip of the matrix.
+WIDE, HELD = 64, 1 << 24
+
+
+def shrink_vectors(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """i, j, v and shrinkage: the shrunk covariance of all vectors of `size` components (an array column), whatever their number. Vectors of another
+    length, and those with a null or a component that is not finite, are left out; none left: no rows.
+
+    Tasks multiply their batches as matrices, in strips of HELD numbers (a pass over the vectors for each strip: one up to 4,096
+    components), and send WIDE columns a row, which Spark sums with its own aggregation. The driver sees the means and three
+    totals. Passes run when this is called."""
+    finite = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))
+    rows = df.select(F.col(vector).cast("array<double>").alias("x")).where((F.size("x") == size) & F.forall("x", finite))
+    names = [f"c{k}" for k in range(WIDE)]
+    blocks = -(-size // WIDE)
+    schema = "i int, b int, " + ", ".join(f"{c} double" for c in names)
+    sums = [F.sum(c).alias(c) for c in names]
+
+    def frame(i, b: int, values: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame(values, columns=names)
+        out.insert(0, "b", b)
+        out.insert(0, "i", i)
+        return out
+
+    def totals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(blocks * WIDE)
+        n = 0
+        for f in frames:
+            if len(f):
+                held[:size] += np.stack(f.x).sum(0)
+                n += len(f)
+        if n:
+            yield frame(-1, -1, np.r_[n, np.zeros(WIDE - 1)][None])
+            for b, part in enumerate(held.reshape(blocks, WIDE)):
+                yield frame(0, b, part[None])
+
+    found = {r.b: np.array(r[2:]) for r in rows.mapInPandas(totals, schema).groupBy("i", "b").agg(*sums).collect()}
+    n = int(found[-1][0]) if found else 0
+    mean = np.concatenate([found[b] for b in range(blocks)])[:size] / n if n else np.zeros(size)
+
+    def products(low: int, high: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, fourth = np.zeros((high - low, blocks * WIDE)), 0.0
+            for f in frames:
+                if len(f):
+                    x = np.stack(f.x) - mean
+                    held[:, low:size] += x[:, low:high].T @ x[:, low:]
+                    fourth += ((x * x).sum(1) ** 2).sum() if low == 0 else 0.0
+            if low == 0:
+                yield frame(-1, -1, np.r_[fourth, np.zeros(WIDE - 1)][None])
+            for b in range(low // WIDE, blocks):  # cells on and above the diagonal
+                last = min(high, (b + 1) * WIDE)
+                yield frame(np.arange(low, last), b, held[: last - low, b * WIDE : (b + 1) * WIDE])
+
+        return run
+
+    height = max(WIDE, HELD // size // WIDE * WIDE)
+    parts = [rows.mapInPandas(products(low, min(low + height, size)), schema) for low in range(0, size, height)]
+    # both of what follows read these
+    table = saved(functools.reduce(DataFrame.union, parts).groupBy("i", "b").agg(*sums), "moments")
+    cells = table.where("i >= 0").select("i", "b", F.posexplode(F.array(*names)).alias("k", "v"))
+    cells = cells.select("i", (F.col("b") * WIDE + F.col("k")).alias("j"), (F.col("v") / max(n, 1)).alias("v")).where(f"j >= i AND j < {size} AND {n} > 0")
+    trace, square = cells.agg(F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))), F.lit(0.0)), F.coalesce(F.sum(F.col("v") * F.col("v") * F.when(F.col("i") == F.col("j"), 1).otherwise(2)), F.lit(0.0))).first()
+    fourth = (table.where("i = -1").select("c0").first() or [0.0])[0] / max(n, 1)
+    mu = trace / size
+    d2 = (square - size * mu * mu) / size
+    shrinkage = 0.0 if d2 <= 0 else min((fourth - square) / size / n, d2) / d2
+    both = cells.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("c"), "v")
+    return both.select("c.i", "c.j", ((1 - shrinkage) * F.col("v") + F.when(F.col("c.i") == F.col("c.j"), shrinkage * mu).otherwise(0.0)).alias("v"), F.lit(float(shrinkage)).alias("shrinkage"))
+
+
 def ledoit_wolf(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, float]:
     """The shrunk covariance of complete rows and the shrinkage. Moments are Spark sums (a few numbers for each pair of columns,
     columns being few by contract); the formula is solved from them on the driver."""
     p = len(columns)
     if p > 64:
-        raise ValueError("at most 64 columns")
+        raise ValueError("at most 64 columns; shrink_vectors() takes any number")
     rows = df.select(*columns).na.drop()
     n, *means = rows.agg(F.count("*"), *[F.avg(c) for c in columns]).first()
     dev = [F.col(c) - m for c, m in zip(columns, means)]
