@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import points
+from plumbline.functions import scalars
+from plumbline.operators import nulls, points
 
 
 def segments(days: DataFrame, starts: list[str], durations: list[float]) -> DataFrame:
@@ -111,9 +114,10 @@ def inject(values: DataFrame, delay: DataFrame, template: int, centre: float, am
     return values.join(hits, ["node", "k"], "left").withColumn("z", F.col("z") + F.coalesce("__a", F.lit(0.0))).select(*values.columns)
 
 
-def injected_hits(values: DataFrame, delay: DataFrame, weights: DataFrame, trials: DataFrame, cadence: float = 1.0) -> DataFrame:
+def injected_hits(values: DataFrame, delay: DataFrame, weights: DataFrame, trials: DataFrame, cadence: float = 1.0, segment: Callable[[Column], Column] | None = None) -> DataFrame:
     """trial, statistic, centre, template of the best hit when each trial's impulses are added to the values. trials: trial, node,
-    arrival (grid index), amplitude; see inject().
+    arrival (grid index), amplitude; see inject(). segment: the segment of a centre; trials then have a column segment, the same on all rows of a
+    trial, and only its centres are searched.
 
     A score is linear in the values: the surface is made once, and a trial changes only the centres that its impulses count
     for. What it leaves alone cannot win but by the greatest cells of the surface, as many as a trial can change
@@ -126,12 +130,38 @@ def injected_hits(values: DataFrame, delay: DataFrame, weights: DataFrame, trial
     moves = delay.join(weights, "node").select("node", "template", F.explode(F.array(F.struct((-low).alias("s"), (F.col("w") * (1 - (at - low))).alias("c")), F.struct((-low - 1).alias("s"), (F.col("w") * (at - low)).alias("c")))).alias("m"))
     added = struck.join(moves, "node").groupBy("trial", "template", (F.col("k") + F.col("m.s")).alias("centre")).agg(F.sum(F.col("a") * F.col("m.c")).alias("add"))
     changed = base.join(added, ["template", "centre"]).select("trial", "template", "centre", (F.col("score") + F.col("add")).alias("score"))
+    if segment is not None:
+        own = trials.select("trial", "segment").distinct()
+        changed = changed.join(own, "trial").where(segment(F.col("centre")) == F.col("segment")).drop("segment")
     most = 2 * moves.select("node", "template").distinct().count() + 1  # nodes by templates, parameters of the search
-    top = base.orderBy(F.desc(F.abs("score")), "centre", "template").limit(most)
-    left = top.crossJoin(trials.select("trial").distinct()).join(added.select("trial", "template", "centre"), ["trial", "template", "centre"], "left_anti")
+    order = [F.desc(F.abs("score")), "centre", "template"]
+    if segment is None:
+        top = base.orderBy(*order).limit(most).crossJoin(trials.select("trial").distinct())
+    else:
+        ranked = base.withColumn("segment", segment(F.col("centre")))
+        top = ranked.withColumn("__r", F.row_number().over(Window.partitionBy("segment").orderBy(*order))).where(F.col("__r") <= most).join(own, "segment").drop("segment", "__r")
+    left = top.join(added.select("trial", "template", "centre"), ["trial", "template", "centre"], "left_anti")
     return best_hit(changed.unionByName(left.select("trial", "template", "centre", "score")), ("trial",))
 
 
+def power(hits: DataFrame, trials: DataFrame, background: DataFrame, alpha: float, tolerance: float, share: float = 0.8) -> DataFrame:
+    """amplitude, trials, detected, localised, joint, rate, lower and gate: how many trials of each amplitude have a rank p of at most alpha against the
+    statistics of the background, how many a centre within the tolerance of the planted one, how many both, Wilson's lower 95 % end of
+    that share, and whether it reaches `share` for the greatest amplitude (on all rows).
+
+    hits: trial, statistic, centre (see injected_hits()); trials: trial, amplitude, centre, a row each; background: statistic. A trial
+    without a hit is neither detected nor localised; without background nothing is detected."""
+    one = F.lit(0).alias("family")
+    ranked = nulls.rank_pvalue(hits.select("trial", "statistic", F.col("centre").alias("found"), one), background.select("statistic", one))
+    each = trials.select("trial", "amplitude", "centre").join(ranked, "trial", "left")
+    detected = F.coalesce(F.col("p") <= alpha, F.lit(False))
+    localised = F.coalesce(F.abs(F.col("found") - F.col("centre")) <= tolerance, F.lit(False))
+    n = each.groupBy("amplitude").agg(F.count("*").alias("trials"), F.count_if(detected).alias("detected"), F.count_if(localised).alias("localised"), F.count_if(detected & localised).alias("joint"))
+    out = n.withColumn("rate", F.col("joint") / F.col("trials")).withColumn("lower", scalars.wilson_lower(F.col("joint"), F.col("trials")))
+    gate = out.agg((F.max_by("lower", "amplitude") >= share).alias("gate"))
+    return out.crossJoin(F.broadcast(gate))  # one row
+
+
 def covariance_weights(covariance: np.ndarray) -> np.ndarray:
     """C^-1 1 / sqrt(1' C^-1 1), for the few nodes of a network (see ledoit_wolf)."""
     solved = np.linalg.solve(covariance, np.ones(len(covariance)))

@@ -9,8 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
-from plumbline.operators import fringe, lens, network, nulls, pieces, sealed, series, shadow, verdicts
+from plumbline.operators import fringe, lens, network, nulls, pieces, points, sealed, series, shadow, verdicts
 from plumbline.plans.time_series import _E, _SEGMENTS, _events
+from plumbline.session import saved
 
 VELOCITIES = [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 2.0, 1.0), (0.5, 0.5, 0.0), (-1.0, 0.5, 0.0), (2.0, -1.0, 0.5), (-0.5, -0.5, 0.0), (3.0, 1.0, 0.0)]
 BANDS = [0.011, 0.029, 0.0417, 0.083, 0.125, 0.21, 0.33, 0.41]
@@ -204,6 +205,47 @@ def injection_trials(spark, sf_dir):
     return out.select("trial", F.round("statistic", 5).alias("statistic"), "centre", "template")
 
 
+#: Impulses of the power query, and the bank of the delays' query: templates, slowest and fastest speed, seed.
+AMPLITUDES = [10.0, 100.0, 1000.0]
+BANK = (256, 100.0, 600.0, 20260820)
+
+
+def network_power(spark, sf_dir):
+    """A wave of each amplitude at noon of each day, searched for in that day, against the best hits of all days: what is detected, what is found in
+    time, and the gate."""
+    values, delay, weights = _network(spark, sf_dir)
+    means = values.groupBy("node").agg(F.avg("z").alias("m"))
+    values = values.join(F.broadcast(means), "node").select("node", "k", (F.col("z") - F.col("m")).alias("z"))  # a row a node
+    values, delay = saved(values, "values"), saved(delay, "delay")  # each is read many times
+    days = values.select(F.floor(F.col("k") / 24).alias("day")).distinct()
+    impulses = F.posexplode(F.array(*map(F.lit, AMPLITUDES))).alias("a", "amplitude")
+    trials = days.select("day", impulses).select((F.col("day") * 10 + F.col("a")).alias("trial"), "amplitude", (F.col("day") * 24 + 12.0).alias("centre"), F.pmod("day", F.lit(8)).cast("int").alias("template"))
+    arrivals = trials.join(F.broadcast(delay), "template").select("trial", F.floor(F.col("trial") / 10).alias("segment"), "node", (F.col("centre") + F.col("delay")).alias("arrival"), "amplitude")  # nodes by templates
+    day = lambda centre: F.floor(centre / 24)
+    hits = network.injected_hits(values, delay, weights, arrivals, segment=day)
+    scores = network.surface(values, delay, weights).withColumn("day", day(F.col("centre")))
+    exact = F.round("statistic", 6).alias("statistic")
+    background = network.best_hit(scores, ("day",)).select(exact)
+    out = network.power(hits.select("trial", exact, "centre"), trials, background, 0.1, 1.0)
+    return out.select("amplitude", "trials", "detected", "localised", "joint", F.round("rate", 9).alias("rate"), F.round("lower", 9).alias("lower"), "gate")
+
+
+def bank_delays(spark, sf_dir):
+    """Suppliers as nodes: the span of the delays of each velocity of a scrambled Sobol bank."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    places = s.select(F.col("s_acctbal").cast("double").alias("x"), (F.col("s_suppkey") % 97 * 100.0).alias("y"), (F.col("s_nationkey") * 300.0).alias("z"))
+    out = network.delay_spans(places, network.sobol_bank(spark, *BANK))
+    return out.select("template", "nodes", *[F.round(c, 6).alias(c) for c in ("first", "last", "spread")])
+
+
+def shrunk_vectors(spark, sf_dir):
+    """The shrunk covariance of all components of the embeddings."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    size = v.agg(F.max(F.size("embedding"))).first()[0] or 1
+    out = shadow.shrink_vectors(v, "embedding", size)
+    return out.select("i", "j", F.round("v", 8).alias("v"), F.round(F.col("shrinkage") * 1e4, 5).alias("shrinkage_e4"))
+
+
 def guarded_slices(spark, sf_dir):
     """Rows of half-open slices of hours without their guards, by type."""
     h = _hourly(spark, sf_dir)
@@ -307,7 +349,7 @@ def sealed_challenge(spark, sf_dir):
     return sealed.reveal(said, hidden, SEED, hashlib.sha256(bytes.fromhex(SEED)).hexdigest())
 
 
-PLANS = [recoverability_verdict, cardinality_gate, shrunk_covariance, injected_impulse, injection_trials, guarded_slices, block_permutation_null, text_kernels, sealed_plan, sealed_challenge, plane_wave_search, profiled_frequency_scan, nuisance_fit, daily_segments, gps_time_scale, rotation_family_null, family_rank_pvalues, weighted_block_coefficients, allan_deviation, whittle_baseline, periodogram, injection_power, operator_status, input_recoverability, claim_ledger, vector_status, interval_verdicts, winner_tiebreak, scalar_kernels]
+PLANS = [recoverability_verdict, cardinality_gate, shrunk_covariance, injected_impulse, injection_trials, network_power, bank_delays, shrunk_vectors, guarded_slices, block_permutation_null, text_kernels, sealed_plan, sealed_challenge, plane_wave_search, profiled_frequency_scan, nuisance_fit, daily_segments, gps_time_scale, rotation_family_null, family_rank_pvalues, weighted_block_coefficients, allan_deviation, whittle_baseline, periodogram, injection_power, operator_status, input_recoverability, claim_ledger, vector_status, interval_verdicts, winner_tiebreak, scalar_kernels]
 
 _H = f"{_E}, h AS (SELECT event_type, hour - {H0} AS k, avg(value) AS v FROM e GROUP BY ALL)"
 _WAVES = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for i, (x, y, z) in enumerate(VELOCITIES))
@@ -323,8 +365,33 @@ _HIT = """s AS (SELECT a.trial, template, a.k - floor(d)::BIGINT AS centre, w *
 _SEALED = f"""bands AS (SELECT unnest({BANDS[:4]}::DOUBLE[]) AS f, unnest(range(0, 4)) AS i), l AS (SELECT 'band' || i AS label, f AS frequency FROM bands UNION ALL SELECT 'null', NULL), s AS (SELECT unhex('{SEED}') || unhex('00') AS s),
  o AS (SELECT label, frequency, s, row_number() OVER (ORDER BY sha256(s || encode('order:' || label))) - 1 AS i FROM l, s),
  plan AS (SELECT sha256(s || encode('case:' || i))[1:16] AS case_id, label, frequency, CASE WHEN frequency IS NOT NULL THEN 2 * pi() * (('0x' || sha256(s || encode('phase:' || label))[1:16])::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE) END AS phase FROM o)"""
+_MATRIX, _SHIFT = points.scrambled(3, BANK[3])
+_NUMBERS = ", ".join(f"({d}, {j}, {v})" for d in range(3) for j, v in enumerate(_MATRIX[d]))
 
 SQL = {
+    "network_power": f"""WITH {_NET}, z AS (SELECT event_type, k, v - avg(v) OVER (PARTITION BY event_type) AS v FROM h), days AS (SELECT DISTINCT floor(k / 24)::BIGINT AS day FROM h),
+ t AS (SELECT day * 10 + a AS trial, (day % 8 + 8) % 8 AS template, day * 24 + 12 AS c, amplitude FROM days, (VALUES {", ".join(f"({i}, {a}::DOUBLE)" for i, a in enumerate(AMPLITUDES))}) q(a, amplitude)),
+ hits AS (SELECT trial, node, ceil(c + d - 0.5)::BIGINT AS k, amplitude AS a FROM t JOIN d USING (template)), every AS (SELECT trial FROM t UNION ALL SELECT NULL::BIGINT),
+ v AS (SELECT coalesce(every.trial, -99999) AS trial, event_type AS node, z.k, v + coalesce(a, 0) AS v FROM z CROSS JOIN every LEFT JOIN hits ON node = event_type AND hits.k = z.k AND hits.trial = every.trial),
+ {_HIT.format(score="abs(score)")}, best AS (SELECT trial, arg_min(centre, ROW(-abs(score), centre, template)) AS centre, max(abs(score)) AS score FROM g WHERE floor(centre / 24) = floor(trial / 10) GROUP BY 1), null_days AS (SELECT floor(centre / 24) AS day, round(max(abs(score)), 6) AS s FROM g WHERE trial = -99999 GROUP BY 1),
+ j AS (SELECT amplitude, (1 + (SELECT count(*) FROM null_days WHERE s >= round(abs(score), 6))) / ((SELECT count(*) FROM null_days) + 1)::DOUBLE <= 0.1 AS hit, abs(centre - c) <= 1 AS near FROM t LEFT JOIN best USING (trial)),
+ o AS (SELECT amplitude, count(*) AS trials, count(*) FILTER (hit) AS detected, count(*) FILTER (near) AS localised, count(*) FILTER (hit AND near) AS joint FROM j GROUP BY 1),
+ w AS (SELECT *, joint / trials AS p, 1.959963984540054::DOUBLE AS q FROM o), l AS (SELECT *, greatest(0, (p + q * q / (2 * trials) - q * sqrt(p * (1 - p) / trials + q * q / (4 * trials * trials))) / (1 + q * q / trials)) AS lower FROM w)
+ SELECT amplitude, trials, detected, localised, joint, round(p, 9) AS rate, round(lower, 9) AS lower, (SELECT max_by(lower, amplitude) >= 0.8 FROM l) AS gate FROM l""",
+    "bank_delays": f"""WITH m(d, j, v) AS (VALUES {_NUMBERS}), t AS (SELECT unnest(range(0, {BANK[0]})) AS template), s(d, shift) AS (VALUES {", ".join(f"({d}, {v})" for d, v in enumerate(_SHIFT))}),
+ g AS (SELECT template, d, bit_xor(CASE WHEN (xor(template, template >> 1) >> j) & 1 = 1 THEN v ELSE 0 END) AS x FROM t, m GROUP BY ALL),
+ u AS (SELECT template, max(xor(x::BIGINT, shift::BIGINT) / 1073741824.0::DOUBLE) FILTER (g.d = 0) AS a, max(xor(x::BIGINT, shift::BIGINT) / 1073741824.0::DOUBLE) FILTER (g.d = 1) AS b, max(xor(x::BIGINT, shift::BIGINT) / 1073741824.0::DOUBLE) FILTER (g.d = 2) AS c FROM g JOIN s USING (d) GROUP BY 1),
+ w AS (SELECT template, exp(ln({BANK[1]}::DOUBLE) + a * (ln({BANK[2]}::DOUBLE) - ln({BANK[1]}::DOUBLE))) AS speed, 2 * b - 1 AS up, 2 * pi() * c AS turn FROM u),
+ b AS (SELECT template, speed * sqrt(greatest(0, 1 - up * up)) * cos(turn) AS vx, speed * sqrt(greatest(0, 1 - up * up)) * sin(turn) AS vy, speed * up AS vz FROM w),
+ p AS (SELECT s_acctbal::DOUBLE AS x, s_suppkey % 97 * 100.0::DOUBLE AS y, s_nationkey * 300.0::DOUBLE AS z FROM supplier), f AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL),
+ o AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM f), e AS (SELECT template, ((x - mx) * vx + (y - my) * vy + (z - mz) * vz) / (vx * vx + vy * vy + vz * vz) AS d FROM f, o, b)
+ SELECT template::BIGINT AS template, count(*) AS nodes, round(min(d), 6) AS first, round(max(d), 6) AS last, round(sqrt(avg(d * d)), 6) AS spread FROM e GROUP BY 1""",
+    "shrunk_vectors": """WITH v AS (SELECT row_number() OVER () AS r, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = (SELECT max(len(embedding)) FROM embeddings) AND len(list_filter(embedding, lambda q: q IS NOT NULL AND isfinite(q))) = len(embedding)),
+ a AS (SELECT r, unnest(range(0, len(e))) AS i, unnest(e) AS x FROM v), m AS (SELECT i, avg(x) AS m FROM a GROUP BY 1), x AS (SELECT r, i, x - m AS x FROM a JOIN m USING (i)),
+ c AS (SELECT l.i AS i, r.i AS j, avg(l.x * r.x) AS v FROM x l JOIN x r USING (r) GROUP BY 1, 2), q AS (SELECT avg(s * s) AS fourth, count(*) AS n FROM (SELECT r, sum(x * x) AS s FROM x GROUP BY 1)),
+ k AS (SELECT sum(v * v) AS square, sum(v) FILTER (i = j) / count(*) FILTER (i = j) AS mu, count(*) FILTER (i = j) AS p FROM c), d AS (SELECT mu, (square - p * mu * mu) / p AS d2, (fourth - square) / p / n AS b2 FROM k, q),
+ s AS (SELECT mu, CASE WHEN d2 <= 0 THEN 0 ELSE least(b2, d2) / d2 END AS k FROM d)
+ SELECT i::INTEGER AS i, j::INTEGER AS j, round((1 - k) * v + CASE WHEN i = j THEN k * mu ELSE 0 END, 8) AS v, round(k * 1e4, 5) AS shrinkage_e4 FROM c, s""",
     "recoverability_verdict": """SELECT 'all' AS inputs, true AS all_verified, count(*) AS n, sum(s_suppkey * 10)::BIGINT AS expected_bytes, 'READY_ALL_INPUTS_VERIFIED' AS verdict FROM supplier
  UNION ALL SELECT 'one gone', count(*) FILTER (s_suppkey % 90 = 0) = 0, count(*), sum(s_suppkey * 10)::BIGINT, CASE WHEN count(*) FILTER (s_suppkey % 90 = 0) = 0 THEN 'READY_ALL_INPUTS_VERIFIED' ELSE 'NOT_READY_INPUT_FAILED_OR_DRIFTED' END FROM supplier""",
     "cardinality_gate": "SELECT o_custkey, count(*) AS n, CASE WHEN count(*) >= 12 THEN 'ESTIMABLE' ELSE 'NOT_ESTIMABLE' END AS status FROM orders GROUP BY 1",

@@ -84,3 +84,32 @@ def test_long_vectors_shrink_in_strips(spark, monkeypatch, size, held):
     m[got.i, got.j] = got.v
     assert len(got) == size * size and np.allclose(m, want, rtol=1e-10, atol=1e-12) and got.shrinkage[0] == pytest.approx(shrinkage, rel=1e-10)
     assert shadow.shrink_vectors(df.where(F.lit(False)), "e", size).count() == 0
+
+
+def test_power_counts_what_is_detected_and_found_in_time(spark):
+    trials = spark.createDataFrame([(t, a, 10.0 * t) for a, ts in ((1.0, range(0, 10)), (9.0, range(10, 110))) for t in ts], "trial int, amplitude double, centre double")
+    # amplitude 1: one is only detected, one only found, one both, one has no hit; amplitude 9: all but five are both
+    seen = {0: (9.0, 99.0), 1: (0.5, 11.0), 2: (9.0, 19.0)} | {t: (0.5, 0.0) for t in range(3, 9)} | {t: (9.0, 10.0 * t if t >= 15 else -5.0) for t in range(10, 110)}
+    hits = spark.createDataFrame([(t, *v) for t, v in seen.items()], "trial int, statistic double, centre double")
+    background = spark.createDataFrame([(float(x),) for x in range(20)], "statistic double").where("statistic < 9").unionByName(spark.range(11).selectExpr("0D AS statistic"))
+    got = {r.amplitude: r for r in network.power(hits, trials, background, 0.05, 1.0).collect()}
+    assert tuple(got[1.0])[1:5] == (10, 2, 2, 1) and tuple(got[9.0])[1:5] == (100, 100, 95, 95)
+    assert got[9.0].rate == 0.95 and got[9.0].lower == pytest.approx(0.8882, abs=1e-4) and got[1.0].gate and got[9.0].gate
+    assert not network.power(hits.where("trial < 80"), trials, background, 0.05, 1.0).first().gate
+    assert {r.detected for r in network.power(hits, trials, background.where("statistic < 0"), 0.05, 1.0).collect()} == {0}
+
+
+def test_hits_of_trials_in_their_own_segments(spark):
+    rng = np.random.default_rng(4)
+    values = spark.createDataFrame([(n, k, float(rng.normal())) for n in "ab" for k in range(60)], "node string, k long, z double")
+    delays = spark.createDataFrame([(n, t, d) for t, (x, y) in enumerate([(0.3, -0.3), (1.5, -1.5)]) for n, d in (("a", x), ("b", y))], "node string, template int, delay double")
+    weights = spark.createDataFrame([("a", 0.6), ("b", 0.4)], "node string, w double")
+    planted = [(t, n, 10.0 * t + 5, a) for t, a in enumerate((0.0, 0.5, 4.0, 40.0, 1.0, 2.0)) for n in "ab"]
+    trials = spark.createDataFrame([(t, n, at, a, t) for t, n, at, a in planted], "trial int, node string, arrival double, amplitude double, segment long")
+    part = lambda c: F.floor(c / 10)
+    got = {r.trial: r for r in network.injected_hits(values, delays, weights, trials, segment=part).collect()}
+    for t in range(6):
+        struck = spark.createDataFrame([(n, int(at), a) for k, n, at, a in planted if k == t], "node string, k long, a double")
+        loud = values.join(struck, ["node", "k"], "left").select("node", "k", (F.col("z") + F.coalesce("a", F.lit(0.0))).alias("z"))
+        want = network.best_hit(network.surface(loud, delays, weights).where(part(F.col("centre")) == t)).first()
+        assert (round(got[t].statistic, 9), got[t].centre, got[t].template) == (round(want.statistic, 9), want.centre, want.template)
