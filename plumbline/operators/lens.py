@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import definite
+
 #: Physical constants, fixed values: SI gravity, a solar mass in kg, kpc and Mpc in m, and gravity in Mpc (km/s)^2 / solar mass.
 G_SI = 6.67430e-11
 SOLAR_MASS_KG = 1.98847e30
@@ -162,11 +164,16 @@ def operator_status(df: DataFrame, multiplier: float = 1.96) -> DataFrame:
     return out.withColumn("status", status)
 
 
+#: Rows of a matrix whose eigenvalues one task finds.
+ONE_TASK = 2048
+
+
 def covariance_checks(c: DataFrame, tolerance: float = 1e-10) -> DataFrame:
     """One row on a covariance (i, j, v): size, cells, missing, asymmetric (pairs that differ by more), diagonal_bad (not above
     0), max_correlation off the diagonal, and positive_definite, least_eigenvalue and condition of the whole matrix (null where
     cells are missing, doubled or no numbers, or it is not symmetric). The transpose comes by an equi-join; eigenvalues by numpy
-    in one task, so a size over 2048 is an error."""
+    in one task up to ONE_TASK rows, above that in blocks over all tasks when this is called (see definite.judge)."""
+    rows = c.select("i").distinct().count()
     other = c.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").alias("__t"))
     diagonal = c.where("i = j").select("i", F.col("v").alias("d"))
     both = c.join(other, ["i", "j"], "left").join(diagonal, "i", "left").join(diagonal.select(F.col("i").alias("j"), F.col("d").alias("e")), "j", "left")
@@ -185,15 +192,18 @@ def covariance_checks(c: DataFrame, tolerance: float = 1e-10) -> DataFrame:
         held = pd.concat([pd.DataFrame({"i": [], "j": [], "v": []}), *batches])
         names = np.unique(held.i)
         n = len(names)
-        if n > 2048:
-            raise ValueError("at most 2048 rows and columns")
         m = np.full((n, n), np.nan)
         m[np.searchsorted(names, held.i), np.searchsorted(names, held.j)] = held.v
         fine = n > 0 and len(held) == n * n and np.isfinite(m).all() and np.abs(m - m.T).max() <= tolerance
         low, high = np.linalg.eigvalsh(m)[[0, -1]] if fine else (None, None)
         yield pd.DataFrame({"positive_definite": [bool(low > 0) if fine else None], "least_eigenvalue": [low], "condition": [high / low if fine and low > 0 else None]})
 
-    values = c.select("i", "j", F.col("v").cast("double").alias("v")).repartition(1).mapInPandas(eigen, "positive_definite boolean, least_eigenvalue double, condition double")
+    kinds = "positive_definite boolean, least_eigenvalue double, condition double"
+    if rows > ONE_TASK:
+        found = definite.judge(c, rows) if shape.first().asymmetric == 0 else (None, None, None)
+        values = c.sparkSession.createDataFrame([found], kinds)
+    else:
+        values = c.select("i", "j", F.col("v").cast("double").alias("v")).repartition(1).mapInPandas(eigen, kinds)
     return shape.crossJoin(F.broadcast(values))  # one row
 
 
