@@ -90,7 +90,7 @@ def _product(a: DataFrame, x: np.ndarray, block: int) -> np.ndarray:
     return y
 
 
-def extremes(a: DataFrame, size: int, count: int, block: int, tolerance: float = 1e-9, steps: int = STEPS) -> tuple[float, float] | None:
+def extremes(a: DataFrame, size: int, count: int, block: int, tolerance: float = 1e-7, steps: int = STEPS) -> tuple[float, float] | None:
     """The least and greatest eigenvalue by Lanczos' steps with full orthogonalisation, each a product over all tasks, until both are settled: an
     eigenvalue lies within tolerance times the greatest size of each. None if they are not settled after `steps`."""
     x = np.zeros(count * block)

@@ -34,9 +34,39 @@ def test_missing_doubled_and_odd_cells_have_no_judgement(spark):
 
 
 def test_five_thousand_rows(spark):
-    """The correlations 2^-|i - j| of an autoregression, whose eigenvalues lie between 1/3 and 3."""
+    """A diagonal from 1 to 2 with one value below and one above it, and correlations that fall off beside it."""
     n = 5000
-    c = spark.range(0, n * n, 1, 8).select((F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j")).withColumn("v", F.pow(F.lit(0.5), F.abs(F.col("i") - F.col("j"))))
-    r = lens.covariance_checks(c).first()
-    assert (r.size, r.missing, r.asymmetric, r.positive_definite) == (n, 0, 0, True)
-    assert r.least_eigenvalue == pytest.approx(1 / 3, rel=1e-3) and r.condition == pytest.approx(9, rel=1e-3)
+    d = 1 + np.arange(n) / n
+    d[1234], d[4321] = 0.25, 8.0
+    m = np.diag(d)
+    for k in range(1, 30):
+        m += 0.01 * (np.diag(np.full(n - k, 0.5**k), k) + np.diag(np.full(n - k, 0.5**k), -k))
+    at = F.when(F.col("i") == 1234, 0.25).when(F.col("i") == 4321, 8.0).otherwise(1 + F.col("i") / n)
+    away = F.abs(F.col("i") - F.col("j"))
+    c = spark.range(0, n * n, 1, 8).select((F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j"))
+    c = c.withColumn("v", F.when(away == 0, at).when(away < 30, 0.01 * F.pow(F.lit(0.5), away)).otherwise(0.0))
+    good, low, condition = definite.judge(c, n)
+    v = np.zeros(n)  # inverse iteration beside the least value
+    v[1234] = 1.0
+    for _ in range(4):
+        v = np.linalg.solve(m - 0.2 * np.eye(n), v)
+        v /= np.linalg.norm(v)
+    w = np.zeros(n)
+    w[4321] = 1.0
+    for _ in range(60):
+        w = m @ w
+        w /= np.linalg.norm(w)
+    assert good and low == pytest.approx(v @ m @ v, rel=1e-6) and condition == pytest.approx((w @ m @ w) / (v @ m @ v), rel=1e-6)
+
+
+def test_checks_pass_to_blocks_above_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(lens, "ONE_TASK", 10)
+    x = np.random.default_rng(5).normal(size=(12, 40))
+    m = x @ x.T
+    want = np.linalg.eigvalsh(m)
+    r = lens.covariance_checks(cells(spark, m)).first()
+    assert (r.size, r.missing, r.asymmetric, r.positive_definite) == (12, 0, 0, True)
+    assert r.least_eigenvalue == pytest.approx(want[0], rel=1e-6) and r.condition == pytest.approx(want[-1] / want[0], rel=1e-6)
+    m[3, 4] += 1
+    r = lens.covariance_checks(cells(spark, m)).first()
+    assert (r.asymmetric, r.positive_definite, r.condition) == (2, None, None)
