@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
 from plumbline.operators import nulls, points
+from plumbline.session import saved
 
 
 def segments(days: DataFrame, starts: list[str], durations: list[float]) -> DataFrame:
@@ -117,7 +118,7 @@ def inject(values: DataFrame, delay: DataFrame, template: int, centre: float, am
 def injected_hits(values: DataFrame, delay: DataFrame, weights: DataFrame, trials: DataFrame, cadence: float = 1.0, segment: Callable[[Column], Column] | None = None) -> DataFrame:
     """trial, statistic, centre, template of the best hit when each trial's impulses are added to the values. trials: trial, node,
     arrival (grid index), amplitude; see inject(). segment: the segment of a centre; trials then have a column segment, the same on all rows of a
-    trial, and only its centres are searched.
+    trial, and only its centres are searched; the surface is then written when this is called.
 
     A score is linear in the values: the surface is made once, and a trial changes only the centres that its impulses count
     for. What it leaves alone cannot win but by the greatest cells of the surface, as many as a trial can change
@@ -129,6 +130,8 @@ def injected_hits(values: DataFrame, delay: DataFrame, weights: DataFrame, trial
     low = F.floor(at).cast("long")
     moves = delay.join(weights, "node").select("node", "template", F.explode(F.array(F.struct((-low).alias("s"), (F.col("w") * (1 - (at - low))).alias("c")), F.struct((-low - 1).alias("s"), (F.col("w") * (at - low)).alias("c")))).alias("m"))
     added = struck.join(moves, "node").groupBy("trial", "template", (F.col("k") + F.col("m.s")).alias("centre")).agg(F.sum(F.col("a") * F.col("m.c")).alias("add"))
+    if segment is not None:
+        base, added = saved(base, "surface"), saved(added, "added")  # both of what follows read them
     changed = base.join(added, ["template", "centre"]).select("trial", "template", "centre", (F.col("score") + F.col("add")).alias("score"))
     if segment is not None:
         own = trials.select("trial", "segment").distinct()
