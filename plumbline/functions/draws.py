@@ -30,19 +30,33 @@ _HALF = np.uint64(32)
 
 
 def philox(counter: tuple, key: tuple[int, int]) -> list[np.ndarray]:
-    """Four words of 32 bits (in uint64) for each counter: four integers or arrays below 2^32 that broadcast."""
-    a, b, c, d = (np.asarray(x, np.uint64) for x in np.broadcast_arrays(*(np.asarray(x, np.uint64) for x in counter)))
+    """Four words of 32 bits (in uint64) for each counter: four integers or arrays below 2^32 that broadcast. They are broadcast as late as the
+    rounds mix them."""
+    a, b, c, d = (np.asarray(x, np.uint64) for x in counter)
     k0, k1 = key
+
+    def mixed(product: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
+        out = (product >> _HALF) ^ (low ^ np.uint64(k) if low.size < product.size else low)
+        if low.size >= product.size:
+            out ^= np.uint64(k)
+        return out
+
     for _ in range(ROUNDS):
         p, q = a * np.uint64(MULTIPLIERS[0]), c * np.uint64(MULTIPLIERS[1])
-        a, b, c, d = (q >> _HALF) ^ b ^ np.uint64(k0), q & _WORD, (p >> _HALF) ^ d ^ np.uint64(k1), p & _WORD
+        a, c = mixed(q, b, k0), mixed(p, d, k1)
+        b, d = q & _WORD, p & _WORD
         k0, k1 = (k0 + STEPS[0]) & 0xFFFFFFFF, (k1 + STEPS[1]) & 0xFFFFFFFF
-    return [a, b, c, d]
+    return list(np.broadcast_arrays(a, b, c, d))
 
 
 def uniform(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """A number in (0, 1) from two words."""
-    return ((high >> np.uint64(5)).astype(float) * 67108864.0 + (low >> np.uint64(6)).astype(float) + 0.5) / 9007199254740992.0
+    """A number in (0, 1) from two words: 53 bits and a half."""
+    bits = (high >> np.uint64(5)) << np.uint64(26)
+    bits |= low >> np.uint64(6)
+    out = bits.view(np.int64).astype(float)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 def normal_pair(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +69,15 @@ def normal_inverse(p: np.ndarray) -> np.ndarray:
     """The normal number with probability p (in (0, 1)) below it."""
     ratio = lambda r, table: np.polyval(table[0][::-1], r) / np.polyval(table[1][::-1], r)
     q = p - 0.5
-    r = np.sqrt(-np.log(np.minimum(p, 1 - p)))
-    outer = np.where(r <= 5, ratio(r - 1.6, TAIL), ratio(r - 5, FAR))
-    return np.where(np.abs(q) <= 0.425, q * ratio(0.180625 - q * q, MIDDLE), np.copysign(outer, q))
+    out = q * ratio(0.180625 - q * q, MIDDLE)
+    outside = np.abs(q) > 0.425
+    far = p[outside]
+    r = np.sqrt(-np.log(np.minimum(far, 1 - far)))
+    tail = ratio(r - 1.6, TAIL)
+    beyond = r > 5
+    tail[beyond] = ratio(r[beyond] - 5, FAR)
+    out[outside] = np.copysign(tail, q[outside])
+    return out
 
 
 def normal_share(x: float) -> float:

@@ -20,9 +20,12 @@ DISK = (0.5, 0.1, 0.05, 2.0)
 BULGE = (0.7, 0.15, 0.05, 2.0)
 SCALE_BOUNDS = (0.1, 10.0)
 INCLINATION_BOUNDS = (5.0, 90.0)
-#: The quantiles that a propagation gives, and the points whose draws a task holds at a time.
+#: The quantiles that a propagation gives, the points whose draws a task holds at a time, the parts that a galaxy's points are dealt into, and
+#: how many partitions a core gets.
 SHARES = (0.025, 0.16, 0.5, 0.84, 0.975)
-POINTS = 4
+POINTS = 8
+PARTS = 8
+WAVES = 4
 
 
 def select_observations(models: DataFrame, sample: DataFrame) -> DataFrame:
@@ -44,43 +47,60 @@ def propagate(points: DataFrame, draws: int = 4096, seed: int = 10, point: Colum
     mass-to-light (one a galaxy) and speed (one a point). Truncated normals; an error where their bounds leave nothing.
 
     Draws come from counters: the key is seed and the first 32 bits of the name's MD5, the counter (draw, stream, point), so that rows
-    are independent, in whatever task: no group is gathered, and nothing is shuffled. point: an integer that tells a
-    galaxy's points apart (none: a hash of the radius); points alike in it draw alike. A task holds some points' draws at a time.
-    A galaxy's own draws are made once a batch."""
+    are independent, in whatever task. point: an integer that tells a galaxy's points apart (none: a hash of the radius); points alike in it
+    draw alike. A galaxy's own draws are made once for each run of its rows, so rows are dealt by galaxy and part of its points, and put in order
+    there: a few numbers a point are shuffled, all cores draw however few files the points come from, and a galaxy of many points is PARTS tasks'
+    work. A task holds some points' draws at a time."""
     names = ["q025", "q16", "q50", "q84", "q975"]
     number = (point if point is not None else F.xxhash64("radius")).cast("long")
     key = F.conv(F.substring(F.md5(F.col("galaxy").cast("binary")), 1, 8), 16, 10).cast("long")
+    own = ["key", "distance", "distance_error", "inclination", "inclination_error"]
     rows = points.select("galaxy", "radius", key.alias("key"), number.alias("point"), "distance", "distance_error", "inclination", "inclination_error", "v_obs", "v_err", "v_gas", "v_disk", "v_bulge")
+    spark = points.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), WAVES * spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks, "galaxy", F.pmod(F.xxhash64("point"), F.lit(PARTS))).sortWithinPartitions("galaxy", *own)
     square = lambda v: v * np.abs(v)
 
-    def of_galaxy(g) -> tuple[np.ndarray, ...]:
+    def of_galaxy(name: int, distance: float, distance_error: float, inclination: float, inclination_error: float) -> tuple[np.ndarray, ...]:
         """Scale, disk, bulge and what the inclination does to a speed, for each draw."""
-        first, second = (generator.philox((np.arange(draws), stream, 0, 0), (seed, int(g.key))) for stream in (0, 1))
+        first, second = (generator.philox((np.arange(draws), stream, 0, 0), (seed, int(name))) for stream in (0, 1))
         u = [generator.uniform(w[i], w[i + 1]) for w in (first, second) for i in (0, 2)]
-        scale = generator.truncated_normal(u[0], 1.0, g.distance_error / g.distance, *SCALE_BOUNDS)
-        incline = generator.truncated_normal(u[1], g.inclination, g.inclination_error, *INCLINATION_BOUNDS)
+        scale = generator.truncated_normal(u[0], 1.0, distance_error / distance, *SCALE_BOUNDS)
+        incline = generator.truncated_normal(u[1], inclination, inclination_error, *INCLINATION_BOUNDS)
         disk, bulge = generator.truncated_normal(u[2], *DISK), generator.truncated_normal(u[3], *BULGE)
-        return scale, disk, bulge, np.sin(np.radians(g.inclination)) / np.sin(np.radians(incline))
+        return scale, scale * disk, scale * bulge, np.sin(np.radians(inclination)) / np.sin(np.radians(incline))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at_share = (draws - 1) * np.array(SHARES)
         low, high, part = np.floor(at_share).astype(int), np.ceil(at_share).astype(int), at_share % 1
+        counters = np.arange(-(-draws // 2))[None]
+        last = None
         for f in frames:
-            found = []
-            for _, own in f.groupby("galaxy", sort=False):
-                scale, disk, bulge, tilt = of_galaxy(own.iloc[0])
-                for i in range(0, len(own), POINTS):
-                    p = own.iloc[i : i + POINTS]
-                    at = p.point.to_numpy(np.int64).view(np.uint64)[:, None]
-                    pair = generator.philox((np.arange(-(-draws // 2))[None], 2, at & np.uint64(0xFFFFFFFF), at >> np.uint64(32)), (seed, int(p.key.iloc[0])))
-                    z = np.stack(generator.normal_pair(pair), 2).reshape(len(p), -1)[:, :draws]
-                    column = lambda c: p[c].to_numpy(float)[:, None]  # noqa: B023, E731
-                    v = (column("v_obs") + column("v_err") * z) * tilt
-                    bar = scale * (square(column("v_gas")) + disk * square(column("v_disk")) + bulge * square(column("v_bulge")))
-                    x = np.sort(v * v - bar, axis=1)  # quicker than selection for some thousand draws
-                    found.append(pd.DataFrame({"galaxy": p.galaxy, "radius": p.radius} | {n: x[:, a] + (x[:, b] - x[:, a]) * w for n, a, b, w in zip(names, low, high, part)}))
-            if found:
-                yield pd.concat(found)
+            if not len(f):
+                continue
+            of = f[own].to_numpy(float, na_value=np.nan)
+            keys, at = f.key.to_numpy(np.int64), f.point.to_numpy(np.int64).view(np.uint64)[:, None]
+            speed, error = (f[c].to_numpy(float)[:, None] for c in ("v_obs", "v_err"))
+            gas, disk, bulge = (square(f[c].to_numpy(float)[:, None]) for c in ("v_gas", "v_disk", "v_bulge"))
+            found = np.empty((len(f), len(names)))
+            starts = np.r_[0, np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1, len(f)]
+            for a, b in zip(starts[:-1], starts[1:]):
+                if last is None or not np.array_equal(last[0], of[a]):
+                    last = of[a].copy(), of_galaxy(keys[a], *of[a, 1:])
+                scale, scaled_disk, scaled_bulge, tilt = last[1]
+                for i in range(a, b, POINTS):
+                    p = slice(i, min(i + POINTS, b))
+                    pair = generator.philox((counters, 2, at[p] & np.uint64(0xFFFFFFFF), at[p] >> np.uint64(32)), (seed, int(keys[a])))
+                    z = np.stack(generator.normal_pair(pair), 2).reshape(len(at[p]), -1)[:, :draws]
+                    x = z * error[p]
+                    x += speed[p]
+                    x *= tilt
+                    x *= x
+                    for ours, theirs in ((scale, gas), (scaled_disk, disk), (scaled_bulge, bulge)):
+                        x -= ours * theirs[p]
+                    x.sort(axis=1)  # quicker than selection for some thousand draws
+                    found[p] = x[:, low] + (x[:, high] - x[:, low]) * part
+            yield pd.DataFrame({"galaxy": f.galaxy, "radius": f.radius} | dict(zip(names, found.T)))
 
     return rows.mapInPandas(run, "galaxy string, radius double, " + ", ".join(f"{n} double" for n in names))
 

@@ -40,3 +40,14 @@ def test_propagation_is_the_same_in_any_partitions(spark):
     other = sorted(map(tuple, shadow.propagate(points, 301, point=F.col("radius") + 1).collect()))
     assert other != one and [r[:2] for r in other] == [r[:2] for r in one]
     assert all(np.all(np.diff(r[2:]) > 0) for r in one)
+
+
+def test_propagation_uses_all_cores_and_draws_a_galaxy_once_for_its_rows(spark):
+    columns = "galaxy string, radius double, distance double, distance_error double, inclination double, inclination_error double, v_obs double, v_err double, v_gas double, v_disk double, v_bulge double"
+    rows = [(f"G{i % 3}", float(i), 10.0, 0.5, 60.0 + i % 3, 2.0, 100.0 + i, 5.0, 20.0, 50.0, 1.0) for i in range(240)]
+    points = spark.createDataFrame(rows, columns).coalesce(1)  # one file's rows
+    out = shadow.propagate(points, 16)
+    assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    used = out.select("galaxy", F.spark_partition_id().alias("part")).distinct().collect()
+    assert len({r.part for r in used}) > 4  # three galaxies keep more than three tasks busy
+    assert len(used) <= 3 * shadow.PARTS  # and each is drawn for a few of them, whatever its rows' order
