@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import draws, scalars
 from plumbline.operators import fringe, joins, shadow
 from plumbline.plans.time_series import _E, _events
+from plumbline.session import spread
 from plumbline.sources import files, text
 
 
@@ -175,12 +176,13 @@ def array_files(spark, sf_dir):
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column("embedding").to_pylist():
-                held = io.BytesIO()
-                np.save(held, np.array(v or [], np.float64))
-                out.append(held.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+            yield from files.in_bytes(zip(batch.column("path").to_pylist(), packed(batch.column("embedding"))))
+
+    def packed(vectors: pa.Array) -> Iterator[bytes]:
+        for v in vectors:
+            held = io.BytesIO()
+            np.save(held, np.array(v.as_py() or [], np.float64))
+            yield held.getvalue()
 
     made = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), "embedding").mapInArrow(pack, "path string, content binary")
     return files.array_values(made).groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"))
@@ -191,24 +193,25 @@ def archives(spark, sf_dir):
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k in batch.column("k").to_pylist():
-                held = io.BytesIO()
-                with tarfile.open(fileobj=held, mode="w") as archive:
-                    for i in range(k % 3 + 1):
-                        info = tarfile.TarInfo(f"part{i}/{k}.txt")
-                        info.size = k + i
-                        archive.addfile(info, io.BytesIO(b"x" * (k + i)))
-                    archive.addfile(tarfile.TarInfo("link") if k % 2 else _folder())
-                out.append(held.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+            yield from files.in_bytes(zip(batch.column("path").to_pylist(), packed(batch.column("k").to_pylist())))
+
+    def packed(keys: list[int]) -> Iterator[bytes]:
+        for k in keys:
+            held = io.BytesIO()
+            with tarfile.open(fileobj=held, mode="w") as archive:
+                for i in range(k % 3 + 1):
+                    info = tarfile.TarInfo(f"part{i}/{k}.txt")
+                    info.size = k + i
+                    archive.addfile(info, io.BytesIO(b"x" * (k + i)))
+                archive.addfile(tarfile.TarInfo("link") if k % 2 else _folder())
+            yield held.getvalue()
 
     def _folder() -> tarfile.TarInfo:
         info = tarfile.TarInfo("folder")
         info.type = tarfile.DIRTYPE
         return info
 
-    made = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").cast("string").alias("path")).mapInArrow(pack, "path string, content binary")
+    made = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_suppkey").cast("string").alias("path")).repartition(spread(spark), "k").mapInArrow(pack, "path string, content binary")
     return files.archive_members(made).where("byte_count > 0").select("path", "member", "byte_count")
 
 

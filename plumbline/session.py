@@ -35,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def spread(spark: SparkSession, waves: int = 4) -> int:
+    """How many partitions a small table is dealt into before work that is heavy for each row: some for each core, so that all of them work,
+    however few files the rows come from."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), waves * spark.sparkContext.defaultParallelism)
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage, and outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"

@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import json
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 from urllib.parse import urlparse
 
 import numpy as np
@@ -16,8 +17,30 @@ from pyspark.sql import types as T
 
 from plumbline.operators import custody
 
-#: Values in one batch of an array on its way out of a task.
+#: Values in one batch of an array, bytes in one of contents, and members in one of archives on their way out of a task.
 _BATCH = 65_536
+_BYTES = 8 << 20
+_MEMBERS = 16_384
+
+
+def in_bytes(made: Iterable[tuple[str, bytes]], most: int = _BYTES) -> Iterator[pa.RecordBatch]:
+    """Pairs of path and content as batches that end once they hold `most` bytes of contents, so that a task holds a few
+    contents, however large they are."""
+
+    def batch(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        paths, contents = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    held: list[tuple[str, bytes]] = []
+    size = 0
+    for pair in made:
+        held.append(pair)
+        size += len(pair[1])
+        if size >= most:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
 
 
 def array_values(files: DataFrame) -> DataFrame:
@@ -48,14 +71,16 @@ def archive_members(files: DataFrame) -> DataFrame:
     links left out. Null contents give no rows; what is no archive raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
         for batch in batches:
-            rows = []
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                if content.is_valid:
-                    with tarfile.open(fileobj=io.BytesIO(content.as_py())) as archive:
-                        rows += [(path, i, m.name, m.size) for i, m in enumerate(x for x in archive if x.isfile())]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 4, kinds)], names=["path", "place", "member", "byte_count"])
+            for rows in batched(members(batch), _MEMBERS):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["path", "place", "member", "byte_count"])
+
+    def members(batch: pa.RecordBatch) -> Iterator[tuple[str, int, str, int]]:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            if content.is_valid:
+                with tarfile.open(fileobj=pa.BufferReader(content.as_buffer())) as archive:
+                    yield from ((path, i, m.name, m.size) for i, m in enumerate(x for x in archive if x.isfile()))
 
     return files.select("path", "content").mapInArrow(run, "path string, place int, member string, byte_count long")
 

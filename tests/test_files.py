@@ -90,3 +90,25 @@ def test_a_cluster_needs_a_shared_folder():
     for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_dir(session(master))
+
+
+def test_contents_leave_in_batches_of_bytes():
+    made = []
+
+    def contents():
+        for i in range(50):
+            made.append(i)
+            yield str(i), b"x" * 1000
+
+    sizes = []
+    for batch in files.in_bytes(contents(), 4000):
+        sizes.append(batch.num_rows)
+        assert len(made) == sum(sizes)  # none is made before the ones before it have left
+    assert sizes == [4] * 12 + [2]
+    assert list(files.in_bytes(iter(()), 4000)) == []
+
+
+def test_archives_are_packed_on_all_cores(spark):
+    from plumbline.plans import feeds
+
+    assert feeds.archives(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
