@@ -46,8 +46,8 @@ def local_maxima(df: DataFrame, by: list[str], order: str, v: str, width: float
 
 def cadence(df: DataFrame, by: str, order: list[str], width: float | None = None) -> DataFrame:
     """by, median_interval, nyquist: of the positive steps of order[0] from row to row, and half its inverse. Groups without a
-    positive step give no row."""
-    steps = first_difference(df, [by], order, order[0], width).where("difference > 0")
+    positive step give no row. The steps are written once when this is called, as their medians read them several times."""
+    steps = saved(first_difference(df, [by], order, order[0], width).where("difference > 0").select(by, "difference"), "steps")
     out = selection.medians(steps, [by], "difference", "median_interval")
     return out.withColumn("nyquist", 0.5 / F.col("median_interval"))
 

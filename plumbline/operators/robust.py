@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.pieces import join_alike
 from plumbline.operators.selection import medians, quantiles
+from plumbline.session import saved
 
 
 def skew_score(skew: Column, n: Column) -> Column:
@@ -32,11 +33,13 @@ def kurtosis_score(excess: Column, n: Column) -> Column:
 def residual_summary(df: DataFrame, by: str, v: str) -> DataFrame:
     """n, mean, sd, median, mad, bias-corrected skew and excess kurtosis, the share beyond 3 * 1.4826 * mad (0 when mad
     is 0), and D'Agostino's k2 with its p (null under 8 values or without spread). The medians come back by a join on the
-    group."""
-    fine = df.where(F.col(v).isNotNull() & ~F.isnan(v))
-    centre = medians(fine, [by], v)
+    group. Groups and values are written once when this is called, as the medians read them several times; the sums add df's rows as they come,
+    not in the order of written files, which varies."""
+    fine = df.where(F.col(v).isNotNull() & ~F.isnan(v)).select(by, v)
+    held = saved(fine, "residuals")
+    centre = medians(held, [by], v)
     off = F.abs(F.col(v) - F.col("median"))
-    mads = centre.join(medians(fine.join(centre, by), [by], off, "mad"), by)
+    mads = centre.join(medians(held.join(centre, by), [by], off, "mad"), by)
     n, g1, g2 = F.col("n"), F.col("g1"), F.col("g2")
     sums = fine.join(mads, by).groupBy(by).agg(
         F.count(v).alias("n"),

@@ -25,7 +25,7 @@ def quantiles(df: DataFrame, by: list[str], v: str | Column, shares: list[float]
     statistics beside share * (n - 1). Nulls and NaN are no values; groups without values give no row; a null key is a group.
 
     Groups of up to `small` values are one aggregation. Whether there are larger ones is counted when this is called; for those
-    passes run at once, and df is computed again in each."""
+    keys and values are written once, and passes over that table run at once: none of them computes df again."""
     value = F.col(v) if isinstance(v, str) else v
     names = dict(zip([f"__k{i}" for i in range(len(by))], by))
     rows = df.select(F.lit(0).alias("__k"), *[F.col(c).alias(k) for k, c in names.items()], value.cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
@@ -35,7 +35,8 @@ def quantiles(df: DataFrame, by: list[str], v: str | Column, shares: list[float]
     plain = lambda of: of.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("__v", F.array(*map(F.lit, shares))).alias("q"))
     if large.isEmpty():
         return plain(rows).drop("__k").withColumnsRenamed(names)
-    large = saved(large, "large-groups")
+    rows = saved(rows, "group-values")
+    large = saved(rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > small), "large-groups")
     mark = large.drop("n").withColumn("__large", F.lit(True))
     few = join_alike(rows, mark, by).where("__large IS NULL").drop("__large")
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * s), F.ceil((F.col("n") - 1) * s)) for s in shares])))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import robust, selection
+from plumbline.operators import ordered, robust, selection
 
 SHARES = [0.0, 0.16, 0.161, 0.5, 0.84, 1.0]
 
@@ -58,3 +58,39 @@ def test_summary_and_scale_take_passes_too(spark, monkeypatch):
     monkeypatch.setattr(robust, "medians", lambda *a: selection.medians(*a, *([] if len(a) > 3 else ["median"]), small=100))
     assert robust.residual_summary(df, "g", "v").first() == plain
     assert plain.median == pytest.approx(np.median(xs)) and plain.mad == pytest.approx(np.median(abs(xs - np.median(xs))))
+
+
+def _counted(spark, rows):
+    """rows, and an accumulator of how many of them were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    return rows.mapInPandas(run, rows.schema), seen
+
+
+def test_passes_read_values_that_were_written_once(spark):
+    rows, seen = _counted(spark, spark.range(6000).selectExpr("id % 2 AS k", "double(id * 7919 % 6007) AS v"))
+    found = {r.k: r.q for r in selection.quantiles(rows, ["k"], "v", [0.1, 0.5], small=50).collect()}
+    assert seen.value <= 2 * 6000  # one count, one table
+    for k in (0, 1):
+        assert found[k] == pytest.approx(np.quantile([float(i * 7919 % 6007) for i in range(k, 6000, 2)], [0.1, 0.5]).tolist())
+
+
+def test_a_summary_computes_its_input_twice(spark):
+    rows, seen = _counted(spark, spark.range(3000).selectExpr("id % 2 AS k", "double(id * 7919 % 6007) AS v"))
+    assert robust.residual_summary(rows, "k", "v").count() == 2
+    assert seen.value <= 2 * 3000  # one table for the medians, one pass of sums
+
+
+def test_a_cadence_computes_its_steps_once(spark):
+    table = spark.range(3000).selectExpr("id % 2 AS k", "double(id * id) AS t", "id")
+    rows, seen = _counted(spark, table)
+    ordered.first_difference(rows, ["k"], ["t", "id"], "t").write.format("noop").mode("overwrite").save()
+    once = seen.value
+    rows, seen = _counted(spark, table)
+    assert ordered.cadence(rows, "k", ["t", "id"]).count() == 2
+    assert seen.value <= once
