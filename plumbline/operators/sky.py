@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
+from plumbline.session import spread
 
 #: The speed of light in km/s, gravity in Mpc (km/s)^2 / solar mass, and the default universe.
 C_KM_S = 299792.458
@@ -21,7 +22,9 @@ def pairs_within(lenses: DataFrame, sources: DataFrame, degrees: float) -> DataF
     sources: source, ra, dec, in degrees, ra from 0 to 360, dec from -90 to 90.
 
     Sky cells no smaller than the angle make it an equi-join: a lens looks into the cells around its own, in a ring
-    around the circle, as far in ra as the angle reaches at its declination; a lens from which it reaches a pole looks into whole rings."""
+    around the circle, as far in ra as the angle reaches at its declination; a lens from which it reaches a pole looks into whole rings.
+    Cells are dealt into many tasks, as pairs may be many times the rows."""
+    tasks = spread(lenses.sparkSession)
     rings = max(1, math.floor(360 / (1.001 * degrees)))
     wide = 360 / rings
     # how many cells of ra the angle can reach at a declination
@@ -36,7 +39,15 @@ def pairs_within(lenses: DataFrame, sources: DataFrame, degrees: float) -> DataF
     near = near.select("lens", "ra_l", "dec_l", "x", F.explode("ys").alias("y"))
     there = sources.select("source", F.col("ra").alias("ra_s"), F.col("dec").alias("dec_s"), F.pmod(cell("ra"), F.lit(rings)).alias("x"), cell("dec").alias("y"))
     d = F.degrees(scalars.haversine(F.col("ra_l"), F.col("dec_l"), F.col("ra_s"), F.col("dec_s")))
-    return near.join(there, ["x", "y"]).withColumn("degrees", d).where((F.col("degrees") <= degrees) & (F.col("degrees") > 0)).drop("x", "y")
+    return near.repartition(tasks, "x", "y").join(there.repartition(tasks, "x", "y"), ["x", "y"]).withColumn("degrees", d).where((F.col("degrees") <= degrees) & (F.col("degrees") > 0)).drop("x", "y")
+
+
+def expanded(pairs: DataFrame, lenses: DataFrame, sources: DataFrame, lens_kind: list[str], source_kind: list[str]) -> DataFrame:
+    """Pairs of kinds as pairs of lenses and sources: each pair with every lens and every source whose columns of the kind are equal. What a pair is
+    worth is so worked out once for rows alike; only their keys are written out for each. The three tables have no other columns in common."""
+    tasks = spread(pairs.sparkSession)
+    near = pairs.join(lenses, lens_kind).repartition(tasks, *source_kind)
+    return near.join(sources.repartition(tasks, *source_kind), source_kind)
 
 
 def comoving(z: Column, h0: float = H0, omega_m: float = OMEGA_M, steps: int = 64) -> Column:

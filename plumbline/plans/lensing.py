@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars
 from plumbline.operators import lens, network, sky
+from plumbline.session import saved
 
 
 def _sky(spark, sf_dir, table, key):
@@ -17,12 +18,20 @@ def _sky(spark, sf_dir, table, key):
 
 
 def haversine_rotation_pairs(spark, sf_dir):
-    """Suppliers and customers within 1.5 degrees, with their separation and rotated shear."""
-    lenses, sources = _sky(spark, sf_dir, "supplier", "s_suppkey"), _sky(spark, sf_dir, "customer", "c_custkey")
-    pairs = sky.pairs_within(lenses.withColumnRenamed("id", "lens"), sources.withColumnRenamed("id", "source"), 1.5)
-    e1, e2 = F.col("source") % 7 / 10.0, F.col("source") % 5 / 10.0
-    tangential, cross = scalars.rotate_shear(e1, e2, F.col("ra_l"), F.col("dec_l"), F.col("ra_s"), F.col("dec_s"))
-    return pairs.select("lens", "source", F.round("degrees", 6).alias("degrees"), (F.round(tangential, 6) + 0.0).alias("tangential"), (F.round(cross, 6) + 0.0).alias("cross_part"))
+    """Suppliers and customers within 1.5 degrees, with their separation and rotated shear, which are worked out once for all that stand at one
+    place with one ellipticity."""
+    lenses = _sky(spark, sf_dir, "supplier", "s_suppkey").select(F.col("id").alias("lens"), F.col("ra").alias("ra_l"), F.col("dec").alias("dec_l"))
+    k = F.col("id")
+    sources = _sky(spark, sf_dir, "customer", "c_custkey").select(k.alias("source"), F.col("ra").alias("ra_s"), F.col("dec").alias("dec_s"), (k % 7 / 10.0).alias("e1"), (k % 5 / 10.0).alias("e2"))
+    at = lambda df, side: df.select(F.col(f"ra_{side}").alias("ra"), F.col(f"dec_{side}").alias("dec")).distinct()
+    place = F.struct("ra", "dec")
+    places = sky.pairs_within(at(lenses, "l").withColumn("lens", place), at(sources, "s").withColumn("source", place), 1.5).drop("lens", "source")
+    kinds = places.join(sources.drop("source").distinct(), ["ra_s", "dec_s"])
+    tangential, cross = scalars.rotate_shear(F.col("e1"), F.col("e2"), F.col("ra_l"), F.col("dec_l"), F.col("ra_s"), F.col("dec_s"))
+    # written once, so that what is worked out stays before the copies of each row
+    pairs = saved(kinds.select("ra_l", "dec_l", "ra_s", "dec_s", "e1", "e2", F.round("degrees", 6).alias("degrees"), (F.round(tangential, 6) + 0.0).alias("tangential"), (F.round(cross, 6) + 0.0).alias("cross_part")), "pairs-of-kinds")
+    out = sky.expanded(pairs, lenses, sources, ["ra_l", "dec_l"], ["ra_s", "dec_s", "e1", "e2"])
+    return out.select("lens", "source", "degrees", "tangential", "cross_part")
 
 
 def critical_density(spark, sf_dir):

@@ -190,3 +190,18 @@ def test_manifest_precedence(spark):
     a = spark.createDataFrame([("x", 3, "s"), ("y", 3, "s"), ("z", 3, "s"), ("w", 3, "s")], "path string, byte_count long, sha256 string")
     b = spark.createDataFrame([("x", 3, "s"), ("y", 4, "q"), ("z", 3, "q"), ("v", 1, "t")], "path string, byte_count long, sha256 string")
     assert {r.path: r.status for r in custody.verify(a, b).collect()} == {"x": "OK", "y": "BYTE_COUNT_MISMATCH", "z": "SHA256_MISMATCH", "w": "MISSING", "v": "UNLISTED"}
+
+
+def test_pairs_are_worked_out_once_for_rows_alike(spark, monkeypatch, tmp_path):
+    spark.range(0, 7200, 1800).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(7200).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    from plumbline.operators import sky
+
+    seen, plain = [], sky.pairs_within
+    monkeypatch.setattr(sky, "pairs_within", lambda a, b, degrees: seen.append((a.count(), b.count())) or plain(a, b, degrees))
+    out = registry.QUERIES["haversine_rotation_pairs"](spark, str(tmp_path)).collect()
+    assert seen == [(2, 3600)]  # of 4 and 7,200 rows
+    place = lambda k: (k * 37 % 3600 / 10.0, k * 53 % 100 / 10.0)
+    far = lambda a, b: np.degrees(2 * np.arcsin(np.sqrt(np.sin(np.radians(b[1] - a[1]) / 2) ** 2 + np.cos(np.radians(a[1])) * np.cos(np.radians(b[1])) * np.sin(np.radians(b[0] - a[0]) / 2) ** 2)))
+    want = {(i, j) for i in range(0, 7200, 1800) for j in range(7200) if 0 < far(place(i), place(j)) <= 1.5}
+    assert want and {(r.lens, r.source) for r in out} == want and len(out) == len(want)
