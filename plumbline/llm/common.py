@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -82,6 +83,15 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return ranges.withColumn(out, inside).join(F.broadcast(before), "__range").withColumn(out, F.col("__before") + F.col(out)).drop("__range", "__before")
 
 
+def give_back() -> None:
+    """What a task's batches took and freed goes back to the system, where the C library can: a worker that waits for its next task stands beside
+    the heap of a stage that may have no Python in it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `most` bytes of a column (one row at least), so that memory stays bounded."""
     for batch in batches:
@@ -93,6 +103,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+    give_back()
 
 
 def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -133,5 +145,7 @@ def in_groups(keys: list[str], use: Callable[[pa.Table], pa.RecordBatch | None])
             held.append(batch.slice(cut))
             last = tuple(x[-1] for x in ids)
         yield from flush()
+        held = []
+        give_back()
 
     return run

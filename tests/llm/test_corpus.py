@@ -190,3 +190,16 @@ def test_a_vocabulary_that_reaches_over_spaces_is_encoded_whole():
     model = sentencepiece.SentencePieceProcessor(model_file=path[1])
     whole.chunks, whole.encode_b = (lambda t: [t]), (lambda chunks: model.encode([x[1:] for x in chunks], out_type=int))
     assert whole(texts) == alignment.Aligner(*path)(texts)
+
+
+def test_a_task_gives_its_memory_back_after_its_last_batch(monkeypatch):
+    import pyarrow as pa
+
+    from plumbline.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batches = [pa.record_batch({"text": ["ab", "c"]}), pa.record_batch({"text": ["d"]})]
+    assert sum(b.num_rows for b in common.slices(iter(batches))) == 3 and given == [1]
+    monkeypatch.undo()
+    common.give_back()
