@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import keeps, slices
 
 #: Pre-tokens longer than this are encoded each time, not cached.
 CACHED_CHARS = 48
@@ -157,6 +157,7 @@ def library_coder(path: str, pattern: str, most: int = 400_000, plain: bool = Fa
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    keeps("coders", library_coder.cache_clear)
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True  # words are between added tokens, or added tokens are text
     kind = id_type(model.get_vocab_size())

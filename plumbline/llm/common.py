@@ -17,9 +17,13 @@ from plumbline.session import shared_dir
 
 #: White space that parts words and is stripped from lines.
 SPACE = r"[\x20\x09-\x0D]"
-#: While a table is written: its shuffle files go when it ends, not at the driver's next GC, and batches of rows on
-#: their way to Python are small, as texts are long; and sorted buckets are read as sorted.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+#: Batches of rows on their way to Python are small, as texts are long: an executor holds a batch several times, on both sides.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "1m"}
+#: While a table is written: its shuffle files go when it ends, not at the driver's next GC, batches are small, and sorted
+#: buckets are read as sorted.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **BATCHES, "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+#: What this worker keeps from task to task, each with the call that lets it go.
+_kept: dict[str, Callable[[], object]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +96,17 @@ def give_back() -> None:
         trim(0)
 
 
+def keeps(what: str, forget: Callable[[], object] = bool) -> None:
+    """From here on this worker keeps `what`, until forget() is called. A worker goes from one operator's tasks to the next one's, so whatever
+    else it kept goes now."""
+    if what in _kept and len(_kept) == 1:
+        return
+    for other in [x for x in _kept if x != what]:
+        _kept.pop(other)()
+    _kept[what] = forget
+    give_back()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `most` bytes of a column (one row at least), so that memory stays bounded."""
     for batch in batches:

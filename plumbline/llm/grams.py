@@ -5,19 +5,26 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from plumbline.llm.common import keeps
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MOST = 150_000
 _known: dict[bytes, int] = {}
 
 
+def _forget() -> None:
+    global _known
+    _known = {}
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words (runs of anything but space and tab to carriage return, unchanged), and the place in
     them where each text starts, with the end."""
-    global _known
+    keeps("words' hashes", _forget)
     words = [x.encode().split() if x else [] for x in texts]  # bytes split at just those characters
     if len(_known) > _MOST:
-        _known = {}
+        _forget()
     for w in set().union(*words).difference(_known):
         _known[w] = xxhash.xxh3_64_intdigest(w)
     starts = np.cumsum([0, *map(len, words)])

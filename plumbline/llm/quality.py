@@ -14,10 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import lists, save, slices
+from plumbline.llm.common import keeps, lists, save, slices
 
 #: N-grams are hashed to so many indicators.
 BUCKETS = 1 << 20
+#: Bytes of text whose indicators are made at once: the arrays on the way take some hundred times as much.
+_AT_ONCE = 1 << 18
 _SHAPE = re.compile(r"[^\W\d_]+|\d+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,7 +35,7 @@ class Grams:
     before it (runs of 1 to 3 such marks)."""
 
     def __init__(self, most: int = 200_000):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}  # the word's hash above its shape's
         self.most = most
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,13 +44,12 @@ class Grams:
         if len(self.known) > self.most:
             self.known = {}
         for w in set().union(*words).difference(self.known):
-            self.known[w] = zlib.crc32(w.lower().encode()), zlib.crc32(_shape(w).encode()) | 1 << 32
-        flat = [self.known[w] for part in words for w in part]
-        if not flat:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        codes = np.array(flat, np.uint64)
+            self.known[w] = zlib.crc32(w.lower().encode()) << 32 | zlib.crc32(_shape(w).encode())
         row = np.repeat(np.arange(len(texts)), [len(x) for x in words])
-        word, shape = codes[:, 0], codes[:, 1]
+        if not len(row):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        codes = np.fromiter((self.known[w] for part in words for w in part), np.uint64, len(row))
+        word, shape = codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF) | np.uint64(1 << 32)
         one, two = np.zeros(len(row), bool), np.zeros(len(row), bool)
         one[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
         two[2:] = (word[2:] == word[:-2]) & (row[2:] == row[:-2])
@@ -144,7 +145,8 @@ def _features(df: DataFrame, text: str) -> DataFrame:
     """label, h, t, the sorted indicators of each row, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        keeps("indicators")
+        for batch in slices(batches, "text", _AT_ONCE):
             row, bucket = _grams([x or "" for x in batch.column("text").to_pylist()])
             cuts = np.searchsorted(row, np.arange(1, batch.num_rows))
             found = np.split(bucket, cuts)
@@ -206,7 +208,8 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     kept = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        keeps("indicators")
+        for batch in slices(batches, text, _AT_ONCE):
             row, bucket = _grams([x or "" for x in batch.column(text).to_pylist()])
             found = shared.value.scores(shared.value.margins(row, bucket, batch.num_rows))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])

@@ -203,3 +203,15 @@ def test_a_task_gives_its_memory_back_after_its_last_batch(monkeypatch):
     assert sum(b.num_rows for b in common.slices(iter(batches))) == 3 and given == [1]
     monkeypatch.undo()
     common.give_back()
+
+
+def test_a_worker_keeps_the_words_of_one_operator():
+    from plumbline.llm import bpe, grams
+
+    coder = bpe.library_coder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    before = coder(["some words"])
+    assert bpe.library_coder.cache_info().currsize
+    hashes, _ = grams.word_hashes(["some words"])
+    assert not bpe.library_coder.cache_info().currsize and len(grams._known) >= 2
+    assert bpe.library_coder(P.path("byte_bpe_50k.json"), P.PATTERN)(["some words"]) == before and not grams._known
+    assert (grams.word_hashes(["some words"])[0] == hashes).all()

@@ -123,3 +123,15 @@ def test_packing_stage(spark, docs):
         want[k, len(ids), zlib.crc32(ids.tobytes())] += 1
     rows = STAGE["packing"](spark, docs, SF).collect()
     assert Counter((r.doc_id, r.doc_tokens, r.ids_crc32) for r in rows) == want and len({r.sequence_id for r in rows}) == 1
+
+
+def test_what_a_stage_returns_goes_to_python_in_small_batches(spark, monkeypatch):
+    """Whoever writes a stage's result runs its last step: 1,200 texts of 5,000 bytes were one batch."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(corpus_pipeline, "THRESHOLD", 0.0)
+    size = lambda batches: (pa.record_batch({"n": [x.num_rows], "size": [x.get_total_buffer_size()]}) for x in batches)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 1200, 1, 1).selectExpr("id AS doc_id", "repeat('elongated ', 500) AS text")
+    found = STAGE["quality classifier"](spark, docs, SF).mapInArrow(size, "n long, size long").collect()
+    assert sum(x.n for x in found) == 1200 and max(x.n for x in found) <= 300
