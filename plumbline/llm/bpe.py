@@ -8,7 +8,7 @@ import hashlib
 import itertools
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,11 @@ from plumbline.llm.common import keeps, slices
 
 #: Pre-tokens longer than this are encoded each time, not cached.
 CACHED_CHARS = 48
+#: How the tokenizers library's ByteLevel splits texts.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that are a letter, number or white space to one of the splitters (the regex module, the tokenizers library) and something else
+#: to the other, or may become so: tables of Unicode differ in these only.
+UNSETTLED = "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua000-\uabff\ud7a4-\U0010ffff]"
 
 
 def byte_chars() -> str:
@@ -106,6 +111,38 @@ class Cached:
         return out
 
 
+class Words(dict):
+    """The ids of words, as bytes; a word that is not there is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes], known: Iterable[tuple[str, bytes]] = ()):
+        super().__init__(known)
+        self.encode, self.long = encode, []
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        if len(word) > CACHED_CHARS:
+            self.long.append(word)
+        return ids
+
+
+class CachedSingly(Cached):
+    """Cached for an encoder that is quickest word by word: words are looked up once, without a set of the new ones first."""
+
+    def __init__(self, pattern: str, encode: Callable[[str], bytes], most: int = 250_000):
+        super().__init__(pattern, lambda words: list(map(encode, words)), most)
+        self.encode, self.known = encode, Words(encode)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known = Words(self.encode, itertools.islice(self.known.items(), self.most // 2))
+        known = self.known
+        out = [b"".join(map(known.__getitem__, self.split(text))) for text in texts]
+        for word in known.long:
+            del known[word]
+        known.long.clear()
+        return out
+
+
 @functools.cache
 def sentencepiece_coder(path: str, pattern: str) -> tuple[Cached, Callable[[bytes], bytes]]:
     """encode: texts to little-endian uint32 ids; decode: such ids to bytes."""
@@ -180,11 +217,35 @@ def library_coder(path: str, pattern: str, most: int = 400_000, plain: bool = Fa
             out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    cached = Cached(pattern, encode_many, most)
+    single = _model_coder(model, kind, lambda word: encode_many([word])[0]) if pattern == BYTE_LEVEL else None
+    cached = CachedSingly(pattern, single, most) if single else Cached(pattern, encode_many, most)
     added = {} if plain else {x.content: np.array([i], kind).tobytes() for i, x in model.get_added_tokens_decoder().items()}
     return WithAdded(cached, added) if added else cached
 
 
+def _model_coder(model, kind: str, odd: Callable[[str], bytes]) -> Callable[[str], bytes] | None:
+    """A pre-token to its ids by the library's BPE model alone, which is what the library does with one after splitting; odd() for those
+    that it may split otherwise. None where its tokenizer does more than to split by BYTE_LEVEL and to map bytes to characters."""
+    from tokenizers import models, pre_tokenizers
+
+    splitter, merger = model.pre_tokenizer, model.model
+    if not isinstance(splitter, pre_tokenizers.ByteLevel) or not splitter.use_regex or splitter.add_prefix_space:
+        return None
+    if not isinstance(merger, models.BPE) or merger.dropout or any(x is not None for x in (model.normalizer, model.truncation, model.padding)):
+        return None
+    if not all(x.special for x in model.get_added_tokens_decoder().values()):
+        return None
+    chars, raw = dict(enumerate(byte_chars())), [i.to_bytes(int(kind[2]), "little") for i in range(model.get_vocab_size())]
+    tokens, unsettled = merger.tokenize, re.compile(UNSETTLED).search
+
+    def encode(word: str) -> bytes:
+        if not word.isascii() and unsettled(word):
+            return odd(word)
+        return b"".join([raw[x.id] for x in tokens(word.encode().decode("latin-1").translate(chars))])
+
+    return encode
+
+
 def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 

@@ -38,6 +38,8 @@ CACHED_WORDS = 400_000
 #: Seeds of a perfect hash, each with hashes of its own.
 SEEDS = 256
 _SEED = 1 << 21
+#: Keys times displacements that are tried at once.
+_TRIALS = 1 << 12
 _NULL = -(1 << 63)
 #: A row is a megabyte: the writer looks at its size after each, and a reader's task gets a few.
 _SMALL_GROUPS = {"parquet.block.size": str(8 * PART_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "2"}
@@ -65,30 +67,38 @@ def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _displacements(keys: np.ndarray, seed: int) -> np.ndarray | None:
-    """Large buckets are placed first; None where a bucket fits at no displacement."""
+    """Large buckets are placed first, all of one size together: of those that fit at a displacement the ones that share no slot
+    stay there, the others go on to the next. None where a bucket fits at no displacement."""
     n = len(keys)
     buckets = max(1, -(-n // 3))
     bucket = (mix(keys, seed) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    moved, taken = np.zeros(buckets, np.uint16), np.zeros(n, bool)
-    trial = np.arange(1, 17)
-    for b in np.argsort(-np.diff(cuts), kind="stable"):
-        own = keys[order[cuts[b] : cuts[b + 1]]]
-        if not len(own):
-            break
-        for base in range(0, 1 << 16, 16):
-            slots = (mix(own[None, :], trial[:, None] + (seed + base)) % np.uint64(n)).astype(np.int64)
-            free = ~taken[slots].any(1)
-            if len(own) > 1:
-                ranked = np.sort(slots, 1)
-                free &= (np.diff(ranked, axis=1) != 0).all(1)
-            if free.any():
-                hit = int(free.argmax())
-                moved[b] = base + hit
-                taken[slots[hit]] = True
-                break
-        else:
+    sizes = np.diff(cuts)
+    moved, taken, owner = np.zeros(buckets, np.uint16), np.zeros(n, bool), np.zeros(n, np.int64)
+    for size in range(int(sizes.max(initial=0)), 0, -1):
+        left = np.flatnonzero(sizes == size)
+        base = 0
+        while len(left) and base < 1 << 16:
+            own = keys[order[cuts[left][:, None] + np.arange(size)]]
+            wide = min(max(1, _TRIALS // own.size), (1 << 16) - base)  # the fewer are left, the more displacements at once
+            trial = np.arange(base + 1, base + wide + 1)
+            slots = (mix(own[:, None, :], trial[None, :, None] + seed) % np.uint64(n)).astype(np.int64)
+            free = ~taken[slots].any(2)
+            if size > 1:
+                free &= (np.diff(np.sort(slots, 2), axis=2) != 0).all(2)
+            fits = np.flatnonzero(free.any(1))
+            at = free[fits].argmax(1)
+            wanted = slots[fits, at]
+            owner[wanted] = fits[:, None]  # one of those that want a slot
+            won = (owner[wanted] == fits[:, None]).all(1)
+            moved[left[fits[won]]] = base + at[won]
+            taken[wanted[won]] = True
+            lost = np.ones(len(left), bool)
+            lost[fits[won]] = False
+            # those that lost a slot try the same displacements again, among which the next may fit
+            base, left = (base + wide if won.all() else base), left[lost]
+        if len(left):
             return None
     return moved
 

@@ -403,6 +403,48 @@ def test_perfect_hash_takes_another_seed():
     assert part.seed > 0 and (part.find(keys) == np.arange(len(keys))).all()
 
 
+def test_perfect_hash_places_buckets_together(monkeypatch):
+    calls, plain = [], idfile.mix
+    monkeypatch.setattr(idfile, "mix", lambda *x: calls.append(1) or plain(*x))
+    for n in (0, 1, 2, 5, 3000):
+        keys = np.arange(n) * 7 - 900
+        moved, seed = idfile.perfect_hash(keys)
+        assert sorted(idfile.slots(keys, moved, seed, n).tolist()) == list(range(n)) if n else len(moved) == 1
+    assert len(calls) < 500  # one or more for each of 1000 buckets if they are placed one by one
+
+
+def test_library_coder_encodes_a_word_once_by_the_model():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    coder = bpe.library_coder.__wrapped__(P.path("byte_bpe_50k.json"), P.PATTERN, 40)
+    texts = ["", " ", "a  b\n\n c\t", "it's  we''ll '", "Größe ñandú – “quoted” …", "Привет, мир 你好 안녕 ไทย हिन्दी 😀 \U0001f1e9", "\u0558 a\u208f \ua7ce 1\U00010940", "<|endoftext|> in <|endoftext|>", "x" * 99 + " " + "x" * 99]
+    texts += [" ".join(f"w{i * j}," for i in range(30)) for j in range(9)]
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts]
+    asked = []
+    words = coder.coder.encode
+    coder.coder.known.encode = lambda word: asked.append(word) or words(word)
+    assert coder(texts) == want and len(asked) == len(set(asked)) and not any(len(x) > bpe.CACHED_CHARS for x in coder.coder.known)
+    assert all(coder([x]) == [y] for x, y in [*zip(texts, want)] * 2) and len(coder.coder.known) <= 40 + 120  # the oldest half stays
+    other = bpe.library_coder.__wrapped__(P.path("byte_bpe_50k.json"), r"\S+|\s+")  # not the library's own splitting
+    assert type(other.coder) is bpe.Cached
+
+
+def test_splitters_agree_on_settled_characters():
+    import re
+
+    import regex
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json")).pre_tokenizer
+    assert P.PATTERN == bpe.BYTE_LEVEL
+    settled = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10FFFF, 97)]) if not re.search(bpe.UNSETTLED, c)]
+    assert len(settled) > 50_000
+    for a in range(0, len(settled), 500):
+        text = "".join(f" a{c} 1{c} !{c} {c}b" for c in settled[a : a + 500])
+        assert [text[i:j] for _, (i, j) in library.pre_tokenize_str(text)] == regex.findall(bpe.BYTE_LEVEL, text)
+
+
 def test_id_file_parts_have_bounded_keys(spark, monkeypatch):
     monkeypatch.setattr(idfile, "PART_KEYS", 7)
     rows = spark.createDataFrame([(i, None) for i in range(100)], "doc_id long, text string")
